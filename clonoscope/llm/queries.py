@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from clonoscope.llm import line_dedup
+from clonoscope.llm import line_dedup, secrets
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op8_secret_scans": secrets.op8_secret_scans,
 }
 
 SQL = {
     "op1_line_dedup": line_dedup.SQL,
+    "op8_secret_scans": secrets.SQL,
 }
