@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from clonoscope.llm import line_dedup, secrets
+from clonoscope.llm import fingerprint, line_dedup, secrets
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op8_secret_scans": secrets.op8_secret_scans,
+    "op10_document_fingerprints": fingerprint.op10_document_fingerprints,
 }
 
 SQL = {
     "op1_line_dedup": line_dedup.SQL,
     "op8_secret_scans": secrets.SQL,
+    "op10_document_fingerprints": fingerprint.SQL,
 }
