@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from clonoscope.llm import fingerprint, line_dedup, secrets
+from clonoscope.llm import fingerprint, line_dedup, packing, secrets
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op8_secret_scans": secrets.op8_secret_scans,
     "op10_document_fingerprints": fingerprint.op10_document_fingerprints,
 }
