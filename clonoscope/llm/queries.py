@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from clonoscope.llm import fingerprint, jaccard, line_dedup, packing, secrets
+from clonoscope.llm import fingerprint, jaccard, line_dedup, lm, packing, secrets
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
+    "op7_lm_scoring": lm.op7_lm_scoring,
     "op8_secret_scans": secrets.op8_secret_scans,
     "op10_document_fingerprints": fingerprint.op10_document_fingerprints,
 }
