@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from clonoscope.llm import fingerprint, jaccard, line_dedup, lm, packing, secrets
+from clonoscope.llm import fingerprint, jaccard, line_dedup, lm, packing, secrets, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
     "op7_lm_scoring": lm.op7_lm_scoring,
