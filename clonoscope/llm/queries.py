@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clonoscope.llm import fingerprint, jaccard, line_dedup, lm, packing, secrets, toxicity
+from clonoscope.llm import audio, fingerprint, jaccard, line_dedup, lm, packing, secrets, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
     "op7_lm_scoring": lm.op7_lm_scoring,
     "op8_secret_scans": secrets.op8_secret_scans,
+    "op9_media_columns": audio.op9_media_columns,
     "op10_document_fingerprints": fingerprint.op10_document_fingerprints,
 }
 
