@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from clonoscope.llm import audio, fingerprint, jaccard, line_dedup, lm, packing, secrets, toxicity
+from clonoscope.llm import audio, fingerprint, jaccard, license, line_dedup, lm, packing, secrets, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_license_scans": license.op3_license_scans,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
     "op7_lm_scoring": lm.op7_lm_scoring,
