@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from clonoscope.llm import audio, fingerprint, jaccard, license, line_dedup, lm, packing, secrets, toxicity
+import corpus_pipeline
+from clonoscope.llm import audio, fingerprint, jaccard, license, line_dedup, lm, mixing, packing, secrets, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_license_scans": license.op3_license_scans,
+    "op4_source_mixing": mixing.op4_source_mixing,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
     "op7_lm_scoring": lm.op7_lm_scoring,
     "op8_secret_scans": secrets.op8_secret_scans,
     "op9_media_columns": audio.op9_media_columns,
     "op10_document_fingerprints": fingerprint.op10_document_fingerprints,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
