@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clonoscope.llm.common import cut, table
+from clonoscope.llm.words import WordHashes, texts_of
 
 #: Words in a shingle, and the least similarity in hundredths.
 SHINGLE, PERCENT = 5, 75
@@ -22,33 +23,17 @@ TOLD = 1_000_000
 FEW = 1_000_000
 #: Index rows that a block of the product takes.
 BLOCK = 1_000_000
-#: Words whose hashes a worker keeps.
-CACHED = 400_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def word_hashes(text: bytes, cache: dict) -> np.ndarray:
-    """64-bit hashes of the words of a text: A-Z lower-cased, cut at the six ASCII white spaces."""
-    words = text.lower().split()
-    return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """The sorted set of hashed shingles; the whole sequence where there are fewer words, nothing without words."""
     n = len(words)
     if not n:
         return words
     if n < size:
-        mixed = np.array([(words * _ODD[:n]).sum(dtype=np.uint64) + np.uint64(n) * _ODD[4]], dtype=np.uint64)
+        mixed = (words * _ODD[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n * int(_ODD[4]) % (1 << 64))
     else:
         mixed = words[: n - size + 1] * _ODD[0]
         for k in range(1, size):
@@ -69,9 +54,9 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-    cache = _Hashes()
-    for batch in batches:
-        yield batch.column("id").to_pylist(), [shingles(word_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", cache)) for t in batch.column("text")]
+    hashes = WordHashes()
+    for part, texts in texts_of(batches):
+        yield part.column("id").to_pylist(), [shingles(hashes(t)) for t in texts]
 
 
 def _mark(s: np.ndarray, seed: int = 0) -> int:
@@ -86,48 +71,113 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _index(common: object):
-    """Rows of the incidence matrix that can matter: each set's prefix in the common order. A task gives a set once,
-    so that copies of one text come at most once from each."""
+class _Order:
+    """The common order of shingles: those that are not known to be common by hash, then the others, commonest last."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = common.value if common is not None else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        seen: set[int] = set()
-        for _, sets in _sets(batches):
-            tokens, marks, sizes, late = [], [], [], []
-            for s in sets:
-                if not len(s) or (mark := _mark(s)) in seen:
-                    continue
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+        by = np.argsort(tokens, kind="stable")
+        self.tokens, self.counts = tokens[by], counts[by]
+
+    def __call__(self, s: np.ndarray) -> tuple[np.ndarray, int]:
+        """The set in order, and how many of it are not common."""
+        if not len(self.tokens):
+            return s, len(s)
+        at = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
+        common = self.tokens[at] == s
+        if not common.any():
+            return s, len(s)
+        return np.concatenate([s[~common], s[common][np.argsort(self.counts[at[common]], kind="stable")]]), int(len(s) - common.sum())
+
+
+def _each_set(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Marks and sets, a set once from each task, so that copies of one text come at most once from each."""
+    seen: set[int] = set()
+    for _, sets in _sets(batches):
+        out = []
+        for s in sets:
+            if len(s) and (mark := _mark(s)) not in seen:
                 seen.add(mark)
+                out.append((mark, s))
+        yield out
+
+
+def _tokens(told: object):
+    """Shingles with their number of prefixes, summed within the task. Without an order known, these are the prefixes
+    by hash. With one, they are what sets with common shingles in that prefix would take in further, were they as
+    common behind it; so that the second count finds the common ones among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = _Order(*told.value) if told is not None else None
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int64))], names=["token", "df"])
+
+        for sets in _each_set(batches):
+            for _, s in sets:
                 p = _prefix(len(s))
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    is_common = known[at] == s
-                    ordered = np.concatenate([s[~is_common], s[is_common][np.argsort(rank[at[is_common]], kind="stable")]])[:p]
-                    late.append(np.arange(len(ordered)) >= len(s) - is_common.sum())
-                else:
-                    ordered = s[:p]
-                    late.append(np.zeros(p, dtype=bool))
-                tokens.append(ordered)
-                marks.append(np.full(p, mark, dtype=np.int64))
-                sizes.append(np.full(p, len(s), dtype=np.int64))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([t.view(np.int64) for t in tokens], marks, sizes, late)], names=["token", "f1", "n", "common"])
+                if order is None:
+                    held.append(s[:p])
+                elif common := p - order(s[:p])[1]:
+                    held.append(s[p : p + -(-2 * p * common // (p - common + 1))])
+            if sum(map(len, held)) > 1_000_000:
+                yield flush()
+        if held:
+            yield flush()
 
     return run
 
 
+def _index(told: object):
+    """Rows of the incidence matrix that can matter: each set's prefix in the common order, with the set's size and
+    how many of its shingles are not common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = _Order(*told.value)
+        for sets in _each_set(batches):
+            if not sets:
+                continue
+            parts = [(mark, len(s), *order(s)) for mark, s in sets]
+            sizes = [_prefix(n) for _, n, _, _ in parts]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([o[:p] for (_, _, o, _), p in zip(parts, sizes, strict=True)]).view(np.int64)),
+                    pa.array(np.repeat(np.array([m for m, *_ in parts], dtype=np.int64), sizes)),
+                    pa.array(np.repeat(np.array([n for _, n, _, _ in parts], dtype=np.int64), sizes)),
+                    pa.array(np.repeat(np.array([rare for *_, rare in parts], dtype=np.int64), sizes)),
+                    pa.array(np.concatenate([np.arange(p) >= rare for (_, _, _, rare), p in zip(parts, sizes, strict=True)])),
+                ],
+                names=["token", "f1", "n", "rare", "common"],
+            )
+
+    return run
+
+
+def _commonest(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    got = counts.where(F.col("df") > COMMON).orderBy(F.desc("df"), "token").limit(TOLD).toPandas()
+    return got["token"].to_numpy(np.int64).view(np.uint64), got["df"].to_numpy(np.int64)
+
+
 def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The product of one block of columns: overlap counts of the pairs that meet in it and whose sizes allow a link."""
+    """The product of one block of columns: overlap counts of the pairs that meet in it and whose sizes allow a link.
+    The diagonal, pairs of a set with itself, has only sets that reach common shingles, and counts those columns that
+    another set shares."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     got = pa.Table.from_batches(held)
-    token, mark, n = (got.column(c).to_numpy() for c in ("token", "f1", "n"))
+    token, mark, n, near = (got.column(c).to_numpy() for c in ("token", "f1", "n", "near"))
     order = np.lexsort((mark, n, token))
-    token, mark, n = token[order], mark[order], n[order]
+    token, mark, n, near = token[order], mark[order], n[order], near[order]
     keep = np.r_[True, (token[1:] != token[:-1]) | (mark[1:] != mark[:-1])]
-    token, mark, n = token[keep], mark[keep], n[keep]
+    token, mark, n, near = token[keep], mark[keep], n[keep], near[keep]
+    same = token[1:] == token[:-1]
+    own = np.flatnonzero(near & (np.r_[False, same] | np.r_[same, False]))
+    own = own[np.argsort(mark[own], kind="stable")]
+    first = np.flatnonzero(np.r_[True, np.diff(mark[own]) != 0]) if len(own) else own
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mark[own][first], mark[own][first], n[own][first], n[own][first], np.diff(np.r_[first, len(own)]))], names=["a", "b", "na", "nb", "c"])
     at, step, found, held_rows = np.arange(len(token)), 0, [], 0
 
     def counted() -> pa.RecordBatch:
@@ -146,7 +196,7 @@ def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(at):
             found.append((at, at + step))
             held_rows += len(at)
-        if held_rows > 2_000_000:
+        if held_rows > 500_000:
             yield counted()
             found, held_rows = [], 0
     if found:
@@ -211,7 +261,7 @@ def _labelled(index: DataFrame, links: DataFrame | None) -> DataFrame:
     if links is None:
         return index.withColumn("label", F.col("f1"))
     labels = components(links)
-    return index.join(labels, index["f1"] == labels["node"], "left").select("token", "f1", "n", F.coalesce("label", "f1").alias("label"))
+    return index.join(labels, index["f1"] == labels["node"], "left").select("token", "f1", "n", "most", F.coalesce("label", "f1").alias("label"))
 
 
 def _pair(a: str, na: str, b: str, nb: str) -> list[Column]:
@@ -220,17 +270,19 @@ def _pair(a: str, na: str, b: str, nb: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.when(x <= y, nx).otherwise(ny).alias("na"), F.when(x <= y, ny).otherwise(nx).alias("nb")]
 
 
-def _near_sizes(x: str, y: str) -> Column:
-    return (100 * F.col(x) >= PERCENT * F.col(y)) & (100 * F.col(y) >= PERCENT * F.col(x))
+def _may_link(x: str, most_x: str, y: str, most_y: str) -> Column:
+    """Whether sets of these sizes, of whose shingles at most so many are in any other set, can be similar enough."""
+    return F.least(most_x, most_y) >= _enough(F.col(x), F.col(y))
 
 
 def _stars(index: DataFrame, seed: int) -> DataFrame:
-    """Pairs of each set with the pivots of its common shingles, the two it meets most often."""
-    pivots = index.groupBy("token").agg(F.min(F.struct(F.xxhash64("f1", F.lit(seed)).alias("o"), "f1", "n", "label")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    """Pairs of each set with the pivots of its common shingles, the two it meets most often. The first round's pivots
+    have the fewest shingles of their own, as the middle of a group of near copies has."""
+    pivots = index.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("most") if seed == 0 else F.lit(0)).alias("o"), F.xxhash64("f1", F.lit(seed)).alias("h"), "f1", "n", "most", "label")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     met = (
         index.join(pivots, "token")
-        .select("f1", "n", "label", F.col("p.f1").alias("pf"), F.col("p.n").alias("pn"), F.col("p.label").alias("pl"))
-        .where((F.col("label") != F.col("pl")) & _near_sizes("n", "pn"))
+        .select("f1", "n", "most", "label", F.col("p.f1").alias("pf"), F.col("p.n").alias("pn"), F.col("p.most").alias("pm"), F.col("p.label").alias("pl"))
+        .where((F.col("label") != F.col("pl")) & _may_link("n", "most", "pn", "pm"))
         .groupBy("f1", "n", "pf", "pn")
         .agg(F.count("*").alias("c"))
     )
@@ -244,10 +296,10 @@ def _across(index: DataFrame) -> DataFrame:
     nothing."""
     sizes = index.groupBy("token", "label").agg(F.count("*").alias("m"))
     most = sizes.groupBy("token").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select(F.col("token").alias("t"), F.col("top.label").alias("top"))
-    rest = index.join(most, (F.col("token") == F.col("t")) & (F.col("label") != F.col("top"))).select("token", "top", F.col("f1").alias("f"), F.col("n").alias("m"), F.col("label").alias("l"))
+    rest = index.join(most, (F.col("token") == F.col("t")) & (F.col("label") != F.col("top"))).select("token", "top", F.col("f1").alias("f"), F.col("n").alias("m"), F.col("most").alias("most_f"), F.col("label").alias("l"))
     return (
         rest.join(index, "token")
-        .where((F.col("l") != F.col("label")) & ((F.col("label") == F.col("top")) | (F.col("f") < F.col("f1"))) & _near_sizes("m", "n"))
+        .where((F.col("l") != F.col("label")) & ((F.col("label") == F.col("top")) | (F.col("f") < F.col("f1"))) & _may_link("m", "most_f", "n", "most"))
         .select(*_pair("f", "m", "f1", "n"))
         .groupBy("a", "b", "na", "nb")
         .agg(F.count("*").alias("c"))
@@ -266,7 +318,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Common shingles come last in the order (any order is right), so that they leave the prefixes of documents that
     share only a passage. Those that remain belong to large groups of near copies; there, sets first meet a pivot,
     and only pairs that are still in different components are counted, so that a group costs its size and not its
-    square. Light columns are multiplied in blocks, dealt by shingle.
+    square; a set's shingles that no other has bound what it can share. Light columns are multiplied in blocks, dealt by shingle.
 
     Defined cases: null and empty texts, and texts of white space, have n_shingles 0 and link with nothing, their own
     id being the component; repeated rows are equal sets; rows that share an id keep a row each; a null id is ignored
@@ -278,18 +330,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = _texts(docs, id_col, text_col)
     classes = cut(texts.mapInArrow(_describe, "id long, n long, f1 long, f2 long"))
     rows = classes.where("n > 0").select(F.sum(F.col("n") - F.ceil(PERCENT * F.col("n") / 100) + 1)).first()[0] or 0
-    index = texts.mapInArrow(_index(None), "token long, f1 long, n long, common boolean")
-    counts = index.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > COMMON).orderBy(F.desc("df"), "token").limit(TOLD).toPandas()
-    by_hash = np.argsort(counts["token"].to_numpy(np.int64).view(np.uint64))
-    rank = np.empty(len(counts), dtype=np.int64)
-    rank[:] = np.arange(len(counts), 0, -1)
-    told = spark.sparkContext.broadcast((counts["token"].to_numpy(np.int64).view(np.uint64)[by_hash], rank[by_hash]))
-    index = texts.mapInArrow(_index(told), "token long, f1 long, n long, common boolean")
+    context = spark.sparkContext
+    first = _commonest(texts.mapInArrow(_tokens(None), "token long, df long").groupBy("token").agg(F.sum("df").alias("df")))
+    more = _commonest(texts.mapInArrow(_tokens(context.broadcast(first)), "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))) if len(first[0]) else first
+    new = ~np.isin(more[0], first[0])
+    told = tuple(np.concatenate([x, y[new]]) for x, y in zip(first, more, strict=True))
+    index = texts.mapInArrow(_index(context.broadcast(told)), "token long, f1 long, n long, rare long, common boolean")
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BLOCK))
-    light = index.where("not common").select("token", "f1", "n").repartition(blocks, "token").mapInArrow(_block, _PAIRS)
-    pairs = cut(light.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")))
-    common = cut(index.where("common").select("token", "f1", "n").distinct())
-    if not len(counts) or common.isEmpty():
+    near = F.col("rare") < F.col("n") - F.ceil(PERCENT * F.col("n") / 100) + 1
+    light = index.where("not common").select("token", "f1", "n", near.alias("near")).repartition(blocks, "token").mapInArrow(_block, _PAIRS)
+    product = cut(light.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")))
+    pairs = product.where("a <> b")
+    # sets that reach common shingles have all their others in the blocks: those that no set shares are theirs alone
+    shared = product.where("a = b").select(F.col("a").alias("s"), F.col("c").alias("shared"))
+    common = cut(
+        index.where("common").select("token", "f1", "n", "rare").distinct()
+        .join(shared, F.col("f1") == F.col("s"), "left")
+        .select("token", "f1", "n", (F.col("n") - F.col("rare") + F.coalesce("shared", F.lit(0))).alias("most"))
+    )
+    if common.isEmpty():
         links = cut(_verified(texts, classes, _possible(pairs)))
     else:
         links = None
@@ -299,8 +358,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         every = pairs.union(_across(cut(_labelled(common, links))))
         links = cut(links.union(_verified(texts, classes, cut(_possible(every.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")))))))
     labels = components(links)
-    first = classes.where("n > 0").groupBy("f1").agg(F.min("id").alias("least"))
-    named = first.join(labels, F.col("f1") == F.col("node"), "left").select("f1", "least", F.coalesce("label", "f1").alias("label"))
+    smallest = classes.where("n > 0").groupBy("f1").agg(F.min("id").alias("least"))
+    named = smallest.join(labels, F.col("f1") == F.col("node"), "left").select("f1", "least", F.coalesce("label", "f1").alias("label"))
     least = named.groupBy(F.col("label").alias("l")).agg(F.min("least").alias("component"))
     of = named.join(least, F.col("label") == F.col("l")).select(F.col("f1").alias("f"), "component")
     return classes.join(of, (F.col("f1") == F.col("f")) & (F.col("n") > 0), "left").select(
