@@ -51,7 +51,7 @@ TEMPLATES = {
 FAMILIES = (*sorted(TEMPLATES), UNKNOWN)
 #: Documents whose paragraphs teach the unknown class, at most, by the order of a hash of their id.
 SAMPLE = 300
-FEATURES, STEPS, PENALTY = 1 << 16, 40, 1e-4
+FEATURES, STEPS, PENALTY = 1 << 13, 30, 1e-4
 #: Calibrated probability from which a family counts, and the share of a template's word triples that confirms it.
 CERTAIN, CONFIRMED = 0.5, 0.6
 TEMPERATURES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0)
