@@ -155,6 +155,29 @@ def _index(told: object):
     return run
 
 
+#: Longs of a set's bitmap: a bit for each value of its shingles' leading bits.
+MAP = 16
+
+
+def _bitmaps(told: object):
+    """(f1, bits) of the sets that reach common shingles within their prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = _Order(*told.value)
+        for sets in _each_set(batches):
+            marks, maps = [], []
+            for mark, s in sets:
+                if order(s)[1] < _prefix(len(s)):
+                    bits = np.zeros(64 * MAP, dtype=np.uint8)
+                    bits[(s % np.uint64(64 * MAP)).astype(np.int64)] = 1
+                    marks.append(mark)
+                    maps.append(np.packbits(bits).view(np.int64))
+            flat = np.concatenate([np.empty(0, np.int64), *maps])
+            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(marks) + 1) * MAP, pa.int32()), pa.array(flat))], names=["m", "bits"])
+
+    return run
+
+
 def _commonest(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     got = counts.where(F.col("df") > COMMON).orderBy(F.desc("df"), "token").limit(TOLD).toPandas()
     return got["token"].to_numpy(np.int64).view(np.uint64), got["df"].to_numpy(np.int64)
@@ -261,7 +284,7 @@ def _labelled(index: DataFrame, links: DataFrame | None) -> DataFrame:
     if links is None:
         return index.withColumn("label", F.col("f1"))
     labels = components(links)
-    return index.join(labels, index["f1"] == labels["node"], "left").select("token", "f1", "n", "most", F.coalesce("label", "f1").alias("label"))
+    return index.join(labels, index["f1"] == labels["node"], "left").select("token", "f1", "n", "most", "bits", F.coalesce("label", "f1").alias("label"))
 
 
 def _pair(a: str, na: str, b: str, nb: str) -> list[Column]:
@@ -270,19 +293,21 @@ def _pair(a: str, na: str, b: str, nb: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.when(x <= y, nx).otherwise(ny).alias("na"), F.when(x <= y, ny).otherwise(nx).alias("nb")]
 
 
-def _may_link(x: str, most_x: str, y: str, most_y: str) -> Column:
-    """Whether sets of these sizes, of whose shingles at most so many are in any other set, can be similar enough."""
-    return F.least(most_x, most_y) >= _enough(F.col(x), F.col(y))
+def _may_link(x: str, most_x: str, bits_x: str, y: str, most_y: str, bits_y: str) -> Column:
+    """Whether sets of these sizes can be similar enough, when at most so many of their shingles are in any other set
+    and each bit that only one bitmap has stands for a shingle that the other set lacks."""
+    alone = lambda a, b: sum((F.bit_count(F.get(a, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(i))))) for i in range(1, MAP)), F.bit_count(F.get(a, F.lit(0)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(0))))))
+    return (F.least(most_x, most_y) >= _enough(F.col(x), F.col(y))) & (F.least(F.col(x) - alone(bits_x, bits_y), F.col(y) - alone(bits_y, bits_x)) >= _enough(F.col(x), F.col(y)))
 
 
 def _stars(index: DataFrame, seed: int) -> DataFrame:
     """Pairs of each set with the pivots of its common shingles, the two it meets most often. The first round's pivots
     have the fewest shingles of their own, as the middle of a group of near copies has."""
-    pivots = index.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("most") if seed == 0 else F.lit(0)).alias("o"), F.xxhash64("f1", F.lit(seed)).alias("h"), "f1", "n", "most", "label")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    pivots = index.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("most") if seed == 0 else F.lit(0)).alias("o"), F.xxhash64("f1", F.lit(seed)).alias("h"), "f1", "n", "most", "label", "bits")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     met = (
         index.join(pivots, "token")
-        .select("f1", "n", "most", "label", F.col("p.f1").alias("pf"), F.col("p.n").alias("pn"), F.col("p.most").alias("pm"), F.col("p.label").alias("pl"))
-        .where((F.col("label") != F.col("pl")) & _may_link("n", "most", "pn", "pm"))
+        .select("f1", "n", "most", "bits", "label", F.col("p.f1").alias("pf"), F.col("p.n").alias("pn"), F.col("p.most").alias("pm"), F.col("p.bits").alias("pb"), F.col("p.label").alias("pl"))
+        .where((F.col("label") != F.col("pl")) & _may_link("n", "most", "bits", "pn", "pm", "pb"))
         .groupBy("f1", "n", "pf", "pn")
         .agg(F.count("*").alias("c"))
     )
@@ -296,10 +321,10 @@ def _across(index: DataFrame) -> DataFrame:
     nothing."""
     sizes = index.groupBy("token", "label").agg(F.count("*").alias("m"))
     most = sizes.groupBy("token").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select(F.col("token").alias("t"), F.col("top.label").alias("top"))
-    rest = index.join(most, (F.col("token") == F.col("t")) & (F.col("label") != F.col("top"))).select("token", "top", F.col("f1").alias("f"), F.col("n").alias("m"), F.col("most").alias("most_f"), F.col("label").alias("l"))
+    rest = index.join(most, (F.col("token") == F.col("t")) & (F.col("label") != F.col("top"))).select("token", "top", F.col("f1").alias("f"), F.col("n").alias("m"), F.col("most").alias("most_f"), F.col("bits").alias("bits_f"), F.col("label").alias("l"))
     return (
         rest.join(index, "token")
-        .where((F.col("l") != F.col("label")) & ((F.col("label") == F.col("top")) | (F.col("f") < F.col("f1"))) & _may_link("m", "most_f", "n", "most"))
+        .where((F.col("l") != F.col("label")) & ((F.col("label") == F.col("top")) | (F.col("f") < F.col("f1"))) & _may_link("m", "most_f", "bits_f", "n", "most", "bits"))
         .select(*_pair("f", "m", "f1", "n"))
         .groupBy("a", "b", "na", "nb")
         .agg(F.count("*").alias("c"))
@@ -318,7 +343,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Common shingles come last in the order (any order is right), so that they leave the prefixes of documents that
     share only a passage. Those that remain belong to large groups of near copies; there, sets first meet a pivot,
     and only pairs that are still in different components are counted, so that a group costs its size and not its
-    square; a set's shingles that no other has bound what it can share. Light columns are multiplied in blocks, dealt by shingle.
+    square; a set's shingles that no other has, and bitmaps, bound what
+    two sets can share. Light columns are multiplied in blocks, dealt by shingle.
 
     Defined cases: null and empty texts, and texts of white space, have n_shingles 0 and link with nothing, their own
     id being the component; repeated rows are equal sets; rows that share an id keep a row each; a null id is ignored
@@ -335,7 +361,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = _commonest(texts.mapInArrow(_tokens(context.broadcast(first)), "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))) if len(first[0]) else first
     new = ~np.isin(more[0], first[0])
     told = tuple(np.concatenate([x, y[new]]) for x, y in zip(first, more, strict=True))
-    index = texts.mapInArrow(_index(context.broadcast(told)), "token long, f1 long, n long, rare long, common boolean")
+    order = context.broadcast(told)
+    index = texts.mapInArrow(_index(order), "token long, f1 long, n long, rare long, common boolean")
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BLOCK))
     near = F.col("rare") < F.col("n") - F.ceil(PERCENT * F.col("n") / 100) + 1
     light = index.where("not common").select("token", "f1", "n", near.alias("near")).repartition(blocks, "token").mapInArrow(_block, _PAIRS)
@@ -346,7 +373,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     common = cut(
         index.where("common").select("token", "f1", "n", "rare").distinct()
         .join(shared, F.col("f1") == F.col("s"), "left")
-        .select("token", "f1", "n", (F.col("n") - F.col("rare") + F.coalesce("shared", F.lit(0))).alias("most"))
+        .join(texts.mapInArrow(_bitmaps(order), "m long, bits array<long>").dropDuplicates(["m"]), F.col("f1") == F.col("m"))
+        .select("token", "f1", "n", (F.col("n") - F.col("rare") + F.coalesce("shared", F.lit(0))).alias("most"), "bits")
     )
     if common.isEmpty():
         links = cut(_verified(texts, classes, _possible(pairs)))
