@@ -131,8 +131,8 @@ def _tokens(told: object):
 
 
 def _index(told: object):
-    """Rows of the incidence matrix that can matter: each set's prefix in the common order, with the set's size and
-    how many of its shingles are not common."""
+    """Rows of the incidence matrix that can matter, without common shingles: each set's prefix in the common order, with
+    the set's size and whether the prefix goes on into common shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = _Order(*told.value)
@@ -140,16 +140,15 @@ def _index(told: object):
             if not sets:
                 continue
             parts = [(mark, len(s), *order(s)) for mark, s in sets]
-            sizes = [_prefix(n) for _, n, _, _ in parts]
+            sizes = [min(_prefix(n), rare) for _, n, _, rare in parts]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([o[:p] for (_, _, o, _), p in zip(parts, sizes, strict=True)]).view(np.int64)),
                     pa.array(np.repeat(np.array([m for m, *_ in parts], dtype=np.int64), sizes)),
                     pa.array(np.repeat(np.array([n for _, n, _, _ in parts], dtype=np.int64), sizes)),
-                    pa.array(np.repeat(np.array([rare for *_, rare in parts], dtype=np.int64), sizes)),
-                    pa.array(np.concatenate([np.arange(p) >= rare for (_, _, _, rare), p in zip(parts, sizes, strict=True)])),
+                    pa.array(np.repeat(np.array([rare < _prefix(n) for _, n, _, rare in parts], dtype=bool), sizes)),
                 ],
-                names=["token", "f1", "n", "rare", "common"],
+                names=["token", "f1", "n", "near"],
             )
 
     return run
@@ -159,21 +158,22 @@ def _index(told: object):
 MAP = 16
 
 
-def _bitmaps(told: object):
-    """(f1, bits) of the sets that reach common shingles within their prefix."""
+def _reaching(told: object):
+    """The sets whose prefix reaches common shingles: size, number of others, bitmap and the common ones in the prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = _Order(*told.value)
+        lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
         for sets in _each_set(batches):
-            marks, maps = [], []
+            marks, sizes, rares, maps, tokens = [], [], [], [], []
             for mark, s in sets:
-                if order(s)[1] < _prefix(len(s)):
+                (ordered, rare), p = order(s), _prefix(len(s))
+                if rare < p:
                     bits = np.zeros(64 * MAP, dtype=np.uint8)
                     bits[(s % np.uint64(64 * MAP)).astype(np.int64)] = 1
-                    marks.append(mark)
-                    maps.append(np.packbits(bits).view(np.int64))
-            flat = np.concatenate([np.empty(0, np.int64), *maps])
-            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(marks) + 1) * MAP, pa.int32()), pa.array(flat))], names=["m", "bits"])
+                    for values, x in zip((marks, sizes, rares, maps, tokens), (mark, len(s), rare, np.packbits(bits).view(np.int64), ordered[rare:p].view(np.int64)), strict=True):
+                        values.append(x)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (marks, sizes, rares)), lists(maps), lists(tokens)], names=["f1", "n", "rare", "bits", "tokens"])
 
     return run
 
@@ -362,20 +362,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     new = ~np.isin(more[0], first[0])
     told = tuple(np.concatenate([x, y[new]]) for x, y in zip(first, more, strict=True))
     order = context.broadcast(told)
-    index = texts.mapInArrow(_index(order), "token long, f1 long, n long, rare long, common boolean")
+    index = texts.mapInArrow(_index(order), "token long, f1 long, n long, near boolean")
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BLOCK))
-    near = F.col("rare") < F.col("n") - F.ceil(PERCENT * F.col("n") / 100) + 1
-    light = index.where("not common").select("token", "f1", "n", near.alias("near")).repartition(blocks, "token").mapInArrow(_block, _PAIRS)
+    light = index.repartition(blocks, "token").mapInArrow(_block, _PAIRS)
     product = cut(light.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")))
     pairs = product.where("a <> b")
     # sets that reach common shingles have all their others in the blocks: those that no set shares are theirs alone
     shared = product.where("a = b").select(F.col("a").alias("s"), F.col("c").alias("shared"))
-    common = cut(
-        index.where("common").select("token", "f1", "n", "rare").distinct()
-        .join(shared, F.col("f1") == F.col("s"), "left")
-        .join(texts.mapInArrow(_bitmaps(order), "m long, bits array<long>").dropDuplicates(["m"]), F.col("f1") == F.col("m"))
-        .select("token", "f1", "n", (F.col("n") - F.col("rare") + F.coalesce("shared", F.lit(0))).alias("most"), "bits")
-    )
+    reaching = texts.mapInArrow(_reaching(order), "f1 long, n long, rare long, bits array<long>, tokens array<long>").dropDuplicates(["f1"])
+    most = F.col("n") - F.col("rare") + F.coalesce("shared", F.lit(0))
+    common = cut(reaching.join(shared, F.col("f1") == F.col("s"), "left").select(F.explode("tokens").alias("token"), "f1", "n", most.alias("most"), "bits"))
     if common.isEmpty():
         links = cut(_verified(texts, classes, _possible(pairs)))
     else:
