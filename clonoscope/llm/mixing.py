@@ -16,7 +16,7 @@ from clonoscope.llm.common import cut, table
 TARGETS = {"en+": 0.50, "de+": 0.15, "fr+": 0.15, "es+": 0.14, "en-": 0.03, "de-": 0.01, "fr-": 0.01, "es-": 0.01}
 #: Labelled rows that the classifier learns from at most, by the order of a hash of their id.
 SAMPLE = 4_000
-FEATURES, STEPS, PENALTY = 1 << 14, 30, 1e-3
+FEATURES, STEPS, PENALTY = 1 << 13, 20, 1e-3
 #: Pull of rates towards 1; rounds at most, and the relative change of the loss at which they end.
 RIDGE, ROUNDS, ENOUGH = 0.02, 40, 1e-4
 #: Rounds after which rates are stored, so that their expression stays short.
@@ -83,11 +83,22 @@ def _fit(table_: DataFrame, names: list[str], targets: dict[str, float]) -> Data
     k = len(names)
     whole = sum(targets.get(n, 0.0) for n in names)
     goal = [targets.get(n, 0.0) / whole if whole else 1.0 / k for n in names]
-    rows = table_.select("*", *[F.get("p", F.lit(i)).alias(f"p{i}") for i in range(k)]).withColumn("rate", F.lit(1.0))
+    rows = table_.withColumn("rate", F.lit(1.0))
     total = table_.agg(F.coalesce(F.sum("n"), F.lit(0.0))).first()[0] or 1.0
-    rate, share, last, step = F.col("rate"), None, None, 1.0 / (1.0 + RIDGE)
-    for done in range(1, ROUNDS + 1):
-        got = rows.agg(*[F.coalesce(F.sum(rate * F.col("n") * F.col(f"p{i}")), F.lit(0.0)) for i in range(k)], F.coalesce(F.sum(F.col("n") * (rate - 1) * (rate - 1)), F.lit(0.0))).first()
+    share, last, step, gradients = None, None, 1.0 / (1.0 + RIDGE), []
+
+    def moved(r: Column, g: Column) -> Column:
+        slope = F.aggregate(F.zip_with("p", g, lambda x, y: x * y), F.lit(0.0), lambda a, v: a + v)
+        return F.greatest(F.lit(0.0), r - step * (slope + RIDGE * (r - 1)))
+
+    def rate() -> Column:
+        """The stored rate moved by the gradients since. They fold into one constant array, so that all rounds run the
+        same generated code."""
+        return F.aggregate(F.array(*[F.array(*map(F.lit, g)) for g in gradients]), F.col("rate"), moved) if gradients else F.col("rate")
+
+    for _ in range(ROUNDS):
+        moving = rows.select("n", "p", rate().alias("r"))
+        got = moving.agg(*[F.coalesce(F.sum(F.col("r") * F.col("n") * F.get("p", F.lit(i))), F.lit(0.0)) for i in range(k)], F.coalesce(F.sum(F.col("n") * (F.col("r") - 1) * (F.col("r") - 1)), F.lit(0.0))).first()
         reached = [x / total for x in got[:k]]
         share = share or [max(x, 1e-6) for x in reached]
         residual = [(a - b) / m for a, b, m in zip(reached, goal, share, strict=True)]
@@ -95,12 +106,10 @@ def _fit(table_: DataFrame, names: list[str], targets: dict[str, float]) -> Data
         if last is not None and last - loss <= ENOUGH * last:
             break
         last = loss
-        slope = sum((F.col(f"p{i}") * residual[i] for i in range(1, k)), F.col("p0") * residual[0]) + RIDGE * (rate - 1)
-        rate = F.greatest(F.lit(0.0), rate - step * slope)
-        if done % STORED == 0:
-            rows = cut(rows.withColumn("rate", rate))
-            rate = F.col("rate")
-    return rows.withColumn("rate", rate)
+        if len(gradients) == STORED:
+            rows, gradients = cut(rows.withColumn("rate", rate())), []
+        gradients.append(residual)
+    return rows.withColumn("rate", rate())
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
