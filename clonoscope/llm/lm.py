@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,15 +19,19 @@ from clonoscope.llm.words import WordHashes, texts_of
 BASE = 1.6
 #: Bits set for each level of an n-gram: the first level's, which tell members from others, and further levels'.
 FIRST, MORE = 6, 3
-#: Bits of the filter for each bit set, and its bounds in bytes (a power of two is taken).
-ROOM, LEAST_BYTES, MOST_BYTES = 2.0, 1 << 16, 1 << 26
+#: Bits of the filter for each bit set, and its least size in bytes (a power of two is taken); it has no largest.
+ROOM, LEAST_BYTES = 2.0, 1 << 16
+#: Bytes of a shard of the filter (a power of two), and of a filter whose shards a task keeps once it has read them.
+SHARD, KEPT = 1 << 24, 1 << 26
+#: Tokens that are probed at a time, as each time reads the shards of a larger filter.
+TURN = 1_000_000
 #: Weight of the bigram estimate, and the prior mass, in words, that it gives the single-word estimate.
 WEIGHT, PRIOR = 0.4, 5.0
 #: Words whose exact counts are told to the workers; others' are joined.
 TOLD = 1 << 19
 HELD_OUT, FOLDS = 2, 7
-#: Bytes of a chunk of the filter that workers hand over.
-CHUNK = 1 << 14
+#: Groups of blocks by which n-grams are dealt out: the low bits of a block's number in any filter of so many blocks.
+PARTS = 1 << 16
 #: N-grams that a task counts before it hands them on.
 HELD = 3_000_000
 
@@ -102,6 +107,28 @@ class LogFrequencyFilter:
         return level_counts(self.level(unique))[back]
 
 
+@dataclass
+class ShardedFilter:
+    """A filter of `size` bytes as broadcast shards, each the data of a LogFrequencyFilter over its own n-grams."""
+
+    shards: list[Broadcast]
+    size: int
+
+    def level(self, hashes: np.ndarray) -> np.ndarray:
+        """As LogFrequencyFilter's; shard by shard, and of a filter beyond KEPT one shard is held at a time."""
+        # the block in the whole filter, by shards' blocks; sizes are powers of two, so _bits finds the rest in the shard
+        of = ((hashes >> np.uint64(20)) % np.uint64(self.size // 64) // np.uint64(self.size // 64 // len(self.shards))).astype(np.int64)
+        order = np.argsort(of, kind="stable")
+        bounds = np.searchsorted(of[order], np.arange(len(self.shards) + 1))
+        out = np.zeros(len(hashes), dtype=np.int64)
+        for shard, low, high in zip(self.shards, bounds, bounds[1:]):
+            if low < high:
+                out[order[low:high]] = LogFrequencyFilter(shard.value).level(hashes[order[low:high]])
+                if self.size > KEPT and getattr(shard, "_path", None):  # it can be read again
+                    vars(shard).pop("_value", None)
+        return out
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
 
@@ -141,60 +168,94 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def build_filter(counts: DataFrame, size: int) -> LogFrequencyFilter:
-    """The filter of `size` bytes from counts(h, c). Each task fills whole chunks of the filter, so that the driver
-    receives each byte once; the size does not depend on the number of tasks."""
-    blocks, per = size // 64, CHUNK // 64
+def build_filter(counts: DataFrame, size: int) -> ShardedFilter:
+    """The filter of `size` bytes from counts(h, c). Each task fills the blocks that its n-grams have, so that counts
+    which are dealt by PARTS send each block once. The driver holds one shard at a time."""
+    blocks, per = size // 64, min(size, SHARD) // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots: dict[int, int] = {}
-        data = np.zeros(0, dtype=np.uint8)
+        known = np.zeros(0, dtype=np.int64)
+        data = np.zeros((0, 64), dtype=np.uint8)
         for batch in batches:
             h, c = batch.column("h").to_numpy().view(np.uint64), batch.column("c").to_numpy()
             if not len(h):
                 continue
             block = ((h >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
-            chunks, back = np.unique(block // per, return_inverse=True)
-            slot = np.array([slots.setdefault(x, len(slots)) for x in chunks.tolist()])
-            data = np.concatenate([data, np.zeros(len(slots) * CHUNK - len(data), dtype=np.uint8)])
-            base, top = slot[back] * CHUNK + block % per * 64, levels(c)
+            every = np.union1d(known, block)
+            if len(every) > len(known):
+                grown = np.zeros((len(every), 64), dtype=np.uint8)
+                grown[np.searchsorted(every, known)] = data
+                known, data = every, grown
+            flat = data.reshape(-1)
+            base, top = np.searchsorted(known, block) * 64, levels(c)
             for q in range(1, int(top.max()) + 1):
                 of = top >= q
                 for _, bit in _bits(h[of], q, blocks):
-                    np.bitwise_or.at(data, base[of] + (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
-        if slots:
-            yield pa.RecordBatch.from_arrays([pa.array(list(slots), pa.int64()), pa.array([x.tobytes() for x in data.reshape(-1, CHUNK)], pa.binary())], names=["chunk", "data"])
+                    np.bitwise_or.at(flat, base[of] + (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
+        for s in np.unique(known // per).tolist():
+            low, high = np.searchsorted(known, [s * per, (s + 1) * per])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([s], pa.int64()), pa.array([(known[low:high] - s * per).tobytes()], pa.binary()), pa.array([data[low:high].tobytes()], pa.binary())],
+                names=["shard", "blocks", "data"],
+            )
 
-    # the same block as _bits takes, in SQL: the hash's upper 44 bits modulo the number of blocks
-    chunk = F.floor(F.shiftrightunsigned("h", 20) % blocks / per)
-    rows = counts.select("h", "c", chunk.alias("chunk")).repartition("chunk").select("h", "c").mapInArrow(run, "chunk long, data binary")
-    data = np.zeros(max(size, CHUNK), dtype=np.uint8)
-    for row in rows.collect():
-        data[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] |= np.frombuffer(row["data"], dtype=np.uint8)
-    return LogFrequencyFilter(data[:size])
+    context = counts.sparkSession.sparkContext
+    rows = cut(counts.select("h", "c").mapInArrow(run, "shard long, blocks binary, data binary"))
+    shards: list[Broadcast] = []
+    data = np.zeros((per, 64), dtype=np.uint8)
+    for row in rows.orderBy("shard").toLocalIterator():
+        while len(shards) < row["shard"]:
+            shards.append(context.broadcast(data.reshape(-1)))
+            data = np.zeros_like(data)
+        data[np.frombuffer(row["blocks"], dtype=np.int64)] |= np.frombuffer(row["data"], dtype=np.uint8).reshape(-1, 64)
+    while len(shards) < blocks // per:
+        shards.append(context.broadcast(data.reshape(-1)))
+        data = np.zeros_like(data)
+    return ShardedFilter(shards, size)
 
 
 def _size(bits: float) -> int:
-    return 1 << max(LEAST_BYTES.bit_length() - 1, min(MOST_BYTES.bit_length() - 1, math.ceil(math.log2(max(1.0, bits * ROOM / 8)))))
-
+    return 1 << max(LEAST_BYTES.bit_length() - 1, math.ceil(math.log2(max(1.0, bits * ROOM / 8))))
 
-def train(counts: DataFrame) -> tuple[LogFrequencyFilter, int]:
-    """The filter over all words and those bigrams that occur often enough, with that least count.
 
-    Bits needed are summed over all counts, per level of bigrams; the least count for bigrams is 2, or the lowest
-    level's at which the filter keeps its load within the bound on its size. A bigram that is not in the filter is
-    estimated from its last word, as any unseen one."""
+def train(counts: DataFrame) -> ShardedFilter:
+    """The filter over all n-grams of counts(h, c), of a size for all their levels' bits."""
     q = F.floor(F.log(BASE, F.greatest(F.col("c"), F.lit(1))) + 1e-9) + 1
-    by = [(r["order"], int(r["q"]), r["n"]) for r in counts.groupBy("order", q.cast("int").alias("q")).agg(F.count("*").alias("n")).collect()]
-    cost = lambda q: FIRST + MORE * (q - 1)
-    words = sum(n * cost(q) for o, q, n in by if o == 1)
-    least = 2
-    while True:
-        bits = words + sum(n * cost(q) for o, q, n in by if o == 2 and BASE**q > least)
-        if bits * ROOM / 8 <= MOST_BYTES or BASE ** max([0, *(q for o, q, _ in by if o == 2)]) <= least:
+    by = counts.groupBy(q.cast("int").alias("q")).agg(F.count("*").alias("n")).collect()
+    return build_filter(counts, _size(sum(r["n"] * (FIRST + MORE * (r["q"] - 1)) for r in by)))
+
+
+def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
+    """Ids and tokens of documents, about TURN tokens at a time."""
+    hashes = WordHashes()
+    ids: list[int | None] = []
+    docs: list[np.ndarray] = []
+    n = 0
+    for part, texts in texts_of(batches):
+        for i, t in zip(part.column("id").to_pylist(), texts, strict=True):
+            ids.append(i)
+            docs.append(tokens(t, hashes))
+            n += len(docs[-1])
+            if n >= TURN:
+                yield ids, docs
+                ids, docs, n = [], [], 0
+    if ids:
+        yield ids, docs
+
+
+def _told(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts of the most frequent words: those of the lowest count from which they are at most
+    `most`."""
+    least, held = None, 0
+    for c, n in sorted(words.groupBy("c").count().collect(), reverse=True):
+        held += n
+        if held > most:
             break
-        least = math.ceil(least * BASE)
-    return build_filter(counts.where((F.col("order") == 1) | (F.col("c") >= least)).select("h", "c"), _size(bits)), least
+        least = c
+    top = words.where(F.col("c") >= least if least is not None else F.lit(False)).toPandas()
+    h = top["h"].to_numpy(np.int64).view(np.uint64)
+    by = np.argsort(h)
+    return h[by], top["c"].to_numpy(np.int64)[by]
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", told: int = TOLD) -> DataFrame:
@@ -209,37 +270,38 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated rows count as often as they stand; no training row at all leaves every count 0 (N and V 0); extra columns
     are not read; an empty table gives no rows.
 
-    Scale: counts are summed within a task before the shuffle, so that frequent words cost a row a task. The filter is
-    broadcast; its size follows the corpus up to MOST_BYTES, beyond which rarer bigrams stay out. Exact counts of the
-    `told` most frequent words are broadcast; all others are joined by hash, pre-aggregated by document.
+    Scale: counts are summed within a task before the shuffle, so that frequent words cost a row a task. The filter's
+    size follows the corpus without a bound, and every word and bigram is in it; it is broadcast in shards, of which a
+    task holds one at a time once they are many. Exact counts of at most the `told` most frequent words are broadcast;
+    all others are joined by hash, pre-aggregated by document.
     """
     spark = docs.sparkSession
     texts = _texts(docs, id_col, text_col)
-    counts = cut(_trained(texts).mapInArrow(_counted, "order int, h long, c long").groupBy("order", "h").agg(F.sum("c").alias("c")).where("order = 1 or c > 1"))
-    words = counts.where("order = 1").select("h", "c")
+    part = F.shiftrightunsigned("h", 20) % PARTS
+    summed = _trained(texts).mapInArrow(_counted, "order int, h long, c long").withColumn("part", part).repartition("part").groupBy("part", "order", "h").agg(F.sum("c").alias("c")).where("order = 1 or c > 1")
+    # bigrams' counts are kept below 0, which spares a column of the widest table
+    signed = cut(summed.select("h", F.when(F.col("order") == 1, F.col("c")).otherwise(-F.col("c")).alias("n")))
+    words = signed.where("n > 0").select("h", F.col("n").alias("c"))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = words.orderBy(F.desc("c"), "h").limit(told).toPandas()
-    by = np.argsort(top["h"].to_numpy(np.int64).view(np.uint64))
-    exact = (top["h"].to_numpy(np.int64).view(np.uint64)[by], top["c"].to_numpy(np.int64)[by])
-    model, _ = train(counts)
-    sent = spark.sparkContext.broadcast((model.data, exact))
+    exact = _told(words, told)
+    model = train(signed.select("h", F.abs("n").alias("c")))
+    sent = spark.sparkContext.broadcast(exact)
     total = float(n + v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, (known, times) = sent.value
-        filtered, hashes = LogFrequencyFilter(data), WordHashes()
-        for part, texts in texts_of(batches):
-            docs_ = [tokens(t, hashes) for t in texts]
+        known, times = sent.value
+        for ids, docs_ in _turns(batches):
             sizes = np.array([len(d) for d in docs_])
             starts = np.cumsum(sizes) - sizes
             flat = np.concatenate(docs_)
             pairs = np.concatenate([bigram_hashes(d) for d in docs_])
             unique, back = np.unique(flat, return_inverse=True)
-            estimates = level_counts(filtered.level(unique))
+            bigrams, of_pair = np.unique(pairs, return_inverse=True)
+            estimates = level_counts(model.level(np.concatenate([unique, bigrams])))
             c_word = estimates[back]
             c_history = np.concatenate([[0.0], c_word[:-1]])
-            c_history[starts] = level_counts(filtered.level(np.array([_END])))[0]
-            c_pair = np.minimum(filtered.counts(pairs), np.minimum(c_word, c_history))
+            c_history[starts] = c_word[starts + sizes - 1]  # a text begins after an end, the last of its own tokens
+            c_pair = np.minimum(estimates[len(unique) :][of_pair], np.minimum(c_word, c_history))
             p_word = (c_word + 1) / total
             p = WEIGHT * (c_pair + PRIOR * p_word) / (c_history + PRIOR) + (1 - WEIGHT) * p_word
             score = np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts)
@@ -257,7 +319,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             bounds = np.searchsorted(of[first], np.arange(len(sizes) + 1))
             lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, pa.int64())) for x in (others[first].view(np.int64), reps)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(sizes, pa.int64()), pa.array(part_known), pa.array(part_logs), pa.array(score), *lists],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(part_known), pa.array(part_logs), pa.array(score), *lists],
                 names=["id", "n_tokens", "known", "logs", "score", "others", "times"],
             )
 
