@@ -278,7 +278,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     texts = _texts(docs, id_col, text_col)
     part = F.shiftrightunsigned("h", 20) % PARTS
-    summed = _trained(texts).mapInArrow(_counted, "order int, h long, c long").withColumn("part", part).repartition("part").groupBy("part", "order", "h").agg(F.sum("c").alias("c")).where("order = 1 or c > 1")
+    summed = _trained(texts).mapInArrow(_counted, "order int, h long, c long").withColumn("part", part).repartition("part").groupBy("part", "order", "h").agg(F.sum("c").alias("c"))
     # bigrams' counts are kept below 0, which spares a column of the widest table
     signed = cut(summed.select("h", F.when(F.col("order") == 1, F.col("c")).otherwise(-F.col("c")).alias("n")))
     words = signed.where("n > 0").select("h", F.col("n").alias("c"))

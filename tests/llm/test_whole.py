@@ -1,9 +1,22 @@
 """Results that smaller jobs would miss."""
 
+import zlib
+
 import numpy as np
 
 from clonoscope.llm import lm
 
+HELD = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
+LEARNT = [i for i in range(200) if i not in HELD]
+
+
+def test_lm_knows_bigrams_seen_once(spark):
+    rows = [(i, " ".join(f"w{(i * 31 + k * k) % 40}" for k in range(20))) for i in LEARNT[:40]]
+    once = "alpha beta gamma delta"
+    rows += [(LEARNT[50], once), (HELD[0], once), (HELD[1], "delta gamma beta alpha")]
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[HELD[0]] > got[HELD[1]] + 0.1
+
 
 def test_lm_filter_holds_all_in_shards(spark, monkeypatch):
     counts = spark.range(20_000).selectExpr("xxhash64(id) as h", "1 + id % 9 as c")
