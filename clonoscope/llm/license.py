@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -62,14 +63,21 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:\.[\p{N}]+)*"), F.lit(0))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is computed once, however often `then` names it and wherever the optimiser puts it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def grams(w: Column, n: int) -> Column:
     """Word n-grams; none where there are fewer words."""
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    each = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return once(w, lambda w: F.when(F.size(w) >= n, each(w)).otherwise(F.array().cast("array<string>")))
 
 
 def _features(rows: DataFrame) -> DataFrame:
     """rows(words) with binary counts of hashed words and word pairs."""
-    return HashingTF(numFeatures=FEATURES, inputCol="terms", outputCol="features", binary=True).transform(rows.withColumn("terms", F.concat("words", grams(F.col("words"), 2))))
+    terms = once(F.col("words"), lambda w: F.concat(w, grams(w, 2)))
+    return HashingTF(numFeatures=FEATURES, inputCol="terms", outputCol="features", binary=True).transform(rows.withColumn("terms", terms))
 
 
 @dataclass
@@ -85,10 +93,9 @@ def _templates(spark: SparkSession) -> DataFrame:
 
 def _probability(raw: Column, temperature: Column) -> Column:
     """Softmax of logits over a temperature."""
-    scaled = F.transform(raw, lambda x: x / temperature)
-    top = F.array_max(scaled)
-    e = F.transform(scaled, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    scaled = once(raw, lambda r: F.transform(r, lambda x: x / temperature))
+    e = once(scaled, lambda v: once(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top))))
+    return once(e, lambda v: once(F.aggregate(v, F.lit(0.0), lambda a, y: a + y), lambda whole: F.transform(v, lambda x: x / whole)))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
@@ -125,11 +132,62 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Cl
     return Classifier(model, TEMPERATURES[best])
 
 
+def _share(g: Column, own: Column) -> Column:
+    """The share of a template's triples that are among others."""
+    return F.size(F.array_intersect(g, own)) / F.greatest(F.size(g), F.lit(1))
+
+
+def _found(rows: DataFrame, classifier: Classifier) -> DataFrame:
+    """Findings among rows(d, t, paragraph, more, words)."""
+    raw = classifier.model.transform(_features(rows)).select("d", "t", "paragraph", "more", "words", F.col("prediction").cast("int").alias("label"), vector_to_array("rawPrediction").alias("raw"))
+    likely = (
+        raw.where(F.col("label") < len(FAMILIES) - 1)
+        .withColumn("probability", F.array_max(_probability(F.col("raw"), F.lit(classifier.temperature))))
+        .where(F.col("probability") >= CERTAIN)
+    )
+    known = _templates(rows.sparkSession).groupBy(F.col("label").alias("l")).agg(F.collect_list(F.array_distinct(grams(F.col("words"), 3))).alias("templates"))
+    return (
+        likely.withColumn("own", grams(F.col("words"), 3))
+        .join(F.broadcast(known), F.col("label") == F.col("l"))
+        .select("d", "t", "paragraph", "more", F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.col("label") + 1).alias("family"), "probability", F.array_max(F.transform("templates", lambda g: _share(g, F.col("own")))).alias("likeness"))
+        .withColumn("confirmed", F.col("likeness") >= CONFIRMED)
+    )
+
+
+def _wrapped(keyed: DataFrame, classifier: Classifier) -> DataFrame:
+    """Confirmed findings in runs of neighbouring lines, as _found's. Runs have no line without words, and all
+    lines but the first and last within the longest template's words; only documents that have enough of a template's
+    triples are cut. Of runs of a family that overlap, a line by itself stays, or else the likest, shortest, first."""
+    known = _templates(keyed.sparkSession).agg(F.max(F.size("words")).alias("most"), F.collect_list(F.array_distinct(grams(F.col("words"), 3))).alias("templates"))
+    fixed = known.select("most", "templates", F.array_distinct(F.flatten("templates")).alias("known"))
+    near = (
+        keyed.crossJoin(F.broadcast(fixed))
+        .withColumn("own", F.array_intersect(grams(words(F.array_join("lines", "\n")), 3), F.col("known")))
+        .where(F.size("own") > 0)
+        .where(F.exists("templates", lambda g: _share(g, F.col("own")) >= CONFIRMED))
+        .select("d", "t", "most", F.transform("lines", words).alias("w"))
+    )
+    first = near.select("d", "t", "most", "w", F.posexplode("w").alias("paragraph", "first")).where(F.size("first") > 0)
+    after = first.select("d", "t", "most", "paragraph", "first", F.slice("w", F.col("paragraph") + 2, F.col("most") + 1).alias("after"))
+    runs = (
+        after.select("d", "t", "most", "paragraph", "first", "after", F.explode(F.sequence(F.lit(0), F.size("after"))).alias("more"))
+        .where(F.forall(F.slice("after", F.lit(1), F.col("more")), lambda x: F.size(x) > 0))
+        .where(F.size(F.flatten(F.slice("after", F.lit(1), F.greatest(F.col("more") - 1, F.lit(0))))) < F.col("most"))
+        .select("d", "t", "paragraph", "more", F.concat("first", F.flatten(F.slice("after", F.lit(1), F.col("more")))).alias("words"))
+    )
+    order = F.struct((F.col("more") > 0).alias("several"), (-F.col("likeness")).alias("unlike"), "more", "paragraph", "probability")
+    best = _found(runs, classifier).where("confirmed").groupBy("d", "t", "family").agg(F.array_sort(F.collect_set(order)).alias("x"))
+    apart = lambda a, b: (a["paragraph"] + a["more"] < b["paragraph"]) | (b["paragraph"] + b["more"] < a["paragraph"])
+    kept = F.aggregate("x", F.slice("x", 1, 0), lambda acc, x: F.when(F.forall(acc, lambda y: apart(x, y)), F.array_append(acc, x)).otherwise(acc))
+    return best.select("d", "t", "family", F.explode(kept).alias("x")).where("x.several").select("d", "t", "x.paragraph", "x.more", "family", "x.probability", (-F.col("x.unlike")).alias("likeness"), F.lit(True).alias("confirmed"))
+
+
 def scan_licenses(docs: DataFrame, classifier: Classifier | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(per document, per finding).
 
-    A paragraph is a line with words. Findings are paragraphs whose calibrated most likely class is a family with
-    at least CERTAIN: d, t (the document's id and text hash), paragraph (its 0-based line), family, probability,
+    A paragraph is a line with words. Findings are paragraphs, and confirmed runs of neighbouring ones (texts that
+    are wrapped), whose calibrated most likely class is a family with at least CERTAIN: d, t (the document's id and
+    text hash), paragraph (its 0-based line, of a run the first), more (lines that follow in the run), family, probability,
     likeness (the largest share of a template's word triples that the paragraph has) and confirmed. Documents have
     their id, n_paragraphs, families (confirmed ones, sorted, comma-joined), n_found, n_confirmed.
 
@@ -137,26 +195,14 @@ def scan_licenses(docs: DataFrame, classifier: Classifier | None = None, id_col:
     findings and keep a row each; a null id is an id; very long paragraphs are taken whole; extra columns are not
     read; an empty table gives no rows, from a classifier without unknown paragraphs.
 
-    Scale: classification is a projection. Only findings are shuffled, and templates (a fixed table) are broadcast."""
+    Scale: classification is a projection; runs are cut only from documents with most of a template's triples. Only
+    findings are shuffled, and templates (a fixed table) are broadcast."""
     classifier = classifier or train(docs, id_col, text_col)
     text = F.col(f"`{text_col}`")
     keyed = docs.select(F.col(f"`{id_col}`").alias("d"), F.xxhash64(F.lit("t"), text).alias("t"), F.split(F.coalesce(text, F.lit("")), "\n", -1).alias("lines"))
     own = keyed.select("d", "t", F.size(F.filter("lines", lambda x: x.rlike(r"[\p{L}\p{N}]"))).cast("long").alias("n_paragraphs"))
-    paragraphs = keyed.select("d", "t", F.posexplode("lines").alias("paragraph", "p")).select("d", "t", "paragraph", words(F.col("p")).alias("words")).where(F.size("words") > 0)
-    raw = classifier.model.transform(_features(paragraphs)).select("d", "t", "paragraph", "words", F.col("prediction").cast("int").alias("label"), vector_to_array("rawPrediction").alias("raw"))
-    likely = (
-        raw.where(F.col("label") < len(FAMILIES) - 1)
-        .withColumn("probability", F.array_max(_probability(F.col("raw"), F.lit(classifier.temperature))))
-        .where(F.col("probability") >= CERTAIN)
-    )
-    known = _templates(docs.sparkSession).groupBy(F.col("label").alias("l")).agg(F.collect_list(F.array_distinct(grams(F.col("words"), 3))).alias("templates"))
-    share = F.array_max(F.transform("templates", lambda g: F.size(F.array_intersect(g, F.col("own"))) / F.greatest(F.size(g), F.lit(1))))
-    findings = (
-        likely.withColumn("own", grams(F.col("words"), 3))
-        .join(F.broadcast(known), F.col("label") == F.col("l"))
-        .select("d", "t", "paragraph", F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.col("label") + 1).alias("family"), "probability", share.alias("likeness"))
-        .withColumn("confirmed", F.col("likeness") >= CONFIRMED)
-    )
+    paragraphs = keyed.select("d", "t", F.posexplode("lines").alias("paragraph", "p")).select("d", "t", "paragraph", F.lit(0).alias("more"), words(F.col("p")).alias("words")).where(F.size("words") > 0)
+    findings = _found(paragraphs, classifier).unionByName(_wrapped(keyed, classifier))
     per = (
         findings.distinct()
         .groupBy(F.col("d").alias("d2"), F.col("t").alias("t2"))

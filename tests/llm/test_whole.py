@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from clonoscope.llm import lm
+from clonoscope.llm import license, lm
 
 HELD = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
 LEARNT = [i for i in range(200) if i not in HELD]
@@ -30,3 +30,18 @@ def test_lm_filter_holds_all_in_shards(spark, monkeypatch):
     other = np.arange(1, 20_001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     assert (sharded.level(other) > 0).mean() < 0.05
     assert lm._size(8 << 40) > 1 << 40  # no bound
+
+
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights",
+    "gpl-3.0": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+}
+
+
+def test_licenses_in_wrapped_lines(spark):
+    rows = [(i, f"a line of talk\n\n{t}\n\nthe end of it") for i, t in enumerate(WRAPPED.values())]
+    rows += [(8, WRAPPED["bsd"].replace("\n", "\n\n")), (9, "plain words of every day\nand others that follow")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["families"], r["n_confirmed"]) for r in license.scan_licenses(docs)[0].collect()}
+    assert got == {**{i: (f, 1) for i, f in enumerate(WRAPPED)}, 8: ("", 0), 9: ("", 0)}
