@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from clonoscope.llm import license, lm
+from clonoscope.llm import license, lm, packing
 
 HELD = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
 LEARNT = [i for i in range(200) if i not in HELD]
@@ -45,3 +45,17 @@ def test_licenses_in_wrapped_lines(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: (r["families"], r["n_confirmed"]) for r in license.scan_licenses(docs)[0].collect()}
     assert got == {**{i: (f, 1) for i, f in enumerate(WRAPPED)}, 8: ("", 0), 9: ("", 0)}
+
+
+def test_packing_has_the_tokenizers_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    theirs, ours = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing._encoder(packing.TOKENIZER)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y\n", "<|endoftext|", "plain  words, it's 12 ü", ""):
+        assert ours.encode(text, allowed_special="all") == theirs.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_counts_the_added_token_once(spark):
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
+    assert [r["length"] for r in packing.pack(docs).collect()] == [5]
