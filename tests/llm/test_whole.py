@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from clonoscope.llm import license, lm, packing
+from clonoscope.llm import license, lm, mixing, packing
 
 HELD = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
 LEARNT = [i for i in range(200) if i not in HELD]
@@ -59,3 +59,7 @@ def test_packing_has_the_tokenizers_ids():
 def test_packing_counts_the_added_token_once(spark):
     docs = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
     assert [r["length"] for r in packing.pack(docs).collect()] == [5]
+
+
+def test_classifiers_have_their_features_and_steps():
+    assert (mixing.FEATURES, mixing.STEPS) == (1 << 14, 30) and (license.FEATURES, license.STEPS) == (1 << 16, 40)
