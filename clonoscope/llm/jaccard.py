@@ -397,9 +397,19 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component, the document with the smallest id stays; the columns of documents."""
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("kept")), "left_semi").select(*docs.columns)
+    """Pipeline stage: of each component one row stays, of the smallest id; the columns of documents.
+
+    Documents are known by a hash of id and text, so that rows which share an id, or have none, are told apart; of
+    rows that agree in both, one stays. Rows without shingles link with nothing, and all stay."""
+    keyed = docs.withColumn("__k", F.xxhash64(F.lit("k"), "doc_id", "text"))
+    found = near_duplicates(keyed.select("__k", "text"), "__k").groupBy("__k").agg(F.first("n_shingles").alias("__n"), F.first("component_id").alias("__c"))
+    ids = keyed.select(F.col("__k").alias("k"), "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__k").alias("k")))
+    best = found.where("__n > 0").join(ids, F.col("__k") == F.col("k")).groupBy("__c").agg(first.alias("x")).select(F.col("x.k").alias("kept"), F.lit(False).alias("__all"))
+    kept = best.unionByName(found.where("__n = 0").select(F.col("__k").alias("kept"), F.lit(True).alias("__all")))
+    joined = keyed.join(kept, F.col("__k") == F.col("kept"))
+    place = F.row_number().over(Window.partitionBy("__k").orderBy("__k"))
+    return joined.withColumn("__place", place).where("__all or __place = 1").select(*docs.columns)
 
 
 SQL = r"""

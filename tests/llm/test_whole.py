@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from clonoscope.llm import license, lm, mixing, packing
+from clonoscope.llm import jaccard, license, lm, mixing, packing
 
 HELD = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
 LEARNT = [i for i in range(200) if i not in HELD]
@@ -63,3 +63,11 @@ def test_packing_counts_the_added_token_once(spark):
 
 def test_classifiers_have_their_features_and_steps():
     assert (mixing.FEATURES, mixing.STEPS) == (1 << 14, 30) and (license.FEATURES, license.STEPS) == (1 << 16, 40)
+
+
+def test_stage_keeps_one_row_of_each_component(spark):
+    a, b, c = ("one two three four five six", "red green blue grey pink teal", "up down left right in out")
+    rows = [(1, a), (1, a), (2, a), (2, b), (1, b), (None, c), (None, c), (None, a), (None, ""), (7, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in jaccard.stage(spark, docs, "").collect())
+    assert got == sorted([("1", a), ("1", b), ("None", c), ("None", ""), ("7", "")])
