@@ -229,6 +229,7 @@ query("witness_rank", f"+{_RANK} SELECT * FROM ranked", W)(_ranked)
 query("witness_ratio", f"+{CNT} SELECT junction_aa, round(pos_count / greatest(pos_count + neg_count, 1), 6) AS ratio, round((pos_count + 1) / (neg_count + 1), 6) AS fold FROM cnt", W)(lambda s, d: counts_w(s, d).select("junction_aa", *[stats.witness(F.col("pos_count"), F.col("neg_count"), m).alias(n) for m, n in (("ratio", "ratio"), ("fold_change", "fold"))]))
 query("enrichment_report", f"+{_RANK}, b AS (SELECT * FROM ranked ORDER BY importance_score DESC, junction_aa LIMIT 100) SELECT count(*) AS n, sum(pos_count)::BIGINT AS total_pos, sum(neg_count)::BIGINT AS total_neg, round(sum(pos_count) / sum(pos_count + neg_count), 6) AS pos_ratio, round(avg(importance_score), 6) AS mean_score, count(*) FILTER (WHERE neg_count = 0 AND pos_count > 0) AS pos_only, round(count(*) FILTER (WHERE neg_count = 0 AND pos_count > 0) / count(*), 6) AS pos_only_ratio FROM b", W)(lambda s, d: R.enrichment_report(_ranked(s, d), 100))
 query("rank_reference", f"+{_RANK} SELECT junction_aa, round(0.6 * wn + 0.3 * mn + 0.1 * (pos_count > 0)::INT, 6) AS score FROM z ORDER BY 2 DESC, 1 LIMIT 1000", W)(lambda s, d: R.top(R.normalised(C.flagged(counts_w(s, d), A.reference_set(s, d)).withColumn("w", stats.witness(F.col("pos_count"), F.col("neg_count"))).withColumn("m", F.when(F.col("in_reference"), 1.0).otherwise(0.1)), "w", "m").select("junction_aa", F.round(0.6 * F.col("w_norm") + 0.3 * F.col("m_norm") + 0.1 * (F.col("pos_count") > 0).cast("int"), 6).alias("score")), "score", 1000))
+query("rank_reference_whole", f"+{_RANK} SELECT junction_aa, round(0.6 * wn + 0.3 * mn + 0.1 * (pos_count > 0)::INT, 6) AS score FROM z ORDER BY 2 DESC, 1 LIMIT 50000", W)(lambda s, d: R.top(R.normalised(C.flagged(counts_w(s, d), A.reference_set(s, d)).withColumn("w", stats.witness(F.col("pos_count"), F.col("neg_count"))).withColumn("m", F.when(F.col("in_reference"), 1.0).otherwise(0.1)), "w", "m").select("junction_aa", F.round(0.6 * F.col("w_norm") + 0.3 * F.col("m_norm") + 0.1 * (F.col("pos_count") > 0).cast("int"), 6).alias("score")), "score"))
 _TOK = f""", tk AS (SELECT token, avg(r) AS importance FROM (SELECT DISTINCT s, unnest({_gapped_sql}) AS token FROM (SELECT junction_aa AS s FROM rep WHERE junction_aa IN (SELECT junction_aa FROM refset))) JOIN (SELECT junction_aa, pos_count / greatest(pos_count + neg_count, 1) AS r FROM cnt) c ON c.junction_aa = s GROUP BY 1)"""
 
 
@@ -242,6 +243,7 @@ query("rank_token_importance", f"+{CNT}{_TOK} SELECT q.junction_aa, round(coales
 query("rank_pattern_density", f"+{_STRICT}, dw AS (SELECT DISTINCT junction_aa AS s FROM rep), dk AS (SELECT s, 3 AS k, unnest(list_transform({_range(3)}, lambda i: substr(s, i, 3))) AS kmer FROM dw UNION ALL SELECT s, 4, unnest(list_transform({_range(4)}, lambda i: substr(s, i, 4))) FROM dw) SELECT s AS junction_aa, round(sum(CASE WHEN strict.kmer IS NULL THEN 0 WHEN dk.k = 3 THEN 1.0::DOUBLE / length(s) ELSE 2.0::DOUBLE / length(s) END) / count(*), 6) AS pattern_score FROM dk LEFT JOIN strict ON strict.k = dk.k AND strict.kmer = dk.kmer GROUP BY s", W)(lambda s, d: R.pattern_density(sequences(s, d), _strict(s, d), {3: 1.0, 4: 2.0}))
 query("rank_longest_pattern", f"+{_STRICT}, dw AS (SELECT DISTINCT junction_aa AS s FROM rep), dk AS (SELECT s, 3 AS k, unnest(list_transform({_range(3)}, lambda i: substr(s, i, 3))) AS kmer FROM dw UNION ALL SELECT s, 4, unnest(list_transform({_range(4)}, lambda i: substr(s, i, 4))) FROM dw) SELECT s AS junction_aa, max(dk.k)::BIGINT AS pattern_score FROM dk JOIN strict ON strict.k = dk.k AND strict.kmer = dk.kmer GROUP BY s", W)(lambda s, d: R.longest_pattern(sequences(s, d), _strict(s, d), (4, 3)))
 query("rank_witness_bonus", f"+{CNT} SELECT junction_aa, round(log2((pos_count + 1) / (neg_count + 1)) + CASE WHEN junction_aa IN (SELECT junction_aa FROM refset) THEN 2 ELSE 0 END, 6) AS score FROM cnt ORDER BY 2 DESC, 1 LIMIT 5000", W)(lambda s, d: R.top(C.flagged(counts_w(s, d), A.reference_set(s, d)).select("junction_aa", F.round(stats.witness(F.col("pos_count"), F.col("neg_count")) + F.when(F.col("in_reference"), 2.0).otherwise(0.0), 6).alias("score")), "score", 5000))
+query("rank_witness_bonus_whole", f"+{CNT} SELECT junction_aa, round(log2((pos_count + 1) / (neg_count + 1)) + CASE WHEN junction_aa IN (SELECT junction_aa FROM refset) THEN 2 ELSE 0 END, 6) AS score FROM cnt ORDER BY 2 DESC, 1 LIMIT 50000", W)(lambda s, d: R.top(C.flagged(counts_w(s, d), A.reference_set(s, d)).select("junction_aa", F.round(stats.witness(F.col("pos_count"), F.col("neg_count")) + F.when(F.col("in_reference"), 2.0).otherwise(0.0), 6).alias("score")), "score"))
 _SUB = _RANK + ", g AS (SELECT junction_aa, min(v_call) AS v_call, min(j_call) AS j_call FROM rep GROUP BY 1)"
 _DOUBLE_NA = "-999.0::DOUBLE"
 _RROWS = f"SELECT 'train_dataset_1_seq_top_' || row_number() OVER (ORDER BY importance_score DESC, junction_aa) AS \"ID\", 'train_dataset_1' AS dataset, {_DOUBLE_NA} AS label_positive_probability, junction_aa, v_call, j_call FROM ranked JOIN g USING (junction_aa)"
