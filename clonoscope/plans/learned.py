@@ -112,7 +112,7 @@ def forward_selection(rows: DataFrame, names: tuple[str, ...], most: int = 3) ->
 
 
 def forward_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(forward_selection(table_of_features(spark, sf_dir), FEATURES, 2), "step int, feature string, roc_auc double")
+    return spark.createDataFrame(forward_selection(table_of_features(spark, sf_dir), FEATURES, len(FEATURES)), "step int, feature string, roc_auc double")
 
 
 def nested_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
