@@ -16,10 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and return the stored rows, with no lineage.
 
-    The folder is what the cluster names in spark.checkpoint.dir; only a session without that setting
-    (local tests) gets a temporary one."""
+    The folder is what the cluster names in spark.checkpoint.dir; only a local session without that setting
+    (tests) gets a temporary one."""
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clonoscope-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -29,6 +31,11 @@ def ascii_crc(column: Column) -> Column:
     return F.crc32(column.cast("string").cast("binary"))
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of `docs` as one, so that an operator's own columns cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def with_text(docs: DataFrame, *names: str) -> DataFrame:
     """`docs` with just the named columns, so that others cannot clash with an operator's own."""
     return docs.select(*[F.col(f"`{n}`") for n in names])

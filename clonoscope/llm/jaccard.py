@@ -7,18 +7,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from clonoscope.llm.common import cut, table
-from clonoscope.llm.words import WordHashes, texts_of
+from clonoscope.llm.common import cut, packed, table
+from clonoscope.llm.words import hashed, places
 
 #: Words in a shingle, and the least similarity in hundredths.
 SHINGLE, PERCENT = 5, 75
 #: A shingle in more prefixes than this is common: it moves to the end of the order, the commonest last.
 COMMON = 24
-#: So many common shingles are told to the workers (8 bytes each); the rest keep their place.
+#: So many common shingles are told to the workers (8 bytes each); the rest keep their place in the order.
 TOLD = 1_000_000
+#: Columns of the product with more sets than this are not multiplied in a block but treated as common ones are.
+HEAVY = 512
 #: Pairs below this many needed documents select them by broadcast, others by a shuffle.
 FEW = 1_000_000
 #: Index rows that a block of the product takes.
@@ -27,24 +31,35 @@ BLOCK = 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
-    """The sorted set of hashed shingles; the whole sequence where there are fewer words, nothing without words."""
-    n = len(words)
-    if not n:
-        return words
-    if n < size:
-        mixed = (words * _ODD[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n * int(_ODD[4]) % (1 << 64))
-    else:
-        mixed = words[: n - size + 1] * _ODD[0]
+def shingle_sets(words: np.ndarray, bounds: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted sets of hashed shingles of texts whose words stand one behind the other, and the sets' bounds. A text
+    with fewer words has its whole sequence, one without words nothing."""
+    counts, starts = np.diff(bounds), bounds[:-1]
+    per = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
+    ends = np.concatenate([[0], np.cumsum(per)])
+    out = np.empty(int(ends[-1]), dtype=np.uint64)
+    if len(words) >= size:
+        windows = len(words) - size + 1
+        mixed = words[:windows] * _ODD[0]
         for k in range(1, size):
-            mixed = mixed * _ODD[4] + words[k : n - size + 1 + k] * _ODD[k % 4]
-    mixed ^= mixed >> np.uint64(32)
-    mixed *= _ODD[3]
-    mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
-
-
-def _prefix(n: int) -> int:
+            mixed = mixed * _ODD[4] + words[k : windows + k] * _ODD[k % 4]
+        long = counts >= size
+        out[places(ends[:-1][long], per[long])] = mixed[places(starts[long], per[long])]
+    for n in range(1, size):
+        short = counts == n
+        out[ends[:-1][short]] = sum((words[starts[short] + k] * _ODD[k] for k in range(n)), np.uint64(n * int(_ODD[4]) % (1 << 64)))
+    out ^= out >> np.uint64(32)
+    out *= _ODD[3]
+    out ^= out >> np.uint64(29)
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        out[a:b].sort()
+    new = np.ones(len(out), dtype=bool)
+    new[1:] = out[1:] != out[:-1]
+    new[ends[:-1][per > 0]] = True
+    return out[new], np.concatenate([[0], np.cumsum(new)])[ends]
+
+
+def _prefix(n: np.ndarray) -> np.ndarray:
     """Any set at least as similar as asked shares one of the first so many of n shingles, in any common order."""
     return n - (PERCENT * n + 99) // 100 + 1
 
@@ -53,22 +68,18 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-    hashes = WordHashes()
-    for part, texts in texts_of(batches):
-        yield part.column("id").to_pylist(), [shingles(hashes(t)) for t in texts]
-
-
-def _mark(s: np.ndarray, seed: int = 0) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), seed)).astype(np.int64))
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, sets one behind the other, their bounds, and two marks of each set."""
+    for part, words, at in hashed(batches):
+        values, bounds = shingle_sets(words, at)
+        raw = values.tobytes()
+        digests = b"".join(xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+        yield part.column("id"), values, bounds, np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, sets in _sets(batches):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_mark(s) for s in sets], pa.int64()), pa.array([_mark(s, 1) for s in sets], pa.int64())],
-            names=["id", "n", "f1", "f2"],
-        )
+    for ids, _, bounds, marks in _sets(batches):
+        yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (np.diff(bounds), marks[:, 0], marks[:, 1]))], names=["id", "n", "f1", "f2"])
 
 
 class _Order:
@@ -78,30 +89,28 @@ class _Order:
         by = np.argsort(tokens, kind="stable")
         self.tokens, self.counts = tokens[by], counts[by]
 
-    def __call__(self, s: np.ndarray) -> tuple[np.ndarray, int]:
-        """The set in order, and how many of it are not common."""
+    def common(self, values: np.ndarray) -> np.ndarray:
+        """The counts of common shingles, 0 for others."""
         if not len(self.tokens):
-            return s, len(s)
-        at = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
-        common = self.tokens[at] == s
-        if not common.any():
-            return s, len(s)
-        return np.concatenate([s[~common], s[common][np.argsort(self.counts[at[common]], kind="stable")]]), int(len(s) - common.sum())
+            return np.zeros(len(values), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.tokens, values), len(self.tokens) - 1)
+        return np.where(self.tokens[at] == values, self.counts[at], 0)
 
 
-def _each_set(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """Marks and sets, a set once from each task, so that copies of one text come at most once from each."""
+def _each_set(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Marks, sets and bounds, a set once from each task, so that copies of one text come at most once from each."""
     seen: set[int] = set()
-    for _, sets in _sets(batches):
-        out = []
-        for s in sets:
-            if len(s) and (mark := _mark(s)) not in seen:
+    for _, values, bounds, marks in _sets(batches):
+        sizes, new = np.diff(bounds), []
+        for i, mark in enumerate(marks[:, 0].tolist()):
+            if sizes[i] and mark not in seen:
                 seen.add(mark)
-                out.append((mark, s))
-        yield out
+                new.append(i)
+        if new:
+            yield marks[new, 0], values[places(bounds[new], sizes[new])], np.concatenate([[0], np.cumsum(sizes[new])])
 
 
-def _tokens(told: object):
+def _tokens(told: Broadcast | None):
     """Shingles with their number of prefixes, summed within the task. Without an order known, these are the prefixes
     by hash. With one, they are what sets with common shingles in that prefix would take in further, were they as
     common behind it; so that the second count finds the common ones among them."""
@@ -115,13 +124,15 @@ def _tokens(told: object):
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int64))], names=["token", "df"])
 
-        for sets in _each_set(batches):
-            for _, s in sets:
-                p = _prefix(len(s))
-                if order is None:
-                    held.append(s[:p])
-                elif common := p - order(s[:p])[1]:
-                    held.append(s[p : p + -(-2 * p * common // (p - common + 1))])
+        for _, values, bounds in _each_set(batches):
+            n = np.diff(bounds)
+            p = _prefix(n)
+            first = values[places(bounds[:-1], p)]
+            if order is None:
+                held.append(first)
+            else:
+                common = np.bincount(np.repeat(np.arange(len(p)), p)[order.common(first) > 0], minlength=len(p))
+                held.append(values[places(bounds[:-1] + p, np.minimum(-(-2 * p * common // (p - common + 1)), n - p))])
             if sum(map(len, held)) > 1_000_000:
                 yield flush()
         if held:
@@ -130,50 +141,52 @@ def _tokens(told: object):
     return run
 
 
-def _index(told: object):
+def _index(told: Broadcast):
     """Rows of the incidence matrix that can matter, without common shingles: each set's prefix in the common order, with
     the set's size and whether the prefix goes on into common shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = _Order(*told.value)
-        for sets in _each_set(batches):
-            if not sets:
-                continue
-            parts = [(mark, len(s), *order(s)) for mark, s in sets]
-            sizes = [min(_prefix(n), rare) for _, n, _, rare in parts]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([o[:p] for (_, _, o, _), p in zip(parts, sizes, strict=True)]).view(np.int64)),
-                    pa.array(np.repeat(np.array([m for m, *_ in parts], dtype=np.int64), sizes)),
-                    pa.array(np.repeat(np.array([n for _, n, _, _ in parts], dtype=np.int64), sizes)),
-                    pa.array(np.repeat(np.array([rare < _prefix(n) for _, n, _, rare in parts], dtype=bool), sizes)),
-                ],
-                names=["token", "f1", "n", "near"],
-            )
+        for marks, values, bounds in _each_set(batches):
+            n, rare = np.diff(bounds), order.common(values) == 0
+            at = np.concatenate([[0], np.cumsum(rare)])[bounds]
+            rares, p = np.diff(at), _prefix(n)
+            sizes = np.minimum(p, rares)
+            token = values[rare][places(at[:-1], sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *(pa.array(np.repeat(x, sizes)) for x in (marks, n, rares < p))], names=["token", "f1", "n", "near"])
 
     return run
 
 
 #: Longs of a set's bitmap: a bit for each value of its shingles' leading bits.
 MAP = 16
+#: Shingles before a common one in its set's order that stand beside it.
+BEFORE = 4
 
 
-def _reaching(told: object):
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
+
+
+def _reaching(told: Broadcast):
     """The sets whose prefix reaches common shingles: size, number of others, bitmap and the common ones in the prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = _Order(*told.value)
-        lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
-        for sets in _each_set(batches):
-            marks, sizes, rares, maps, tokens = [], [], [], [], []
-            for mark, s in sets:
-                (ordered, rare), p = order(s), _prefix(len(s))
-                if rare < p:
-                    bits = np.zeros(64 * MAP, dtype=np.uint8)
-                    bits[(s % np.uint64(64 * MAP)).astype(np.int64)] = 1
-                    for values, x in zip((marks, sizes, rares, maps, tokens), (mark, len(s), rare, np.packbits(bits).view(np.int64), ordered[rare:p].view(np.int64)), strict=True):
-                        values.append(x)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (marks, sizes, rares)), lists(maps), lists(tokens)], names=["f1", "n", "rare", "bits", "tokens"])
+        for marks, values, bounds in _each_set(batches):
+            n, counts = np.diff(bounds), order.common(values)
+            p, at = _prefix(n), np.concatenate([[0], np.cumsum(counts > 0)])[bounds]
+            rares = n - np.diff(at)
+            place = np.flatnonzero(counts)
+            place = place[np.lexsort((counts[place], np.searchsorted(bounds, place, side="right")))]
+            chosen = np.flatnonzero(rares < p)
+            maps, tokens = [], []
+            for i in chosen.tolist():
+                bits = np.zeros(64 * MAP, dtype=np.uint8)
+                bits[(values[bounds[i] : bounds[i + 1]] % np.uint64(64 * MAP)).astype(np.int64)] = 1
+                maps.append(np.packbits(bits).view(np.int64))
+                tokens.append(values[place[at[i] : at[i] + p[i] - rares[i]]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[chosen], pa.int64()) for x in (marks, n, rares)), _lists(maps), _lists(tokens)], names=["f1", "n", "rare", "bits", "tokens"])
 
     return run
 
@@ -186,10 +199,11 @@ def _commonest(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The product of one block of columns: overlap counts of the pairs that meet in it and whose sizes allow a link.
     The diagonal, pairs of a set with itself, has only sets that reach common shingles, and counts those columns that
-    another set shares."""
+    another set shares. A heavy column is passed on, as rows of set, shingle, size and -1."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
+    names = ["a", "b", "na", "nb", "c"]
     got = pa.Table.from_batches(held)
     token, mark, n, near = (got.column(c).to_numpy() for c in ("token", "f1", "n", "near"))
     order = np.lexsort((mark, n, token))
@@ -200,7 +214,13 @@ def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own = np.flatnonzero(near & (np.r_[False, same] | np.r_[same, False]))
     own = own[np.argsort(mark[own], kind="stable")]
     first = np.flatnonzero(np.r_[True, np.diff(mark[own]) != 0]) if len(own) else own
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mark[own][first], mark[own][first], n[own][first], n[own][first], np.diff(np.r_[first, len(own)]))], names=["a", "b", "na", "nb", "c"])
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mark[own][first], mark[own][first], n[own][first], n[own][first], np.diff(np.r_[first, len(own)]))], names=names)
+    begins = np.flatnonzero(np.r_[True, ~same])
+    sizes = np.diff(np.r_[begins, len(token)])
+    heavy = np.repeat(sizes > HEAVY, sizes)
+    if heavy.any():
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mark[heavy], token[heavy], n[heavy], np.full(heavy.sum(), -1), np.zeros(heavy.sum(), dtype=np.int64))], names=names)
+        token, mark, n = token[~heavy], mark[~heavy], n[~heavy]
     at, step, found, held_rows = np.arange(len(token)), 0, [], 0
 
     def counted() -> pa.RecordBatch:
@@ -210,7 +230,7 @@ def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = np.lexsort((b, a))
         a, b, na, nb = a[o], b[o], na[o], nb[o]
         first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[first], b[first], na[first], nb[first], np.diff(np.r_[first, len(a)]))], names=["a", "b", "na", "nb", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[first], b[first], na[first], nb[first], np.diff(np.r_[first, len(a)]))], names=names)
 
     while len(at):
         step += 1
@@ -250,12 +270,8 @@ def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFra
     chosen = texts.join(F.broadcast(needed) if few else needed, texts["id"].eqNullSafe(F.col("needed")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches):
-            kept = [s for s in sets if len(s)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_mark(s) for s in kept], pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, kept)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *[s.view(np.int64) for s in kept]]), pa.int64()))],
-                names=["f", "tokens"],
-            )
+        for _, values, bounds, marks in _sets(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(marks[:, 0]), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))], names=["f", "tokens"])
 
     sets = chosen.mapInArrow(run, "f long, tokens array<long>")
     one, two = sets.select(F.col("f").alias("fa"), F.col("tokens").alias("ta")), sets.select(F.col("f").alias("fb"), F.col("tokens").alias("tb"))
@@ -281,10 +297,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _labelled(index: DataFrame, links: DataFrame | None) -> DataFrame:
+    """The index with the component of each set so far."""
     if links is None:
         return index.withColumn("label", F.col("f1"))
     labels = components(links)
-    return index.join(labels, index["f1"] == labels["node"], "left").select("token", "f1", "n", "most", "bits", F.coalesce("label", "f1").alias("label"))
+    return index.join(labels, index["f1"] == labels["node"], "left").select(*index.columns, F.coalesce("label", "f1").alias("label"))
 
 
 def _pair(a: str, na: str, b: str, nb: str) -> list[Column]:
@@ -295,8 +312,8 @@ def _pair(a: str, na: str, b: str, nb: str) -> list[Column]:
 
 def _may_link(x: str, most_x: str, bits_x: str, y: str, most_y: str, bits_y: str) -> Column:
     """Whether sets of these sizes can be similar enough, when at most so many of their shingles are in any other set
-    and each bit that only one bitmap has stands for a shingle that the other set lacks."""
-    alone = lambda a, b: sum((F.bit_count(F.get(a, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(i))))) for i in range(1, MAP)), F.bit_count(F.get(a, F.lit(0)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(0))))))
+    and each bit that only one bitmap has stands for a shingle that the other set lacks (null: not known)."""
+    alone = lambda a, b: F.coalesce(sum((F.bit_count(F.get(a, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(i))))) for i in range(1, MAP)), F.bit_count(F.get(a, F.lit(0)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(0)))))), F.lit(0))
     return (F.least(most_x, most_y) >= _enough(F.col(x), F.col(y))) & (F.least(F.col(x) - alone(bits_x, bits_y), F.col(y) - alone(bits_y, bits_x)) >= _enough(F.col(x), F.col(y)))
 
 
@@ -316,21 +333,30 @@ def _stars(index: DataFrame, seed: int) -> DataFrame:
 
 
 def _across(index: DataFrame) -> DataFrame:
-    """Overlap counts of all pairs that share a common shingle and are not yet in one component. In each column only
-    the sets outside the column's largest component meet the others, so a group that is joined already costs
-    nothing."""
+    """The pairs that share a common shingle and are not yet in one component, and whether in a heavy column. In each
+    column only the sets outside the column's largest component meet the others, so a group that is joined already
+    costs nothing. A pair comes from the first shingle that both have, and from later ones only where no shingle
+    shortly before is in both sets; so it comes a few times, and not as often as it shares shingles."""
     sizes = index.groupBy("token", "label").agg(F.count("*").alias("m"))
     most = sizes.groupBy("token").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select(F.col("token").alias("t"), F.col("top.label").alias("top"))
-    rest = index.join(most, (F.col("token") == F.col("t")) & (F.col("label") != F.col("top"))).select("token", "top", F.col("f1").alias("f"), F.col("n").alias("m"), F.col("most").alias("most_f"), F.col("bits").alias("bits_f"), F.col("label").alias("l"))
+    rest = index.join(most, (F.col("token") == F.col("t")) & (F.col("label") != F.col("top"))).select("token", "top", F.col("f1").alias("f"), F.col("n").alias("m"), F.col("most").alias("most_f"), F.col("bits").alias("bits_f"), F.col("before").alias("before_f"), F.col("label").alias("l"))
     return (
         rest.join(index, "token")
-        .where((F.col("l") != F.col("label")) & ((F.col("label") == F.col("top")) | (F.col("f") < F.col("f1"))) & _may_link("m", "most_f", "bits_f", "n", "most", "bits"))
-        .select(*_pair("f", "m", "f1", "n"))
+        .where((F.col("l") != F.col("label")) & ((F.col("label") == F.col("top")) | (F.col("f") < F.col("f1"))) & ~F.arrays_overlap("before_f", "before") & _may_link("m", "most_f", "bits_f", "n", "most", "bits"))
+        .select(*_pair("f", "m", "f1", "n"), F.col("heavy").alias("sure"))
         .groupBy("a", "b", "na", "nb")
-        .agg(F.count("*").alias("c"))
+        .agg(F.max("sure").alias("sure"))
     )
 
 
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs with the number of common shingles in both prefixes."""
+    one, two = sets.select(F.col("f1").alias("fa"), F.col("tokens").alias("ta")), sets.select(F.col("f1").alias("fb"), F.col("tokens").alias("tb"))
+    both = F.col("ta").isNotNull() & F.col("tb").isNotNull()
+    joined = pairs.join(one, F.col("a") == F.col("fa"), "left").join(two, F.col("b") == F.col("fb"), "left")
+    return joined.select("a", "b", "na", "nb", F.when(both, F.size(F.array_intersect("ta", "tb"))).otherwise(0).cast("long").alias("c"), "sure")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, and component_id, the smallest id that links reach.
 
@@ -344,13 +370,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share only a passage. Those that remain belong to large groups of near copies; there, sets first meet a pivot,
     and only pairs that are still in different components are counted, so that a group costs its size and not its
     square; a set's shingles that no other has, and bitmaps, bound what
-    two sets can share. Light columns are multiplied in blocks, dealt by shingle.
+    two sets can share. Light columns are multiplied in blocks, dealt by shingle; a column that turns out heavy, as
+    beyond the common shingles that workers are told, goes the way of the common ones.
 
     Defined cases: null and empty texts, and texts of white space, have n_shingles 0 and link with nothing, their own
     id being the component; repeated rows are equal sets; rows that share an id keep a row each; a null id is ignored
     where others of the component have one; an empty table gives no rows; extra columns are not read.
 
-    A class is known by a 64-bit hash of its sorted set and sets by 64-bit hashes of shingles.
+    Shingles are known by 64-bit hashes, and a class by two 64-bit hashes of its sorted set.
     """
     spark = docs.sparkSession
     texts = _texts(docs, id_col, text_col)
@@ -366,12 +393,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BLOCK))
     light = index.repartition(blocks, "token").mapInArrow(_block, _PAIRS)
     product = cut(light.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")))
-    pairs = product.where("a <> b")
+    pairs = product.where("a <> b and nb > 0")
     # sets that reach common shingles have all their others in the blocks: those that no set shares are theirs alone
-    shared = product.where("a = b").select(F.col("a").alias("s"), F.col("c").alias("shared"))
-    reaching = texts.mapInArrow(_reaching(order), "f1 long, n long, rare long, bits array<long>, tokens array<long>").dropDuplicates(["f1"])
+    shared = product.where("a = b and nb > 0").select(F.col("a").alias("s"), F.col("c").alias("shared"))
+    sets = cut(texts.mapInArrow(_reaching(order), "f1 long, n long, rare long, bits array<long>, tokens array<long>").dropDuplicates(["f1"]))
     most = F.col("n") - F.col("rare") + F.coalesce("shared", F.lit(0))
-    common = cut(reaching.join(shared, F.col("f1") == F.col("s"), "left").select(F.explode("tokens").alias("token"), "f1", "n", most.alias("most"), "bits"))
+    before = F.slice("tokens", F.greatest(F.col("pos") - BEFORE + 1, F.lit(1)), F.least(F.col("pos"), F.lit(BEFORE)))
+    told_rows = sets.join(shared, F.col("f1") == F.col("s"), "left").select("f1", "n", most.alias("most"), "bits", "tokens", F.posexplode("tokens").alias("pos", "token"))
+    heavy_rows = product.where("nb < 0").select(F.col("b").alias("token"), F.col("a").alias("f1"), F.col("na").alias("n"), F.col("na").alias("most"), F.lit(None).cast("array<long>").alias("bits"), F.array().cast("array<long>").alias("before"), F.lit(True).alias("heavy"))
+    common = cut(told_rows.select("token", "f1", "n", "most", "bits", before.alias("before"), F.lit(False).alias("heavy")).unionByName(heavy_rows))
     if common.isEmpty():
         links = cut(_verified(texts, classes, _possible(pairs)))
     else:
@@ -379,14 +409,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for seed in range(2):
             found = _verified(texts, classes, cut(_stars(cut(_labelled(common, links)), seed)))
             links = cut(found if links is None else links.union(found))
-        every = pairs.union(_across(cut(_labelled(common, links))))
-        links = cut(links.union(_verified(texts, classes, cut(_possible(every.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")))))))
+        across = _overlaps(cut(_across(cut(_labelled(common, links)))), sets)
+        every = pairs.withColumn("sure", F.lit(False)).unionByName(across).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"), F.max("sure").alias("sure"))
+        links = cut(links.union(_verified(texts, classes, cut(_possible(every.where("not sure")).unionByName(every.where("sure"))))))
     labels = components(links)
-    smallest = classes.where("n > 0").groupBy("f1").agg(F.min("id").alias("least"))
-    named = smallest.join(labels, F.col("f1") == F.col("node"), "left").select("f1", "least", F.coalesce("label", "f1").alias("label"))
-    least = named.groupBy(F.col("label").alias("l")).agg(F.min("least").alias("component"))
-    of = named.join(least, F.col("label") == F.col("l")).select(F.col("f1").alias("f"), "component")
-    return classes.join(of, (F.col("f1") == F.col("f")) & (F.col("n") > 0), "left").select(
+    smallest = classes.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("least"))
+    # a class without links is its own, and known by both marks
+    named = smallest.join(labels, F.col("f1") == F.col("node"), "left").select("f1", "f2", "least", F.coalesce("label", "f1").alias("label"), F.when(F.col("label").isNull(), F.col("f2")).alias("own"))
+    least = named.groupBy(F.col("label").alias("l"), F.col("own").alias("o")).agg(F.min("least").alias("component"))
+    of = named.join(least, (F.col("label") == F.col("l")) & F.col("own").eqNullSafe(F.col("o"))).select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "component")
+    return classes.join(of, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") > 0), "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id")
     )
 
@@ -397,19 +429,21 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component one row stays, of the smallest id; the columns of documents.
+    """Pipeline stage: of each component one row stays, of the smallest id; all columns of `docs`.
 
     Documents are known by a hash of id and text, so that rows which share an id, or have none, are told apart; of
-    rows that agree in both, one stays. Rows without shingles link with nothing, and all stay."""
-    keyed = docs.withColumn("__k", F.xxhash64(F.lit("k"), "doc_id", "text"))
-    found = near_duplicates(keyed.select("__k", "text"), "__k").groupBy("__k").agg(F.first("n_shingles").alias("__n"), F.first("component_id").alias("__c"))
-    ids = keyed.select(F.col("__k").alias("k"), "doc_id").distinct()
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__k").alias("k")))
-    best = found.where("__n > 0").join(ids, F.col("__k") == F.col("k")).groupBy("__c").agg(first.alias("x")).select(F.col("x.k").alias("kept"), F.lit(False).alias("__all"))
-    kept = best.unionByName(found.where("__n = 0").select(F.col("__k").alias("kept"), F.lit(True).alias("__all")))
-    joined = keyed.join(kept, F.col("__k") == F.col("kept"))
-    place = F.row_number().over(Window.partitionBy("__k").orderBy("__k"))
-    return joined.withColumn("__place", place).where("__all or __place = 1").select(*docs.columns)
+    rows that agree in both, one stays, chosen by a hash of its other columns. A null id is the largest. Rows without
+    shingles (null, empty or blank texts) link with nothing, and all stay. An empty table gives no rows; columns of
+    any other name pass through."""
+    keyed = docs.select(packed(docs).alias("row"), F.xxhash64(F.lit("k"), "doc_id", "text").alias("k"))
+    found = near_duplicates(keyed.select("k", F.col("row.text").alias("text")), "k").groupBy("k").agg(F.first("n_shingles").alias("n"), F.first("component_id").alias("c"))
+    first = F.min(F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), "k"))
+    ids = keyed.groupBy("k").agg(first.alias("x"))
+    best = found.where("n > 0").join(ids, "k").groupBy("c").agg(F.min("x").alias("x")).select("x.k")
+    plain = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    chosen = keyed.join(best, "k", "left_semi").groupBy("k").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
+    blank = keyed.join(found.where("n = 0"), "k", "left_semi")
+    return chosen.select("row.*").union(blank.select("row.*"))
 
 
 SQL = r"""

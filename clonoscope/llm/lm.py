@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clonoscope.llm.common import cut, table
-from clonoscope.llm.words import WordHashes, texts_of
+from clonoscope.llm.words import hashed
 
 #: Counts are stored as levels: 1 + floor(log(count) / log(BASE)).
 BASE = 1.6
@@ -47,13 +47,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def bigram_hashes(words: np.ndarray) -> np.ndarray:
-    """A hash for each word with the one before it; the first has the end's hash before it."""
+    """A hash for each token with the one before it; a text's first has the end before it, which is also the token that
+    stands there where texts follow each other."""
     return _mix(np.concatenate([[_END], words[:-1]]) * _M2 + words * _M1 + np.uint64(1))
 
 
-def tokens(text: bytes, hashes: WordHashes) -> np.ndarray:
-    """Hashes of the words of a text and of the end."""
-    return np.append(hashes(text), _END)
+def with_ends(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The words of texts that stand one behind the other, with the end's hash after each text."""
+    return np.insert(words, bounds[1:], _END)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -140,7 +141,6 @@ def _trained(texts: DataFrame) -> DataFrame:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words (order 1) and bigrams (order 2), summed within the task as far as its memory allows."""
-    hashes = WordHashes()
     held: dict[int, list[np.ndarray]] = {1: [], 2: []}
     rows = 0
 
@@ -155,15 +155,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["order", "h", "c"],
         )
 
-    for _, texts in texts_of(batches):
-        for t in texts:
-            words = tokens(t, hashes)
-            held[1].append(words)
-            held[2].append(bigram_hashes(words))
-            rows += len(words)
-            if rows > HELD:
-                yield flush()
-                held, rows = {1: [], 2: []}, 0
+    for _, words, bounds in hashed(batches):
+        flat = with_ends(words, bounds)
+        held[1].append(flat)
+        held[2].append(bigram_hashes(flat))
+        rows += len(flat)
+        if rows > HELD:
+            yield flush()
+            held, rows = {1: [], 2: []}, 0
     if rows:
         yield flush()
 
@@ -225,22 +224,26 @@ def train(counts: DataFrame) -> ShardedFilter:
     return build_filter(counts, _size(sum(r["n"] * (FIRST + MORE * (r["q"] - 1)) for r in by)))
 
 
-def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
-    """Ids and tokens of documents, about TURN tokens at a time."""
-    hashes = WordHashes()
-    ids: list[int | None] = []
-    docs: list[np.ndarray] = []
-    n = 0
-    for part, texts in texts_of(batches):
-        for i, t in zip(part.column("id").to_pylist(), texts, strict=True):
-            ids.append(i)
-            docs.append(tokens(t, hashes))
-            n += len(docs[-1])
-            if n >= TURN:
-                yield ids, docs
-                ids, docs, n = [], [], 0
+def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Ids, sizes and tokens of documents, about TURN tokens at a time."""
+    ids: list[pa.Array] = []
+    sizes: list[np.ndarray] = []
+    flat: list[np.ndarray] = []
+
+    def turn() -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        out = pa.concat_arrays(ids), np.concatenate(sizes), np.concatenate(flat)
+        for held in (ids, sizes, flat):
+            held.clear()
+        return out
+
+    for part, words, bounds in hashed(batches):
+        ids.append(part.column("id"))
+        sizes.append(np.diff(bounds) + 1)
+        flat.append(with_ends(words, bounds))
+        if sum(map(len, flat)) >= TURN:
+            yield turn()
     if ids:
-        yield ids, docs
+        yield turn()
 
 
 def _told(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -290,11 +293,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = sent.value
-        for ids, docs_ in _turns(batches):
-            sizes = np.array([len(d) for d in docs_])
+        for ids, sizes, flat in _turns(batches):
             starts = np.cumsum(sizes) - sizes
-            flat = np.concatenate(docs_)
-            pairs = np.concatenate([bigram_hashes(d) for d in docs_])
+            pairs = bigram_hashes(flat)
             unique, back = np.unique(flat, return_inverse=True)
             bigrams, of_pair = np.unique(pairs, return_inverse=True)
             estimates = level_counts(model.level(np.concatenate([unique, bigrams])))
@@ -319,7 +320,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             bounds = np.searchsorted(of[first], np.arange(len(sizes) + 1))
             lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, pa.int64())) for x in (others[first].view(np.int64), reps)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(part_known), pa.array(part_logs), pa.array(score), *lists],
+                [ids, pa.array(sizes, pa.int64()), pa.array(part_known), pa.array(part_logs), pa.array(score), *lists],
                 names=["id", "n_tokens", "known", "logs", "score", "others", "times"],
             )
 
