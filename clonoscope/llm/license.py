@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +53,8 @@ TEMPLATES = {
 FAMILIES = (*sorted(TEMPLATES), UNKNOWN)
 #: Documents whose paragraphs teach the unknown class, at most, by the order of a hash of their id.
 SAMPLE = 300
-FEATURES, STEPS, PENALTY = 1 << 16, 40, 1e-4
+#: Words and word pairs that are features at most, the training rows that each must stand in, and steps.
+FEATURES, LEAST_ROWS, STEPS, PENALTY = 1 << 16, 2, 40, 1e-4
 #: Calibrated probability from which a family counts, and the share of a template's word triples that confirms it.
 CERTAIN, CONFIRMED = 0.5, 0.6
 TEMPERATURES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0)
@@ -74,18 +76,69 @@ def grams(w: Column, n: int) -> Column:
     return once(w, lambda w: F.when(F.size(w) >= n, each(w)).otherwise(F.array().cast("array<string>")))
 
 
-def _features(rows: DataFrame) -> DataFrame:
-    """rows(words) with binary counts of hashed words and word pairs."""
-    terms = once(F.col("words"), lambda w: F.concat(w, grams(w, 2)))
-    return HashingTF(numFeatures=FEATURES, inputCol="terms", outputCol="features", binary=True).transform(rows.withColumn("terms", terms))
+def _terms(rows: DataFrame) -> DataFrame:
+    """rows(words) with their words and word pairs."""
+    return rows.withColumn("terms", once(F.col("words"), lambda w: F.concat(w, F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.coalesce(F.concat(a, F.lit(" "), b), a)))))
 
 
 @dataclass
 class Classifier:
+    vocabulary: CountVectorizerModel
     model: LogisticRegressionModel
     temperature: float
 
 
+@dataclass
+class Templates:
+    """The fixed templates' words, from the same function that cuts texts into words."""
+
+    rows: list[tuple[int, list[str]]]
+
+    @staticmethod
+    def read(spark: SparkSession) -> Templates:
+        return Templates([(r["label"], r["words"]) for r in _templates(spark).select("label", "words").collect()])
+
+    @staticmethod
+    def triples(w: list[str]) -> list[str]:
+        return list(dict.fromkeys(" ".join(w[i : i + 3]) for i in range(len(w) - 2)))
+
+    @property
+    def longest(self) -> int:
+        return max(len(w) for _, w in self.rows)
+
+    @staticmethod
+    def strings(values: list[str]) -> Column:
+        return F.array(*map(F.lit, values)).cast("array<string>")
+
+    def of_family(self) -> Column:
+        """By label, the triples of each of its templates."""
+        return F.array(*[F.array(*[self.strings(self.triples(w)) for label, w in self.rows if label == k]) for k in range(len(FAMILIES) - 1)])
+
+    def every(self) -> Column:
+        return F.array(*[self.strings(self.triples(w)) for _, w in self.rows])
+
+    def known(self) -> Column:
+        """All templates' triples."""
+        return self.strings(sorted({g for _, w in self.rows for g in self.triples(w)}))
+
+    def words(self) -> Column:
+        return self.strings(sorted({x for _, w in self.rows for x in w}))
+
+    def needed(self) -> Column:
+        """Of each template its distinct words, and how many of them any text has that has enough of its triples. Each
+        missing word spoils the triples that hold it, and a triple is counted for three words at most."""
+        each = []
+        for _, w in self.rows:
+            triples, distinct = self.triples(w), sorted(set(w))
+            spare = 3 * math.floor((1 - CONFIRMED) * len(triples) + 1e-9)
+            missing = 0
+            for spoilt in sorted(sum(x in g.split(" ") for g in triples) for x in distinct):
+                spare -= spoilt
+                missing += spare >= 0
+            each.append(F.struct(self.strings(distinct).alias("words"), F.lit(len(distinct) - missing).alias("least")))
+        return F.array(*each)
+
+
 def _templates(spark: SparkSession) -> DataFrame:
     rows = [(FAMILIES.index(f), i, t) for f in FAMILIES if f != UNKNOWN for i, t in enumerate(TEMPLATES[f])]
     return spark.createDataFrame(rows, "label int, part int, text string").withColumn("words", words(F.col("text")))
@@ -99,29 +152,33 @@ def _probability(raw: Column, temperature: Column) -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """Multinomial logistic regression over hashed words and pairs, with a sparse penalty.
+    """Multinomial logistic regression over words and word pairs, with a sparse penalty.
 
-    Families learn from their templates, each with variants that lack every fifth word or have the words of another
-    template's start before them; the unknown class from the paragraphs of at most SAMPLE documents that share no
-    word triple with a template. Every third row is kept back to choose the temperature that calibrates the
-    probabilities, the unknown class's among them."""
+    Families learn from their templates, each with variants that lack every fifth word or have some of its words
+    repeated before it; the unknown class from the paragraphs of at most SAMPLE documents that share no
+    word triple with a template. Features are the terms of at least LEAST_ROWS training rows, FEATURES at most. Every
+    third row is kept back to choose the temperature that calibrates the
+    probabilities, the unknown class's among them. The sample is chosen by ids; texts stay where they are read."""
     spark = docs.sparkSession
     known = _templates(spark)
+    fixed = Templates.read(spark)
     variants = known.select("label", "words").union(
         known.select("label", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"), "words").select("label", F.expr("filter(words, (w, i) -> i % 5 <> k)"))
     ).union(known.select("label", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k"), "words").select("label", F.expr("concat(slice(words, 1 + k, k), words)")))
-    triples = known.select(F.explode(grams(F.col("words"), 3)).alias("g")).agg(F.collect_set("g").alias("known"))
-    chosen = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("text")).where("text is not null").orderBy(F.xxhash64("i"), "text").limit(SAMPLE)
+    keyed = docs.select(F.col(f"`{id_col}`").alias("i"), F.xxhash64(F.lit("t"), f"`{text_col}`").alias("t"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
+    chosen = keyed.select(F.struct("i").alias("ci"), F.col("t").alias("ct")).orderBy(F.xxhash64("ci"), "ct").limit(SAMPLE).distinct()
+    sample = keyed.join(F.broadcast(chosen), F.struct("i").eqNullSafe(F.col("ci")) & (F.col("t") == F.col("ct")), "left_semi")
     other = (
-        chosen.select(F.explode(F.split("text", "\n")).alias("p"))
+        sample.select(F.explode(F.split("text", "\n")).alias("p"))
         .select(words(F.col("p")).alias("words"))
         .where(F.size("words") > 0)
-        .crossJoin(F.broadcast(triples))
-        .where(~F.arrays_overlap(grams(F.col("words"), 3), "known"))
+        .where(~F.arrays_overlap(grams(F.col("words"), 3), fixed.known()))
         .select(F.lit(len(FAMILIES) - 1).alias("label"), "words")
     )
     # families together weigh as much as the unknown class, whose rows stand for nearly all paragraphs
-    rows = cut(_features(variants.unionByName(other).repartition(1)).withColumn("fold", F.pmod(F.xxhash64("words"), F.lit(3))).withColumn("weight", F.when(F.col("label") < len(FAMILIES) - 1, 10.0).otherwise(1.0)).withColumn("label", F.col("label").cast("double")))  # few enough for one task
+    rows = cut(_terms(variants.unionByName(other).repartition(2)).withColumn("fold", F.pmod(F.xxhash64("words"), F.lit(3))).withColumn("weight", F.when(F.col("label") < len(FAMILIES) - 1, 10.0).otherwise(1.0)).withColumn("label", F.col("label").cast("double")))
+    vocabulary = CountVectorizer(inputCol="terms", outputCol="features", vocabSize=FEATURES, minDF=LEAST_ROWS, binary=True).fit(rows)
+    rows = vocabulary.transform(rows)
     model = LogisticRegression(family="multinomial", maxIter=STEPS, regParam=PENALTY, elasticNetParam=0.5, standardization=False, weightCol="weight", aggregationDepth=2).fit(rows.where("fold > 0"))
     if model.numClasses != len(FAMILIES):  # no unknown paragraph in the sample
         model = LogisticRegression(family="multinomial", maxIter=STEPS, regParam=PENALTY, standardization=False).fit(rows)
@@ -129,7 +186,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Cl
     loss = [F.sum(-F.col("weight") * F.log(F.greatest(F.get(_probability(F.col("raw"), F.lit(t)), F.col("y")), F.lit(1e-12)))).alias(str(i)) for i, t in enumerate(TEMPERATURES)]
     got = held.agg(*loss).first()
     best = min(range(len(TEMPERATURES)), key=lambda i: (got[i] if got[i] is not None else 0.0, abs(TEMPERATURES[i] - 1)))
-    return Classifier(model, TEMPERATURES[best])
+    return Classifier(vocabulary, model, TEMPERATURES[best])
 
 
 def _share(g: Column, own: Column) -> Column:
@@ -137,46 +194,37 @@ def _share(g: Column, own: Column) -> Column:
     return F.size(F.array_intersect(g, own)) / F.greatest(F.size(g), F.lit(1))
 
 
-def _found(rows: DataFrame, classifier: Classifier) -> DataFrame:
-    """Findings among rows(d, t, paragraph, more, words)."""
-    raw = classifier.model.transform(_features(rows)).select("d", "t", "paragraph", "more", "words", F.col("prediction").cast("int").alias("label"), vector_to_array("rawPrediction").alias("raw"))
-    likely = (
-        raw.where(F.col("label") < len(FAMILIES) - 1)
-        .withColumn("probability", F.array_max(_probability(F.col("raw"), F.lit(classifier.temperature))))
-        .where(F.col("probability") >= CERTAIN)
-    )
-    known = _templates(rows.sparkSession).groupBy(F.col("label").alias("l")).agg(F.collect_list(F.array_distinct(grams(F.col("words"), 3))).alias("templates"))
-    return (
-        likely.withColumn("own", grams(F.col("words"), 3))
-        .join(F.broadcast(known), F.col("label") == F.col("l"))
-        .select("d", "t", "paragraph", "more", F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.col("label") + 1).alias("family"), "probability", F.array_max(F.transform("templates", lambda g: _share(g, F.col("own")))).alias("likeness"))
-        .withColumn("confirmed", F.col("likeness") >= CONFIRMED)
-    )
+def _found(rows: DataFrame, classifier: Classifier, fixed: Templates) -> DataFrame:
+    """Findings among rows(d, t, paragraph, more, words). Logits leave through an array of one that is taken apart, which
+    the optimiser does not look through, so that no filter on them makes the classifier run once more."""
+    logits = classifier.model.transform(classifier.vocabulary.transform(_terms(rows)))
+    raw = logits.select("d", "t", "paragraph", "more", "words", F.explode(F.array(vector_to_array("rawPrediction"))).alias("raw"))
+    likely = raw.withColumn("label", F.array_position("raw", F.array_max("raw")).cast("int") - 1).where(F.col("label") < len(FAMILIES) - 1)
+    scored = likely.withColumn("x", F.explode(F.array(F.struct(F.array_max(_probability(F.col("raw"), F.lit(classifier.temperature))).alias("probability"), grams(F.col("words"), 3).alias("own"))))).where(F.col("x.probability") >= CERTAIN)
+    likeness = F.array_max(F.transform(F.get(fixed.of_family(), F.col("label")), lambda g: _share(g, F.col("x.own"))))
+    return scored.select("d", "t", "paragraph", "more", F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.col("label") + 1).alias("family"), "x.probability", likeness.alias("likeness")).withColumn("confirmed", F.col("likeness") >= CONFIRMED)
 
 
-def _wrapped(keyed: DataFrame, classifier: Classifier) -> DataFrame:
+def _wrapped(keyed: DataFrame, classifier: Classifier, fixed: Templates) -> DataFrame:
     """Confirmed findings in runs of neighbouring lines, as _found's. Runs have no line without words, and all
     lines but the first and last within the longest template's words; only documents that have enough of a template's
-    triples are cut. Of runs of a family that overlap, a line by itself stays, or else the likest, shortest, first."""
-    known = _templates(keyed.sparkSession).agg(F.max(F.size("words")).alias("most"), F.collect_list(F.array_distinct(grams(F.col("words"), 3))).alias("templates"))
-    fixed = known.select("most", "templates", F.array_distinct(F.flatten("templates")).alias("known"))
-    near = (
-        keyed.crossJoin(F.broadcast(fixed))
-        .withColumn("own", F.array_intersect(grams(words(F.array_join("lines", "\n")), 3), F.col("known")))
-        .where(F.size("own") > 0)
-        .where(F.exists("templates", lambda g: _share(g, F.col("own")) >= CONFIRMED))
-        .select("d", "t", "most", F.transform("lines", words).alias("w"))
-    )
-    first = near.select("d", "t", "most", "w", F.posexplode("w").alias("paragraph", "first")).where(F.size("first") > 0)
-    after = first.select("d", "t", "most", "paragraph", "first", F.slice("w", F.col("paragraph") + 2, F.col("most") + 1).alias("after"))
+    triples are cut, which a look at their words tells for nearly all. Of runs of a family that overlap, a line by
+    itself stays, or else the likest, shortest, first."""
+    most = fixed.longest
+    text = words(F.array_join("lines", "\n"))
+    enough = lambda w: once(F.array_intersect(fixed.words(), w), lambda own: F.exists(fixed.needed(), lambda x: F.size(F.array_intersect(x["words"], own)) >= x["least"]))
+    shared = lambda w: once(F.array_intersect(grams(w, 3), fixed.known()), lambda own: F.exists(fixed.every(), lambda g: _share(g, own) >= CONFIRMED))
+    near = keyed.where(once(text, lambda w: F.when(enough(w), shared(w)).otherwise(False))).select("d", "t", F.explode(F.array(F.transform("lines", words))).alias("w"))
+    first = near.select("d", "t", "w", F.posexplode("w").alias("paragraph", "first")).where(F.size("first") > 0)
+    after = first.select("d", "t", "paragraph", "first", F.slice("w", F.col("paragraph") + 2, most + 1).alias("after"))
     runs = (
-        after.select("d", "t", "most", "paragraph", "first", "after", F.explode(F.sequence(F.lit(0), F.size("after"))).alias("more"))
+        after.select("d", "t", "paragraph", "first", "after", F.explode(F.sequence(F.lit(0), F.size("after"))).alias("more"))
         .where(F.forall(F.slice("after", F.lit(1), F.col("more")), lambda x: F.size(x) > 0))
-        .where(F.size(F.flatten(F.slice("after", F.lit(1), F.greatest(F.col("more") - 1, F.lit(0))))) < F.col("most"))
+        .where(F.size(F.flatten(F.slice("after", F.lit(1), F.greatest(F.col("more") - 1, F.lit(0))))) < most)
         .select("d", "t", "paragraph", "more", F.concat("first", F.flatten(F.slice("after", F.lit(1), F.col("more")))).alias("words"))
     )
     order = F.struct((F.col("more") > 0).alias("several"), (-F.col("likeness")).alias("unlike"), "more", "paragraph", "probability")
-    best = _found(runs, classifier).where("confirmed").groupBy("d", "t", "family").agg(F.array_sort(F.collect_set(order)).alias("x"))
+    best = _found(runs, classifier, fixed).where("confirmed").groupBy("d", "t", "family").agg(F.array_sort(F.collect_set(order)).alias("x"))
     apart = lambda a, b: (a["paragraph"] + a["more"] < b["paragraph"]) | (b["paragraph"] + b["more"] < a["paragraph"])
     kept = F.aggregate("x", F.slice("x", 1, 0), lambda acc, x: F.when(F.forall(acc, lambda y: apart(x, y)), F.array_append(acc, x)).otherwise(acc))
     return best.select("d", "t", "family", F.explode(kept).alias("x")).where("x.several").select("d", "t", "x.paragraph", "x.more", "family", "x.probability", (-F.col("x.unlike")).alias("likeness"), F.lit(True).alias("confirmed"))
@@ -196,13 +244,15 @@ def scan_licenses(docs: DataFrame, classifier: Classifier | None = None, id_col:
     read; an empty table gives no rows, from a classifier without unknown paragraphs.
 
     Scale: classification is a projection; runs are cut only from documents with most of a template's triples. Only
-    findings are shuffled, and templates (a fixed table) are broadcast."""
+    findings are shuffled; templates are constants."""
     classifier = classifier or train(docs, id_col, text_col)
     text = F.col(f"`{text_col}`")
     keyed = docs.select(F.col(f"`{id_col}`").alias("d"), F.xxhash64(F.lit("t"), text).alias("t"), F.split(F.coalesce(text, F.lit("")), "\n", -1).alias("lines"))
     own = keyed.select("d", "t", F.size(F.filter("lines", lambda x: x.rlike(r"[\p{L}\p{N}]"))).cast("long").alias("n_paragraphs"))
-    paragraphs = keyed.select("d", "t", F.posexplode("lines").alias("paragraph", "p")).select("d", "t", "paragraph", F.lit(0).alias("more"), words(F.col("p")).alias("words")).where(F.size("words") > 0)
-    findings = _found(paragraphs, classifier).unionByName(_wrapped(keyed, classifier))
+    inked = lambda p: p.rlike(r"[\p{L}\p{N}]")
+    paragraphs = keyed.select("d", "t", F.posexplode("lines").alias("paragraph", "p")).where(inked(F.col("p"))).select("d", "t", "paragraph", F.lit(0).alias("more"), words(F.col("p")).alias("words"))
+    fixed = Templates.read(docs.sparkSession)
+    findings = _found(paragraphs, classifier, fixed).unionByName(_wrapped(keyed, classifier, fixed))
     per = (
         findings.distinct()
         .groupBy(F.col("d").alias("d2"), F.col("t").alias("t2"))
