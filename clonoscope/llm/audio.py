@@ -21,6 +21,8 @@ FRAME, HOP, BANDS, PATCH = 256, 128, 20, 32
 UNIT = 64
 #: Rows of windows, and frames, that are worked on at a time, so that long payloads need little memory.
 WINDOWS, FRAMES = 1 << 16, 1 << 12
+#: Bytes of media and tensors after which a task hands its rows on.
+HELD = 1 << 26
 
 
 def _kernel() -> tuple[np.ndarray, int]:
@@ -153,11 +155,23 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return doc, n, len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-UNIT:]), media, len(mel), spans, tensors(mel), f"{len(mel)}|{len(spans)}|{loud:.3f}|{bands}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+
+        def handed() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            rows.clear()
+            return out
+
         for batch in batches:
-            for begin in range(0, batch.num_rows, 200):
-                part = batch.slice(begin, 200)
-                rows = [one(d, t) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows.append(one(doc, text.as_py()))
+                held += len(rows[-1][5]) + len(rows[-1][8])
+                if held > HELD or len(rows) >= 200:
+                    yield handed()
+                    held = 0
+        if rows:
+            yield handed()
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,19 +14,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and return the stored rows, with no lineage.
-
-    The folder is what the cluster names in spark.checkpoint.dir; only a local session without that setting
+def _folder(spark: SparkSession) -> str:
+    """The shared folder: what the cluster names in spark.checkpoint.dir. Only a local session without that setting
     (tests) gets a temporary one."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.split("[")[0] == "local":
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clonoscope-checkpoint-"))
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="clonoscope-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and return the stored rows, with no lineage."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As cut(), but as Parquet, which takes less room where rows are many and narrow. The files stay."""
+    path = f"{_folder(df.sparkSession).rstrip('/')}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def ascii_crc(column: Column) -> Column:
     """crc32 of a column's text; null where it is null."""
     return F.crc32(column.cast("string").cast("binary"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clonoscope.llm.common import table
+from clonoscope.llm.common import cut, table
 
 #: Lanes that every paragraph adds a SHA-256 word to, and the bits they are kept modulo.
 WIDE, MODULUS_BITS = 8, 32
@@ -79,11 +79,12 @@ def likeness(one: Column, other: Column) -> Column:
 def following(ids: DataFrame, id_col: str) -> DataFrame:
     """(id, next): each distinct id with the next smaller one, the smallest with the largest; null comes last.
 
-    Ids are dealt by range, so that each window holds one range; only each range's first id meets the others'."""
+    Ids are dealt by range and stored, so that each window holds one range, which stays the same for all that is
+    taken from it; only each range's first id meets the others'."""
     dealt = ids.select(F.col(f"`{id_col}`").alias("id")).distinct().repartitionByRange(F.col("id").desc_nulls_last()).withColumn("part", F.spark_partition_id())
-    inside = dealt.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(F.col("id").desc_nulls_last()))).withColumn(
+    inside = cut(dealt.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(F.col("id").desc_nulls_last()))).withColumn(
         "next", F.lead(F.struct("id")).over(Window.partitionBy("part").orderBy(F.col("id").desc_nulls_last()))
-    )
+    ))
     heads = inside.where("place = 1").select("part", F.struct("id").alias("head"))
     by_part = Window.orderBy("part")
     first = F.first("head").over(by_part)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonoscope.llm.common import table
+from clonoscope.llm.common import packed, table
 
 WINDOW = 3
 
@@ -58,27 +58,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .groupBy("d", "t")
         .agg(F.array_sort(F.collect_set("pos")).alias("starts"))
     )
-    n = F.size("__lines")
-    begins, ends = F.concat(F.col("__starts"), F.array(n)), F.concat(F.array(F.lit(0)), F.transform("__starts", lambda s: s + WINDOW))
-    kept = F.flatten(F.zip_with(begins, ends, lambda b, e: F.when(b > e, F.slice("__lines", e + 1, b - e)).otherwise(F.array().cast("array<string>"))))
-    out = docs.withColumn("__th", th).join(
-        later.select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("starts").alias("__starts")),
-        doc.eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")),
-        "left",
-    )
-    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (text_col.lower(), "n_lines", "n_removed")]
-    rest = (
-        out.select(*own, text.alias("__text"), F.split(text, "\n", -1).alias("__lines"), "__starts")
-        .select(*own, "__text", "__lines", F.when(F.col("__starts").isNotNull(), kept).alias("__kept"))
-    )
-    done = rest.select(
+    n = F.size("lines")
+    begins, ends = F.concat(F.col("starts"), F.array(n)), F.concat(F.array(F.lit(0)), F.transform("starts", lambda s: s + WINDOW))
+    kept = F.flatten(F.zip_with(begins, ends, lambda b, e: F.when(b > e, F.slice("lines", e + 1, b - e)).otherwise(F.array().cast("array<string>"))))
+    rows = docs.select(packed(docs).alias("row"), doc.alias("i"), th.alias("th"), text.alias("text"))
+    out = rows.join(later, F.col("i").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select("row", "text", F.split("text", "\n", -1).alias("lines"), "starts")
+    done = out.select("row", "text", "lines", F.when(F.col("starts").isNotNull(), kept).alias("kept"))
+    new = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
+    own = [new.alias(c) if c.lower() == text_col.lower() else F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    return done.select(
         *own,
-        F.when(F.col("__kept").isNull(), F.col("__text")).otherwise(F.array_join("__kept", "\n")).alias(text_col),
-        F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("__kept").isNull(), F.lit(0)).otherwise(F.size("__lines") - F.size("__kept")).cast("long").alias("n_removed"),
+        F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.when(F.col("kept").isNull(), 0).otherwise(F.size("lines") - F.size("kept")).cast("long").alias("n_removed"),
     )
-    order = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    return done.select(*[F.col(f"`{c}`") for c in order], F.greatest("n_lines", F.lit(0)).alias("n_lines"), "n_removed")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +79,15 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the columns of documents, texts without repeated lines, n_chars to match."""
-    return line_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Pipeline stage: all columns of `docs`, texts without repeated lines, n_chars (if it is there) to match.
+
+    Null texts stay null, with n_chars null; a null id is the smallest; repeated rows are treated alike and all stay; an
+    empty table gives no rows; columns of any other name pass through, n_lines and n_removed too."""
+    spare = [c for c in docs.columns if c.lower() in ("n_lines", "n_removed")]
+    renamed = docs.select(*[F.col(f"`{c}`").alias(f"own {c}" if c in spare else c) for c in docs.columns])
+    done = line_dedup(renamed)
+    count = F.length("text").cast("long")
+    return done.select(*[count.alias(c) if c == "n_chars" else F.col(f"`own {c}`").alias(c) if c in spare else F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = r"""

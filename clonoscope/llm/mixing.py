@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonoscope.llm.common import cut, table
+from clonoscope.llm.common import cut, packed, table
 
 #: Target shares of tokens by domain: language and quality. Domains without labelled rows are left out, the rest scaled.
 TARGETS = {"en+": 0.50, "de+": 0.15, "fr+": 0.15, "es+": 0.14, "en-": 0.03, "de-": 0.01, "fr-": 0.01, "es-": 0.01}
@@ -115,7 +115,7 @@ def _fit(table_: DataFrame, names: list[str], targets: dict[str, float]) -> Data
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rates at which documents are to be drawn so that domains' expected token totals meet target shares.
 
-    Returns id, text hash t, n_tokens, domain (the likeliest), posterior and rate (1: once). Domains are soft: a
+    Returns id, text hash t, n_tokens, domain (the likeliest), posterior, domains (its names) and rate (1: once). Domains are soft: a
     document counts for each by the posterior that the labelled table's classifier gives it. The total of tokens
     stays as near as targets allow.
 
@@ -136,28 +136,43 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
         F.col("n").cast("long").alias("n_tokens"),
         F.when(F.size("p") > 0, F.element_at(names, at)).alias("domain") if domains.names else F.lit(None).cast("string").alias("domain"),
         F.col("p").alias("posterior"),
+        names.alias("domains"),
         "rate",
     )
 
 
+def shares(rates: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """Per domain of mix()'s rows: the target share of tokens, and the shares reached at the rates and as documents
+    stand. A domain that no document has is not among them."""
+    whole = rates.agg(F.sum(F.col("rate") * F.col("n_tokens")).alias("drawn"), F.sum("n_tokens").alias("whole"))
+    each = rates.select("n_tokens", "rate", F.posexplode("posterior").alias("i", "p"), "domains")
+    by = each.groupBy(F.get("domains", F.col("i")).alias("domain")).agg(F.sum(F.col("rate") * F.col("n_tokens") * F.col("p")).alias("r"), F.sum(F.col("n_tokens") * F.col("p")).alias("n"))
+    goal = F.create_map(*[F.lit(x) for kv in (targets or TARGETS).items() for x in kv])
+    aimed = by.withColumn("target", F.coalesce(F.try_element_at(goal, F.col("domain")), F.lit(0.0)))
+    total = aimed.agg(F.sum("target").alias("aims"))
+    return aimed.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(total)).select("domain", (F.col("target") / F.nullif(F.col("aims"), F.lit(0.0))).alias("target"), (F.col("r") / F.nullif(F.col("drawn"), F.lit(0.0))).alias("reached"), (F.col("n") / F.col("whole")).alias("before"))
+
+
 def drawn(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, each as often as its rate says: its whole part, and once more if a uniform hash of id and
-    text falls below the rest. All columns stay."""
-    key = rates.select(F.col(f"`{id_col}`").alias("__d"), F.col("t").alias("__t"), "rate").groupBy("__d", "__t").agg(F.first("rate").alias("__rate"))
-    text = F.col(f"`{text_col}`")
-    uniform = F.pmod(F.xxhash64(F.lit("draw"), F.col(f"`{id_col}`"), text), F.lit(1 << 30)) / (1 << 30)
-    whole = F.floor("__rate")
-    times = (whole + F.when(uniform < F.col("__rate") - whole, 1).otherwise(0)).cast("int")
-    hashed = docs.withColumn("__th", F.xxhash64(F.lit("t"), text))
-    joined = hashed.join(key, F.col(f"`{id_col}`").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")))
-    return joined.withColumn("__k", F.explode(F.array_repeat(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    text falls below the rest. All columns stay, whatever their names; rows without a rate go."""
+    key = rates.select(F.col(f"`{id_col}`").alias("d"), F.col("t").alias("th"), "rate").groupBy("d", "th").agg(F.first("rate").alias("rate"))
+    uniform = F.pmod(F.xxhash64(F.lit("draw"), f"`{id_col}`", f"`{text_col}`"), F.lit(1 << 30)) / (1 << 30)
+    rows = docs.select(packed(docs).alias("row"), F.col(f"`{id_col}`").alias("i"), F.xxhash64(F.lit("t"), f"`{text_col}`").alias("t"), uniform.alias("u"))
+    whole = F.floor("rate")
+    times = (whole + F.when(F.col("u") < F.col("rate") - whole, 1).otherwise(0)).cast("int")
+    joined = rows.join(key, F.col("i").eqNullSafe(F.col("d")) & (F.col("t") == F.col("th"))).select("row", times.alias("times")).where("times > 0")
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates of all documents for the target shares."""
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "n_tokens", "domain", "rate")
+    """Rates of all documents for the target shares, with the posteriors that they are fitted to."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "n_tokens", "domain", "domains", "posterior", "rate")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents as often as their rates say; the columns of documents."""
+    """Pipeline stage: documents as often as their rates say; all columns of `docs`.
+
+    Null and empty texts weigh one token; a null id has no label; rows that agree in id and text are drawn alike; an
+    empty table gives no rows; columns of any other name pass through."""
     return drawn(docs, mix(docs, table(spark, sf_dir, "labels")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from clonoscope.llm.common import cut, table
 CAPACITY = 2048
 #: Bins with at most so many free tokens are emitted as they are.
 SLACK = 8
-#: Items that one packing task takes.
+#: Bins that one packing task takes.
 GROUP = 60_000
 TOKENIZER = "byte_bpe_50k"
 #: Fixed value: the tokenizer's added token, which is one id wherever a text has it.
@@ -85,25 +86,21 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def _round(capacity: int, slack: int):
-    """One round on a group of pieces that stand in bins: whole bins are the items. A new bin's number comes from a
+    """One round on a group of bins with free space. Each goes to a place in a new bin, whose number comes from a
     member's, so that it is the same whenever and wherever the task runs."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns=["bucket"]).sort_values(["bin", "offset", "doc_id", "piece"], kind="stable", ignore_index=True)
-        bins, first, own = np.unique(rows["bin"].to_numpy(), return_index=True, return_inverse=True)
-        sizes = np.add.reduceat(rows["length"].to_numpy(), first)
+    def run(items: pd.DataFrame) -> pd.DataFrame:
+        items = items.sort_values("bin", kind="stable", ignore_index=True)
+        sizes = items["size"].to_numpy()
         to = best_fit(sizes, capacity)
         order = np.argsort(to, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(to[order]) > 0])
         before = np.cumsum(sizes[order]) - sizes[order]
-        base = np.empty(len(bins), dtype=np.int64)
+        base = np.empty(len(items), dtype=np.int64)
         base[order] = before - np.repeat(before[starts], np.diff(np.r_[starts, len(order)]))
         fill = np.bincount(to, weights=sizes).astype(np.int64)
-        name = bins[order[starts]]
-        rows["offset"] = rows["offset"].to_numpy() + base[own]
-        rows["bin"] = name[to[own]]
-        rows["done"] = fill[to[own]] >= capacity - slack
-        return rows
+        name = items["bin"].to_numpy()[order[starts]]
+        return pd.DataFrame({"bin": items["bin"], "to": name[to], "base": base, "fill": fill[to]})
 
     return run
 
@@ -121,27 +118,38 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY,
     stay null; the added token's string is its one id, as the tokenizer has it; an empty table gives no rows; extra columns are not read.
 
     Scale: the text is read once and never shuffled. Piece numbers are fixed in the stored table of pieces before
-    anything is dealt by them, so that a lost executor's work comes out the same. A group's size does not
-    depend on any key, and a task holds five numbers for each of its pieces.
+    anything is dealt by them, so that a lost executor's work comes out the same. A round moves bins as rows of number
+    and size, whatever they hold; pieces join their places once, at the end. A group's size does not depend on any key.
     """
     spark = docs.sparkSession
     pieces = tokenized(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), tokenizer, capacity)
     stored = cut(pieces.withColumn("bin", F.monotonically_increasing_id()))
-    done = stored.where(F.col("length") >= capacity - slack).withColumn("offset", F.lit(0).cast("long"))
-    open_ = stored.where(F.col("length") < capacity - slack).withColumn("offset", F.lit(0).cast("long"))
-    schema = f"{PIECES}, bin long, offset long, done boolean"
-    left = open_.count()
+    full = F.col("length") >= capacity - slack
+    left = stored.where(~full).count()
+    open_ = stored.where(~full).select("bin", F.col("length").alias("size"))
+    # the place of each piece's own bin among the bins of the last round, as long as there are further ones
+    placed: DataFrame | None = None
+    ended: list[DataFrame] = []
     while left:
         groups = max(1, -(-left // group))
         bucket = F.pmod(F.xxhash64("bin", F.lit(groups)), F.lit(groups))
-        packed = cut(open_.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(_round(capacity, slack), schema))
-        done = done.unionByName(packed.where("done").drop("done"))
-        open_ = packed.where("not done").drop("done")
-        before, left = left, open_.select("bin").distinct().count()
+        moved = cut(open_.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(_round(capacity, slack), "bin long, to long, base long, fill long"))
+        if placed is None:
+            placed = moved.select("bin", "to", F.col("base").alias("offset"), "fill")
+        else:
+            step = moved.select(F.col("bin").alias("from"), F.col("to").alias("next"), "base", F.col("fill").alias("filled"))
+            placed = cut(placed.join(step, F.col("to") == F.col("from")).select("bin", F.col("next").alias("to"), (F.col("offset") + F.col("base")).alias("offset"), F.col("filled").alias("fill")))
+        open_ = moved.where(F.col("fill") < capacity - slack).groupBy(F.col("to").alias("bin")).agg(F.first("fill").alias("size"))
+        before, left = left, open_.count()
         if groups == 1 or left > 0.99 * before:
-            done = done.unionByName(open_)
-            break
-    return done.withColumnRenamed("bin", "sequence_id").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+            left = 0
+        ended.append(placed if not left else placed.where(F.col("fill") >= capacity - slack))
+        placed = placed.where(F.col("fill") < capacity - slack)
+    whole = stored.where(full).withColumn("sequence_id", F.col("bin")).withColumn("offset", F.lit(0).cast("long"))
+    if ended:
+        places = reduce(DataFrame.unionByName, ended).select(F.col("bin").alias("own"), F.col("to").alias("sequence_id"), "offset")
+        whole = whole.unionByName(stored.where(~full).join(places, F.col("bin") == F.col("own")).drop("own"))
+    return whole.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,5 +158,8 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the sequences that the kept documents make."""
+    """Pipeline stage: the sequences that the kept documents make.
+
+    Null and empty texts are their end alone; each of repeated rows is packed; null ids stay null; an empty table gives
+    no rows; other columns are not read."""
     return pack(docs)
