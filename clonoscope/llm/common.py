@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a row group of written(), which a task holds in memory.
+ROW_GROUP = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` below `sf_dir`, read by Spark so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,7 +39,7 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """As cut(), but as Parquet, which takes less room where rows are many and narrow. The files stay."""
     path = f"{_folder(df.sparkSession).rstrip('/')}/{uuid.uuid4()}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonoscope.llm.common import cut, table
+from clonoscope.llm.common import cut, table, written
 from clonoscope.llm.words import hashed
 
 #: Counts are stored as levels: 1 + floor(log(count) / log(BASE)).
@@ -24,7 +24,7 @@ ROOM, LEAST_BYTES = 2.0, 1 << 16
 #: Bytes of a shard of the filter (a power of two), and of a filter whose shards a task keeps once it has read them.
 SHARD, KEPT = 1 << 24, 1 << 26
 #: Tokens that are probed at a time, as each time reads the shards of a larger filter.
-TURN = 1_000_000
+TURN = 500_000
 #: Weight of the bigram estimate, and the prior mass, in words, that it gives the single-word estimate.
 WEIGHT, PRIOR = 0.4, 5.0
 #: Words whose exact counts are told to the workers; others' are joined.
@@ -140,19 +140,16 @@ def _trained(texts: DataFrame) -> DataFrame:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (order 1) and bigrams (order 2), summed within the task as far as its memory allows."""
+    """Counts of words, and of bigrams below 0 (which spares a column of the widest table), summed within the task as
+    far as its memory allows."""
     held: dict[int, list[np.ndarray]] = {1: [], 2: []}
     rows = 0
 
     def flush() -> pa.RecordBatch:
         parts = [(k, *np.unique(np.concatenate(v), return_counts=True)) for k, v in held.items()]
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([np.full(len(h), k, dtype=np.int32) for k, h, _ in parts])),
-                pa.array(np.concatenate([h for _, h, _ in parts]).view(np.int64)),
-                pa.array(np.concatenate([c for _, _, c in parts]).astype(np.int64)),
-            ],
-            names=["order", "h", "c"],
+            [pa.array(np.concatenate([h for _, h, _ in parts]).view(np.int64)), pa.array(np.concatenate([c if k == 1 else -c for k, _, c in parts]).astype(np.int64))],
+            names=["h", "n"],
         )
 
     for _, words, bounds in hashed(batches):
@@ -281,9 +278,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     texts = _texts(docs, id_col, text_col)
     part = F.shiftrightunsigned("h", 20) % PARTS
-    summed = _trained(texts).mapInArrow(_counted, "order int, h long, c long").withColumn("part", part).repartition("part").groupBy("part", "order", "h").agg(F.sum("c").alias("c"))
-    # bigrams' counts are kept below 0, which spares a column of the widest table
-    signed = cut(summed.select("h", F.when(F.col("order") == 1, F.col("c")).otherwise(-F.col("c")).alias("n")))
+    summed = _trained(texts).mapInArrow(_counted, "h long, n long").withColumn("part", part).repartition("part").groupBy("part", "h", F.col("n") > 0).agg(F.sum("n").alias("n"))
+    signed = written(summed.select("h", "n"))
     words = signed.where("n > 0").select("h", F.col("n").alias("c"))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     exact = _told(words, told)
