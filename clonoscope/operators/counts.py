@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clonoscope.operators.order import numbered
+
 
 def labelled(rep: DataFrame, meta: DataFrame) -> DataFrame:
     """Rows of labelled repertoires; metadata is one row a repertoire and joins by key."""
@@ -83,3 +85,27 @@ def with_label(ids: DataFrame, meta: DataFrame) -> DataFrame:
 def full_outer_counts(pos: DataFrame, neg: DataFrame) -> DataFrame:
     """Keys of either side with both counts."""
     return pos.join(neg, "junction_aa", "full").select("junction_aa", F.coalesce("pos_count", F.lit(0)).alias("pos_count"), F.coalesce("neg_count", F.lit(0)).alias("neg_count"))
+
+
+def vocabulary_index(vocabulary: DataFrame, key: str = "junction_aa") -> DataFrame:
+    """A sorted vocabulary with places from 0."""
+    return numbered(vocabulary.select(key).distinct(), [F.asc(key)]).withColumn("place", F.col("place") - 1)
+
+
+def vocabulary_diagnostics(rep: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """One row: occurrences of vocabulary sequences, repertoires and sequences that have one, and the vocabulary's size."""
+    hits = rep.join(vocabulary, "junction_aa", "left_semi").groupBy("repertoire_id", "junction_aa").agg(F.count("*").alias("n"))
+    found = hits.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("occurrences"), F.count_distinct("repertoire_id").alias("repertoires"), F.count_distinct("junction_aa").alias("sequences"))
+    return found.crossJoin(F.broadcast(vocabulary.agg(F.count("*").alias("vocabulary"))))
+
+
+def prioritised(rep: DataFrame, meta: DataFrame, chunk: int = 40, enough: int = 70_000, least: int = 3) -> DataFrame:
+    """Sequences with the chunk of repertoires in which they are first seen: positives first, then by id, so many at a
+    time, up to the chunk with which more than `enough` distinct sequences have been seen."""
+    order = numbered(meta.withColumn("after", (~F.col("label_positive")).cast("int")), [F.asc("after"), F.asc("repertoire_id")])
+    dealt = order.select("repertoire_id", F.floor((F.col("place") - 1) / chunk).alias("chunk"))
+    first = rep.where(F.length("junction_aa") >= least).join(dealt, "repertoire_id").groupBy("junction_aa").agg(F.min("chunk").alias("chunk"))
+    # one row a chunk
+    seen = first.groupBy("chunk").agg(F.count("*").alias("n")).withColumn("seen", F.sum("n").over(Window.orderBy("chunk")))
+    last = seen.agg(F.coalesce(F.min(F.when(F.col("seen") > enough, F.col("chunk"))), F.max("chunk")).alias("last"))
+    return first.crossJoin(F.broadcast(last)).where("chunk <= last").drop("last")

@@ -35,11 +35,12 @@ def clone_diversity(rep: DataFrame, key: str = "junction_aa") -> DataFrame:
 
 
 def gini(rows: DataFrame, value: str) -> DataFrame:
-    """Gini coefficient of values per repertoire."""
-    w = Window.partitionBy("repertoire_id")
-    ranked = rows.select("repertoire_id", F.col(value).cast("double").alias("x")).withColumn("i", F.row_number().over(w.orderBy("x")))
-    n = F.count("*")
-    return ranked.groupBy("repertoire_id").agg((2 * F.sum(F.col("i") * F.col("x")) / F.nullif(n * F.sum("x"), F.lit(0.0)) - (n + 1) / n).alias("gini"))
+    """Gini coefficient of values per repertoire. Equal values are counted first, so that the ordered step holds
+    distinct ones; c of them up to the place e sum their places to c e - c (c - 1) / 2."""
+    counts = rows.select("repertoire_id", F.col(value).cast("double").alias("x")).where("x is not null").groupBy("repertoire_id", "x").agg(F.count("*").alias("c"))
+    ranked = counts.withColumn("e", F.sum("c").over(Window.partitionBy("repertoire_id").orderBy("x")))
+    places, n, total = F.col("c") * F.col("e") - F.col("c") * (F.col("c") - 1) / 2, F.sum("c"), F.sum(F.col("c") * F.col("x"))
+    return ranked.groupBy("repertoire_id").agg((2 * F.sum(places * F.col("x")) / F.nullif(n * total, F.lit(0.0)) - (n + 1) / n).alias("gini"))
 
 
 def moments(rows: DataFrame, value: Column) -> DataFrame:
@@ -82,9 +83,10 @@ def sequence_composition(seqs: DataFrame) -> DataFrame:
 
 
 def physchem(rep: DataFrame) -> DataFrame:
-    """Mean, deviation and median over sequences of the mean hydropathy and charge of their residues."""
-    rows = rep.select("repertoire_id", S.mean_property(F.col("junction_aa"), S.HYDROPATHY).alias("h"), S.mean_property(F.col("junction_aa"), S.CHARGE).alias("q"))
-    return rows.groupBy("repertoire_id").agg(*[f(c).alias(f"{name}_{stat}") for c, name in (("h", "hydropathy"), ("q", "charge")) for f, stat in ((F.avg, "mean"), (F.stddev_pop, "std"), (F.median, "median"))])
+    """Mean, deviation and median over sequences of the mean hydropathy, charge and polarity of their residues."""
+    kinds = {"hydropathy": S.HYDROPATHY, "charge": S.CHARGE, "polarity": S.POLARITY}
+    rows = rep.select("repertoire_id", *[S.mean_property(F.col("junction_aa"), v).alias(n) for n, v in kinds.items()])
+    return rows.groupBy("repertoire_id").agg(*[f(n).alias(f"{n}_{stat}") for n in kinds for f, stat in ((F.avg, "mean"), (F.stddev_pop, "std"), (F.median, "median"))])
 
 
 def gene_usage(rep: DataFrame, gene: str, top: int) -> DataFrame:
@@ -100,6 +102,39 @@ def gene_diversity(rep: DataFrame, gene: str) -> DataFrame:
     return counts.groupBy("repertoire_id").agg(entropy(F.col("p")).alias(f"{gene}_entropy"), F.count("*").alias(f"{gene}_unique"), F.max("p").alias(f"{gene}_top"))
 
 
+#: Of each gene kind the column, how many genes are features by themselves, and the sums of top shares.
+GENE_KINDS = {"v": ("v_call", 50, (1, 5, 10)), "j": ("j_call", 30, (1, 5, 10)), "d": ("d_call", 20, (1, 5))}
+
+
+def gene_features(rep: DataFrame) -> DataFrame:
+    """Long features (repertoire_id, feature, value) of V, J and D usage: shares of all rows for the most used genes,
+    the entropy of gene counts, distinct genes, their share of rows, and the most used genes' shares together."""
+    kinds = {k: v for k, v in GENE_KINDS.items() if v[0] in rep.columns}
+    each = rep.select("repertoire_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("gene")) for k, (c, _, _) in kinds.items()])).alias("x"))
+    counts = each.groupBy("repertoire_id", "x.kind", "x.gene").agg(F.count("*").alias("cnt"))
+    w = Window.partitionBy("repertoire_id", "kind")
+    share = counts.withColumn("rows", F.sum("cnt").over(w)).where("gene is not null")
+    ranked = share.withColumn("k", F.row_number().over(w.orderBy(F.desc("cnt"), "gene"))).withColumn("own", F.col("cnt") / F.sum("cnt").over(w)).withColumn("p", F.col("cnt") / F.col("rows"))
+    most = F.element_at(F.create_map(*[F.lit(x) for k, (_, n, _) in kinds.items() for x in (k, n)]), F.col("kind"))
+    genes = ranked.where(F.col("k") <= most).select("repertoire_id", F.concat("kind", F.lit("_freq_"), "gene").alias("feature"), F.col("p").alias("value"))
+    tops = lambda n: F.sum(F.when(F.col("k") <= n, F.col("p")).otherwise(0.0))
+    sums = ranked.groupBy("repertoire_id", "kind").agg(
+        entropy(F.col("own")).alias("entropy"), F.count("*").cast("double").alias("unique_count"), (F.count("*") / F.first("rows")).alias("diversity"),
+        tops(1).alias("top1_freq"), tops(5).alias("top5_freq"), tops(10).alias("top10_freq"),
+    )
+    names = ("entropy", "unique_count", "diversity", "top1_freq", "top5_freq", "top10_freq")
+    long = sums.select("repertoire_id", "kind", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(n).alias("v")) for n in names])).alias("x"))
+    kept = long.where((F.col("kind") != "d") | (F.col("x.n") != "top10_freq")).select("repertoire_id", F.concat_ws("_", "kind", "x.n").alias("feature"), F.col("x.v").alias("value"))
+    return genes.unionByName(kept)
+
+
+def pinned(features: DataFrame, names: list[str]) -> DataFrame:
+    """Long features as one row a repertoire with exactly the columns `names`, in their order; what is missing is 0."""
+    known = features.where(F.col("feature").isin(names)).groupBy("repertoire_id").pivot("feature", names).agg(F.first("value"))
+    whole = features.select("repertoire_id").distinct().join(known, "repertoire_id", "left")
+    return whole.select("repertoire_id", *[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)).alias(n) for n in names])
+
+
 def template_stats(rep: DataFrame) -> DataFrame:
     x = F.col("templates").cast("double")
     return rep.groupBy("repertoire_id").agg(F.sum("templates").alias("total"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_pop(x).alias("std"), F.var_pop(x).alias("var"), F.min("templates").alias("min"), F.max("templates").alias("max"))

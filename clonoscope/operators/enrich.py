@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clonoscope.functions import sequence as S
@@ -16,12 +16,17 @@ def class_sizes(meta: DataFrame) -> DataFrame:
 
 def pattern_counts(rows: DataFrame, ks: tuple[int, ...], gaps: bool = False) -> DataFrame:
     """Rows of each (repertoire, k, kmer) with how often it occurs. Equal sequences of a repertoire are counted once
-    and weighed, so that windows are cut for distinct sequences only."""
+    and weighed, so that windows are cut for distinct sequences only; each place of a sequence gives its windows of
+    all k at once. A gap takes one more letter, so a pattern's length without its dot is its k."""
     seqs = rows.groupBy("repertoire_id", "label_positive", "junction_aa").agg(F.count("*").alias("w"))
-    cut = S.kmers_with_gap if gaps else S.kmers
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), cut(F.col("junction_aa"), k).alias("kmers")) for k in ks]))
-    long = seqs.select("repertoire_id", "label_positive", "w", each.alias("x")).select("repertoire_id", "label_positive", "w", "x.k", F.explode("x.kmers").alias("kmer"))
-    return long.groupBy("repertoire_id", "label_positive", "k", "kmer").agg(F.sum("w").alias("cnt"))
+    long = seqs.select("repertoire_id", "label_positive", "w", F.explode(windows(F.col("junction_aa"), ks, gaps)).alias("kmer"))
+    counts = long.groupBy("repertoire_id", "label_positive", "kmer").agg(F.sum("w").alias("cnt"))
+    return counts.select("repertoire_id", "label_positive", (F.length("kmer") - F.contains("kmer", F.lit(".")).cast("int")).alias("k"), "kmer", "cnt")
+
+
+def windows(s: Column, ks: tuple[int, ...], gaps: bool = False) -> Column:
+    """All k-mers of a sequence, for all k; if asked with those with a gap in the middle, from four letters on."""
+    return F.concat(*[(S.kmers_with_gap if gaps else S.kmers)(s, k) for k in ks])
 
 
 def pattern_presence(counts: DataFrame) -> DataFrame:
@@ -56,13 +61,23 @@ def select_strict(counts: DataFrame, sizes: DataFrame, least: int = 5, fold: flo
     return with_fisher(cand).where(F.col("p_value") <= p).withColumn("place", k).where(F.col("place") <= top).select("k", "kmer", "a", "b", "fold", "p_value")
 
 
-def select_fdr(counts: DataFrame, sizes: DataFrame, least: int = 3, fold: float = 2.0, fdr: float = 0.05, top: int = 10_000) -> DataFrame:
-    """Patterns by raw fold change, false discovery rate among those, and the best by combined score."""
+def fdr_scored(counts: DataFrame, sizes: DataFrame, least: int = 3, fold: float = 2.0) -> DataFrame:
+    """Patterns by raw fold change, with adjusted p-values among those and their place by combined score in their k."""
     cand = pattern_presence(counts).crossJoin(F.broadcast(sizes)).where((F.col("a") + F.col("b") >= least) & (F.col("a") >= 1))
     cand = with_fisher(cand.withColumn("fold", stats.fold_change_raw(F.col("a"), F.col("b"), F.col("n_pos"), F.col("n_neg"))).where(F.col("fold") >= fold))
     cand = benjamini_hochberg(cand, by=("k",)).withColumn("combined", -F.log10(F.col("p_value") + 1e-10) * F.col("fold") * F.log1p(F.col("pos_abundance").cast("double")))
-    k = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("combined"), "p_value", F.desc("pos_abundance"), "kmer"))
-    return cand.withColumn("place", k).where((F.col("place") <= top) & (F.col("p_adjusted") <= fdr)).select("k", "kmer", "a", "b", "p_value", "p_adjusted", "pos_abundance")
+    k = F.row_number().over(Window.partitionBy("k").orderBy(F.desc(F.round("combined", 6)), F.round("p_value", 10), F.desc("pos_abundance"), "kmer"))
+    return cand.withColumn("place", k)
+
+
+def select_fdr(counts: DataFrame, sizes: DataFrame, least: int = 3, fold: float = 2.0, fdr: float = 0.05, top: int = 10_000) -> DataFrame:
+    """Patterns by raw fold change, false discovery rate among those, and the best by combined score."""
+    return fdr_scored(counts, sizes, least, fold).where((F.col("place") <= top) & (F.col("p_adjusted") <= fdr)).select("k", "kmer", "a", "b", "p_value", "p_adjusted", "pos_abundance")
+
+
+def fdr_report(scored: DataFrame, top: int = 10_000, fdr: float = 0.05, shown: int = 100) -> DataFrame:
+    """The best patterns of each k by combined score, and whether the selection takes them."""
+    return scored.where(F.col("place") <= shown).select("k", "kmer", "place", "p_adjusted", ((F.col("place") <= top) & (F.col("p_adjusted") <= fdr)).alias("selected"))
 
 
 def chi2_scores(presence: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
@@ -83,27 +98,30 @@ def log_fold_total(sums: DataFrame) -> DataFrame:
 
 
 def pattern_features(counts: DataFrame, patterns: DataFrame, ids: DataFrame, ks: tuple[int, ...]) -> DataFrame:
-    """Per repertoire and k: matched patterns, their abundance, entropy, maximum and mean, and their share of all
-    k-mers; repertoires without a match have zeros."""
+    """Per repertoire and k: matched patterns, their abundance, entropy, maximum and mean, and both as shares of all
+    windows; repertoires without a match have zeros."""
     k_total = counts.groupBy("repertoire_id", "k").agg(F.count("*").alias("n_kmers"), F.sum("cnt").alias("total"))
     hits = counts.join(patterns.select("k", "kmer"), ["k", "kmer"])
     p = F.col("cnt") / F.sum("cnt").over(Window.partitionBy("repertoire_id", "k"))
     per = hits.withColumn("p", p).groupBy("repertoire_id", "k").agg(
-        F.count("*").alias("count"), F.sum("cnt").alias("abundance"), (0 - F.sum(F.col("p") * F.ln("p"))).alias("diversity"), F.max("cnt").alias("max"), F.avg("cnt").alias("mean")
+        F.count("*").alias("count"), F.sum("cnt").alias("abundance"), (0 - F.sum(F.col("p") * F.ln(F.col("p") + 1e-10))).alias("diversity"), F.max("cnt").alias("max"), F.avg("cnt").alias("mean")
     )
     full = ids.select("repertoire_id", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
     names = ("count", "abundance", "diversity", "max", "mean", "n_kmers", "total")
     zero = full.join(k_total, ["repertoire_id", "k"], "left").join(per, ["repertoire_id", "k"], "left").na.fill(0, list(names))
-    return zero.withColumn("ratio", F.col("count") / (F.col("n_kmers") + 1e-10)).withColumn("abundance_ratio", F.col("abundance") / (F.col("total") + 1e-10))
+    return zero.withColumn("ratio", F.col("count") / (F.col("total") + 1e-10)).withColumn("abundance_ratio", F.col("abundance") / (F.col("total") + 1e-10))
 
 
 def widened(features: DataFrame, ks: tuple[int, ...]) -> DataFrame:
-    """The long features as one row a repertoire, with ratios between k and sums over them."""
-    cols = ("count", "abundance", "diversity", "max", "mean", "ratio", "abundance_ratio")
-    wide = features.groupBy("repertoire_id").agg(*[F.sum(F.when(F.col("k") == k, F.col(c)).otherwise(0)).alias(f"pattern{k}_{c}") for k in ks for c in cols])
+    """The long features as one row a repertoire: seven a k, their sums over k, ratios between k, and counts by a
+    thousand windows of the first k; 30 columns for three k."""
+    cols = {"count": "count", "abundance": "abundance", "diversity": "diversity", "max": "max_abundance", "mean": "mean_abundance", "ratio": "ratio", "abundance_ratio": "abundance_ratio"}
+    of = lambda k, c: F.sum(F.when(F.col("k") == k, F.col(c)).otherwise(0))
+    wide = features.groupBy("repertoire_id").agg(*[of(k, c).alias(f"pattern{k}_{n}") for k in ks for c, n in cols.items()], of(ks[0], "total").alias("windows"))
     pairs = [(a, b) for i, a in enumerate(ks) for b in ks[i + 1 :]]
     return wide.select(
-        "*",
-        *[((F.col(f"pattern{a}_count") + 1e-10) / (F.col(f"pattern{b}_count") + 1e-10)).alias(f"ratio_{a}_{b}") for a, b in pairs],
-        *[sum((F.col(f"pattern{k}_{c}") for k in ks[1:]), F.col(f"pattern{ks[0]}_{c}")).alias(f"all_{c}") for c in ("count", "abundance")],
+        *[c for c in wide.columns if c != "windows"],
+        *[sum((F.col(f"pattern{k}_{c}") for k in ks[1:]), F.col(f"pattern{ks[0]}_{c}")).alias(f"pattern_all_{c}") for c in ("count", "abundance", "diversity")],
+        *[((F.col(f"pattern{a}_count") + 1e-10) / (F.col(f"pattern{b}_count") + 1e-10)).alias(f"pattern{a}_to_{b}_ratio") for a, b in pairs],
+        *[(F.col(f"pattern{k}_count") * 1000 / (F.col("windows") + 1)).alias(f"pattern{k}_count_per_1k") for k in ks],
     )

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clonoscope.operators.order import running
+
 
 def standard_scaled(rows: DataFrame, *columns: str) -> DataFrame:
     """Population z-scores; a constant column becomes 0."""
@@ -22,13 +24,11 @@ def robust_scaled(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def curve(scored: DataFrame) -> DataFrame:
-    """Per distinct score, from the highest: rows and positives so far, and in all. Counts are taken before the
-    ordered step, which so holds distinct scores only."""
+    """Per distinct score, from the highest: rows and positives so far, and in all. Scores are dealt by range, so no
+    task holds them all; the totals are one row."""
     per = scored.groupBy("score").agg(F.count("*").alias("n"), F.sum("label").alias("p"))
-    down = Window.orderBy(F.desc("score"))
-    return per.select(
-        "score", "n", "p", F.sum("n").over(down).alias("n_to"), F.sum("p").over(down).alias("p_to"), F.sum("n").over(Window.partitionBy()).alias("n_all"), F.sum("p").over(Window.partitionBy()).alias("p_all")
-    )
+    summed = running(per, [F.desc("score")], {"n_to": F.col("n"), "p_to": F.col("p")})
+    return summed.crossJoin(F.broadcast(summed.agg(F.sum("n").alias("n_all"), F.sum("p").alias("p_all"))))
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:
@@ -69,9 +69,38 @@ def confusion(scored: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def positive_probability(negative: Column, positive: Column) -> Column:
+    """The softmax of two logits, its second part."""
+    return 1 / (1 + F.exp(negative - positive))
+
+
+def classification_report(scored: DataFrame, threshold: float) -> DataFrame:
+    """Precision, recall, F1 and support of each class at a threshold, then their plain and weighted means."""
+    safe = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
+    guess = (F.col("score") >= threshold).cast("int")
+    by = scored.select(F.col("label").cast("int").alias("y"), guess.alias("z")).groupBy("y", "z").agg(F.count("*").alias("n"))
+    each = by.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.when((F.col("y") == k) & (F.col("z") == k), F.col("n")).otherwise(0).alias("hit"), F.when(F.col("z") == k, F.col("n")).otherwise(0).alias("said"), F.when(F.col("y") == k, F.col("n")).otherwise(0).alias("is")) for k in (0, 1)])).alias("x"))
+    per = each.groupBy("x.k").agg(F.sum("x.hit").alias("hit"), F.sum("x.said").alias("said"), F.sum("x.is").alias("support"))
+    rates = per.select(F.col("k").cast("string").alias("class"), safe(F.col("hit"), F.col("said")).alias("precision"), safe(F.col("hit"), F.col("support")).alias("recall"), safe(2 * F.col("hit"), F.col("said") + F.col("support")).alias("f1"), "support")
+    names = ("precision", "recall", "f1")
+    macro = rates.agg(*[F.avg(n).alias(n) for n in names], F.sum("support").alias("support")).select(F.lit("macro avg").alias("class"), *names, "support")
+    weighted = rates.agg(*[safe(F.sum(F.col(n) * F.col("support")), F.sum("support")).alias(n) for n in names], F.sum("support").alias("support")).select(F.lit("weighted avg").alias("class"), *names, "support")
+    return rates.unionByName(macro).unionByName(weighted)
+
+
+def progress(history: DataFrame, run: str, step: str, metric: str, seconds: str, window: int = 10) -> DataFrame:
+    """Per run and step of a training history: the mean seconds of the last `window` steps, the best metric so far, and
+    how many steps have passed since it was reached (patience)."""
+    by = Window.partitionBy(run).orderBy(step)
+    best = history.withColumn("best", F.max(metric).over(by)).withColumn("mean_seconds", F.avg(seconds).over(by.rowsBetween(1 - window, 0))).withColumn("n", F.row_number().over(by))
+    before = F.lag("best").over(by)
+    risen = best.withColumn("at", F.when(before.isNull() | (F.col("best") > before), F.col("n")))
+    return risen.withColumn("waited", F.col("n") - F.max("at").over(by)).select(run, step, "best", "mean_seconds", "waited")
+
+
 def rank_scaled(scored: DataFrame, key: str) -> DataFrame:
     """Places from 0 to 1 by score, equal scores alike."""
-    per = scored.groupBy("score").agg(F.count("*").alias("n"))
-    up = Window.orderBy("score")
-    place = per.select("score", ((F.sum("n").over(up) - F.col("n")) / F.greatest(F.sum("n").over(Window.partitionBy()) - 1, F.lit(1))).alias("rank_scaled"))
+    per = running(scored.groupBy("score").agg(F.count("*").alias("n")), [F.asc("score")], {"to": F.col("n")})
+    whole = per.agg(F.sum("n").alias("n_all"))
+    place = per.crossJoin(F.broadcast(whole)).select("score", ((F.col("to") - F.col("n")) / F.greatest(F.col("n_all") - 1, F.lit(1))).alias("rank_scaled"))
     return scored.join(place, "score").select(key, "rank_scaled")

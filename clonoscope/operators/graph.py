@@ -2,27 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clonoscope.functions import sequence as S
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def knn(nodes: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """The k nearest other nodes of each node inside its repertoire, exact, with rank and distance.
-
-    The join is by repertoire; vectors are normed once before it. Graphs are per repertoire, whose nodes have been
-    downsampled to a fixed size before."""
-    unit = nodes.withColumn("x", F.transform("x", lambda v: v / F.sqrt(dot(F.col("x"), F.col("x"))))) if metric == "cosine" else nodes
-    a, b = unit.select("repertoire_id", F.col("node_id").alias("src"), F.col("x").alias("xa")), unit.select("repertoire_id", F.col("node_id").alias("dst"), F.col("x").alias("xb"))
-    if metric == "cosine":
-        d = 1 - dot(F.col("xa"), F.col("xb"))
-    else:
-        d = F.sqrt(F.aggregate(F.zip_with("xa", "xb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
-    pairs = a.join(b, "repertoire_id").where("src <> dst").select("repertoire_id", "src", "dst", F.round(d, 6).alias("distance"))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("repertoire_id", "src").orderBy("distance", "dst"))).where(F.col("rank") <= k)
+#: Nodes of a block; two blocks' distances are one matrix product.
+BLOCK = 1024
+
+
+def _nearest(k: int, metric: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The k nearest of one block for each node of another."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        src, dst = rows[rows["asks"]].sort_values("node_id"), rows[~rows["asks"]].sort_values("node_id")
+        if not len(src) or not len(dst):
+            return pd.DataFrame({"repertoire_id": rows["repertoire_id"][:0], "src": rows["node_id"][:0], "dst": rows["node_id"][:0], "distance": np.empty(0)})
+        a, b = np.stack(src["x"].to_numpy()), np.stack(dst["x"].to_numpy())
+        if metric == "cosine":
+            d = 1 - a @ b.T
+        else:
+            d = np.sqrt(np.stack([((b - v) ** 2).sum(axis=1) for v in a]))
+        d = np.round(d, 6)
+        i, j = src["node_id"].to_numpy(), dst["node_id"].to_numpy()
+        d[i[:, None] == j[None, :]] = np.inf
+        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+        out = pd.DataFrame({"repertoire_id": rows["repertoire_id"].iloc[0], "src": np.repeat(i, near.shape[1]), "dst": j[near].ravel(), "distance": np.take_along_axis(d, near, axis=1).ravel()})
+        return out[np.isfinite(out["distance"])]
+
+    return run
+
+
+def knn(nodes: DataFrame, k: int, metric: str = "cosine", block: int = BLOCK) -> DataFrame:
+    """The k nearest other nodes of each node inside its repertoire, exact, with rank and distance (cosine or l2, to
+    six places; ties by node).
+
+    A repertoire's nodes are dealt into blocks of about `block`, and each pair of blocks is one task's matrix product,
+    of which the k nearest are kept; so a node brings k rows for each block, and a task never holds a whole large
+    repertoire."""
+    if metric not in ("cosine", "l2"):
+        raise ValueError(f"unknown metric: {metric}")
+    norm = F.sqrt(dot(F.col("x"), F.col("x")))
+    unit = nodes.select("repertoire_id", "node_id", (F.transform("x", lambda v: v / norm) if metric == "cosine" else F.col("x")).alias("x"))
+    sizes = nodes.groupBy("repertoire_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node_id"), F.col("blocks")).cast("int")
+    dealt = unit.join(sizes, "repertoire_id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sides = F.explode(F.array(F.struct(F.lit(True).alias("asks"), F.col("own").alias("i"), F.col("other").alias("j")), F.struct(F.lit(False).alias("asks"), F.col("other").alias("i"), F.col("own").alias("j"))))
+    both = dealt.select("repertoire_id", "node_id", "x", sides.alias("s")).select("repertoire_id", "node_id", "x", "s.asks", "s.i", "s.j")
+    kinds = dict(nodes.dtypes)
+    schema = f"repertoire_id {kinds['repertoire_id']}, src {kinds['node_id']}, dst {kinds['node_id']}, distance double"
+    near = both.groupBy("repertoire_id", "i", "j").applyInPandas(_nearest(k, metric), schema)
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("repertoire_id", "src").orderBy("distance", "dst"))).where(F.col("rank") <= k)
 
 
 def edges(neighbours: DataFrame) -> DataFrame:
@@ -31,10 +70,11 @@ def edges(neighbours: DataFrame) -> DataFrame:
     return neighbours.select("repertoire_id", "src", "dst", w).unionByName(neighbours.select("repertoire_id", F.col("dst").alias("src"), F.col("src").alias("dst"), w))
 
 
-def degrees(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Multigraph degree and its share of the n - 1 others."""
+def degrees(nodes: DataFrame, links: DataFrame, halved: bool = False) -> DataFrame:
+    """Multigraph degree and its share of the n - 1 others. `halved` counts an edge once for both of its ends, as for
+    graphs of one neighbour or very many nodes."""
     n = nodes.groupBy("repertoire_id").agg(F.count("*").alias("n"))
-    deg = links.groupBy("repertoire_id", F.col("src").alias("node_id")).agg(F.count("*").alias("deg"))
+    deg = links.groupBy("repertoire_id", F.col("src").alias("node_id")).agg((F.count("*") / 2 if halved else F.count("*")).alias("deg"))
     all_ = nodes.select("repertoire_id", "node_id").join(deg, ["repertoire_id", "node_id"], "left").na.fill(0, ["deg"])
     return all_.join(n, "repertoire_id").select("repertoire_id", "node_id", "deg", (F.col("deg") / F.greatest(F.col("n") - 1, F.lit(1))).alias("degree_centrality"))
 
@@ -70,3 +110,62 @@ def propagated(nodes: DataFrame, links: DataFrame) -> DataFrame:
     sent = links.join(nodes.select("repertoire_id", F.col("node_id").alias("dst"), "x"), ["repertoire_id", "dst"]).select("repertoire_id", F.col("src").alias("node_id"), "x")
     every = sent.unionByName(nodes.select("repertoire_id", "node_id", "x"))
     return every.select("repertoire_id", "node_id", F.posexplode("x").alias("dim", "v")).groupBy("repertoire_id", "node_id", "dim").agg(F.avg("v").alias("mean"))
+
+
+def convolved(nodes: DataFrame, links: DataFrame, how: str = "gcn") -> DataFrame:
+    """One step of message passing, long by dimension, with each node its own neighbour too: `gcn` weighs a neighbour
+    by 1 / sqrt(d d'), d being degrees with the node itself; `sum` adds; `mean` divides by d; `max` takes the largest."""
+    loops = nodes.select("repertoire_id", F.col("node_id").alias("src"), F.col("node_id").alias("dst"))
+    whole = links.select("repertoire_id", "src", "dst").unionByName(loops)
+    deg = whole.groupBy("repertoire_id", "src").agg(F.count("*").alias("d"))
+    vectors = nodes.select("repertoire_id", F.col("node_id").alias("dst"), "x").join(deg.select("repertoire_id", F.col("src").alias("dst"), F.col("d").alias("d2")), ["repertoire_id", "dst"])
+    sent = whole.join(vectors, ["repertoire_id", "dst"]).join(deg, ["repertoire_id", "src"])
+    parts = sent.select("repertoire_id", F.col("src").alias("node_id"), "d", "d2", F.posexplode("x").alias("dim", "v"))
+    value = {"gcn": F.sum(F.col("v") / F.sqrt(F.col("d") * F.col("d2"))), "sum": F.sum("v"), "mean": F.avg("v"), "max": F.max("v")}[how]
+    return parts.groupBy("repertoire_id", "node_id", "dim").agg(value.alias("value"))
+
+
+def as_nodes(long: DataFrame, value: str = "value") -> DataFrame:
+    """Long dimensions as vectors again."""
+    ordered = F.array_sort(F.collect_list(F.struct("dim", value)))
+    return long.groupBy("repertoire_id", "node_id").agg(F.transform(ordered, lambda d: d[value]).alias("x"))
+
+
+def node_features(nodes: DataFrame, links: DataFrame, clustering_below: int = 10, k: int = 30) -> DataFrame:
+    """Per node one vector: share of its repertoire's rows, length, shares of the 20 amino acids, centralities (degree,
+    two constants 0 that stand for eigenvector and page rank, clustering, which is 0 from `clustering_below` neighbours
+    on), neighbour density and its embedding. `nodes` has junction_aa, cnt and x."""
+    s = F.col("junction_aa")
+    share = F.col("cnt") / F.sum("cnt").over(Window.partitionBy("repertoire_id"))
+    letters = F.transform(S.letter_counts(s), lambda c: c / F.greatest(F.length(s), F.lit(1)))
+    base = nodes.select("repertoire_id", "node_id", F.array(share.cast("double"), F.length(s).cast("double")).alias("own"), letters.alias("letters"), "x")
+    deg = degrees(nodes, links).select("repertoire_id", "node_id", "degree_centrality")
+    dense = neighbour_density(nodes, links)
+    whole = base.join(deg, ["repertoire_id", "node_id"]).join(dense, ["repertoire_id", "node_id"])
+    if k < clustering_below:
+        whole = whole.join(clustering(nodes, links), ["repertoire_id", "node_id"])
+    else:
+        whole = whole.withColumn("clustering", F.lit(0.0))
+    centrality = F.array("degree_centrality", F.lit(0.0), F.lit(0.0), "clustering")
+    return whole.select("repertoire_id", "node_id", F.concat("own", "letters", centrality, F.array("density"), "x").alias("x"))
+
+
+def sequence_nodes(rep: DataFrame, embed: Callable[[Column], Column] = S.hashed_embedding) -> DataFrame:
+    """Nodes of repertoires: each distinct sequence once, with its rows and its embedding. `embed` is any function of
+    a sequence column, such as a pandas UDF around a trained model."""
+    seqs = rep.where(F.length("junction_aa") > 0).groupBy("repertoire_id", "junction_aa").agg(F.count("*").alias("cnt"))
+    return seqs.select("repertoire_id", F.col("junction_aa").alias("node_id"), "junction_aa", "cnt", embed(F.col("junction_aa")).alias("x"))
+
+
+def built(rep: DataFrame, k: int = 30, embed: Callable[[Column], Column] = S.hashed_embedding) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of each repertoire's similarity graph; repertoires without sequences have none."""
+    nodes = sequence_nodes(rep, embed)
+    return nodes, edges(knn(nodes.select("repertoire_id", "node_id", "x"), k))
+
+
+def pooled(nodes: DataFrame, links: DataFrame, layers: int = 2, how: str = "gcn") -> DataFrame:
+    """Per repertoire and dimension, the mean over nodes after so many steps of message passing: what a linear graph
+    convolution hands to its classifier."""
+    for _ in range(layers):
+        nodes = as_nodes(convolved(nodes, links, how))
+    return mean_pool(nodes)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clonoscope.functions import sequence as S
@@ -36,6 +36,22 @@ def rank_by_witness(counts: DataFrame, model: Column, weight: float = 0.6, metho
     return top(scored.withColumn("importance_score", score), "importance_score", n)
 
 
+def level_scores(seqs: DataFrame, sets: list[tuple[DataFrame, float]], other: float) -> DataFrame:
+    """Each sequence's score by the reference sets that it is in, the highest of theirs, `other` without one."""
+    levels = sets[0][0].select("junction_aa", F.lit(sets[0][1]).alias("level"))
+    for members, level in sets[1:]:
+        levels = levels.unionByName(members.select("junction_aa", F.lit(level).alias("level")))
+    best = levels.groupBy("junction_aa").agg(F.max("level").alias("level"))
+    return seqs.join(best, "junction_aa", "left").select(*seqs.columns, F.coalesce("level", F.lit(other)).alias("model_score"))
+
+
+def pattern_weights(coefficients: DataFrame, ks: tuple[int, ...]) -> dict[int, float]:
+    """Per k the sum of absolute coefficients of its features, from rows of (feature, coefficient)."""
+    k = F.regexp_extract("feature", r"^pattern([0-9]+)_", 1)
+    got = {int(r["k"]): r["w"] for r in coefficients.where(k != "").groupBy(k.alias("k")).agg(F.sum(F.abs("coefficient")).alias("w")).collect()}  # a row a k
+    return {k: got.get(k, 0.0) for k in ks}
+
+
 def enrichment_report(ranked: DataFrame, k: int, score: str = "importance_score") -> DataFrame:
     """Totals over the best k of a ranking."""
     best = top(ranked, score, k)
@@ -76,8 +92,6 @@ def test_rows(probabilities: DataFrame, dataset: str) -> DataFrame:
 
 def ranked_rows(ranked: DataFrame, dataset: str, score: str = "importance_score") -> DataFrame:
     """Result rows of ranked sequences, numbered from 1. The ranking is a top-k, so its size is its limit."""
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.orderBy(F.desc(score), "junction_aa"))
     return ranked.select(F.concat(F.lit(f"{dataset}_seq_top_"), place.cast("string")).alias("ID"), F.lit(dataset).alias("dataset"), F.lit(NOT_APPLICABLE).alias("label_positive_probability"), "junction_aa", "v_call", "j_call")
 

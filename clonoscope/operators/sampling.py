@@ -41,16 +41,20 @@ def clean_templates(rep: DataFrame) -> DataFrame:
     return rep.withColumn("templates", x).where("templates is not null and not isnan(templates) and templates > 0 and templates < double('Infinity')")
 
 
-def downsampled(rep: DataFrame, order: list[str], target: int = 10_000, seed: int = 42) -> DataFrame:
-    """Each repertoire's templates drawn down to `target`, multinomially by their share, from the same seed for each;
-    smaller repertoires stay. A repertoire is one group: its rows are the unit of the experiment, not of the table."""
+def downsampled(rep: DataFrame, order: list[str], target: int = 10_000, seed: int = 42, draws: str = "multinomial") -> DataFrame:
+    """Each repertoire's templates drawn down to `target` by their share, from the same seed for each;
+    smaller repertoires stay. `draws` is one multinomial draw, or `choice`: so many single draws with replacement,
+    counted. A repertoire is one group: its rows are the unit of the experiment, not of the table."""
+    if draws not in ("multinomial", "choice"):
+        raise ValueError(f"unknown draws: {draws}")
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable", ignore_index=True)
         if rows["templates"].sum() <= target:
             return rows
         p = rows["templates"].to_numpy(float) + 1e-10
-        rows["templates"] = np.random.RandomState(seed).multinomial(target, p / p.sum())
+        random = np.random.RandomState(seed)
+        rows["templates"] = random.multinomial(target, p / p.sum()) if draws == "multinomial" else np.bincount(random.choice(len(p), target, p=p / p.sum()), minlength=len(p))
         return rows[rows["templates"] > 0]
 
     typed = rep.withColumn("templates", F.col("templates").cast("long"))

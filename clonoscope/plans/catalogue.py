@@ -86,7 +86,7 @@ _neg = lambda s, d: rows_w(s, d).where("not label_positive").select("junction_aa
 _sides = f"+{LAB} SELECT junction_aa FROM lab WHERE label_positive {{op}} SELECT junction_aa FROM lab WHERE NOT label_positive"
 query("set_union", _sides.format(op="UNION"), W)(lambda s, d: _pos(s, d).union(_neg(s, d)).distinct())
 query("set_intersect", _sides.format(op="INTERSECT"), W)(lambda s, d: _pos(s, d).intersect(_neg(s, d)))
-query("set_except", _sides.format(op="EXCEPT"), W)(lambda s, d: _pos(s, d).exceptAll(_pos(s, d).limit(0)).distinct().join(_neg(s, d).distinct(), "junction_aa", "left_anti"))
+query("set_except", _sides.format(op="EXCEPT"), W)(lambda s, d: _pos(s, d).subtract(_neg(s, d)))
 query("set_distinct", "SELECT DISTINCT junction_aa, v_call FROM rep", W)(lambda s, d: A.word_repertoire(s, d).select("junction_aa", "v_call").distinct())
 query("union_by_name", "SELECT doc_id AS id, lang AS kind FROM documents UNION ALL SELECT conv_id, NULL FROM conversations")(lambda s, d: A.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("kind")).unionByName(A.table(s, d, "conversations").select(F.col("conv_id").alias("id")), allowMissingColumns=True))
 
@@ -122,7 +122,14 @@ query("all_gap_kmers")(_token_totals(lambda c: S.all_gap_kmers(c, 4)))
 SQL["all_gap_kmers"] = "WITH " + W + " " + _kmer_sql("list_concat(list_concat(" + ", ".join(f"list_transform({_range(5)}, lambda i: {_at(0, j)} || '.' || {_at(j + 1, 4 - j)})" for j in (1, 2)) + f"), list_transform({_range(5)}, lambda i: {_at(0, 3)} || '.' || {_at(4, 1)}))")
 _mask_sql = lambda m: f"list_transform({_range(len(m))}, lambda i: " + " || ".join(f"substr(s, i + {j}, 1)" if k else "'.'" for j, k in enumerate(m)) + ")"
 _gapped_sql = "flatten([" + ", ".join(map(_mask_sql, S.masks())) + "])"
-query("gapped_tokens", _kmer_sql(_gapped_sql), W)(_token_totals(S.gapped_tokens))
+def _gapped_totals(s: SparkSession, d: str) -> DataFrame:
+    """Windows of four to six letters are counted first, and masks laid over distinct ones."""
+    seqs = A.word_repertoire(s, d).groupBy("junction_aa").agg(F.count("*").alias("w"))
+    windows = seqs.select("w", F.explode(E.windows(F.col("junction_aa"), (4, 5, 6))).alias("window")).groupBy("window").agg(F.sum("w").alias("w"))
+    return windows.select("w", F.explode(S.mask_tokens(F.col("window"))).alias("kmer")).groupBy("kmer").agg(F.sum("w").alias("cnt"))
+
+
+query("gapped_tokens", _kmer_sql(_gapped_sql), W)(_gapped_totals)
 query("spaced_sequence", "SELECT DISTINCT junction_aa, array_to_string(string_split(junction_aa, ''), ' ') AS spaced FROM rep", W)(lambda s, d: sequences(s, d).withColumn("spaced", S.spaced(F.col("junction_aa"))))
 query("joined_text", "SELECT repertoire_id, md5(string_agg(junction_aa, ' ' ORDER BY row_idx)) AS text_md5 FROM rep GROUP BY 1", W)(lambda s, d: A.word_repertoire(s, d).groupBy("repertoire_id").agg(F.expr("listagg(junction_aa, ' ') WITHIN GROUP (ORDER BY row_idx)").alias("t")).select("repertoire_id", F.md5(F.col("t").cast("binary")).alias("text_md5")))
 query("kmer_vocab_2", "SELECT a || b AS kmer FROM (SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWY', '')) AS a), (SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWY', '')) AS b)")(lambda s, d: (lambda a: a.crossJoin(a.withColumnRenamed("a", "b")).select(F.concat("a", "b").alias("kmer")))(s.createDataFrame([(x,) for x in S.ALPHABET], "a string")))
@@ -153,8 +160,12 @@ query("length_bins_right", _hist([(f"len_{a}_{b}_pct", f"n > {a} AND n <= {b}")
 query("template_stats", "SELECT repertoire_id, sum(templates)::BIGINT AS total, round(avg(templates), 6) AS mean, round(median(templates), 6) AS median, round(stddev_pop(templates), 6) AS std, round(var_pop(templates), 6) AS var, min(templates) AS min, max(templates) AS max FROM rep GROUP BY 1", K)(lambda s, d: D.template_stats(A.clone_repertoire(s, d)))
 query("aa_composition", "SELECT repertoire_id, " + ", ".join(f"round(sum(length(junction_aa) - length(replace(junction_aa, '{a}', ''))) / sum(length(junction_aa)), 6) AS aa_{a}" for a in S.ALPHABET) + " FROM rep GROUP BY 1", W)(lambda s, d: D.composition(A.word_repertoire(s, d)))
 query("aa_composition_seq", f"SELECT junction_aa, aa, round(count(*) / max(length(junction_aa)), 6) AS share FROM (SELECT junction_aa, unnest(string_split(junction_aa, '')) AS aa FROM (SELECT DISTINCT junction_aa FROM rep)) WHERE contains('{S.ALPHABET}', aa) GROUP BY ALL", W)(lambda s, d: D.sequence_composition(sequences(s, d)))
+# Fixed values, written out once more so that the SQL does not depend on the library's.
+_HYDROPATHY = dict(zip("ARNDCQEGHILKMFPSTWYV", (1.8, -4.5, -3.5, -3.5, 2.5, -3.5, -3.5, -0.4, -3.2, 4.5, 3.8, -3.9, 1.9, 2.8, -1.6, -0.8, -0.7, -0.9, -1.3, 4.2), strict=True))
+_CHARGE = {"K": 1, "R": 1, "H": 1, "D": -1, "E": -1}
+_POLARITY = dict.fromkeys("RNDQEHKSTY", 1)
 _prop = lambda v: "(" + " + ".join(f"(length(junction_aa) - length(replace(junction_aa, '{a}', ''))) * {x}::DOUBLE" for a, x in v.items()) + ") / length(junction_aa)"
-query("physchem", "SELECT repertoire_id, " + ", ".join(f"round({f}({c}), 6) AS {n}_{st}" for c, n in (("h", "hydropathy"), ("q", "charge")) for f, st in (("avg", "mean"), ("stddev_pop", "std"), ("median", "median"))) + f" FROM (SELECT repertoire_id, {_prop(S.HYDROPATHY)} AS h, {_prop(S.CHARGE)} AS q FROM rep) GROUP BY 1", W)(lambda s, d: D.physchem(A.word_repertoire(s, d)))
+query("physchem", "SELECT repertoire_id, " + ", ".join(f"round({f}({c}), 6) AS {n}_{st}" for c, n in (("h", "hydropathy"), ("q", "charge"), ("o", "polarity")) for f, st in (("avg", "mean"), ("stddev_pop", "std"), ("median", "median"))) + f" FROM (SELECT repertoire_id, {_prop(_HYDROPATHY)} AS h, {_prop(_CHARGE)} AS q, {_prop(_POLARITY)} AS o FROM rep) GROUP BY 1", W)(lambda s, d: D.physchem(A.word_repertoire(s, d)))
 query("gene_usage_topn", "SELECT repertoire_id, gene, round(p, 6) AS p FROM (SELECT repertoire_id, v_call AS gene, count(*) / sum(count(*)) OVER (PARTITION BY repertoire_id) AS p, row_number() OVER (PARTITION BY repertoire_id ORDER BY count(*) DESC, v_call) AS k FROM rep GROUP BY 1, 2) WHERE k <= 10", K)(lambda s, d: D.gene_usage(A.clone_repertoire(s, d), "v_call", 10))
 _gdiv = lambda g: f"(SELECT repertoire_id, round(-sum(p * ln(p)), 6) AS {g}_entropy, count(*) AS {g}_unique, round(max(p), 6) AS {g}_top FROM (SELECT repertoire_id, count(*) / sum(count(*)) OVER (PARTITION BY repertoire_id) AS p FROM rep GROUP BY repertoire_id, {g}) GROUP BY 1)"
 query("vj_diversity", f"SELECT * FROM {_gdiv('v_call')} JOIN {_gdiv('j_call')} USING (repertoire_id)", K)(lambda s, d: D.gene_diversity(A.clone_repertoire(s, d), "v_call").join(D.gene_diversity(A.clone_repertoire(s, d), "j_call"), "repertoire_id"))
@@ -164,13 +175,44 @@ query("vj_diversity", f"SELECT * FROM {_gdiv('v_call')} JOIN {_gdiv('j_call')} U
 _lf = lambda x: f"lgamma(({x} + 1)::DOUBLE)"
 _fisher = f"""list_sum(list_transform(range(a, least(n_pos, a + b) + 1), lambda x: CASE WHEN a + b - x BETWEEN 0 AND n_neg THEN exp({_lf('n_pos')} - {_lf('x')} - {_lf('(n_pos - x)')} + {_lf('n_neg')} - {_lf('greatest(a + b - x, 0)')} - {_lf('greatest(n_neg - (a + b) + x, 0)')}
   - {_lf('(n_pos + n_neg)')} + {_lf('(a + b)')} + {_lf('(n_pos + n_neg - a - b)')}) ELSE 0 END))"""
-_KM = PRES + f""", seqs AS (SELECT repertoire_id, label_positive, junction_aa AS s, count(*) AS w FROM lab GROUP BY ALL),
-kc AS (SELECT repertoire_id, label_positive, k, kmer, sum(w)::BIGINT AS cnt FROM (
-  SELECT repertoire_id, label_positive, w, 3 AS k, unnest(list_transform({_range(3)}, lambda i: substr(s, i, 3))) AS kmer FROM seqs UNION ALL
-  SELECT repertoire_id, label_positive, w, 4, unnest(list_transform({_range(4)}, lambda i: substr(s, i, 4))) FROM seqs) GROUP BY ALL),
+def _km(ks: tuple[int, ...]) -> str:
+    """SQL of windows by repertoire, and of their presence by label."""
+    each = " UNION ALL ".join(f"SELECT repertoire_id, label_positive, w, {k} AS k, unnest(list_transform({_range(k)}, lambda i: substr(s, i, {k}))) AS kmer FROM seqs" for k in ks)
+    return PRES + f""", seqs AS (SELECT repertoire_id, label_positive, junction_aa AS s, count(*) AS w FROM lab GROUP BY ALL),
+kc AS (SELECT repertoire_id, label_positive, k, kmer, sum(w)::BIGINT AS cnt FROM ({each}) GROUP BY ALL),
 pp AS (SELECT k, kmer, count(*) FILTER (WHERE label_positive) AS a, count(*) FILTER (WHERE NOT label_positive) AS b, coalesce(sum(cnt) FILTER (WHERE label_positive), 0)::BIGINT AS pos_abundance FROM kc GROUP BY ALL)"""
-_STRICT = _KM + f""", st AS (SELECT k, kmer, a, b, fold, {_fisher} AS p_value FROM (SELECT *, (a / n_pos) / ((b + 1) / (n_neg + 1)) AS fold FROM pp, sz WHERE a + b >= 5 AND a >= 2) WHERE fold >= 1.2),
+
+
+def strict_sql(ks: tuple[int, ...]) -> str:
+    """SQL of the patterns that the strict selection takes."""
+    return _km(ks) + f""", st AS (SELECT k, kmer, a, b, fold, {_fisher} AS p_value FROM (SELECT *, (a / n_pos) / ((b + 1) / (n_neg + 1)) AS fold FROM pp, sz WHERE a + b >= 5 AND a >= 2) WHERE fold >= 1.2),
 strict AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(p_value, 10), round(fold, 10) DESC, kmer) AS place FROM st WHERE p_value <= 0.05) WHERE place <= 50)"""
+
+
+def features_sql(ks: tuple[int, ...]) -> str:
+    """SQL of the features that those patterns give each repertoire."""
+    return strict_sql(ks) + f""", ids AS (SELECT DISTINCT repertoire_id FROM meta), full_ AS (SELECT repertoire_id, unnest({list(ks)}) AS k FROM ids),
+tot AS (SELECT repertoire_id, k, count(*) AS n_kmers, sum(cnt)::BIGINT AS total FROM kc GROUP BY ALL),
+hit AS (SELECT repertoire_id, k, count(*) AS count, sum(cnt)::BIGINT AS abundance, 0 - sum(p * ln(p + 1e-10::DOUBLE)) AS diversity, max(cnt) AS max, avg(cnt) AS mean FROM (SELECT kc.*, cnt / sum(cnt) OVER (PARTITION BY repertoire_id, kc.k) AS p FROM kc JOIN strict USING (k, kmer)) GROUP BY ALL),
+ft AS (SELECT repertoire_id, k, coalesce(count, 0) AS count, coalesce(abundance, 0) AS abundance, coalesce(diversity, 0) AS diversity, coalesce(max, 0) AS max, coalesce(mean, 0) AS mean, coalesce(n_kmers, 0) AS n_kmers, coalesce(total, 0) AS total
+  FROM full_ LEFT JOIN tot USING (repertoire_id, k) LEFT JOIN hit USING (repertoire_id, k)), fr AS (SELECT *, count / (total + 1e-10::DOUBLE) AS ratio, abundance / (total + 1e-10::DOUBLE) AS abundance_ratio FROM ft)"""
+
+
+def wide_sql(ks: tuple[int, ...]) -> str:
+    """SQL of those features as one row a repertoire."""
+    cols = {"count": "count", "abundance": "abundance", "diversity": "diversity", "max": "max_abundance", "mean": "mean_abundance", "ratio": "ratio", "abundance_ratio": "abundance_ratio"}
+    whole = ("count", "abundance", "max")
+    of = lambda k, c: f"sum(CASE WHEN k = {k} THEN {c} ELSE 0 END)" + ("::BIGINT" if c in whole else "")
+    wd = ", ".join(f"{of(k, c)} AS pattern{k}_{n}" for k in ks for c, n in cols.items())
+    out = [f"pattern{k}_{n}" if c in whole else f"round(pattern{k}_{n}, 6) AS pattern{k}_{n}" for k in ks for c, n in cols.items()]
+    out += [" + ".join(f"pattern{k}_{c}" for k in ks) + f" AS pattern_all_{c}" for c in ("count", "abundance")]
+    out += ["round(" + " + ".join(f"pattern{k}_diversity" for k in ks) + ", 6) AS pattern_all_diversity"]
+    out += [f"round((pattern{a}_count + 1e-10::DOUBLE) / (pattern{b}_count + 1e-10::DOUBLE), 6) AS pattern{a}_to_{b}_ratio" for i, a in enumerate(ks) for b in ks[i + 1 :]]
+    out += [f"round(pattern{k}_count * 1000 / (windows + 1), 6) AS pattern{k}_count_per_1k" for k in ks]
+    return f"{features_sql(ks)}, wd AS (SELECT repertoire_id, {wd}, {of(ks[0], 'total')} AS windows FROM fr GROUP BY 1) SELECT repertoire_id, {', '.join(out)} FROM wd"
+
+
+_KM, _STRICT, _FEAT = _km((3, 4)), strict_sql((3, 4)), features_sql((3, 4))
 _FDR = _KM + f""", ft AS (SELECT *, {_fisher} AS p_value FROM (SELECT *, CASE WHEN b = 0 THEN 'Infinity'::DOUBLE ELSE (a / n_pos) / (b / n_neg) END AS fold FROM pp, sz WHERE a + b >= 3 AND a >= 1) WHERE fold >= 1.2),
 fd AS (SELECT *, least(1.0, min(p_value * m / r) OVER (PARTITION BY k ORDER BY round(p_value, 10) DESC, r DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS p_adjusted
   FROM (SELECT *, count(*) OVER (PARTITION BY k) AS m, count(*) OVER (PARTITION BY k ORDER BY round(p_value, 10)) AS r FROM ft)),
@@ -201,16 +243,10 @@ query("select_k_best", f"+{PRES} SELECT junction_aa, chi2 FROM (SELECT junction_
 query("differential_topn", f"+{PRES} SELECT junction_aa, round(pos_count / n_pos - neg_count / n_neg, 6) AS differential_score FROM pres, sz ORDER BY 2 DESC, 1 LIMIT 600", W)(lambda s, d: E.differential(C.presence_counts(rows_w(s, d), "junction_aa"), _sizes(s, d)))
 query("logfc_total", f"""+{LAB}, t AS (SELECT junction_aa, sum(CASE WHEN label_positive THEN templates ELSE 0 END)::BIGINT AS pos_templates, sum(CASE WHEN label_positive THEN 0 ELSE templates END)::BIGINT AS neg_templates FROM lab GROUP BY 1)
 SELECT *, round(log2((pos_templates + 1) / (neg_templates + 1)) * ln((pos_templates + neg_templates + 1)::DOUBLE), 6) AS score FROM t""", K)(lambda s, d: E.log_fold_total(C.template_sums(rows_k(s, d), "junction_aa")))
-_FEAT = _STRICT + """, ids AS (SELECT DISTINCT repertoire_id FROM meta), full_ AS (SELECT repertoire_id, unnest([3, 4]) AS k FROM ids),
-tot AS (SELECT repertoire_id, k, count(*) AS n_kmers, sum(cnt)::BIGINT AS total FROM kc GROUP BY ALL),
-hit AS (SELECT repertoire_id, k, count(*) AS count, sum(cnt)::BIGINT AS abundance, 0 - sum(p * ln(p)) AS diversity, max(cnt) AS max, avg(cnt) AS mean FROM (SELECT kc.*, cnt / sum(cnt) OVER (PARTITION BY repertoire_id, kc.k) AS p FROM kc JOIN strict USING (k, kmer)) GROUP BY ALL),
-ft AS (SELECT repertoire_id, k, coalesce(count, 0) AS count, coalesce(abundance, 0) AS abundance, coalesce(diversity, 0) AS diversity, coalesce(max, 0) AS max, coalesce(mean, 0) AS mean, coalesce(n_kmers, 0) AS n_kmers, coalesce(total, 0) AS total
-  FROM full_ LEFT JOIN tot USING (repertoire_id, k) LEFT JOIN hit USING (repertoire_id, k)), fr AS (SELECT *, count / (n_kmers + 1e-10::DOUBLE) AS ratio, abundance / (total + 1e-10::DOUBLE) AS abundance_ratio FROM ft)"""
 _features = lambda s, d: E.pattern_features(_kmer_counts(s, d), _strict(s, d), A.word_metadata(s, d).select("repertoire_id").distinct(), (3, 4))
 query("pattern_features_strict", f"+{_FEAT} SELECT repertoire_id, k::BIGINT AS k, count, abundance, round(diversity, 6) AS diversity, max, round(mean, 6) AS mean, n_kmers, total, round(ratio, 6) AS ratio, round(abundance_ratio, 6) AS abundance_ratio FROM fr", W)(lambda s, d: _features(s, d))
-_w = [(k, c) for k in (3, 4) for c in ("count", "abundance", "diversity", "max", "mean", "ratio", "abundance_ratio")]
-_isint = ("count", "abundance", "max")
-query("pattern_features_wide", f"+{_FEAT}, wd AS (SELECT repertoire_id, " + ", ".join(f"sum(CASE WHEN k = {k} THEN {c} ELSE 0 END){'::BIGINT' if c in _isint else ''} AS pattern{k}_{c}" for k, c in _w) + " FROM fr GROUP BY 1) SELECT repertoire_id, " + ", ".join(f"pattern{k}_{c}" if c in _isint else f"round(pattern{k}_{c}, 6) AS pattern{k}_{c}" for k, c in _w) + ", round((pattern3_count + 1e-10::DOUBLE) / (pattern4_count + 1e-10::DOUBLE), 6) AS ratio_3_4, pattern3_count + pattern4_count AS all_count, pattern3_abundance + pattern4_abundance AS all_abundance FROM wd", W)(lambda s, d: E.widened(_features(s, d), (3, 4)))
+query("pattern_features_wide", "+" + wide_sql((3, 4)), W)(lambda s, d: E.widened(_features(s, d), (3, 4)))
+
 
 # Ranking
 

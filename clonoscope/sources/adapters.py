@@ -23,7 +23,11 @@ def word_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
+    return benchmark_words(table(spark, sf_dir, "benchmark"))
+
+
+def benchmark_words(benchmark: DataFrame) -> DataFrame:
+    words = benchmark.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
     return words.where(F.length("w") >= 3).select(F.upper("w").alias("junction_aa")).distinct()
 
 

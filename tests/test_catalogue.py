@@ -5,7 +5,9 @@ import os
 import duckdb
 import pytest
 
-from clonoscope.plans import catalogue
+from clonoscope.plans import catalogue, more
+
+QUERIES, SQL = catalogue.QUERIES | more.QUERIES, catalogue.SQL | more.SQL
 
 TABLES = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables")
@@ -25,10 +27,10 @@ def bag(names, rows):
     return sorted((tuple(repr(plain(r[i])) for i in order) for r in rows))
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, duck, name):
-    ours = catalogue.QUERIES[name](spark, TABLES)
-    theirs = duck.execute(catalogue.SQL[name])
+    ours = QUERIES[name](spark, TABLES)
+    theirs = duck.execute(SQL[name])
     names = [c[0] for c in theirs.description]
     assert sorted(ours.columns) == sorted(names)
     assert bag(ours.columns, ours.collect()) == bag(names, theirs.fetchall())
