@@ -10,8 +10,17 @@ from clonoscope.operators.order import running
 
 def standard_scaled(rows: DataFrame, *columns: str) -> DataFrame:
     """Population z-scores; a constant column becomes 0."""
-    ends = rows.agg(*[f(c).alias(f"__{n}_{c}") for c in columns for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))])
-    out = rows.crossJoin(F.broadcast(ends))
+    return scaled(rows, scale_stats(rows, *columns), *columns)
+
+
+def scale_stats(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row: the mean and population deviation of each column."""
+    return rows.agg(*[f(c).alias(f"__{n}_{c}") for c in columns for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))])
+
+
+def scaled(rows: DataFrame, stats: DataFrame, *columns: str) -> DataFrame:
+    """Columns scaled by scale_stats of these or other rows."""
+    out = rows.crossJoin(F.broadcast(stats))
     return out.select(*[c for c in rows.columns if c not in columns], *[((F.col(c) - F.col(f"__m_{c}")) / F.when(F.col(f"__s_{c}") == 0, 1.0).otherwise(F.col(f"__s_{c}"))).alias(c) for c in columns])
 
 

@@ -1,3 +1,233 @@
-"""Pipelines that are fitted, stored and applied to new repertoires."""
+"""Pipelines that are fitted on labelled repertoires, stored, and applied to new ones. A recipe selects what it looks
+for (sequences, tokens or patterns), makes features of any repertoires from that, and names a model."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel, PolynomialExpansion, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clonoscope.functions import sequence as S
+from clonoscope.operators import counts as C
+from clonoscope.operators import diversity as D
+from clonoscope.operators import enrich as E
+from clonoscope.operators import evaluate as V
+from clonoscope.operators import graph as G
+from clonoscope.operators import sampling as P
+from clonoscope.plans import learned
+from clonoscope.sources import adapters as A
+from clonoscope.sources import store
+
+#: Terms (sequences, tokens) that a pipeline looks for, at most; they are the model's vocabulary.
+TERMS = 5_000
+
+
+@dataclass
+class Recipe:
+    """`select` of (rows with label_positive, metadata, reference) gives what is looked for; `features` of
+    (repertoires, that) a row a repertoire, with `terms` (an array of texts) if it has a vocabulary; `model` its last stage."""
+
+    select: Callable[[DataFrame, DataFrame, DataFrame | None], DataFrame]
+    features: Callable[[DataFrame, DataFrame], DataFrame]
+    model: Callable[[], object]
+    degree: int = 1
+    balanced: bool = False
+
+
+def _lr() -> LogisticRegression:
+    return LogisticRegression(regParam=0.01, standardization=False, maxIter=50, weightCol="weight")
+
+
+def _gbt() -> GBTClassifier:
+    return GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, seed=42, weightCol="weight")
+
+
+def _top(scored: DataFrame, score: str, key: str, n: int = TERMS) -> DataFrame:
+    return scored.orderBy(F.desc(F.round(score, 9)), key).limit(n).select(F.col(key).alias("term"))
+
+
+def _tokens(rep: DataFrame) -> DataFrame:
+    """(repertoire_id, term) of gapped tokens, each once; masks are laid over distinct sequences only."""
+    held = rep.select("repertoire_id", "junction_aa").where("junction_aa is not null").distinct()
+    tokens = held.select("junction_aa").distinct().select("junction_aa", F.explode(F.array_distinct(S.gapped_tokens(F.col("junction_aa")))).alias("term"))
+    return held.join(tokens, "junction_aa").select("repertoire_id", "term").distinct()
+
+
+def _chosen_tokens(rows: DataFrame, meta: DataFrame, reference: DataFrame | None) -> DataFrame:
+    held = _tokens(rows).join(meta, "repertoire_id")
+    presence = C.row_counts(held, "term").where(F.col("pos_count") + F.col("neg_count") >= 2)
+    return _top(E.chi2_scores(presence, E.class_sizes(meta), "term"), "chi2", "term")
+
+
+def _terms(rep: DataFrame, held: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The chosen terms of each repertoire, as often as `held` has them, none for one without any."""
+    got = held.join(F.broadcast(chosen), "term").groupBy("repertoire_id").agg(F.collect_list("term").alias("terms"))
+    return rep.select("repertoire_id").distinct().join(got, "repertoire_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+
+
+def _sequences(rep: DataFrame) -> DataFrame:
+    return rep.select("repertoire_id", F.col("junction_aa").alias("term"))
+
+
+def _reference(rows: DataFrame, meta: DataFrame, reference: DataFrame | None) -> DataFrame:
+    if reference is None:
+        raise ValueError("this recipe needs a reference set of sequences")
+    return reference.select(F.col("junction_aa").alias("term")).distinct()
+
+
+def _patterns(ks: tuple[int, ...], gaps: bool, strict: bool) -> Callable[[DataFrame, DataFrame, DataFrame | None], DataFrame]:
+    def select(rows: DataFrame, meta: DataFrame, reference: DataFrame | None) -> DataFrame:
+        counts, sizes = store.stored(E.pattern_counts(rows, ks, gaps)), E.class_sizes(meta)
+        return (E.select_strict if strict else E.select_fdr)(counts, sizes).select("k", "kmer")
+
+    return select
+
+
+def _pattern_features(ks: tuple[int, ...], gaps: bool) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    def features(rep: DataFrame, patterns: DataFrame) -> DataFrame:
+        counts = E.pattern_counts(rep.withColumn("label_positive", F.lit(None).cast("boolean")), ks, gaps)
+        return E.widened(E.pattern_features(counts, patterns, rep.select("repertoire_id").distinct(), ks), ks)
+
+    return features
+
+
+def _differential(rows: DataFrame, meta: DataFrame, reference: DataFrame | None) -> DataFrame:
+    return E.differential(C.presence_counts(rows, "junction_aa"), E.class_sizes(meta)).select(F.col("junction_aa").alias("term"))
+
+
+def _with_diversity(rep: DataFrame, chosen: DataFrame) -> DataFrame:
+    return _terms(rep, _sequences(rep).distinct(), chosen).join(learned.repertoire_features(rep), "repertoire_id")
+
+
+def _composition(rep: DataFrame, chosen: DataFrame) -> DataFrame:
+    words = rep.select("repertoire_id", F.explode(S.kmers(F.col("junction_aa"), 3)).alias("term"))
+    lengths = D.length_histogram(rep, list(range(5, 26)), 100)
+    return _terms(rep, words, chosen).join(lengths, "repertoire_id", "left").join(learned.repertoire_features(rep), "repertoire_id", "left").join(D.composition(rep), "repertoire_id", "left").na.fill(0.0)
+
+
+def _graph(rep: DataFrame, chosen: DataFrame) -> DataFrame:
+    nodes, links = G.built(rep, 5)
+    long = G.pooled(G.node_features(nodes, links, k=5), links).withColumn("feature", F.format_string("g%03d", "dim"))
+    wide = D.pinned(long.select("repertoire_id", "feature", F.col("mean").alias("value")), [f"g{i:03d}" for i in range(59)])
+    return rep.select("repertoire_id").distinct().join(wide, "repertoire_id", "left").join(learned.repertoire_features(rep), "repertoire_id", "left").na.fill(0.0)
+
+
+def _nothing(rows: DataFrame, meta: DataFrame, reference: DataFrame | None) -> DataFrame:
+    return rows.select(F.col("junction_aa").alias("term")).limit(0)
+
+
+def _all_words(rows: DataFrame, meta: DataFrame, reference: DataFrame | None) -> DataFrame:
+    words = rows.select(F.explode(S.kmers(F.col("junction_aa"), 3)).alias("term")).where(F.col("term").rlike(f"^[{S.ALPHABET}]+$")).groupBy("term").agg(F.count("*").cast("double").alias("n"))
+    return _top(words, "n", "term", 8_000)
+
+
+def _diversity(rep: DataFrame, chosen: DataFrame) -> DataFrame:
+    found = C.reference_diversity(rep, chosen.select(F.col("term").alias("junction_aa")))
+    return found.select("repertoire_id", F.log1p(F.col("reference_diversity").cast("double")).alias("hits"))
+
+
+RECIPES: dict[str, Recipe] = {
+    "reference": Recipe(_reference, _diversity, _lr, degree=2),
+    "composition": Recipe(_all_words, _composition, _gbt),
+    "tokens": Recipe(_chosen_tokens, lambda rep, chosen: _terms(rep, _tokens(rep), chosen), _gbt),
+    "vocabulary": Recipe(_reference, lambda rep, chosen: _terms(rep, _sequences(rep), chosen), _lr),
+    "patterns": Recipe(_patterns((3, 4, 5, 6), True, True), _pattern_features((3, 4, 5, 6), True), _gbt),
+    "patterns_fdr": Recipe(_patterns((3, 4, 5), False, False), _pattern_features((3, 4, 5), False), _lr),
+    "differential": Recipe(_differential, _with_diversity, _gbt, balanced=True),
+    "graph": Recipe(_nothing, _graph, _lr),
+}
+#: The recipe of each dataset number.
+BY_NUMBER = {1: "reference", 2: "tokens", 3: "vocabulary", 4: "patterns", 5: "patterns_fdr", 6: "vocabulary", 7: "differential", 8: "graph"}
+
+
+@dataclass
+class Fitted:
+    """A recipe with what it selected and its fitted stages."""
+
+    recipe: str
+    chosen: DataFrame
+    model: PipelineModel
+
+    def score(self, rep: DataFrame) -> DataFrame:
+        """(repertoire_id, probability) of repertoires, new ones or those it was fitted on."""
+        rows = RECIPES[self.recipe].features(rep, self.chosen)
+        return self.model.transform(rows).select("repertoire_id", F.get(vector_to_array("probability"), F.lit(1)).alias("probability"))
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(f"{path}/model")
+        self.chosen.write.mode("overwrite").parquet(f"{path}/chosen")
+        store.write_about(self.chosen.sparkSession, {"recipe": self.recipe, "n_chosen": self.chosen.count()}, f"{path}/about")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Fitted:
+        about = store.read_about(spark, f"{path}/about")
+        return Fitted(about["recipe"], spark.read.parquet(f"{path}/chosen"), PipelineModel.load(f"{path}/model"))
+
+
+def fit(recipe: str, rep: DataFrame, meta: DataFrame, reference: DataFrame | None = None) -> Fitted:
+    """Select, make features and fit. Repertoires without a label are not looked at; a balanced recipe takes so many of
+    the larger class that the smaller is half of it."""
+    plan = RECIPES[recipe]
+    meta = meta.where("label_positive is not null")
+    if plan.balanced:
+        meta = P.undersampled(meta)
+    meta = store.stored(meta.select("repertoire_id", "label_positive"))
+    rows = C.labelled(rep, meta)
+    chosen = store.stored(plan.select(rows, meta, reference))
+    data = plan.features(rep.join(meta.select("repertoire_id"), "repertoire_id", "left_semi"), chosen).join(meta, "repertoire_id").withColumn("label", F.col("label_positive").cast("double")).drop("label_positive")
+    n, positive = meta.agg(F.count("*"), F.count_if("label_positive")).first()
+    weight: Column = F.when(F.col("label") == 1, n / (2 * max(positive, 1))).otherwise(n / (2 * max(n - positive, 1)))
+    data = store.stored(data.withColumn("weight", weight))
+    stages, parts = [], [c for c, kind in data.dtypes if kind in ("double", "bigint", "int") and c not in ("repertoire_id", "label", "weight")]
+    if "terms" in data.columns:
+        words = [r["term"] for r in chosen.orderBy("term").collect()]  # at most TERMS, or 8,000 words of three letters
+        stages.append(CountVectorizerModel.from_vocabulary(words or ["-"], inputCol="terms", outputCol="term_counts"))
+        parts.append("term_counts")
+    stages.append(VectorAssembler(inputCols=parts, outputCol="raw"))
+    if plan.degree > 1:
+        stages.append(PolynomialExpansion(degree=plan.degree, inputCol="raw", outputCol="powers"))
+    # without a mean, so that counts stay sparse
+    stages.append(StandardScaler(inputCol="powers" if plan.degree > 1 else "raw", outputCol="features"))
+    return Fitted(recipe, chosen, Pipeline(stages=[*stages, plan.model()]).fit(data))
+
+
+def ensemble(parts: list[DataFrame], weights: list[float] | None = None) -> DataFrame:
+    """The weighted mean of scored repertoires, joined by id; equal weights by default."""
+    weights = weights or [1 / len(parts)] * len(parts)
+    whole = parts[0].select("repertoire_id", (F.col("probability") * weights[0]).alias("w"))
+    for part, weight in zip(parts[1:], weights[1:], strict=True):
+        whole = whole.unionByName(part.select("repertoire_id", (F.col("probability") * weight).alias("w")))
+    return whole.groupBy("repertoire_id").agg(F.sum("w").alias("probability"))
+
+
+def _query(recipe: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Fitted on the training split of the suppliers, stored, read again and applied to the test split."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rep, split = A.clone_repertoire(spark, sf_dir), P.stratified_split(A.clone_metadata(spark, sf_dir))
+        reference = A.table(spark, sf_dir, "part").where("p_partkey % 7 = 0").select(F.upper(F.replace("p_name", F.lit(" "), F.lit(""))).alias("junction_aa")).distinct()
+        fitted = fit(recipe, rep, split.where(~F.col("is_test")).drop("is_test"), reference)
+        store.stored(spark.range(0))
+        path = f"{spark.sparkContext.getCheckpointDir()}/model_{recipe}_{uuid.uuid4()}"
+        fitted.save(path)
+        test = split.where("is_test").select("repertoire_id")
+        return Fitted.load(spark, path).score(rep.join(test, "repertoire_id", "left_semi"))
+
+    return run
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"pipeline_{name}": _query(name) for name in RECIPES}
+
+
+def report(scored: DataFrame, meta: DataFrame) -> DataFrame:
+    """The classification report of scores at the threshold with the largest J, with that threshold."""
+    rows = store.stored(scored.join(meta, "repertoire_id").select(F.col("probability").alias("score"), F.col("label_positive").cast("int").alias("label")))
+    threshold = V.youden_threshold(rows).first()["threshold"]
+    return V.classification_report(rows, threshold).withColumn("threshold", F.lit(threshold))
