@@ -8,13 +8,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clonoscope.llm.common import table
+from clonoscope.llm.common import cut, table
 
-#: Labelled rows that are learnt from at most, by the order of a hash of their id, and the characters of each.
-SAMPLE, LONGEST = 8_000, 200_000
+#: Labelled documents that are learnt from at most, by the order of a hash of their id, and the characters of whole
+#: texts after which no further one is taken.
+SAMPLE, CHARACTERS = 8_000, 64_000_000
 #: Documents of the sample that a word or stem must stand in, and features at most.
 LEAST_DOCS, WORDS = 5, 200_000
 #: Adam's steps and rate; what a unit of weight costs, in documents' log likelihood.
@@ -25,6 +27,8 @@ HELD_OUT, FOLDS = 2, 4
 
 #: Letters of a word's stem, which is a feature beside the word, for words seen in other forms only.
 STEM = 4
+#: Features of the sample that are worked on at a time.
+BLOCK = 1 << 20
 #: Words whose weights a worker keeps.
 CACHED = 500_000
 
@@ -78,52 +82,83 @@ class Model:
         return float(1.0 - (1.0 - self.leak) * np.exp(-np.logaddexp(0.0, logits).sum()))
 
 
-def fit(texts: list[str], labels: np.ndarray) -> Model:
+@dataclass
+class Sample:
+    """Sentences of labelled documents as numbers: each feature's place among the names and its sentence, each
+    sentence's document, each document's label."""
+
+    names: list[str]
+    word: np.ndarray
+    sentence: np.ndarray
+    owner: np.ndarray
+    labels: np.ndarray
+
+
+def fit(sample: Sample) -> Model:
     """Maximum likelihood of document labels under the noisy-or, with a penalty on absolute weights (smoothed at
-    zero), by Adam over the whole sample. Only words in enough documents of the sample get a weight."""
-    vocabulary: dict[str, int] = {}
-    number = lambda w: vocabulary.setdefault(w, len(vocabulary))
-    docs, pieces, owner, count = [], [], [], 0
-    for d, text in enumerate(texts):
-        found = _TOKEN.findall((text or "").lower())
-        stop = np.array([w in _ENDS for w in found], dtype=bool)
-        kept, piece = np.unique(np.cumsum(stop)[~stop], return_inverse=True)
-        words = [w for w in found if w not in _ENDS]
-        docs.append(np.array([number(w) for w in words] + [number(_stem(w)) for w in words], dtype=np.int32))
-        pieces.append((np.r_[piece, piece] + count).astype(np.int32))
-        owner.append(np.full(len(kept), d))
-        count += len(kept)
-    if not docs or len(set(labels.tolist())) < 2:
-        return Model({}, leak=float(np.mean(labels)) if len(labels) else 0.0)
-    seen = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=len(vocabulary))
-    chosen = np.flatnonzero(seen >= LEAST_DOCS)
-    chosen = chosen[np.argsort(-seen[chosen], kind="stable")][:WORDS]
-    short = np.full(len(vocabulary), -1, dtype=np.int64)
-    short[chosen] = np.arange(len(chosen))
-    word, sentence, owner = short[np.concatenate(docs)], np.concatenate(pieces), np.concatenate(owner)
-    sentence, word = sentence[word >= 0], word[word >= 0]
-    y, n_docs, size = labels.astype(float), len(texts), len(chosen)
+    zero), by Adam over the whole sample."""
+    word, sentence, owner, y = sample.word, sample.sentence, sample.owner, sample.labels.astype(float)
+    n_docs, size, count = len(y), len(sample.names), len(owner)
+    if not n_docs or len(set(y.tolist())) < 2:
+        return Model({}, leak=float(np.mean(y)) if n_docs else 0.0)
     theta = np.zeros(size + 2)  # weights, bias, leak's logit
     theta[-2], theta[-1] = -6.0, -3.0
     first, second = np.zeros_like(theta), np.zeros_like(theta)
+    blocks = [(word[i : i + BLOCK], sentence[i : i + BLOCK]) for i in range(0, len(word), BLOCK)]
     for step in range(1, STEPS + 1):
-        z = np.bincount(sentence, weights=theta[word], minlength=count) + theta[-2]
+        z = np.full(count, theta[-2])
+        for w, s in blocks:
+            z += np.bincount(s, weights=theta[w], minlength=count)
         total = np.bincount(owner, weights=np.logaddexp(0.0, z), minlength=n_docs) + np.logaddexp(0.0, theta[-1])
         outer = np.where(y > 0, -1.0 / np.expm1(np.clip(total, 1e-9, 700)), 1.0) / n_docs
         inner = outer[owner] * np.exp(-np.logaddexp(0.0, -z))
         grad = np.empty_like(theta)
-        grad[:size] = np.bincount(word, weights=inner[sentence], minlength=size) + PENALTY / n_docs * np.tanh(theta[:size] / 0.05)
+        grad[:size] = PENALTY / n_docs * np.tanh(theta[:size] / 0.05)
+        for w, s in blocks:
+            grad[:size] += np.bincount(w, weights=inner[s], minlength=size)
         grad[-2], grad[-1] = inner.sum(), outer.sum() / (1.0 + np.exp(-theta[-1]))
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         theta -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-10)
-    names = list(vocabulary)  # a feature's number is its place
-    weights = {names[i]: w for i, w in zip(chosen.tolist(), theta[:size].tolist(), strict=True) if abs(w) > 1e-3}
+    weights = {name: w for name, w in zip(sample.names, theta[:size].tolist(), strict=True) if abs(w) > 1e-3}
     return Model(weights, float(theta[-2]), float(1.0 / (1.0 + np.exp(-theta[-1]))))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from at most SAMPLE labelled rows outside the held-out fold. The sample is the first by a hash of the
-    id, so that it does not depend on the tables' order; its ids are few enough to broadcast."""
+def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each text, and each one's sentence, numbered from 0 over sentences with words."""
+    for batch in batches:
+        words, pieces, sizes = [], [], []
+        for text in batch.column("text"):
+            found = _TOKEN.findall((text.as_py() or "").lower())
+            stop = np.array([w in _ENDS for w in found], dtype=bool)
+            kept, piece = np.unique(np.cumsum(stop)[~stop], return_inverse=True)
+            words.append([w for w in found if w not in _ENDS])
+            pieces.append(piece.astype(np.int32))
+            sizes.append(len(kept))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("d"), batch.column("h"), batch.column("label"), pa.array(words, pa.list_(pa.string())), pa.array(pieces, pa.list_(pa.int32())), pa.array(sizes, pa.int32())], names=["d", "h", "label", "words", "pieces", "sentences"]
+        )
+
+
+def _numbered(names: Broadcast):
+    """Features as places among the names; those that have none go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {w: i for i, w in enumerate(names.value)}
+        for batch in batches:
+            features, sentences = [], []
+            for words, pieces in zip(batch.column("words").to_pylist(), batch.column("pieces"), strict=True):
+                at = np.array([*(place.get(w, -1) for w in words), *(place.get(_stem(w), -1) for w in words)], dtype=np.int32)
+                features.append(at[at >= 0])
+                sentences.append(np.tile(pieces.values.to_numpy(), 2)[at >= 0])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("d", "h", "label", "sentences")), pa.array(features, pa.list_(pa.int32())), pa.array(sentences, pa.list_(pa.int32()))], names=["d", "h", "label", "sentences", "features", "pieces"])
+
+    return run
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """(d, h, label, text): whole texts of at most SAMPLE labelled documents outside the held-out fold. They are the
+    first by a hash of the id, so that they do not depend on the tables' order, up to the one with which they reach
+    CHARACTERS; their ids are few enough to broadcast."""
     key = F.col(f"`{id_col}`").cast("string").cast("binary")
     chosen = (
         labels.where(F.col(f"`{label_col}`").isNotNull() & (F.crc32(key) % FOLDS != HELD_OUT))
@@ -132,11 +167,38 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .orderBy(F.xxhash64("id"), "id")
         .limit(SAMPLE)
     )
-    rows = docs.select(F.col(f"`{id_col}`").alias("d"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), F.col("d") == F.col("id"))
-    got = rows.where(F.length("text") <= LONGEST).select("d", "text", "label").toArrow()
-    order = np.lexsort((np.array([hash(t) for t in got.column("text").to_pylist()]), got.column("d").to_numpy())) if got.num_rows else np.empty(0, np.int64)
-    got = got.take(pa.array(order))
-    return fit(got.column("text").to_pylist(), got.column("label").to_numpy())
+    texts = docs.select(F.col(f"`{id_col}`").alias("d"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
+    sizes = texts.select("d", F.length("text").cast("long").alias("n")).join(F.broadcast(chosen), F.col("d") == F.col("id")).groupBy("id", "label").agg(F.sum("n").alias("n"))
+    # at most SAMPLE rows meet in this window
+    before = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, -1))
+    kept = sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < CHARACTERS).select("id", "label")
+    return texts.join(F.broadcast(kept), F.col("d") == F.col("id")).select("d", F.xxhash64("text").alias("h"), "label", "text")
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """A model from labelled_sample's rows. Texts are cut in tasks; the driver gets the names of at most WORDS words and
+    stems that stand in LEAST_DOCS documents of the sample, and the sample as numbers."""
+    rows = labelled_sample(docs, labels, id_col, text_col, label_col)
+    stored = cut(rows.mapInArrow(_sentences, "d long, h long, label int, words array<string>, pieces array<int>, sentences int"))
+    stems = F.transform("words", lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*")))
+    seen = stored.select(F.explode(F.array_distinct(F.concat("words", stems))).alias("w")).groupBy("w").count().where(F.col("count") >= LEAST_DOCS)
+    names = seen.orderBy(F.desc("count"), "w").limit(WORDS).select("w").toArrow().column("w").to_pylist()
+    told = docs.sparkSession.sparkContext.broadcast(names)
+    numbers = stored.mapInArrow(_numbered(told), "d long, h long, label int, sentences int, features array<int>, pieces array<int>")
+    word, sentence, owner, labels_ = [], [], [], []
+    sentences = docs_ = 0
+    for batch in numbers.orderBy("d", "h").drop("d", "h").toArrow().to_batches():  # sums of floats depend on their order
+        n, features = batch.column("sentences").to_numpy(), batch.column("features")
+        word.append(features.flatten().to_numpy())
+        starts = np.cumsum(n) - n + sentences
+        sentence.append(batch.column("pieces").flatten().to_numpy() + np.repeat(starts, np.diff(features.offsets.to_numpy())).astype(np.int32))
+        owner.append(np.repeat(np.arange(docs_, docs_ + len(n), dtype=np.int32), n))
+        labels_.append(batch.column("label").to_numpy())
+        sentences, docs_ = sentences + int(n.sum()), docs_ + len(n)
+    told.destroy()
+    if not docs_:
+        return fit(Sample([], *[np.empty(0, dtype=np.int32)] * 4))
+    return fit(Sample(names, *map(np.concatenate, (word, sentence, owner, labels_))))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,7 +219,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 places, logits = model.sentences(text)
                 scores.append(model.score(logits))
                 sizes.append(len(places))
-                p = 1.0 / (1.0 + np.exp(-logits))
+                p = np.exp(-np.logaddexp(0.0, -logits))
                 bad = np.flatnonzero(p >= OFFENDING)
                 ends = [-1, *(m.start() for m in _END.finditer(text)), len(text)] if len(bad) else []
                 spans.append([{"start": ends[places[i]] + 1, "end": ends[places[i] + 1], "p": float(p[i])} for i in bad])
@@ -175,7 +237,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the model rejects go; the columns of documents."""
+    """Pipeline stage: documents that the model rejects go; all columns of `docs`.
+
+    Null and empty texts score the leak and are judged by it as others are; repeated rows are judged alike and all stay
+    or go; ids play no part, so null or repeated ones change nothing; an empty table gives no rows; columns of any
+    other name pass through."""
     model = train(docs, table(spark, sf_dir, "labels"))
     return accepted(docs, model)
 
