@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let the driver collect its garbage. Spark drops the shuffle files and broadcasts of finished steps when their
+    handles are collected, which a driver with room to spare may put off for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_crc(column: Column) -> Column:
     """crc32 of a column's text; null where it is null."""
     return F.crc32(column.cast("string").cast("binary"))

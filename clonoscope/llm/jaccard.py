@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clonoscope.llm.common import cut, packed, table
+from clonoscope.llm.common import cut, packed, settle, table
 from clonoscope.llm.words import hashed, places
 
 #: Words in a shingle, and the least similarity in hundredths.
@@ -392,6 +392,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     index = texts.mapInArrow(_index(order), "token long, f1 long, n long, near boolean")
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BLOCK))
     light = index.repartition(blocks, "token").mapInArrow(_block, _PAIRS)
+    settle(spark)
     product = cut(light.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")))
     pairs = product.where("a <> b and nb > 0")
     # sets that reach common shingles have all their others in the blocks: those that no set shares are theirs alone
@@ -407,12 +408,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         links = None
         for seed in range(2):
+            settle(spark)
             found = _verified(texts, classes, cut(_stars(cut(_labelled(common, links)), seed)))
             links = cut(found if links is None else links.union(found))
+        settle(spark)
         across = _overlaps(cut(_across(cut(_labelled(common, links)))), sets)
         every = pairs.withColumn("sure", F.lit(False)).unionByName(across).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"), F.max("sure").alias("sure"))
+        settle(spark)
         links = cut(links.union(_verified(texts, classes, cut(_possible(every.where("not sure")).unionByName(every.where("sure"))))))
+    settle(spark)
     labels = components(links)
+    settle(spark)
     smallest = classes.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("least"))
     # a class without links is its own, and known by both marks
     named = smallest.join(labels, F.col("f1") == F.col("node"), "left").select("f1", "f2", "least", F.coalesce("label", "f1").alias("label"), F.when(F.col("label").isNull(), F.col("f2")).alias("own"))
@@ -436,10 +442,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shingles (null, empty or blank texts) link with nothing, and all stay. An empty table gives no rows; columns of
     any other name pass through."""
     keyed = docs.select(packed(docs).alias("row"), F.xxhash64(F.lit("k"), "doc_id", "text").alias("k"))
-    found = near_duplicates(keyed.select("k", F.col("row.text").alias("text")), "k").groupBy("k").agg(F.first("n_shingles").alias("n"), F.first("component_id").alias("c"))
+    # stored, so that the plans behind it are not part of those that follow
+    found = cut(near_duplicates(keyed.select("k", F.col("row.text").alias("text")), "k").groupBy("k").agg(F.first("n_shingles").alias("n"), F.first("component_id").alias("c")))
     first = F.min(F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), "k"))
     ids = keyed.groupBy("k").agg(first.alias("x"))
-    best = found.where("n > 0").join(ids, "k").groupBy("c").agg(F.min("x").alias("x")).select("x.k")
+    best = cut(found.where("n > 0").join(ids, "k").groupBy("c").agg(F.min("x").alias("x")).select("x.k"))
+    settle(spark)
     plain = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     chosen = keyed.join(best, "k", "left_semi").groupBy("k").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
     blank = keyed.join(found.where("n = 0"), "k", "left_semi")

@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonoscope.llm.common import cut, packed, table
+from clonoscope.llm.common import cut, packed, settle, table
 
 #: Target shares of tokens by domain: language and quality. Domains without labelled rows are left out, the rest scaled.
 TARGETS = {"en+": 0.50, "de+": 0.15, "fr+": 0.15, "es+": 0.14, "en-": 0.03, "de-": 0.01, "fr-": 0.01, "es-": 0.01}
@@ -126,6 +126,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     Scale: posteriors are stored once, beside ids and token counts; then each round is a scan with a partial
     aggregate of a handful of sums."""
     domains = train(docs, labels, id_col, text_col)
+    settle(docs.sparkSession)
     stored = cut(posteriors(docs, domains, id_col, text_col))
     fitted = _fit(stored, domains.names, targets or TARGETS) if domains.names else stored.withColumn("rate", F.lit(1.0))
     names = F.array(*[F.lit(n) for n in domains.names]) if domains.names else F.array().cast("array<string>")
