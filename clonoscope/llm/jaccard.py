@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clonoscope.llm.common import cut, packed, settle, table
+from clonoscope.llm.common import cut, packed, settle, table, written
 from clonoscope.llm.words import hashed, places
 
 #: Words in a shingle, and the least similarity in hundredths.
@@ -281,15 +281,17 @@ def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFra
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node that links (a, b) reach, for every node that has a link. Labels flow to
-    neighbours and then to the label's own label, so that chains halve; each round is stored."""
+    neighbours and then to the label's own label, so that chains halve. Each round is stored as a
+    table of its own: a checkpoint would keep the estimated size of its join, which multiplies from round to round
+    until the driver works on numbers of millions of digits."""
     links = links.where("a <> b")
-    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+    both = written(links.select("a", "b").union(links.select("b", "a")).distinct())
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         met = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         over = labels.select(F.col("node").alias("n2"), F.col("label").alias("l2"))
-        new = cut(met.join(over, F.col("label") == F.col("n2"), "left").select("node", "old", F.least("label", F.coalesce("l2", "label")).alias("label")))
+        new = written(met.join(over, F.col("label") == F.col("n2"), "left").select("node", "old", F.least("label", F.coalesce("l2", "label")).alias("label")))
         changed = new.where("old <> label").limit(1).count()
         labels = new.select("node", "label")
         if not changed:
