@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clonoscope.llm.common import cut, table
+from clonoscope.llm.common import cut, settle, table
 
 #: Labelled documents that are learnt from at most, by the order of a hash of their id, and the characters of whole
 #: texts after which no further one is taken.
@@ -175,16 +175,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return texts.join(F.broadcast(kept), F.col("d") == F.col("id")).select("d", F.xxhash64("text").alias("h"), "label", "text")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from labelled_sample's rows. Texts are cut in tasks; the driver gets the names of at most WORDS words and
-    stems that stand in LEAST_DOCS documents of the sample, and the sample as numbers."""
-    rows = labelled_sample(docs, labels, id_col, text_col, label_col)
-    stored = cut(rows.mapInArrow(_sentences, "d long, h long, label int, words array<string>, pieces array<int>, sentences int"))
-    stems = F.transform("words", lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*")))
-    seen = stored.select(F.explode(F.array_distinct(F.concat("words", stems))).alias("w")).groupBy("w").count().where(F.col("count") >= LEAST_DOCS)
-    names = seen.orderBy(F.desc("count"), "w").limit(WORDS).select("w").toArrow().column("w").to_pylist()
-    told = docs.sparkSession.sparkContext.broadcast(names)
-    numbers = stored.mapInArrow(_numbered(told), "d long, h long, label int, sentences int, features array<int>, pieces array<int>")
+def _gathered(numbers: DataFrame, names: list[str]) -> Sample:
+    """The sample at the driver. What it is put together from goes before the model is fitted."""
     word, sentence, owner, labels_ = [], [], [], []
     sentences = docs_ = 0
     for batch in numbers.orderBy("d", "h").drop("d", "h").toArrow().to_batches():  # sums of floats depend on their order
@@ -195,10 +187,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         owner.append(np.repeat(np.arange(docs_, docs_ + len(n), dtype=np.int32), n))
         labels_.append(batch.column("label").to_numpy())
         sentences, docs_ = sentences + int(n.sum()), docs_ + len(n)
-    told.destroy()
     if not docs_:
-        return fit(Sample([], *[np.empty(0, dtype=np.int32)] * 4))
-    return fit(Sample(names, *map(np.concatenate, (word, sentence, owner, labels_))))
+        return Sample([], *[np.empty(0, dtype=np.int32)] * 4)
+    return Sample(names, *map(np.concatenate, (word, sentence, owner, labels_)))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """A model from labelled_sample's rows. Texts are cut in tasks; the driver gets the names of at most WORDS words and
+    stems that stand in LEAST_DOCS documents of the sample, and the sample as numbers."""
+    rows = labelled_sample(docs, labels, id_col, text_col, label_col)
+    stored = cut(rows.mapInArrow(_sentences, "d long, h long, label int, words array<string>, pieces array<int>, sentences int"))
+    stems = F.transform("words", lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*")))
+    seen = stored.select(F.explode(F.array_distinct(F.concat("words", stems))).alias("w")).groupBy("w").count().where(F.col("count") >= LEAST_DOCS)
+    names = seen.orderBy(F.desc("count"), "w").limit(WORDS).select("w").toArrow().column("w").to_pylist()
+    told = docs.sparkSession.sparkContext.broadcast(names)
+    numbers = stored.mapInArrow(_numbered(told), "d long, h long, label int, sentences int, features array<int>, pieces array<int>")
+    settle(docs.sparkSession)
+    sample = _gathered(numbers, names)
+    told.destroy()
+    return fit(sample)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
