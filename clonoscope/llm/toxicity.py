@@ -27,7 +27,7 @@ HELD_OUT, FOLDS = 2, 4
 
 #: Letters of a word's stem, which is a feature beside the word, for words seen in other forms only.
 STEM = 4
-#: Features of the sample that are worked on at a time.
+#: Words of the sample that are worked on at a time.
 BLOCK = 1 << 20
 #: Words whose weights a worker keeps.
 CACHED = 500_000
@@ -84,38 +84,55 @@ class Model:
 
 @dataclass
 class Sample:
-    """Sentences of labelled documents as numbers: each feature's place among the names and its sentence, each
-    sentence's document, each document's label."""
+    """Labelled documents as numbers: the places of their words among the names, sentence after sentence; each
+    sentence's words and document; each document's label. A word's stem follows from it: `stems` holds its place, or
+    the number of names where there is none. A word without a place stands there as its stem."""
 
     names: list[str]
-    word: np.ndarray
-    sentence: np.ndarray
+    words: np.ndarray
+    sizes: np.ndarray
     owner: np.ndarray
     labels: np.ndarray
 
+    @property
+    def stems(self) -> np.ndarray:
+        place = {w: i for i, w in enumerate(self.names) if w.endswith("*")}
+        return np.array([len(self.names) if w in place else place.get(_stem(w), len(self.names)) for w in self.names], dtype=np.int32)
+
+    def blocks(self) -> list[tuple[slice, slice]]:
+        """Sentences and their words, about BLOCK words at a time."""
+        ends = np.cumsum(self.sizes, dtype=np.int64)
+        cuts = np.searchsorted(ends, np.arange(BLOCK, len(self.words), BLOCK)) + 1
+        bounds = np.unique([0, *cuts, len(ends)])
+        at = np.append(0, ends)
+        return [(slice(a, b), slice(at[a], at[b])) for a, b in zip(bounds, bounds[1:])]
+
 
 def fit(sample: Sample) -> Model:
     """Maximum likelihood of document labels under the noisy-or, with a penalty on absolute weights (smoothed at
     zero), by Adam over the whole sample."""
-    word, sentence, owner, y = sample.word, sample.sentence, sample.owner, sample.labels.astype(float)
+    sizes, owner, y = sample.sizes, sample.owner, sample.labels.astype(float)
     n_docs, size, count = len(y), len(sample.names), len(owner)
     if not n_docs or len(set(y.tolist())) < 2:
         return Model({}, leak=float(np.mean(y)) if n_docs else 0.0)
     theta = np.zeros(size + 2)  # weights, bias, leak's logit
     theta[-2], theta[-1] = -6.0, -3.0
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    blocks = [(word[i : i + BLOCK], sentence[i : i + BLOCK]) for i in range(0, len(word), BLOCK)]
+    stems, blocks = sample.stems, sample.blocks()
     for step in range(1, STEPS + 1):
+        weight = theta[:size] + np.append(theta[:size], 0.0)[stems]
         z = np.full(count, theta[-2])
-        for w, s in blocks:
-            z += np.bincount(s, weights=theta[w], minlength=count)
+        for s, w in blocks:
+            n = s.stop - s.start
+            z[s] += np.bincount(np.repeat(np.arange(n), sizes[s]), weights=weight[sample.words[w]], minlength=n)
         total = np.bincount(owner, weights=np.logaddexp(0.0, z), minlength=n_docs) + np.logaddexp(0.0, theta[-1])
         outer = np.where(y > 0, -1.0 / np.expm1(np.clip(total, 1e-9, 700)), 1.0) / n_docs
         inner = outer[owner] * np.exp(-np.logaddexp(0.0, -z))
+        own = np.zeros(size)
+        for s, w in blocks:
+            own += np.bincount(sample.words[w], weights=np.repeat(inner[s], sizes[s]), minlength=size)
         grad = np.empty_like(theta)
-        grad[:size] = PENALTY / n_docs * np.tanh(theta[:size] / 0.05)
-        for w, s in blocks:
-            grad[:size] += np.bincount(w, weights=inner[s], minlength=size)
+        grad[:size] = PENALTY / n_docs * np.tanh(theta[:size] / 0.05) + own + np.bincount(stems, weights=own, minlength=size + 1)[:size]
         grad[-2], grad[-1] = inner.sum(), outer.sum() / (1.0 + np.exp(-theta[-1]))
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         theta -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-10)
@@ -124,33 +141,30 @@ def fit(sample: Sample) -> Model:
 
 
 def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of each text, and each one's sentence, numbered from 0 over sentences with words."""
+    """The words of each text, and how many each of its sentences with words has."""
     for batch in batches:
-        words, pieces, sizes = [], [], []
+        words, sizes = [], []
         for text in batch.column("text"):
             found = _TOKEN.findall((text.as_py() or "").lower())
             stop = np.array([w in _ENDS for w in found], dtype=bool)
-            kept, piece = np.unique(np.cumsum(stop)[~stop], return_inverse=True)
             words.append([w for w in found if w not in _ENDS])
-            pieces.append(piece.astype(np.int32))
-            sizes.append(len(kept))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("d"), batch.column("h"), batch.column("label"), pa.array(words, pa.list_(pa.string())), pa.array(pieces, pa.list_(pa.int32())), pa.array(sizes, pa.int32())], names=["d", "h", "label", "words", "pieces", "sentences"]
-        )
+            sizes.append(np.unique(np.cumsum(stop)[~stop], return_counts=True)[1].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("d", "h", "label")), pa.array(words, pa.list_(pa.string())), pa.array(sizes, pa.list_(pa.int32()))], names=["d", "h", "label", "words", "sizes"])
 
 
 def _numbered(names: Broadcast):
-    """Features as places among the names; those that have none go."""
+    """Words as places among the names, or their stems'; those that have neither go, and sentences keep the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {w: i for i, w in enumerate(names.value)}
         for batch in batches:
-            features, sentences = [], []
-            for words, pieces in zip(batch.column("words").to_pylist(), batch.column("pieces"), strict=True):
-                at = np.array([*(place.get(w, -1) for w in words), *(place.get(_stem(w), -1) for w in words)], dtype=np.int32)
-                features.append(at[at >= 0])
-                sentences.append(np.tile(pieces.values.to_numpy(), 2)[at >= 0])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("d", "h", "label", "sentences")), pa.array(features, pa.list_(pa.int32())), pa.array(sentences, pa.list_(pa.int32()))], names=["d", "h", "label", "sentences", "features", "pieces"])
+            places, kept = [], []
+            for words, sizes in zip(batch.column("words").to_pylist(), batch.column("sizes"), strict=True):
+                at = np.array([place[w] if w in place else place.get(_stem(w), -1) for w in words], dtype=np.int32)
+                sentence = np.repeat(np.arange(len(sizes)), sizes.values.to_numpy())
+                places.append(at[at >= 0])
+                kept.append(np.bincount(sentence[at >= 0], minlength=len(sizes)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("d", "h", "label")), pa.array(places, pa.list_(pa.int32())), pa.array(kept, pa.list_(pa.int32()))], names=["d", "h", "label", "places", "sizes"])
 
     return run
 
@@ -177,31 +191,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def _gathered(numbers: DataFrame, names: list[str]) -> Sample:
     """The sample at the driver. What it is put together from goes before the model is fitted."""
-    word, sentence, owner, labels_ = [], [], [], []
-    sentences = docs_ = 0
+    words, sizes, sentences, labels_ = [], [], [], []
     for batch in numbers.orderBy("d", "h").drop("d", "h").toArrow().to_batches():  # sums of floats depend on their order
-        n, features = batch.column("sentences").to_numpy(), batch.column("features")
-        word.append(features.flatten().to_numpy())
-        starts = np.cumsum(n) - n + sentences
-        sentence.append(batch.column("pieces").flatten().to_numpy() + np.repeat(starts, np.diff(features.offsets.to_numpy())).astype(np.int32))
-        owner.append(np.repeat(np.arange(docs_, docs_ + len(n), dtype=np.int32), n))
+        words.append(batch.column("places").flatten().to_numpy())
+        sizes.append(batch.column("sizes").flatten().to_numpy())
+        sentences.append(np.diff(batch.column("sizes").offsets.to_numpy()))
         labels_.append(batch.column("label").to_numpy())
-        sentences, docs_ = sentences + int(n.sum()), docs_ + len(n)
-    if not docs_:
+    if not labels_:
         return Sample([], *[np.empty(0, dtype=np.int32)] * 4)
-    return Sample(names, *map(np.concatenate, (word, sentence, owner, labels_)))
+    each = np.concatenate(sentences)
+    return Sample(names, np.concatenate(words), np.concatenate(sizes), np.repeat(np.arange(len(each), dtype=np.int32), each), np.concatenate(labels_))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from labelled_sample's rows. Texts are cut in tasks; the driver gets the names of at most WORDS words and
     stems that stand in LEAST_DOCS documents of the sample, and the sample as numbers."""
     rows = labelled_sample(docs, labels, id_col, text_col, label_col)
-    stored = cut(rows.mapInArrow(_sentences, "d long, h long, label int, words array<string>, pieces array<int>, sentences int"))
+    stored = cut(rows.mapInArrow(_sentences, "d long, h long, label int, words array<string>, sizes array<int>"))
     stems = F.transform("words", lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*")))
     seen = stored.select(F.explode(F.array_distinct(F.concat("words", stems))).alias("w")).groupBy("w").count().where(F.col("count") >= LEAST_DOCS)
     names = seen.orderBy(F.desc("count"), "w").limit(WORDS).select("w").toArrow().column("w").to_pylist()
     told = docs.sparkSession.sparkContext.broadcast(names)
-    numbers = stored.mapInArrow(_numbered(told), "d long, h long, label int, sentences int, features array<int>, pieces array<int>")
+    numbers = stored.mapInArrow(_numbered(told), "d long, h long, label int, places array<int>, sizes array<int>")
     settle(docs.sparkSession)
     sample = _gathered(numbers, names)
     told.destroy()

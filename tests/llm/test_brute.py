@@ -153,3 +153,22 @@ def test_license_scores_are_the_fitted_coefficients(spark):
         if line in got:
             assert got[line][0] == family and got[line][1] == pytest.approx(p)
     assert got[1][0] == "mit" and got[1][2] == 1.0
+
+
+def test_toxicity_sample_counts_words_and_stems_by_sentence(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "Vile words. !! Wordy calm\nrare") for i in (0, 1, 3, 4, 5, 8, 9, 10)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) toxic")
+    monkeypatch.setattr(toxicity, "LEAST_DOCS", 2)
+    monkeypatch.setattr(toxicity, "BLOCK", 2)
+    took = []
+    monkeypatch.setattr(toxicity, "fit", took.append)
+    toxicity.train(docs, labels)
+    (sample,) = took
+    n, names = len(sample.labels), sample.names
+    assert [names[i] for i in sample.words] == ["vile", "words", "wordy", "calm", "rare"] * n
+    assert sample.sizes.tolist() == [2, 2, 1] * n and sample.owner.tolist() == [d for d in range(n) for _ in range(3)]
+    stems = sample.stems
+    assert {w: names[stems[i]] for i, w in enumerate(names) if stems[i] < len(names)} == {"vile": "vile*", "words": "word*", "wordy": "word*", "calm": "calm*", "rare": "rare*"}
+    blocks = sample.blocks()
+    assert [s.start for s, _ in blocks] == [0] + [s.stop for s, _ in blocks[:-1]] and blocks[-1][0].stop == len(sample.sizes)
+    assert all(int(sample.sizes[s].sum()) == w.stop - w.start for s, w in blocks) and blocks[-1][1].stop == len(sample.words)
