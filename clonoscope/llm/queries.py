@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from clonoscope.llm import audio, fingerprint, jaccard, license, line_dedup, lm, mixing, packing, secrets, toxicity
+from clonoscope.llm import audio, divergence, fingerprint, jaccard, license, line_dedup, lm, mixing, packing, secrets, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_secret_scans": secrets.op8_secret_scans,
     "op9_media_columns": audio.op9_media_columns,
     "op10_document_fingerprints": fingerprint.op10_document_fingerprints,
+    "op11_source_divergence": divergence.op11_source_divergence,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -24,4 +25,5 @@ SQL = {
     "op6_ngram_jaccard_join": jaccard.SQL,
     "op8_secret_scans": secrets.SQL,
     "op10_document_fingerprints": fingerprint.SQL,
+    "op11_source_divergence": divergence.SQL,
 }
