@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from clonoscope.llm import alignment, audio, divergence, fingerprint, jaccard, license, line_dedup, lm, mixing, packing, secrets, toxicity
+from clonoscope.llm import alignment, audio, divergence, fingerprint, jaccard, license, line_dedup, lm, minhash, mixing, packing, secrets, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_media_columns": audio.op9_media_columns,
     "op10_document_fingerprints": fingerprint.op10_document_fingerprints,
     "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_minhash_dedup": minhash.op12_minhash_dedup,
     "op13_token_alignment": alignment.op13_token_alignment,
     "pipeline": corpus_pipeline.run,
 }
@@ -27,4 +28,5 @@ SQL = {
     "op8_secret_scans": secrets.SQL,
     "op10_document_fingerprints": fingerprint.SQL,
     "op11_source_divergence": divergence.SQL,
+    "op12_minhash_dedup": minhash.SQL,
 }
