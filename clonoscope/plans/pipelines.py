@@ -113,7 +113,7 @@ def _composition(rep: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def _graph(rep: DataFrame, chosen: DataFrame) -> DataFrame:
-    nodes, links = G.built(rep, 5)
+    nodes, links = map(store.stored, G.built(rep, 5))
     long = G.pooled(G.node_features(nodes, links, k=5), links).withColumn("feature", F.format_string("g%03d", "dim"))
     wide = D.pinned(long.select("repertoire_id", "feature", F.col("mean").alias("value")), [f"g{i:03d}" for i in range(59)])
     return rep.select("repertoire_id").distinct().join(wide, "repertoire_id", "left").join(learned.repertoire_features(rep), "repertoire_id", "left").na.fill(0.0)
@@ -147,6 +147,17 @@ RECIPES: dict[str, Recipe] = {
 BY_NUMBER = {1: "reference", 2: "tokens", 3: "vocabulary", 4: "patterns", 5: "patterns_fdr", 6: "vocabulary", 7: "differential", 8: "graph"}
 
 
+def _steady(rows: DataFrame) -> DataFrame:
+    """Features to nine places: sums in another order differ beyond."""
+    return rows.select(*[F.round(c, 9).alias(c) if kind == "double" else F.col(c) for c, kind in rows.dtypes])
+
+
+def _varied(data: DataFrame, names: list[str]) -> list[str]:
+    """The features that are not constant but for rounding; dividing by such a deviation would leave nothing but noise."""
+    stats = data.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(names) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    return [c for i, c in enumerate(names) if (stats[f"s{i}"] or 0) > 1e-9 * max(1.0, abs(stats[f"m{i}"] or 0))]
+
+
 @dataclass
 class Fitted:
     """A recipe with what it selected and its fitted stages."""
@@ -157,7 +168,7 @@ class Fitted:
 
     def score(self, rep: DataFrame) -> DataFrame:
         """(repertoire_id, probability) of repertoires, new ones or those it was fitted on."""
-        rows = RECIPES[self.recipe].features(rep, self.chosen)
+        rows = _steady(RECIPES[self.recipe].features(rep, self.chosen))
         return self.model.transform(rows).select("repertoire_id", F.get(vector_to_array("probability"), F.lit(1)).alias("probability"))
 
     def save(self, path: str) -> None:
@@ -181,11 +192,12 @@ def fit(recipe: str, rep: DataFrame, meta: DataFrame, reference: DataFrame | Non
     meta = store.stored(meta.select("repertoire_id", "label_positive"))
     rows = C.labelled(rep, meta)
     chosen = store.stored(plan.select(rows, meta, reference))
-    data = plan.features(rep.join(meta.select("repertoire_id"), "repertoire_id", "left_semi"), chosen).join(meta, "repertoire_id").withColumn("label", F.col("label_positive").cast("double")).drop("label_positive")
+    data = _steady(plan.features(rep.join(meta.select("repertoire_id"), "repertoire_id", "left_semi"), chosen)).join(meta, "repertoire_id").withColumn("label", F.col("label_positive").cast("double")).drop("label_positive")
     n, positive = meta.agg(F.count("*"), F.count_if("label_positive")).first()
     weight: Column = F.when(F.col("label") == 1, n / (2 * max(positive, 1))).otherwise(n / (2 * max(n - positive, 1)))
     data = store.stored(data.withColumn("weight", weight))
     stages, parts = [], [c for c, kind in data.dtypes if kind in ("double", "bigint", "int") and c not in ("repertoire_id", "label", "weight")]
+    parts = _varied(data, parts) or parts[:1]
     if "terms" in data.columns:
         words = [r["term"] for r in chosen.orderBy("term").collect()]  # at most TERMS, or 8,000 words of three letters
         stages.append(CountVectorizerModel.from_vocabulary(words or ["-"], inputCol="terms", outputCol="term_counts"))
