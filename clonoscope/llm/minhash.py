@@ -20,8 +20,10 @@ PERCENT = 85
 POSITIONS, DISTANCE = 96, 35
 #: Positions of a chunk that may differ.
 ERRORS = 1
-#: Sets of a key that one part of the last join takes.
+#: Sets of a shingle that one part of the last join takes.
 PART = 512
+#: Longs of a set's bitmap in that join: a bit for each value of its shingles modulo their number.
+MAP = 16
 
 _KEYS = np.random.default_rng(12).integers(1, 1 << 63, size=(3, 256), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
@@ -108,21 +110,27 @@ def _close(pairs: DataFrame, classes: DataFrame, distance: int) -> DataFrame:
     return both.mapInArrow(_near(distance), "a long, b long, na long, nb long")
 
 
-def confirmed(texts: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar enough. Of each class concerned one document is read
-    again; its set is stored once, and on its way to the pairs it is carried along with `a`, so that a class which is
-    the `b` of very many pairs is never copied for them in a shuffle."""
-    wanted = pairs.select("a").union(pairs.select("b")).distinct()
-    needed = written(classes.join(wanted, F.col("c") == F.col("a"), "left_semi").select("c", "f1", "f2", "least"))
+def full_sets(texts: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(c, tokens, bits) of the wanted classes, stored: full sets and their bitmaps. Of each one document is read again."""
+    needed = written(classes.join(wanted.select(F.col("c").alias("w")).distinct(), F.col("c") == F.col("w"), "left_semi").select("c", "f1", "f2", "least"))
     ids = needed.select(F.col("least").alias("needed")).distinct()
     chosen = texts.join(F.broadcast(ids) if needed.count() <= FEW else ids, texts["id"].eqNullSafe(F.col("needed")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, values, bounds, marks in _sets(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))], names=["g1", "g2", "tokens"])
+            bits = np.zeros((len(marks), 64 * MAP), dtype=np.uint8)
+            bits[np.repeat(np.arange(len(marks)), np.diff(bounds)), (values % np.uint64(64 * MAP)).astype(np.int64)] = 1
+            maps = pa.array(np.packbits(bits, axis=1).view(np.int64).ravel())
+            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), v) for at, v in ((bounds, pa.array(values.view(np.int64))), (np.arange(len(marks) + 1) * MAP, maps))]
+            yield pa.RecordBatch.from_arrays([pa.array(marks[:, 0]), pa.array(marks[:, 1]), *lists], names=["g1", "g2", "tokens", "bits"])
 
-    found = chosen.mapInArrow(run, "g1 long, g2 long, tokens array<long>").dropDuplicates(["g1", "g2"])
-    sets = written(found.join(needed, (F.col("g1") == F.col("f1")) & (F.col("g2") == F.col("f2"))).select("c", "tokens"))
+    found = chosen.mapInArrow(run, "g1 long, g2 long, tokens array<long>, bits array<long>").dropDuplicates(["g1", "g2"])
+    return written(found.join(needed, (F.col("g1") == F.col("f1")) & (F.col("g2") == F.col("f2"))).select("c", "tokens", "bits"))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough. Only the set of `a` is carried along with a pair
+    in a shuffle, so that a class which is the `b` of very many pairs is never copied for them."""
     one, two = (sets.select(F.col("c").alias(f"c{k}"), F.col("tokens").alias(f"t{k}")) for k in "ab")
     both = pairs.join(one, F.col("a") == F.col("ca")).join(two, F.col("b") == F.col("cb"))
     return both.where(F.size(F.array_intersect("ta", "tb")) >= enough(F.col("na"), F.col("nb"), percent)).select("a", "b")
@@ -144,24 +152,52 @@ def _stars(index: DataFrame, seed: int, percent: int) -> DataFrame:
     return met.withColumn("k", best).where("k <= 2").select(F.col("c").alias("a"), F.col("pc").alias("b"), F.col("n").alias("na"), F.col("pn").alias("nb"))
 
 
-def _size_class(n: Column, percent: int) -> Column:
-    """Sizes that allow a link are in the same or neighbouring classes."""
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+def _open(index: DataFrame) -> DataFrame:
+    """The rows of keys that still have several components, with the key's largest component and number of sets."""
+    sizes = index.groupBy("key", "label").agg(F.count("*").alias("m"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels"), F.sum("m").alias("all")).where("labels > 1")
+    return index.join(most.select(F.col("key").alias("k"), F.col("top.label").alias("top"), "all"), F.col("key") == F.col("k")).drop("k")
+
+
+def _prefixes(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The open sets by the shingles that any link of theirs must share: in an order by the number of these sets that
+    have a shingle, sets that are similar enough share one of the first n - ceil(n percent / 100) + 1 of each. Those that
+    no other set has come first and count, but meet nothing; `most` is the largest size that they leave for a link."""
+    tokens = sets.select("c", F.explode("tokens").alias("key"))
+    held = tokens.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").withColumnRenamed("key", "k")
+    shared = tokens.join(held, F.col("key") == F.col("k")).select(F.col("c").alias("of"), "key", "df")
+    # a window holds one document's shingles
+    own = Window.partitionBy("of")
+    placed = shared.withColumn("place", F.row_number().over(own.orderBy("df", "key"))).withColumn("shared", F.count("*").over(own))
+    first = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - (F.col("n") - F.col("shared"))
+    most = F.floor(F.col("shared") * (100 + percent) / percent) - F.col("n")
+    of = open_.join(sets.select(F.col("c").alias("s"), "bits"), F.col("c") == F.col("s"))
+    return placed.join(of, F.col("of") == F.col("c")).where(F.col("place") <= first).select("key", "c", "n", "label", "bits", most.alias("most")).where(100 * F.col("most") >= percent * F.col("n"))
+
+
+def _size_class(n: Column) -> Column:
+    """Sizes by steps of three in a hundred."""
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.log(F.lit(1.03))).cast("int")
+
+
+def _lacking(a: str, b: str) -> Column:
+    """At least so many shingles of a set lack in another: bits that only its bitmap has."""
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(i))))) for i in range(1, MAP)), F.bit_count(F.get(a, F.lit(0)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(0))))))
 
 
 def _across(index: DataFrame, percent: int) -> DataFrame:
-    """The pairs that share a key and are not yet in one component. In each key only sets outside the key's largest
-    component meet the others, only those of fitting size, and a key with many sets is joined in parts."""
-    sizes = index.groupBy("key", "label").agg(F.count("*").alias("m"))
-    most = sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels"), F.sum("m").alias("all")).where("labels > 1")
+    """The pairs that share a shingle that counts and are not yet in one component. In each such key only sets outside the key's largest
+    component meet the others, only those whose sizes and bitmaps allow a link, and a key with many sets is joined in parts."""
     parts = F.ceil(F.col("all") / PART).cast("int")
-    keyed = index.join(most.select(F.col("key").alias("k"), F.col("top.label").alias("top"), parts.alias("parts")), F.col("key") == F.col("k")).drop("k").withColumn("size", _size_class(F.col("n"), percent))
-    right = keyed.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
-    left = keyed.where("label <> top").select(F.col("key").alias("lk"), F.col("c").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), "parts", F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1)).alias("ls"))
+    right = index.withColumn("size", _size_class(F.col("n"))).withColumn("part", F.pmod(F.xxhash64("c"), parts).cast("int")).drop("all")
+    least, largest = _size_class(F.ceil(percent * F.col("n") / 100)), _size_class(F.least(F.floor(100 * F.col("n") / percent), "most"))
+    left = index.where("label <> top").select(F.col("key").alias("lk"), F.col("c").alias("a"), F.col("n").alias("na"), F.col("most").alias("most_a"), F.col("label").alias("la"), F.col("bits").alias("bits_a"), parts.alias("parts"), F.explode(F.sequence(least, F.greatest(least, largest))).alias("ls"))
     left = left.withColumn("lp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    overlap = F.least(F.col("na") - _lacking("bits_a", "bits"), F.col("n") - _lacking("bits", "bits_a"))
+    fits = (F.col("n") <= F.col("most_a")) & (F.col("na") <= F.col("most")) & (overlap >= enough(F.col("na"), F.col("n"), percent))
     return (
         left.join(right, (F.col("lk") == F.col("key")) & (F.col("ls") == F.col("size")) & (F.col("lp") == F.col("part")))
-        .where((F.col("la") != F.col("label")) & ((F.col("label") == F.col("top")) | (F.col("a") < F.col("c"))) & (F.least("na", "n") >= enough(F.col("na"), F.col("n"), percent)))
+        .where((F.col("la") != F.col("label")) & ((F.col("label") == F.col("top")) | (F.col("a") < F.col("c"))) & fits)
         .select("a", F.col("c").alias("b"), "na", F.col("n").alias("nb"))
         .distinct()
     )
@@ -209,14 +245,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested: DataFrame | None = None
     for seed in range(2):
         close = written(_close(_stars(_labelled(index, links), seed, percent), classes, distance))
-        found = written(confirmed(texts, classes, close, percent))
+        sets = full_sets(texts, classes, close.select(F.col("a").alias("c")).union(close.select("b")))
+        found = written(confirmed(close, sets, percent))
         links = found if links is None else links.union(found)
         tested = close if tested is None else tested.union(close)
         settle(spark)
     done = tested.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    left = _across(_labelled(index, links), percent).join(done, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
+    open_ = written(_open(_labelled(index, links)).select("c", "n", "label").distinct())
+    sets = full_sets(texts, classes, open_)
+    left = _across(_open(written(_prefixes(open_, sets, percent))), percent).join(done, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
     close = written(_close(left, classes, distance))
-    labels = components(links.union(confirmed(texts, classes, close, percent)))
+    labels = components(links.union(confirmed(close, sets, percent)))
     settle(spark)
     of = classes.join(labels, F.col("c") == F.col("node"), "left").select("f1", "f2", "least", F.coalesce("label", "c").alias("label"))
     least = of.groupBy(F.col("label").alias("l")).agg(F.min("least").alias("component"))
