@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clonoscope.operators.order import numbered
+from clonoscope.sources.store import stored
 
 
 def labelled(rep: DataFrame, meta: DataFrame) -> DataFrame:
@@ -109,3 +112,31 @@ def prioritised(rep: DataFrame, meta: DataFrame, chunk: int = 40, enough: int =
     seen = first.groupBy("chunk").agg(F.count("*").alias("n")).withColumn("seen", F.sum("n").over(Window.orderBy("chunk")))
     last = seen.agg(F.coalesce(F.min(F.when(F.col("seen") > enough, F.col("chunk"))), F.max("chunk")).alias("last"))
     return first.crossJoin(F.broadcast(last)).where("chunk <= last").drop("last")
+
+
+def in_priority(meta: DataFrame, key: str = "filename") -> list:
+    """The files (or other keys) of repertoires, positives first: as many as a scan lists."""
+    order = meta.select(key, (~F.col("label_positive")).cast("int").alias("after")).orderBy("after", key)
+    return [r[key] for r in order.toLocalIterator()]
+
+
+def scanned(read: Callable[[list], DataFrame], files: list, candidates: Callable[[DataFrame], DataFrame], chunk: int = 40, enough: int = 70_000) -> DataFrame:
+    """The candidates of the first files that have more than `enough` distinct ones: junction_aa, score, v_call, j_call
+    and the chunk of files in which a sequence is first seen.
+
+    `read` gives the rows of so many files at a time and `candidates` their (junction_aa, score, v_call, j_call); after
+    each chunk the best score of each sequence is merged into what was found before, and once there are enough the
+    scan ends: later files are never opened. The first of equal scores stays, then the smallest genes. Each state
+    is stored, so that a scan that loses executors goes on from the last chunk."""
+    state: DataFrame | None = None
+    for number, begin in enumerate(range(0, len(files), chunk)):
+        found = candidates(read(files[begin : begin + chunk])).select("junction_aa", F.col("score").cast("double").alias("score"), "v_call", "j_call", F.lit(number).cast("long").alias("chunk"), F.lit(number).cast("long").alias("best"))
+        every = found if state is None else state.unionByName(found)
+        first = F.min(F.struct((-F.col("score")).alias("s"), "best", "v_call", "j_call")).alias("b")
+        merged = every.groupBy("junction_aa").agg(first, F.min("chunk").alias("chunk"))
+        state = stored(merged.select("junction_aa", (-F.col("b.s")).alias("score"), "b.v_call", "b.j_call", "chunk", "b.best"))
+        if state.count() > enough:
+            break
+    if state is None:
+        raise ValueError("no files to scan")
+    return state.drop("best")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clonoscope.functions import sequence as S
+from clonoscope.sources.store import stored
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -64,6 +65,89 @@ def knn(nodes: DataFrame, k: int, metric: str = "cosine", block: int = BLOCK) ->
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("repertoire_id", "src").orderBy("distance", "dst"))).where(F.col("rank") <= k)
 
 
+#: Nodes of a cell of the pruned search, about.
+CELL = 256
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.stack([np.sqrt(((b - v) ** 2).sum(axis=1)) for v in a]) if len(a) else np.empty((0, len(b)))
+
+
+def _vectors(rows: pd.DataFrame, column: str = "x") -> np.ndarray:
+    return np.stack(rows[column].to_numpy()) if len(rows) else np.empty((0, 0))
+
+
+def _to_pivots(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+    """The nearest pivot of each node of a block; its cell."""
+    pivots = pivots.sort_values("pivot", ignore_index=True)
+    d = _apart(_vectors(rows), _vectors(pivots, "px"))
+    at = d.argmin(axis=1) if len(d) else np.empty(0, dtype=int)
+    return rows.assign(cell=pivots["pivot"].to_numpy()[at], away=np.take_along_axis(d, at[:, None], axis=1).ravel())
+
+
+def _bound(k: int, metric: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """How far from a node its k nearest are at most, by those of its own part; never less after rounding."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x = _vectors(rows)
+        reach = np.full(len(rows), np.inf)
+        if len(rows) > k:
+            d = _apart(x, x)
+            np.fill_diagonal(d, np.inf)
+            reach = np.partition(d, k - 1, axis=1)[:, k - 1]
+            reach = np.sqrt(reach**2 + 4e-6) if metric == "cosine" else reach + 2e-6
+        return rows.assign(reach=reach * (1 + 1e-9))
+
+    return run
+
+
+def _to_parts(rows: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+    """The parts that may hold one of a node's nearest, by the triangle inequality from their pivots."""
+    i, j = np.nonzero(_apart(_vectors(rows), _vectors(parts, "px")) - parts["radius"].to_numpy() <= rows["reach"].to_numpy()[:, None])
+    out = rows.iloc[i][["repertoire_id", "node_id", "x", "cell", "part"]].reset_index(drop=True)
+    return out.assign(other_cell=parts["pivot"].to_numpy()[j], other_part=parts["other_part"].to_numpy()[j])
+
+
+def pruned(nodes: DataFrame, k: int, metric: str = "cosine", cell: int = CELL, block: int = BLOCK) -> DataFrame:
+    """What the pruned search compares: nodes that ask (asks) and nodes of the parts they ask, by both parts.
+
+    Some nodes are pivots and a node belongs to the cell of its nearest one; cells are cut into parts of about
+    `block`. A node's own part bounds how far its k nearest can be, and a part whose pivot is farther than that and
+    the part's radius holds none of them. Blocks of nodes are compared with pivots, never a repertoire with itself."""
+    kinds = dict(nodes.dtypes)
+    norm = F.sqrt(dot(F.col("x"), F.col("x")))
+    unit = nodes.select("repertoire_id", "node_id", (F.transform("x", lambda v: v / norm) if metric == "cosine" else F.col("x")).cast("array<double>").alias("x"))
+    sizes = unit.groupBy("repertoire_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("node_id")).alias("least"))
+    hashed = F.xxhash64("node_id")
+    sized = stored(unit.join(sizes, "repertoire_id").withColumn("block", F.pmod(F.xxhash64("node_id", F.lit(1)), F.ceil(F.col("n") / block)).cast("int")))
+    # the other side of a cogroup has names of its own
+    pivots = sized.where((F.pmod(hashed, F.lit(cell)) == 0) | (hashed == F.col("least"))).select(F.col("repertoire_id").alias("r"), F.col("node_id").alias("pivot"), F.col("x").alias("px"))
+    blocks = sized.select(F.col("repertoire_id").alias("r"), F.col("block").alias("b")).distinct()
+    rows = sized.select("repertoire_id", "node_id", "x", "block")
+    schema = f"repertoire_id {kinds['repertoire_id']}, node_id {kinds['node_id']}, x array<double>, block int"
+    near = rows.groupBy("repertoire_id", "block").cogroup(pivots.join(blocks, "r").groupBy("r", "b")).applyInPandas(_to_pivots, f"{schema}, cell {kinds['node_id']}, away double")
+    near = stored(near)
+    held = near.groupBy("repertoire_id", "cell").agg(F.ceil(F.count("*") / block).alias("parts"))
+    dealt = near.join(held, ["repertoire_id", "cell"]).withColumn("part", F.pmod(F.xxhash64("node_id", F.lit(2)), F.col("parts")).cast("int")).drop("parts")
+    schema = f"{schema}, cell {kinds['node_id']}, away double, part int"
+    bounded = stored(dealt.select(*[c.split()[0] for c in schema.split(", ")]).groupBy("repertoire_id", "cell", "part").applyInPandas(_bound(k, metric), f"{schema}, reach double"))
+    parts = bounded.groupBy(F.col("repertoire_id").alias("r"), F.col("cell").alias("pivot"), F.col("part").alias("other_part")).agg(F.max("away").alias("radius"))
+    told = parts.join(pivots, ["r", "pivot"]).join(blocks, "r")
+    schema = f"repertoire_id {kinds['repertoire_id']}, node_id {kinds['node_id']}, x array<double>, cell {kinds['node_id']}, part int, other_cell {kinds['node_id']}, other_part int"
+    asks = stored(bounded.groupBy("repertoire_id", "block").cogroup(told.groupBy("r", "b")).applyInPandas(_to_parts, schema))
+    met = asks.select("repertoire_id", "cell", "part", "other_cell", "other_part").distinct()
+    members = bounded.select("repertoire_id", "node_id", "x", F.col("cell").alias("other_cell"), F.col("part").alias("other_part")).join(met, ["repertoire_id", "other_cell", "other_part"])
+    return asks.withColumn("asks", F.lit(True)).unionByName(members.withColumn("asks", F.lit(False)))
+
+
+def knn_pruned(nodes: DataFrame, k: int, metric: str = "cosine", cell: int = CELL, block: int = BLOCK) -> DataFrame:
+    """The rows of knn(), exact, with only those parts of a repertoire compared that can hold a nearest node."""
+    kinds = dict(nodes.dtypes)
+    schema = f"repertoire_id {kinds['repertoire_id']}, src {kinds['node_id']}, dst {kinds['node_id']}, distance double"
+    near = pruned(nodes, k, metric, cell, block).groupBy("repertoire_id", "cell", "part", "other_cell", "other_part").applyInPandas(_nearest(k, metric), schema)
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("repertoire_id", "src").orderBy("distance", "dst"))).where(F.col("rank") <= k)
+
+
 def edges(neighbours: DataFrame) -> DataFrame:
     """Both directions of each neighbour pair, mutual neighbours twice; weight 1 / (1 + distance)."""
     w = (1 / (1 + F.col("distance"))).alias("weight")
@@ -88,16 +172,31 @@ def neighbour_density(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return deg.join(mean, ["repertoire_id", "node_id"], "left").join(n, "repertoire_id").select("repertoire_id", "node_id", (F.coalesce("m", F.lit(0.0)) / F.greatest(F.col("n") - 1, F.lit(1))).alias("density"))
 
 
+def wedges(links: DataFrame) -> DataFrame:
+    """Two edges from one node, (repertoire_id, x, y, z, m1, m2), each edge led from its end with fewer neighbours to the
+    one with more (equals by node) and y before z: no node leads more than sqrt(2 E) edges, hubs fewest, so that there
+    are at most E sqrt(2 E) of them. `links` has each edge both ways; parallel edges are counted in m."""
+    a = links.where("src <> dst").groupBy("repertoire_id", "src", "dst").agg(F.count("*").alias("m"))
+    deg = a.groupBy("repertoire_id", "src").agg(F.count("*").alias("d"))
+    other = deg.select("repertoire_id", F.col("src").alias("dst"), F.col("d").alias("d2"))
+    led = a.join(deg, ["repertoire_id", "src"]).join(other, ["repertoire_id", "dst"]).where(F.struct("d", "src") < F.struct(F.col("d2"), F.col("dst")))
+    one = led.select("repertoire_id", F.col("src").alias("x"), F.col("dst").alias("y"), F.col("d2").alias("dy"), F.col("m").alias("m1"))
+    two = led.select("repertoire_id", F.col("src").alias("x"), F.col("dst").alias("z"), F.col("d2").alias("dz"), F.col("m").alias("m2"))
+    return one.join(two, ["repertoire_id", "x"]).where(F.struct(F.col("dy"), F.col("y")) < F.struct(F.col("dz"), F.col("z"))).select("repertoire_id", "x", "y", "z", "m1", "m2")
+
+
+def triangles(links: DataFrame) -> DataFrame:
+    """(repertoire_id, node_id, triangles) of nodes in triangles; multiplicities of their edges multiply."""
+    closing = links.groupBy("repertoire_id", F.col("src").alias("y"), F.col("dst").alias("z")).agg(F.count("*").alias("m3"))
+    each = wedges(links).join(closing, ["repertoire_id", "y", "z"]).withColumn("m", F.col("m1") * F.col("m2") * F.col("m3"))
+    return each.select("repertoire_id", F.explode(F.array("x", "y", "z")).alias("node_id"), "m").groupBy("repertoire_id", "node_id").agg(F.sum("m").alias("triangles"))
+
+
 def clustering(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Closed walks of three steps over two, by d (d - 1) / 2 pairs of edges; multiplicities multiply."""
-    a = links.groupBy("repertoire_id", "src", "dst").agg(F.count("*").alias("m"))
-    ab = a.select("repertoire_id", F.col("src").alias("x"), F.col("dst").alias("y"), F.col("m").alias("m1"))
-    bc = a.select("repertoire_id", F.col("src").alias("y"), F.col("dst").alias("z"), F.col("m").alias("m2"))
-    ca = a.select("repertoire_id", F.col("src").alias("z"), F.col("dst").alias("x"), F.col("m").alias("m3"))
-    walks = ab.join(bc, ["repertoire_id", "y"]).join(ca, ["repertoire_id", "z", "x"]).groupBy("repertoire_id", F.col("x").alias("node_id")).agg(F.sum(F.col("m1") * F.col("m2") * F.col("m3")).alias("walks"))
-    deg = degrees(nodes, links).join(walks, ["repertoire_id", "node_id"], "left")
+    """A node's triangles over d (d - 1) / 2 pairs of its edges; multiplicities multiply."""
+    deg = degrees(nodes, links).join(triangles(links), ["repertoire_id", "node_id"], "left")
     pairs = F.col("deg") * (F.col("deg") - 1) / 2
-    return deg.select("repertoire_id", "node_id", F.when(F.col("deg") > 1, F.coalesce("walks", F.lit(0)) / 2 / F.nullif(pairs, F.lit(0))).otherwise(0.0).alias("clustering"))
+    return deg.select("repertoire_id", "node_id", F.when(F.col("deg") > 1, F.coalesce("triangles", F.lit(0)) / F.nullif(pairs, F.lit(0))).otherwise(0.0).alias("clustering"))
 
 
 def mean_pool(nodes: DataFrame) -> DataFrame:
@@ -125,6 +224,49 @@ def convolved(nodes: DataFrame, links: DataFrame, how: str = "gcn") -> DataFrame
     return parts.groupBy("repertoire_id", "node_id", "dim").agg(value.alias("value"))
 
 
+#: Neighbours of a node that one part of its attention holds.
+HUB = 1024
+
+
+def attended(nodes: DataFrame, links: DataFrame, own: list[float], other: list[float], slope: float = 0.2, hub: int = HUB) -> DataFrame:
+    """One head of graph attention: a node's new vector is the mean of its neighbours' and its own, weighed by the softmax
+    over them of leaky(own . x_i + other . x_j), parallel edges counting each.
+
+    A node with many neighbours is dealt into parts of about `hub`; each part has its own maximum, sum and weighed
+    vectors, which are brought to the node's maximum and added, so that exponents never overflow and no task holds a hub."""
+    loops = nodes.select("repertoire_id", F.col("node_id").alias("src"), F.col("node_id").alias("dst"))
+    whole = links.select("repertoire_id", "src", "dst").unionByName(loops).groupBy("repertoire_id", "src", "dst").agg(F.count("*").alias("m"))
+    score = lambda v: dot(F.col("x"), F.array(*map(F.lit, v)))
+    parts = whole.groupBy("repertoire_id", "src").agg(F.ceil(F.count("*") / hub).alias("parts"))
+    asks = nodes.select("repertoire_id", F.col("node_id").alias("src"), score(own).alias("s")).join(parts, ["repertoire_id", "src"])
+    told = nodes.select("repertoire_id", F.col("node_id").alias("dst"), "x", score(other).alias("t"))
+    met = whole.join(asks, ["repertoire_id", "src"]).join(told, ["repertoire_id", "dst"])
+    raw = F.col("s") + F.col("t")
+    met = met.select("repertoire_id", "src", "m", "x", F.when(raw > 0, raw).otherwise(slope * raw).alias("e"), F.pmod(F.xxhash64("dst"), F.col("parts")).alias("part"))
+    met = met.withColumn("top", F.max("e").over(Window.partitionBy("repertoire_id", "src", "part")))
+    # dimension 0 is the sum of weights
+    long = met.select("repertoire_id", "src", "part", "top", (F.col("m") * F.exp(F.col("e") - F.col("top"))).alias("w"), F.posexplode(F.concat(F.array(F.lit(1.0)), "x")).alias("dim", "v"))
+    some = long.groupBy("repertoire_id", "src", "dim", "part").agg(F.first("top").alias("top"), F.sum(F.col("w") * F.col("v")).alias("v"))
+    most = F.max("top").over(Window.partitionBy("repertoire_id", "src", "dim"))
+    summed = some.withColumn("v", F.col("v") * F.exp(F.col("top") - most)).groupBy("repertoire_id", F.col("src").alias("node_id"), "dim").agg(F.sum("v").alias("v"))
+    x = as_nodes(summed, "v")
+    return x.select("repertoire_id", "node_id", F.transform(F.slice("x", F.lit(2), F.size("x") - 1), lambda v: v / F.get("x", F.lit(0))).alias("x"))
+
+
+def dense(x: Column, weights: list[list[float]], bias: list[float], relu: bool = False) -> Column:
+    """A vector through one layer: `weights` has a list of inputs for each output."""
+    out = F.zip_with(F.transform(F.array(*[F.array(*map(F.lit, w)) for w in weights]), lambda w: dot(x, w)), F.array(*map(F.lit, bias)), lambda a, b: a + b)
+    return F.transform(out, lambda v: F.greatest(v, F.lit(0.0))) if relu else out
+
+
+def isomorphic(nodes: DataFrame, links: DataFrame, eps: float, inner: tuple[list[list[float]], list[float]], outer: tuple[list[list[float]], list[float]]) -> DataFrame:
+    """One step of a graph isomorphism network: (1 + eps) times a node's vector plus its neighbours', through two layers."""
+    sums = as_nodes(convolved(nodes, links, "sum")).select("repertoire_id", "node_id", F.col("x").alias("sum"))
+    both = sums.join(nodes.select("repertoire_id", "node_id", "x"), ["repertoire_id", "node_id"])
+    mixed = F.zip_with("sum", "x", lambda a, b: a + eps * b)
+    return both.select("repertoire_id", "node_id", dense(dense(mixed, *inner, relu=True), *outer).alias("x"))
+
+
 def as_nodes(long: DataFrame, value: str = "value") -> DataFrame:
     """Long dimensions as vectors again."""
     ordered = F.array_sort(F.collect_list(F.struct("dim", value)))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clonoscope.operators.order import numbered
+from clonoscope.sources.store import stored
+
 
 def shuffled(key: str = "repertoire_id", seed: int = 42) -> list[Column]:
     """A fixed pseudo-random order of keys."""
@@ -41,21 +47,59 @@ def clean_templates(rep: DataFrame) -> DataFrame:
     return rep.withColumn("templates", x).where("templates is not null and not isnan(templates) and templates > 0 and templates < double('Infinity')")
 
 
-def downsampled(rep: DataFrame, order: list[str], target: int = 10_000, seed: int = 42, draws: str = "multinomial") -> DataFrame:
+#: Rows, or ranges of rows, that one draw is divided among.
+FAN = 4096
+
+
+def _draw(seed: int, level: int, draws: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Divides the draws of one range among its parts. The random numbers depend on the seed and on the place of the
+    range in its repertoire only; a repertoire that is one range takes the seed as it is."""
+
+    def run(parts: pd.DataFrame) -> pd.DataFrame:
+        parts = parts.sort_values("place_", kind="stable", ignore_index=True)
+        n, p = int(parts["n_"].iloc[0]), parts["w_"].to_numpy(float) + 1e-10 * parts["m_"].to_numpy(float)
+        if parts["size_"].iloc[0] <= FAN and level == 0:
+            random = np.random.RandomState(seed)
+        else:
+            name = f"{seed}:{parts['repertoire_id'].iloc[0]}:{level}:{parts['range_'].iloc[0]}"
+            random = np.random.RandomState(np.random.MT19937(np.random.SeedSequence(int(hashlib.sha256(name.encode()).hexdigest(), 16))))
+        drawn = random.multinomial(n, p / p.sum()) if draws == "multinomial" else np.bincount(random.choice(len(p), n, p=p / p.sum()), minlength=len(p))
+        return parts.assign(n_=drawn)[drawn > 0]
+
+    return run
+
+
+def downsampled(rep: DataFrame, order: list[str], target: int = 10_000, seed: int = 42, draws: str = "multinomial", fan: int = FAN) -> DataFrame:
     """Each repertoire's templates drawn down to `target` by their share, from the same seed for each;
-    smaller repertoires stay. `draws` is one multinomial draw, or `choice`: so many single draws with replacement,
-    counted. A repertoire is one group: its rows are the unit of the experiment, not of the table."""
+    smaller repertoires stay. `draws` is multinomial, or `choice`: so many single draws with replacement, counted.
+
+    The rows of a repertoire are put in order and cut into ranges of `fan`, those into ranges of `fan` ranges, and so
+    on. From the whole downwards, a range's draws are divided among its parts by their weights (a multinomial draw
+    given its sum), so that the result is one multinomial draw and no task holds more than `fan` parts, however large
+    a repertoire is. A repertoire of at most FAN rows is a single NumPy draw. Null templates count as 0."""
     if draws not in ("multinomial", "choice"):
         raise ValueError(f"unknown draws: {draws}")
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable", ignore_index=True)
-        if rows["templates"].sum() <= target:
-            return rows
-        p = rows["templates"].to_numpy(float) + 1e-10
-        random = np.random.RandomState(seed)
-        rows["templates"] = random.multinomial(target, p / p.sum()) if draws == "multinomial" else np.bincount(random.choice(len(p), target, p=p / p.sum()), minlength=len(p))
-        return rows[rows["templates"] > 0]
-
     typed = rep.withColumn("templates", F.col("templates").cast("long"))
-    return typed.groupBy("repertoire_id").applyInPandas(one, typed.schema)
+    plain = [F.col(f"`{f.name}`") for f in typed.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    placed = numbered(typed, [F.asc("repertoire_id"), *[F.asc(c) for c in order], F.xxhash64(*plain).asc()], "number_")
+    w = F.coalesce("templates", F.lit(0))
+    sums = stored(placed.groupBy(F.col("repertoire_id").alias("r_")).agg(F.sum(w).alias("total_"), F.min("number_").alias("first_"), F.count("*").alias("size_")))
+    known = placed.join(sums, F.col("repertoire_id").eqNullSafe(F.col("r_")))
+    stay = known.where(F.col("total_") <= target).select(*typed.columns)
+    rows = stored(known.where(F.col("total_") > target).select(*typed.columns, (F.col("number_") - F.col("first_")).alias("place_"), "size_", w.alias("w_"), F.lit(1).cast("long").alias("m_")))
+    largest = rows.agg(F.max("size_")).first()[0]
+    if largest is None:
+        return stay
+    levels = [rows.select("repertoire_id", "place_", "size_", "w_", "m_")]
+    while largest > 1:
+        up = levels[-1].groupBy("repertoire_id", F.floor(F.col("place_") / fan).alias("place_")).agg(F.first("size_").alias("size_"), F.sum("w_").alias("w_"), F.sum("m_").alias("m_"))
+        levels.append(stored(up))
+        largest = -(-largest // fan)
+    drawn = rows.select("repertoire_id").distinct().select(F.col("repertoire_id").alias("r_"), F.lit(0).cast("long").alias("p_"), F.lit(target).cast("long").alias("n_"))
+    for level in reversed(range(len(levels) - 1)):
+        parts = (rows if level == 0 else levels[level]).withColumn("range_", F.floor(F.col("place_") / fan))
+        given = parts.join(drawn, F.col("repertoire_id").eqNullSafe(F.col("r_")) & (F.col("range_") == F.col("p_"))).drop("r_", "p_")
+        got = given.groupBy("repertoire_id", "range_").applyInPandas(_draw(seed, level, draws), given.schema)
+        if level:
+            drawn = stored(got.select(F.col("repertoire_id").alias("r_"), F.col("place_").alias("p_"), "n_"))
+    return stay.unionByName(got.withColumn("templates", F.col("n_")).select(*typed.columns))

@@ -140,6 +140,27 @@ def prioritised_scan(spark: SparkSession, d: str) -> DataFrame:
     return C.prioritised(A.word_repertoire(spark, d), A.word_metadata(spark, d), 40, 5_000)
 
 
+@query(
+    "early_scan",
+    f"""WITH {A.WORDS_SQL}, pat AS (SELECT DISTINCT substr(junction_aa, 1, 3) AS kmer FROM refset), o AS (SELECT repertoire_id, (row_number() OVER (ORDER BY label_positive DESC, repertoire_id) - 1) // 40 AS chunk FROM meta),
+d AS (SELECT DISTINCT junction_aa AS s FROM rep), c AS (SELECT s, count(*)::DOUBLE AS score FROM (SELECT DISTINCT s, unnest(list_transform({K._range(3)}, lambda i: substr(s, i, 3))) AS kmer FROM d) JOIN pat USING (kmer) GROUP BY 1),
+f AS (SELECT junction_aa, min(chunk) AS chunk FROM rep JOIN o USING (repertoire_id) SEMI JOIN c ON s = junction_aa GROUP BY 1),
+n AS (SELECT chunk, sum(count(*)) OVER (ORDER BY chunk) AS seen FROM f GROUP BY 1)
+SELECT junction_aa, chunk, score FROM f JOIN c ON s = junction_aa WHERE chunk <= coalesce((SELECT min(chunk) FROM n WHERE seen > 5000), (SELECT max(chunk) FROM n))""",
+)
+def early_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences that hold a pattern, positives first, 40 repertoires at a time; after more than 5,000 no more are read."""
+    words, patterns = A.word_repertoire(spark, d), A.reference_set(spark, d).select(F.substring("junction_aa", 1, 3).alias("kmer")).distinct()
+
+    def candidates(rows: DataFrame) -> DataFrame:
+        genes = C.gene_min(rows, "junction_aa")
+        windows = genes.select("junction_aa", F.explode(F.array_distinct(S.kmers(F.col("junction_aa"), 3))).alias("kmer"))
+        return windows.join(patterns, "kmer").groupBy("junction_aa").agg(F.count("*").alias("score")).join(genes, "junction_aa")
+
+    ids = C.in_priority(A.word_metadata(spark, d), "repertoire_id")
+    return C.scanned(lambda some: words.where(F.col("repertoire_id").isin(some)), ids, candidates, 40, 5_000).select("junction_aa", "chunk", "score")
+
+
 @query("skip_missing", f"WITH {A.WORDS_SQL} SELECT repertoire_id, label_positive, count(*) AS n FROM meta JOIN rep USING (repertoire_id) WHERE v_call = 'en' GROUP BY 1, 2")
 def skip_missing(spark: SparkSession, d: str) -> DataFrame:
     """Repertoires without rows are left out."""
@@ -228,6 +249,52 @@ _LOOPS = f"{K._KNN}, e AS (SELECT repertoire_id, src, dst FROM ed UNION ALL SELE
 for _how, _value in {"gcn": "sum(x[i] / sqrt(d * d2))", "sum": "sum(x[i])", "mean": "avg(x[i])"}.items():
     query(f"graph_{_how}", f"WITH {_LOOPS} SELECT repertoire_id, node_id, i - 1 AS dim, round({_value}, 6) AS value FROM u GROUP BY ALL")(lambda s, d, how=_how: G.convolved(*K._graph(s, d), how))
 
+_own, _other = [((i % 7) - 3) / 10 for i in range(64)], [((i % 5) - 2) / 10 for i in range(64)]
+_dot = lambda x, v: f"list_dot_product({x}, [{', '.join(map(str, v))}]::DOUBLE[])"
+
+
+@query(
+    "graph_attention",
+    f"""WITH {K._KNN}, e AS (SELECT repertoire_id, src, dst FROM ed UNION ALL SELECT repertoire_id, node_id, node_id FROM nodes),
+sc AS (SELECT node_id, x, {_dot("x", _own)} AS s, {_dot("x", _other)} AS t FROM nodes),
+w AS (SELECT e.repertoire_id, e.src AS node_id, q.x, CASE WHEN p.s + q.t > 0 THEN p.s + q.t ELSE 0.2 * (p.s + q.t) END AS g FROM e JOIN sc p ON p.node_id = e.src JOIN sc q ON q.node_id = e.dst),
+u AS (SELECT *, exp(g - max(g) OVER (PARTITION BY node_id)) AS a, unnest(range(1, len(x) + 1)) AS i FROM w)
+SELECT repertoire_id, node_id, i - 1 AS dim, round(sum(a * x[i]) / sum(a), 6) AS value FROM u GROUP BY ALL""",
+)
+def graph_attention(spark: SparkSession, d: str) -> DataFrame:
+    """One head of attention with fixed vectors, hubs from four neighbours on dealt into parts."""
+    found = G.attended(*K._graph(spark, d), _own, _other, hub=4)
+    return found.select("repertoire_id", "node_id", F.posexplode("x").alias("dim", "value"))
+
+
+_inner = ([[((i * (j + 3)) % 7 - 3) / 10 for i in range(64)] for j in range(4)], [0.1, -0.2, 0.3, 0.0])
+_outer = ([[0.5, -0.25, 0.125, 1.0], [1.0, 0.5, -0.5, 0.25]], [0.0, 0.5])
+
+
+@query(
+    "graph_isomorphism",
+    f"""WITH {K._KNN}, e AS (SELECT src AS n, nodes.x, 1.0 AS f FROM ed JOIN nodes ON node_id = dst UNION ALL SELECT node_id, x, 1.5 FROM nodes),
+v AS (SELECT n, i, sum(f * x[i]) AS v FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM e) GROUP BY ALL), m AS (SELECT n, list(v ORDER BY i) AS x FROM v GROUP BY n),
+h AS (SELECT n, [{", ".join(f"greatest({_dot('x', w)} + {b}, 0)" for w, b in zip(*_inner, strict=True))}] AS h FROM m)
+SELECT repertoire_id, node_id, round({_dot("h", _outer[0][0])} + {_outer[1][0]}, 6) AS a, round({_dot("h", _outer[0][1])} + {_outer[1][1]}, 6) AS b FROM nodes JOIN h ON n = node_id""",
+)
+def graph_isomorphism(spark: SparkSession, d: str) -> DataFrame:
+    """One step of a graph isomorphism network with fixed layers."""
+    return G.isomorphic(*K._graph(spark, d), 0.5, _inner, _outer).select("repertoire_id", "node_id", F.get("x", F.lit(0)).alias("a"), F.get("x", F.lit(1)).alias("b"))
+
+
+@query("knn_pruned", K.SQL["knn_edges"])
+def knn_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest by cells and the triangle inequality."""
+    return G.knn_pruned(A.graph_nodes(spark, d), 5, cell=32, block=64)
+
+
+@query("triangle_counts", f"WITH {K._KNN}, a AS (SELECT src, dst, count(*) AS m FROM ed GROUP BY ALL), w AS (SELECT p.src AS x, sum(p.m * q.m * r.m) AS walks FROM a p JOIN a q ON p.dst = q.src JOIN a r ON q.dst = r.src AND r.dst = p.src GROUP BY 1) SELECT repertoire_id, node_id, (walks / 2)::BIGINT AS triangles FROM w JOIN nodes ON node_id = w.x")
+def triangle_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Triangles of each node, edges led by degree."""
+    return G.triangles(K._graph(spark, d)[1])
+
+
 _md5 = "('0x' || substr(md5(substr(s, g, 3)), 1, 8))::BIGINT"
 
 
