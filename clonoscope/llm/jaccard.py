@@ -23,6 +23,8 @@ COMMON = 24
 TOLD = 1_000_000
 #: Columns of the product with more sets than this are not multiplied in a block but treated as common ones are.
 HEAVY = 512
+#: Sets of a common shingle that one part of the last join takes.
+PART = 512
 #: Pairs below this many needed documents select them by broadcast, others by a shuffle.
 FEW = 1_000_000
 #: Index rows that a block of the product takes.
@@ -273,7 +275,8 @@ def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFra
         for _, values, bounds, marks in _sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array(marks[:, 0]), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))], names=["f", "tokens"])
 
-    sets = chosen.mapInArrow(run, "f long, tokens array<long>")
+    # repeated rows, and rows that share an id, bring a set once
+    sets = chosen.mapInArrow(run, "f long, tokens array<long>").dropDuplicates(["f"])
     one, two = sets.select(F.col("f").alias("fa"), F.col("tokens").alias("ta")), sets.select(F.col("f").alias("fb"), F.col("tokens").alias("tb"))
     both = pairs.join(one, pairs["a"] == F.col("fa")).join(two, F.col("b") == F.col("fb"))
     return both.where(F.size(F.array_intersect("ta", "tb")) >= _enough(F.col("na"), F.col("nb"))).select("a", "b").distinct()
@@ -334,16 +337,35 @@ def _stars(index: DataFrame, seed: int) -> DataFrame:
     return best.select(*_pair("f1", "n", "pf", "pn"), "c").distinct()
 
 
+def _steps(n: Column) -> Column:
+    """Sizes by steps of an eighth."""
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.log(F.lit(1.125))).cast("int")
+
+
 def _across(index: DataFrame) -> DataFrame:
     """The pairs that share a common shingle and are not yet in one component, and whether in a heavy column. In each
     column only the sets outside the column's largest component meet the others, so a group that is joined already
     costs nothing. A pair comes from the first shingle that both have, and from later ones only where no shingle
-    shortly before is in both sets; so it comes a few times, and not as often as it shares shingles."""
+    shortly before is in both sets; so it comes a few times, and not as often as it shares shingles.
+
+    A set's shingles that no other has leave it a largest size for its links: sets that it leaves none are not
+    compared at all, and a column of more than PART sets is joined by sizes that allow a link, in parts of about PART
+    sets, so that pages of one template neither meet in one task nor, where their own shingles tell, at all."""
+    largest = F.floor(F.col("most") * (100 + PERCENT) / PERCENT) - F.col("n")
+    index = index.withColumn("largest", largest).where(100 * F.col("largest") >= PERCENT * F.col("n"))
     sizes = index.groupBy("token", "label").agg(F.count("*").alias("m"))
-    most = sizes.groupBy("token").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select(F.col("token").alias("t"), F.col("top.label").alias("top"))
-    rest = index.join(most, (F.col("token") == F.col("t")) & (F.col("label") != F.col("top"))).select("token", "top", F.col("f1").alias("f"), F.col("n").alias("m"), F.col("most").alias("most_f"), F.col("bits").alias("bits_f"), F.col("before").alias("before_f"), F.col("label").alias("l"))
+    most = sizes.groupBy("token").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels"), F.sum("m").alias("all")).where("labels > 1")
+    parts = F.ceil(F.col("all") / PART).cast("int")
+    keyed = index.join(most.select(F.col("token").alias("t"), F.col("top.label").alias("top"), parts.alias("parts")), F.col("token") == F.col("t")).drop("t")
+    large = F.col("parts") > 1
+    right = keyed.withColumn("size", F.when(large, _steps(F.col("n"))).otherwise(0)).withColumn("part", F.pmod(F.xxhash64("f1"), F.col("parts")).cast("int")).drop("parts")
+    low, high = _steps(F.ceil(PERCENT * F.col("n") / 100)), _steps(F.least(F.floor(100 * F.col("n") / PERCENT), "largest"))
+    met = F.when(large, F.sequence(low, F.greatest(low, high))).otherwise(F.array(F.lit(0)))
+    left = keyed.where("label <> top").select(F.col("token").alias("lt"), F.col("f1").alias("f"), F.col("n").alias("m"), F.col("most").alias("most_f"), F.col("largest").alias("largest_f"), F.col("bits").alias("bits_f"), F.col("before").alias("before_f"), F.col("label").alias("l"), "parts", F.explode(met).alias("ls"))
+    left = left.withColumn("lp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     return (
-        rest.join(index, "token")
+        left.join(right, (F.col("lt") == F.col("token")) & (F.col("ls") == F.col("size")) & (F.col("lp") == F.col("part")))
+        .where((F.col("n") <= F.col("largest_f")) & (F.col("m") <= F.col("largest")))
         .where((F.col("l") != F.col("label")) & ((F.col("label") == F.col("top")) | (F.col("f") < F.col("f1"))) & ~F.arrays_overlap("before_f", "before") & _may_link("m", "most_f", "bits_f", "n", "most", "bits"))
         .select(*_pair("f", "m", "f1", "n"), F.col("heavy").alias("sure"))
         .groupBy("a", "b", "na", "nb")
