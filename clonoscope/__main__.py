@@ -8,21 +8,12 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from clonoscope.operators import counts as C
 from clonoscope.operators import ranking as R
 from clonoscope.plans import pipelines
 from clonoscope.sources import files
 
 
-def ranked(rep: DataFrame, meta: DataFrame, dataset: str, n: int = R.TOP) -> DataFrame:
-    """The sequences most typical of positive repertoires, with their smallest genes, as result rows."""
-    rows = C.labelled(rep, meta).where(F.length("junction_aa") >= 3)
-    best = R.rank_by_witness(C.row_counts(rows, "junction_aa"), F.lit(0.5), n=n)
-    return R.ranked_rows(best.join(C.gene_min(rows, "junction_aa"), "junction_aa"), dataset)
-
-
 def run(spark: SparkSession, train_dir: str, test_dirs: list[str], out_dir: str, recipe: str | None = None, reference: DataFrame | None = None, skip_training: bool = False) -> DataFrame:
     """The result of one training folder and its test folders, also written to out_dir. `skip_training` takes the
     model that an earlier run stored there."""
@@ -39,7 +30,8 @@ def run(spark: SparkSession, train_dir: str, test_dirs: list[str], out_dir: str,
     for folder in test_dirs:
         scored = fitted.score(files.read_repertoires(spark, folder))
         parts.append(R.test_rows(scored, folder.rstrip("/").rsplit("/", 1)[-1]))
-    result = R.assembled([*parts, ranked(rep, meta, train_dir.rstrip("/").rsplit("/", 1)[-1])])
+    best = pipelines.ranked(fitted, rep, meta, reference)
+    result = R.assembled([*parts, R.ranked_rows(best, train_dir.rstrip("/").rsplit("/", 1)[-1])])
     files.write_result(result, f"{out_dir}/predictions")
     files.write_json(files.result_manifest(result), f"{out_dir}/manifest")
     return result

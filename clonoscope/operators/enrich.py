@@ -7,6 +7,17 @@ from pyspark.sql import functions as F
 
 from clonoscope.functions import sequence as S
 from clonoscope.functions import stats
+from clonoscope.sources.store import stored
+
+
+#: Rows of a table that is broadcast, at most.
+FEW = 200_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A table of results, stored, and to be broadcast if it has few rows."""
+    table = stored(table)
+    return F.broadcast(table) if table.count() <= FEW else table
 
 
 def class_sizes(meta: DataFrame) -> DataFrame:
@@ -36,10 +47,12 @@ def pattern_presence(counts: DataFrame) -> DataFrame:
 
 
 def with_fisher(cand: DataFrame) -> DataFrame:
-    """p_value for rows with a, b, n_pos, n_neg. The test runs once for each distinct (a, b); the table of results
-    has at most (n_pos + 1)(n_neg + 1) rows and joins back by key."""
+    """p_value for rows with a, b, n_pos, n_neg. The candidates are stored, so that they are counted once; the test
+    runs once for each distinct (a, b) and joins back by key. Most candidates share a few small (a, b), so that the
+    results are broadcast where they are few."""
+    cand = stored(cand)
     tests = cand.select("a", "b", "n_pos", "n_neg").distinct().withColumn("p_value", stats.fisher_greater(F.col("a"), F.col("b"), F.col("n_pos"), F.col("n_neg")))
-    return cand.join(tests, ["a", "b", "n_pos", "n_neg"])
+    return cand.join(small(tests), ["a", "b", "n_pos", "n_neg"])
 
 
 def benjamini_hochberg(rows: DataFrame, p: str = "p_value", keys: tuple[str, ...] = ("kmer",), by: tuple[str, ...] = ()) -> DataFrame:
@@ -50,7 +63,7 @@ def benjamini_hochberg(rows: DataFrame, p: str = "p_value", keys: tuple[str, ...
     ranked = counts.withColumn("r", F.sum("m_p").over(up)).withColumn("m", F.sum("m_p").over(Window.partitionBy(*by)))
     down = Window.partitionBy(*by).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
     adjusted = ranked.select(*by, p, F.least(F.lit(1.0), F.min(F.col(p) * F.col("m") / F.col("r")).over(down)).alias("p_adjusted"))
-    return rows.join(adjusted, [*by, p])
+    return rows.join(small(adjusted), [*by, p])
 
 
 def select_strict(counts: DataFrame, sizes: DataFrame, least: int = 5, fold: float = 4.0, p: float = 1e-4, top: int = 50) -> DataFrame:
@@ -92,9 +105,9 @@ def differential(presence: DataFrame, sizes: DataFrame, top: int = 600) -> DataF
 
 
 def log_fold_total(sums: DataFrame) -> DataFrame:
-    """Log fold change of templates times the log of their total, with one added."""
+    """Log fold change of templates times the log of their total, with one added to each label's."""
     p, n = F.col("pos_templates"), F.col("neg_templates")
-    return sums.withColumn("score", F.log2((p + 1) / (n + 1)) * F.ln((p + n + 1).cast("double")))
+    return sums.withColumn("score", F.log2((p + 1) / (n + 1)) * F.ln((p + n + 2).cast("double")))
 
 
 def pattern_features(counts: DataFrame, patterns: DataFrame, ids: DataFrame, ks: tuple[int, ...]) -> DataFrame:

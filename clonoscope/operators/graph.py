@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clonoscope.functions import sequence as S
+from clonoscope.sources import graph_cache
 from clonoscope.sources.store import stored
 
 
@@ -299,10 +300,15 @@ def sequence_nodes(rep: DataFrame, embed: Callable[[Column], Column] = S.hashed_
     return seqs.select("repertoire_id", F.col("junction_aa").alias("node_id"), "junction_aa", "cnt", embed(F.col("junction_aa")).alias("x"))
 
 
-def built(rep: DataFrame, k: int = 30, embed: Callable[[Column], Column] = S.hashed_embedding) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of each repertoire's similarity graph; repertoires without sequences have none."""
-    nodes = sequence_nodes(rep, embed)
-    return nodes, edges(knn(nodes.select("repertoire_id", "node_id", "x"), k))
+def built(rep: DataFrame, k: int = 30, embed: Callable[[Column], Column] = S.hashed_embedding, folders: list[str] | None = None, name: str = "hashed") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of each repertoire's similarity graph; repertoires without sequences have none. With `folders`,
+    graphs of the same content, k and embedder (by its name) are found there, and others added to the first."""
+
+    def build(some: DataFrame) -> tuple[DataFrame, DataFrame]:
+        nodes = sequence_nodes(some, embed)
+        return nodes, edges(knn(nodes.select("repertoire_id", "node_id", "x"), k))
+
+    return graph_cache.graphs(rep, folders, build, f"k={k}", name) if folders else build(rep)
 
 
 def pooled(nodes: DataFrame, links: DataFrame, layers: int = 2, how: str = "gcn") -> DataFrame:

@@ -68,10 +68,11 @@ def token_importance(seqs: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def pattern_density(seqs: DataFrame, patterns: DataFrame, weights: dict[int, float]) -> DataFrame:
-    """Weighted matches of patterns per letter, over all windows of a sequence."""
+    """The shares of a sequence's windows of each k that are patterns, weighed by k and added, over all its windows;
+    sequences shorter than all k have no row."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), S.kmers(F.col("junction_aa"), k).alias("kmers")) for k in weights]))
-    windows = seqs.select("junction_aa", F.length("junction_aa").alias("n"), each.alias("x")).select("junction_aa", "n", "x.k", F.explode("x.kmers").alias("kmer"))
-    weight = F.element_at(F.create_map(*[F.lit(v) for k, w in weights.items() for v in (k, w)]), F.col("k"))
+    windows = seqs.select("junction_aa", each.alias("x")).select("junction_aa", "x.k", F.size("x.kmers").alias("n"), F.explode("x.kmers").alias("kmer"))
+    weight = F.element_at(F.create_map(*[F.lit(v) for k, w in weights.items() for v in (k, float(w))]), F.col("k"))
     known = patterns.select("k", "kmer", F.lit(1).alias("hit"))
     per = windows.join(known, ["k", "kmer"], "left").groupBy("junction_aa").agg(F.sum(F.when(F.col("hit") == 1, weight / F.col("n")).otherwise(0.0)).alias("s"), F.count("*").alias("windows"))
     return per.select("junction_aa", (F.col("s") / F.col("windows")).alias("pattern_score"))

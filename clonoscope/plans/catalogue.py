@@ -242,7 +242,7 @@ query("chi2_scores", f"+{PRES} SELECT junction_aa, round({_CHI}, 6) AS chi2 FROM
 query("select_k_best", f"+{PRES} SELECT junction_aa, chi2 FROM (SELECT junction_aa, round({_CHI}, 6) AS chi2 FROM (SELECT *, (pos_count + neg_count)::DOUBLE AS t, (n_pos + n_neg)::DOUBLE AS n FROM pres, sz)) ORDER BY chi2 DESC, junction_aa DESC LIMIT 5000", W)(lambda s, d: E.chi2_scores(C.presence_counts(rows_w(s, d), "junction_aa"), _sizes(s, d), "junction_aa").withColumn("chi2", F.round("chi2", 6)).orderBy(F.desc("chi2"), F.desc("junction_aa")).limit(5000))
 query("differential_topn", f"+{PRES} SELECT junction_aa, round(pos_count / n_pos - neg_count / n_neg, 6) AS differential_score FROM pres, sz ORDER BY 2 DESC, 1 LIMIT 600", W)(lambda s, d: E.differential(C.presence_counts(rows_w(s, d), "junction_aa"), _sizes(s, d)))
 query("logfc_total", f"""+{LAB}, t AS (SELECT junction_aa, sum(CASE WHEN label_positive THEN templates ELSE 0 END)::BIGINT AS pos_templates, sum(CASE WHEN label_positive THEN 0 ELSE templates END)::BIGINT AS neg_templates FROM lab GROUP BY 1)
-SELECT *, round(log2((pos_templates + 1) / (neg_templates + 1)) * ln((pos_templates + neg_templates + 1)::DOUBLE), 6) AS score FROM t""", K)(lambda s, d: E.log_fold_total(C.template_sums(rows_k(s, d), "junction_aa")))
+SELECT *, round(log2((pos_templates + 1) / (neg_templates + 1)) * ln((pos_templates + neg_templates + 2)::DOUBLE), 6) AS score FROM t""", K)(lambda s, d: E.log_fold_total(C.template_sums(rows_k(s, d), "junction_aa")))
 _features = lambda s, d: E.pattern_features(_kmer_counts(s, d), _strict(s, d), A.word_metadata(s, d).select("repertoire_id").distinct(), (3, 4))
 query("pattern_features_strict", f"+{_FEAT} SELECT repertoire_id, k::BIGINT AS k, count, abundance, round(diversity, 6) AS diversity, max, round(mean, 6) AS mean, n_kmers, total, round(ratio, 6) AS ratio, round(abundance_ratio, 6) AS abundance_ratio FROM fr", W)(lambda s, d: _features(s, d))
 query("pattern_features_wide", "+" + wide_sql((3, 4)), W)(lambda s, d: E.widened(_features(s, d), (3, 4)))
@@ -276,7 +276,7 @@ def _tokens(s: SparkSession, d: str) -> DataFrame:
 
 
 query("rank_token_importance", f"+{CNT}{_TOK} SELECT q.junction_aa, round(coalesce(i, 0), 6) AS importance FROM (SELECT DISTINCT junction_aa FROM rep) q LEFT JOIN (SELECT s, avg(importance) AS i FROM (SELECT DISTINCT s, unnest({_gapped_sql}) AS token FROM (SELECT DISTINCT junction_aa AS s FROM rep)) JOIN tk USING (token) GROUP BY 1) ON s = q.junction_aa", W)(lambda s, d: R.token_importance(sequences(s, d), _tokens(s, d)))
-query("rank_pattern_density", f"+{_STRICT}, dw AS (SELECT DISTINCT junction_aa AS s FROM rep), dk AS (SELECT s, 3 AS k, unnest(list_transform({_range(3)}, lambda i: substr(s, i, 3))) AS kmer FROM dw UNION ALL SELECT s, 4, unnest(list_transform({_range(4)}, lambda i: substr(s, i, 4))) FROM dw) SELECT s AS junction_aa, round(sum(CASE WHEN strict.kmer IS NULL THEN 0 WHEN dk.k = 3 THEN 1.0::DOUBLE / length(s) ELSE 2.0::DOUBLE / length(s) END) / count(*), 6) AS pattern_score FROM dk LEFT JOIN strict ON strict.k = dk.k AND strict.kmer = dk.kmer GROUP BY s", W)(lambda s, d: R.pattern_density(sequences(s, d), _strict(s, d), {3: 1.0, 4: 2.0}))
+query("rank_pattern_density", f"+{_STRICT}, dw AS (SELECT DISTINCT junction_aa AS s FROM rep), dk AS (SELECT s, 3 AS k, unnest(list_transform({_range(3)}, lambda i: substr(s, i, 3))) AS kmer FROM dw UNION ALL SELECT s, 4, unnest(list_transform({_range(4)}, lambda i: substr(s, i, 4))) FROM dw) SELECT s AS junction_aa, round(sum(CASE WHEN strict.kmer IS NULL THEN 0 WHEN dk.k = 3 THEN 1.0::DOUBLE / (length(s) - 2) ELSE 2.0::DOUBLE / (length(s) - 3) END) / count(*), 6) AS pattern_score FROM dk LEFT JOIN strict ON strict.k = dk.k AND strict.kmer = dk.kmer GROUP BY s", W)(lambda s, d: R.pattern_density(sequences(s, d), _strict(s, d), {3: 1.0, 4: 2.0}))
 query("rank_longest_pattern", f"+{_STRICT}, dw AS (SELECT DISTINCT junction_aa AS s FROM rep), dk AS (SELECT s, 3 AS k, unnest(list_transform({_range(3)}, lambda i: substr(s, i, 3))) AS kmer FROM dw UNION ALL SELECT s, 4, unnest(list_transform({_range(4)}, lambda i: substr(s, i, 4))) FROM dw) SELECT s AS junction_aa, max(dk.k)::BIGINT AS pattern_score FROM dk JOIN strict ON strict.k = dk.k AND strict.kmer = dk.kmer GROUP BY s", W)(lambda s, d: R.longest_pattern(sequences(s, d), _strict(s, d), (4, 3)))
 query("rank_witness_bonus", f"+{CNT} SELECT junction_aa, round(log2((pos_count + 1) / (neg_count + 1)) + CASE WHEN junction_aa IN (SELECT junction_aa FROM refset) THEN 2 ELSE 0 END, 6) AS score FROM cnt ORDER BY 2 DESC, 1 LIMIT 5000", W)(lambda s, d: R.top(C.flagged(counts_w(s, d), A.reference_set(s, d)).select("junction_aa", F.round(stats.witness(F.col("pos_count"), F.col("neg_count")) + F.when(F.col("in_reference"), 2.0).otherwise(0.0), 6).alias("score")), "score", 5000))
 query("rank_witness_bonus_whole", f"+{CNT} SELECT junction_aa, round(log2((pos_count + 1) / (neg_count + 1)) + CASE WHEN junction_aa IN (SELECT junction_aa FROM refset) THEN 2 ELSE 0 END, 6) AS score FROM cnt ORDER BY 2 DESC, 1 LIMIT 50000", W)(lambda s, d: R.top(C.flagged(counts_w(s, d), A.reference_set(s, d)).select("junction_aa", F.round(stats.witness(F.col("pos_count"), F.col("neg_count")) + F.when(F.col("in_reference"), 2.0).otherwise(0.0), 6).alias("score")), "score"))

@@ -9,8 +9,9 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, PolynomialExpansion, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +21,9 @@ from clonoscope.operators import diversity as D
 from clonoscope.operators import enrich as E
 from clonoscope.operators import evaluate as V
 from clonoscope.operators import graph as G
+from clonoscope.operators import ranking as R
 from clonoscope.operators import sampling as P
-from clonoscope.plans import learned
+from clonoscope.plans import learned, rankings
 from clonoscope.sources import adapters as A
 from clonoscope.sources import store
 
@@ -32,11 +34,13 @@ TERMS = 5_000
 @dataclass
 class Recipe:
     """`select` of (rows with label_positive, metadata, reference) gives what is looked for; `features` of
-    (repertoires, that) a row a repertoire, with `terms` (an array of texts) if it has a vocabulary; `model` its last stage."""
+    (repertoires, that) a row a repertoire, with `term_counts` (a vector) if it has a vocabulary; `model` its last stage;
+    `rank` of (rows with label_positive, fitted, reference) the sequences of its training repertoires, best first."""
 
     select: Callable[[DataFrame, DataFrame, DataFrame | None], DataFrame]
     features: Callable[[DataFrame, DataFrame], DataFrame]
     model: Callable[[], object]
+    rank: Callable[[DataFrame, Fitted, DataFrame | None], DataFrame]
     degree: int = 1
     balanced: bool = False
 
@@ -66,10 +70,19 @@ def _chosen_tokens(rows: DataFrame, meta: DataFrame, reference: DataFrame | None
     return _top(E.chi2_scores(presence, E.class_sizes(meta), "term"), "chi2", "term")
 
 
+@F.udf(VectorUDT())
+def _sparse(size: int, found: list) -> SparseVector:
+    return SparseVector(size, [(r["place"], float(r["n"])) for r in found or []])
+
+
 def _terms(rep: DataFrame, held: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The chosen terms of each repertoire, as often as `held` has them, none for one without any."""
-    got = held.join(F.broadcast(chosen), "term").groupBy("repertoire_id").agg(F.collect_list("term").alias("terms"))
-    return rep.select("repertoire_id").distinct().join(got, "repertoire_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    """How often each repertoire has each chosen term, as a sparse vector by the terms' places; none for one without
+    any. Terms are joined: a vocabulary may be as large as a reference set."""
+    size = max(chosen.count(), 1)
+    counts = held.join(chosen, "term").groupBy("repertoire_id", "place").agg(F.count("*").alias("n"))
+    got = counts.groupBy("repertoire_id").agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("found"))
+    whole = rep.select("repertoire_id").distinct().join(got, "repertoire_id", "left")
+    return whole.select("repertoire_id", _sparse(F.lit(size), "found").alias("term_counts"))
 
 
 def _sequences(rep: DataFrame) -> DataFrame:
@@ -133,15 +146,23 @@ def _diversity(rep: DataFrame, chosen: DataFrame) -> DataFrame:
     return found.select("repertoire_id", F.log1p(F.col("reference_diversity").cast("double")).alias("hits"))
 
 
+def _needed(reference: DataFrame | None, fitted: Fitted) -> DataFrame:
+    return fitted.chosen.select(F.col("term").alias("junction_aa")) if reference is None else reference
+
+
+def _rank_density(rows: DataFrame, fitted: Fitted, reference: DataFrame | None) -> DataFrame:
+    return rankings.by_density(rows, fitted.chosen, R.pattern_weights(fitted.weights().where("feature is not null"), (3, 4, 5)))
+
+
 RECIPES: dict[str, Recipe] = {
-    "reference": Recipe(_reference, _diversity, _lr, degree=2),
-    "composition": Recipe(_all_words, _composition, _gbt),
-    "tokens": Recipe(_chosen_tokens, lambda rep, chosen: _terms(rep, _tokens(rep), chosen), _gbt),
-    "vocabulary": Recipe(_reference, lambda rep, chosen: _terms(rep, _sequences(rep), chosen), _lr),
-    "patterns": Recipe(_patterns((3, 4, 5, 6), True, True), _pattern_features((3, 4, 5, 6), True), _gbt),
-    "patterns_fdr": Recipe(_patterns((3, 4, 5), False, False), _pattern_features((3, 4, 5), False), _lr),
-    "differential": Recipe(_differential, _with_diversity, _gbt, balanced=True),
-    "graph": Recipe(_nothing, _graph, _lr),
+    "reference": Recipe(_reference, _diversity, _lr, lambda rows, f, reference: rankings.by_sets(rows, [(_needed(reference, f), 1.0)]), degree=2),
+    "composition": Recipe(_all_words, _composition, _gbt, lambda rows, f, reference: rankings.by_sets(rows, [(rows.select("junction_aa").limit(0), 1.0)])),
+    "tokens": Recipe(_chosen_tokens, lambda rep, chosen: _terms(rep, _tokens(rep), chosen), _gbt, lambda rows, f, reference: rankings.by_tokens(rows, f.term_importance().withColumnRenamed("term", "token"))),
+    "vocabulary": Recipe(_reference, lambda rep, chosen: _terms(rep, _sequences(rep), chosen), _lr, lambda rows, f, reference: rankings.by_vocabulary(rows, f.term_importance(), _needed(reference, f))),
+    "patterns": Recipe(_patterns((3, 4, 5, 6), True, True), _pattern_features((3, 4, 5, 6), True), _gbt, lambda rows, f, reference: rankings.by_longest(rows, f.chosen)),
+    "patterns_fdr": Recipe(_patterns((3, 4, 5), False, False), _pattern_features((3, 4, 5), False), _lr, _rank_density),
+    "differential": Recipe(_differential, _with_diversity, _gbt, lambda rows, f, reference: rankings.by_bonus(rows, f.chosen), balanced=True),
+    "graph": Recipe(_nothing, _graph, _lr, lambda rows, f, reference: rankings.by_templates(rows)),
 }
 #: The recipe of each dataset number.
 BY_NUMBER = {1: "reference", 2: "tokens", 3: "vocabulary", 4: "patterns", 5: "patterns_fdr", 6: "vocabulary", 7: "differential", 8: "graph"}
@@ -171,6 +192,19 @@ class Fitted:
         rows = _steady(RECIPES[self.recipe].features(rep, self.chosen))
         return self.model.transform(rows).select("repertoire_id", F.get(vector_to_array("probability"), F.lit(1)).alias("probability"))
 
+    def weights(self) -> DataFrame:
+        """(feature, coefficient) of the model's features that have a weight: coefficients of a regression or shares of
+        trees; a term's feature is `term_counts` and its place."""
+        model, inputs = self.model.stages[-1], next(s for s in self.model.stages if isinstance(s, VectorAssembler)).getInputCols()
+        values = (model.featureImportances if hasattr(model, "featureImportances") else model.coefficients).toArray()
+        named = [c for c in inputs if c != "term_counts"]
+        rows = [(named[i] if i < len(named) else None, i - len(named), float(v)) for i, v in enumerate(values) if v]
+        return self.chosen.sparkSession.createDataFrame([(c, p if c is None else None, v) for c, p, v in rows], "feature string, place long, coefficient double")
+
+    def term_importance(self) -> DataFrame:
+        """(term, importance) of terms that the model weighs."""
+        return self.chosen.join(self.weights().where("place is not null"), "place").select("term", F.abs("coefficient").alias("importance"))
+
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
         self.chosen.write.mode("overwrite").parquet(f"{path}/chosen")
@@ -191,16 +225,15 @@ def fit(recipe: str, rep: DataFrame, meta: DataFrame, reference: DataFrame | Non
         meta = P.undersampled(meta)
     meta = store.stored(meta.select("repertoire_id", "label_positive"))
     rows = C.labelled(rep, meta)
-    chosen = store.stored(plan.select(rows, meta, reference))
+    chosen = plan.select(rows, meta, reference)
+    chosen = store.stored(C.vocabulary_index(chosen, "term") if "term" in chosen.columns else chosen)
     data = _steady(plan.features(rep.join(meta.select("repertoire_id"), "repertoire_id", "left_semi"), chosen)).join(meta, "repertoire_id").withColumn("label", F.col("label_positive").cast("double")).drop("label_positive")
     n, positive = meta.agg(F.count("*"), F.count_if("label_positive")).first()
     weight: Column = F.when(F.col("label") == 1, n / (2 * max(positive, 1))).otherwise(n / (2 * max(n - positive, 1)))
     data = store.stored(data.withColumn("weight", weight))
     stages, parts = [], [c for c, kind in data.dtypes if kind in ("double", "bigint", "int") and c not in ("repertoire_id", "label", "weight")]
-    parts = _varied(data, parts) or parts[:1]
-    if "terms" in data.columns:
-        words = [r["term"] for r in chosen.orderBy("term").collect()]  # at most TERMS, or 8,000 words of three letters
-        stages.append(CountVectorizerModel.from_vocabulary(words or ["-"], inputCol="terms", outputCol="term_counts"))
+    parts = (_varied(data, parts) or parts[:1]) if parts else parts
+    if "term_counts" in data.columns:
         parts.append("term_counts")
     stages.append(VectorAssembler(inputCols=parts, outputCol="raw"))
     if plan.degree > 1:
@@ -210,6 +243,11 @@ def fit(recipe: str, rep: DataFrame, meta: DataFrame, reference: DataFrame | Non
     return Fitted(recipe, chosen, Pipeline(stages=[*stages, plan.model()]).fit(data))
 
 
+def ranked(fitted: Fitted, rep: DataFrame, meta: DataFrame, reference: DataFrame | None = None) -> DataFrame:
+    """The sequences of labelled repertoires as the fitted recipe ranks them."""
+    return RECIPES[fitted.recipe].rank(C.labelled(rep, meta.where("label_positive is not null").select("repertoire_id", "label_positive")), fitted, reference)
+
+
 def ensemble(parts: list[DataFrame], weights: list[float] | None = None) -> DataFrame:
     """The weighted mean of scored repertoires, joined by id; equal weights by default."""
     weights = weights or [1 / len(parts)] * len(parts)

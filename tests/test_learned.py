@@ -96,3 +96,30 @@ def test_histories(spark):
     rows = spark.createDataFrame([("a", i, v, 1.0 * i) for i, v in enumerate((0.5, 0.7, 0.6, 0.6, 0.8))], "run string, step int, auc double, s double")
     got = V.progress(rows, "run", "step", "auc", "s", 2).orderBy("step").collect()
     assert [r["waited"] for r in got] == [0, 0, 1, 2, 0] and got[-1]["mean_seconds"] == 3.5
+
+
+@pytest.mark.parametrize("recipe", sorted(pipelines.RECIPES))
+def test_each_recipe_ranks_in_its_own_way(spark, recipe):
+    rep, meta, reference = toy(spark)
+    fitted = pipelines.fit(recipe, rep, meta, reference)
+    got = pipelines.ranked(fitted, rep, meta, reference).collect()
+    best = got[0]
+    # by templates another sequence of the positives comes first; the longest pattern is as long in several
+    assert best["junction_aa"] in {"graph": ("CASSLW",), "patterns": ("CASSLGQ", "CASSLW", "CAWMLKT", "CAWMLW")}.get(recipe, ("CASSLGQ",))
+    scores = [r["importance_score"] for r in got]
+    assert scores == sorted(scores, reverse=True) and best["v_call"] in ("V0", "V1") or recipe == "graph"
+    assert len({r["junction_aa"] for r in got}) == len(got)
+    if recipe == "vocabulary":
+        weights = {r["term"]: r["importance"] for r in fitted.term_importance().collect()}
+        assert best["importance_score"] == pytest.approx(0.6 * weights["CASSLGQ"] + 0.3 + 0.1)
+    if recipe == "differential":
+        assert best["importance_score"] > 2
+
+
+def test_a_vocabulary_of_any_size_is_joined(spark):
+    rep, meta, _ = toy(spark)
+    reference = spark.range(30_000).selectExpr("concat('Q', cast(id as string)) as junction_aa").union(spark.createDataFrame([("CASSLGQ",)], "junction_aa string"))
+    fitted = pipelines.fit("vocabulary", rep, meta, reference)
+    assert fitted.chosen.count() == 30_001
+    assert all((r["probability"] > 0.5) == bool(int(r["repertoire_id"][1:]) % 2) for r in fitted.score(rep).collect())
+    assert {r["term"] for r in fitted.term_importance().collect()} == {"CASSLGQ"}
