@@ -132,7 +132,16 @@ def _gapped_totals(s: SparkSession, d: str) -> DataFrame:
 query("gapped_tokens", _kmer_sql(_gapped_sql), W)(_gapped_totals)
 query("spaced_sequence", "SELECT DISTINCT junction_aa, array_to_string(string_split(junction_aa, ''), ' ') AS spaced FROM rep", W)(lambda s, d: sequences(s, d).withColumn("spaced", S.spaced(F.col("junction_aa"))))
 query("joined_text", "SELECT repertoire_id, md5(string_agg(junction_aa, ' ' ORDER BY row_idx)) AS text_md5 FROM rep GROUP BY 1", W)(lambda s, d: A.word_repertoire(s, d).groupBy("repertoire_id").agg(F.expr("listagg(junction_aa, ' ') WITHIN GROUP (ORDER BY row_idx)").alias("t")).select("repertoire_id", F.md5(F.col("t").cast("binary")).alias("text_md5")))
-query("kmer_vocab_2", "SELECT a || b AS kmer FROM (SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWY', '')) AS a), (SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWY', '')) AS b)")(lambda s, d: (lambda a: a.crossJoin(a.withColumnRenamed("a", "b")).select(F.concat("a", "b").alias("kmer")))(s.createDataFrame([(x,) for x in S.ALPHABET], "a string")))
+_vocab = lambda k, letters: f"WITH {W}, n AS (SELECT kmer, count(*) AS n FROM (SELECT unnest(list_transform(range(1, greatest(length(junction_aa) - {k - 1}, 0) + 1), lambda i: substr(junction_aa, i, {k}))) AS kmer FROM rep) GROUP BY 1) SELECT kmer, coalesce(n, 0)::BIGINT AS n FROM ({letters}) LEFT JOIN n USING (kmer)"
+
+
+def vocabulary_counts(s: SparkSession, d: str, k: int) -> DataFrame:
+    """Every word of k amino acids with how often the table's sequences have it."""
+    found = A.word_repertoire(s, d).select(F.explode(S.kmers(F.col("junction_aa"), k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    return S.vocabulary(s, k).join(found, "kmer", "left").select("kmer", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+query("kmer_vocab_2", _vocab(2, "SELECT a || b AS kmer FROM (SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWY', '')) AS a), (SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWY', '')) AS b)"))(lambda s, d: vocabulary_counts(s, d, 2))
 _k2 = "k2 AS (SELECT repertoire_id, kmer, count(*) AS cnt FROM (SELECT repertoire_id, unnest(list_transform(range(1, length(junction_aa)), lambda i: substr(junction_aa, i, 2))) AS kmer FROM rep) GROUP BY ALL)"
 _k2_rows = lambda s, d: A.word_repertoire(s, d).select("repertoire_id", F.explode(S.kmers(F.col("junction_aa"), 2)).alias("kmer")).groupBy("repertoire_id", "kmer").agg(F.count("*").alias("cnt"))
 query("kmer_freq", f"+{_k2} SELECT repertoire_id, kmer, round(cnt / sum(cnt) OVER (PARTITION BY repertoire_id), 6) AS p FROM k2", W)(lambda s, d: D.shares(_k2_rows(s, d)).drop("cnt"))

@@ -198,8 +198,8 @@ def forward_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nested_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold probabilities with patterns of three to five letters selected, and features scaled, anew without
-    each fold."""
+    """Out-of-fold probabilities with patterns of three to five letters selected by Fisher's test, and features scaled,
+    anew without each fold; a fold for which no pattern passes has the other folds' share of positives."""
     ks = (3, 4, 5)
     rep = A.clone_repertoire(spark, sf_dir).join(P.folds(A.clone_metadata(spark, sf_dir)), "repertoire_id")
     ids = stored(rep.select("repertoire_id", "label_positive", "fold").distinct())
@@ -207,12 +207,12 @@ def nested_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for k in range(5):
         known = ids.where(F.col("fold") != k)
-        patterns = E.select_strict(counts.where(F.col("fold") != k), E.class_sizes(known), least=2, fold=0.5, p=1.0, top=50)
+        patterns = E.select_strict(counts.where(F.col("fold") != k), E.class_sizes(known), fold=1.2, p=0.05)
         wide = E.widened(E.pattern_features(counts, patterns, ids, ks), ks)
         names = tuple(c for c in wide.columns if c != "repertoire_id")
         data = stored(wide.join(ids, "repertoire_id").withColumn("label", F.col("label_positive").cast("double")))
         fitted, asked = prepared(data.where(F.col("fold") != k), names, data.where(F.col("fold") == k))
-        parts.append(logistic(0.01)(100).fit(fitted).transform(asked).select("repertoire_id", "fold", F.get(vector_to_array("probability"), F.lit(1)).alias("probability")))
+        parts.append(logistic(0.01)(known.count()).fit(fitted).transform(asked).select("repertoire_id", "fold", F.get(vector_to_array("probability"), F.lit(1)).alias("probability")))
     return reduce(DataFrame.unionByName, parts)
 
 

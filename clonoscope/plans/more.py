@@ -191,16 +191,15 @@ def model_score_levels(spark: SparkSession, d: str) -> DataFrame:
 _letters = "(SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWY', '')) AS {x})"
 
 
-@query("kmer_vocab_3", f"SELECT a || b || c AS kmer FROM {_letters.format(x='a')}, {_letters.format(x='b')}, {_letters.format(x='c')}")
+@query("kmer_vocab_3", K._vocab(3, f"SELECT a || b || c AS kmer FROM {_letters.format(x='a')}, {_letters.format(x='b')}, {_letters.format(x='c')}"))
 def kmer_vocab_3(spark: SparkSession, d: str) -> DataFrame:
-    """All 8,000 words of three amino acids."""
-    return S.vocabulary(spark, 3)
+    return K.vocabulary_counts(spark, d, 3)
 
 
-@query("softmax_positive", "SELECT doc_id, round(exp(b) / (exp(a) + exp(b)), 6) AS probability FROM (SELECT doc_id, length(lang) / 2.0::DOUBLE AS a, n_chars / 1000.0::DOUBLE AS b FROM documents WHERE n_chars < 100000)")
+@query("softmax_positive", "SELECT doc_id, round(1 / (1 + exp(a - b)), 6) AS probability FROM (SELECT doc_id, length(lang) / 2.0::DOUBLE AS a, n_chars / 1000.0::DOUBLE AS b FROM documents)")
 def softmax_positive(spark: SparkSession, d: str) -> DataFrame:
     """The second of two logits' probabilities."""
-    docs = A.table(spark, d, "documents").where("n_chars < 100000")
+    docs = A.table(spark, d, "documents")
     return docs.select("doc_id", V.positive_probability(F.length("lang") / 2.0, F.col("n_chars") / 1000.0).alias("probability"))
 
 
