@@ -6,12 +6,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,7 @@ class Recipe:
     rank: Callable[[DataFrame, Fitted, DataFrame | None], DataFrame]
     degree: int = 1
     balanced: bool = False
+    calibrated: bool = False
 
 
 def _lr() -> LogisticRegression:
@@ -155,7 +158,7 @@ def _rank_density(rows: DataFrame, fitted: Fitted, reference: DataFrame | None)
 
 
 RECIPES: dict[str, Recipe] = {
-    "reference": Recipe(_reference, _diversity, _lr, lambda rows, f, reference: rankings.by_sets(rows, [(_needed(reference, f), 1.0)]), degree=2),
+    "reference": Recipe(_reference, _diversity, _lr, lambda rows, f, reference: rankings.by_sets(rows, [(_needed(reference, f), 1.0)]), degree=2, calibrated=True),
     "composition": Recipe(_all_words, _composition, _gbt, lambda rows, f, reference: rankings.by_sets(rows, [(rows.select("junction_aa").limit(0), 1.0)])),
     "tokens": Recipe(_chosen_tokens, lambda rep, chosen: _terms(rep, _tokens(rep), chosen), _gbt, lambda rows, f, reference: rankings.by_tokens(rows, f.term_importance().withColumnRenamed("term", "token"))),
     "vocabulary": Recipe(_reference, lambda rep, chosen: _terms(rep, _sequences(rep), chosen), _lr, lambda rows, f, reference: rankings.by_vocabulary(rows, f.term_importance(), _needed(reference, f))),
@@ -179,6 +182,28 @@ def _varied(data: DataFrame, names: list[str]) -> list[str]:
     return [c for i, c in enumerate(names) if (stats[f"s{i}"] or 0) > 1e-9 * max(1.0, abs(stats[f"m{i}"] or 0))]
 
 
+def _probability(model: PipelineModel, rows: DataFrame, *kept: str) -> DataFrame:
+    return model.transform(rows).select(*kept, F.get(vector_to_array("probability"), F.lit(1)).alias("probability"))
+
+
+def _calibrated(scored: DataFrame, model: IsotonicRegressionModel | None) -> DataFrame:
+    if model is None:
+        return scored
+    return model.transform(scored).withColumn("probability", F.col("prediction")).drop("prediction")
+
+
+def _calibration(pipeline: Pipeline, data: DataFrame, meta: DataFrame, folds: int = 5) -> IsotonicRegressionModel | None:
+    """Probabilities made isotonic by those that models without a repertoire's fold gave it; none where a class is
+    missing in some of them."""
+    dealt = store.stored(data.join(P.folds(meta, folds).select("repertoire_id", "fold"), "repertoire_id"))
+    parts = []
+    for k in range(folds):
+        if dealt.where(F.col("fold") != k).select("label").distinct().count() < 2:
+            return None
+        parts.append(_probability(pipeline.fit(dealt.where(F.col("fold") != k)), dealt.where(F.col("fold") == k), "label", "weight"))
+    return IsotonicRegression(featuresCol="probability", labelCol="label", weightCol="weight").fit(store.stored(reduce(DataFrame.unionByName, parts)))
+
+
 @dataclass
 class Fitted:
     """A recipe with what it selected and its fitted stages."""
@@ -186,11 +211,12 @@ class Fitted:
     recipe: str
     chosen: DataFrame
     model: PipelineModel
+    calibration: IsotonicRegressionModel | None = None
 
     def score(self, rep: DataFrame) -> DataFrame:
         """(repertoire_id, probability) of repertoires, new ones or those it was fitted on."""
         rows = _steady(RECIPES[self.recipe].features(rep, self.chosen))
-        return self.model.transform(rows).select("repertoire_id", F.get(vector_to_array("probability"), F.lit(1)).alias("probability"))
+        return _calibrated(_probability(self.model, rows, "repertoire_id"), self.calibration)
 
     def weights(self) -> DataFrame:
         """(feature, coefficient) of the model's features that have a weight: coefficients of a regression or shares of
@@ -208,12 +234,15 @@ class Fitted:
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
         self.chosen.write.mode("overwrite").parquet(f"{path}/chosen")
-        store.write_about(self.chosen.sparkSession, {"recipe": self.recipe, "n_chosen": self.chosen.count()}, f"{path}/about")
+        if self.calibration:
+            self.calibration.write().overwrite().save(f"{path}/calibration")
+        store.write_about(self.chosen.sparkSession, {"recipe": self.recipe, "n_chosen": self.chosen.count(), "calibrated": self.calibration is not None}, f"{path}/about")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Fitted:
         about = store.read_about(spark, f"{path}/about")
-        return Fitted(about["recipe"], spark.read.parquet(f"{path}/chosen"), PipelineModel.load(f"{path}/model"))
+        calibration = IsotonicRegressionModel.load(f"{path}/calibration") if about.get("calibrated") else None
+        return Fitted(about["recipe"], spark.read.parquet(f"{path}/chosen"), PipelineModel.load(f"{path}/model"), calibration)
 
 
 def fit(recipe: str, rep: DataFrame, meta: DataFrame, reference: DataFrame | None = None) -> Fitted:
@@ -240,7 +269,8 @@ def fit(recipe: str, rep: DataFrame, meta: DataFrame, reference: DataFrame | Non
         stages.append(PolynomialExpansion(degree=plan.degree, inputCol="raw", outputCol="powers"))
     # without a mean, so that counts stay sparse
     stages.append(StandardScaler(inputCol="powers" if plan.degree > 1 else "raw", outputCol="features"))
-    return Fitted(recipe, chosen, Pipeline(stages=[*stages, plan.model()]).fit(data))
+    pipeline = Pipeline(stages=[*stages, plan.model()])
+    return Fitted(recipe, chosen, pipeline.fit(data), _calibration(pipeline, data, meta) if plan.calibrated else None)
 
 
 def ranked(fitted: Fitted, rep: DataFrame, meta: DataFrame, reference: DataFrame | None = None) -> DataFrame:
