@@ -74,7 +74,7 @@ def _chosen_tokens(rows: DataFrame, meta: DataFrame, reference: DataFrame | None
 
 
 @F.udf(VectorUDT())
-def _sparse(size: int, found: list) -> SparseVector:
+def _sparse(size, found):
     return SparseVector(size, [(r["place"], float(r["n"])) for r in found or []])
 
 
