@@ -195,7 +195,7 @@ pp AS (SELECT k, kmer, count(*) FILTER (WHERE label_positive) AS a, count(*) FIL
 def strict_sql(ks: tuple[int, ...]) -> str:
     """SQL of the patterns that the strict selection takes."""
     return _km(ks) + f""", st AS (SELECT k, kmer, a, b, fold, {_fisher} AS p_value FROM (SELECT *, (a / n_pos) / ((b + 1) / (n_neg + 1)) AS fold FROM pp, sz WHERE a + b >= 5 AND a >= 2) WHERE fold >= 1.2),
-strict AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(p_value, 10), round(fold, 10) DESC, kmer) AS place FROM st WHERE p_value <= 0.05) WHERE place <= 50)"""
+strict AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p_value, fold DESC, kmer) AS place FROM st WHERE p_value <= 0.05) WHERE place <= 50)"""
 
 
 def features_sql(ks: tuple[int, ...]) -> str:
