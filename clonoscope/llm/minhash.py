@@ -24,6 +24,8 @@ ERRORS = 1
 PART = 512
 #: Longs of a set's bitmap in that join: a bit for each value of its shingles modulo their number.
 MAP = 16
+#: Shingles before one that counts by which that join knows a pair that has met at an earlier one.
+BEFORE = 32
 
 _KEYS = np.random.default_rng(12).integers(1, 1 << 63, size=(3, 256), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
@@ -162,17 +164,20 @@ def _open(index: DataFrame) -> DataFrame:
 def _prefixes(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The open sets by the shingles that any link of theirs must share: in an order by the number of these sets that
     have a shingle, sets that are similar enough share one of the first n - ceil(n percent / 100) + 1 of each. Those that
-    no other set has come first and count, but meet nothing; `most` is the largest size that they leave for a link."""
+    no other set has come first and count, but meet nothing; `most` is the largest size that they leave for a link, and
+    `before` has the last shingles that come before one, BEFORE at most."""
     tokens = sets.select("c", F.explode("tokens").alias("key"))
     held = tokens.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").withColumnRenamed("key", "k")
     shared = tokens.join(held, F.col("key") == F.col("k")).select(F.col("c").alias("of"), "key", "df")
     # a window holds one document's shingles
     own = Window.partitionBy("of")
-    placed = shared.withColumn("place", F.row_number().over(own.orderBy("df", "key"))).withColumn("shared", F.count("*").over(own))
+    order = own.orderBy("df", "key")
+    before = F.collect_list("key").over(order.rowsBetween(-BEFORE, -1))
+    placed = shared.withColumn("place", F.row_number().over(order)).withColumn("before", before).withColumn("shared", F.count("*").over(own))
     first = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - (F.col("n") - F.col("shared"))
     most = F.floor(F.col("shared") * (100 + percent) / percent) - F.col("n")
     of = open_.join(sets.select(F.col("c").alias("s"), "bits"), F.col("c") == F.col("s"))
-    return placed.join(of, F.col("of") == F.col("c")).where(F.col("place") <= first).select("key", "c", "n", "label", "bits", most.alias("most")).where(100 * F.col("most") >= percent * F.col("n"))
+    return placed.join(of, F.col("of") == F.col("c")).where(F.col("place") <= first).select("key", "c", "n", "label", "bits", "before", most.alias("most")).where(100 * F.col("most") >= percent * F.col("n"))
 
 
 def _size_class(n: Column) -> Column:
@@ -187,19 +192,19 @@ def _lacking(a: str, b: str) -> Column:
 
 def _across(index: DataFrame, percent: int) -> DataFrame:
     """The pairs that share a shingle that counts and are not yet in one component. In each such key only sets outside the key's largest
-    component meet the others, only those whose sizes and bitmaps allow a link, and a key with many sets is joined in parts."""
+    component meet the others, only those whose sizes and bitmaps allow a link, and a key with many sets is joined in parts. A pair is made
+    at the first key that it shares, and at a later one only where none of the BEFORE before that one is shared."""
     parts = F.ceil(F.col("all") / PART).cast("int")
     right = index.withColumn("size", _size_class(F.col("n"))).withColumn("part", F.pmod(F.xxhash64("c"), parts).cast("int")).drop("all")
     least, largest = _size_class(F.ceil(percent * F.col("n") / 100)), _size_class(F.least(F.floor(100 * F.col("n") / percent), "most"))
-    left = index.where("label <> top").select(F.col("key").alias("lk"), F.col("c").alias("a"), F.col("n").alias("na"), F.col("most").alias("most_a"), F.col("label").alias("la"), F.col("bits").alias("bits_a"), parts.alias("parts"), F.explode(F.sequence(least, F.greatest(least, largest))).alias("ls"))
+    left = index.where("label <> top").select(F.col("key").alias("lk"), F.col("c").alias("a"), F.col("n").alias("na"), F.col("most").alias("most_a"), F.col("label").alias("la"), F.col("bits").alias("bits_a"), F.col("before").alias("before_a"), parts.alias("parts"), F.explode(F.sequence(least, F.greatest(least, largest))).alias("ls"))
     left = left.withColumn("lp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     overlap = F.least(F.col("na") - _lacking("bits_a", "bits"), F.col("n") - _lacking("bits", "bits_a"))
     fits = (F.col("n") <= F.col("most_a")) & (F.col("na") <= F.col("most")) & (overlap >= enough(F.col("na"), F.col("n"), percent))
     return (
         left.join(right, (F.col("lk") == F.col("key")) & (F.col("ls") == F.col("size")) & (F.col("lp") == F.col("part")))
-        .where((F.col("la") != F.col("label")) & ((F.col("label") == F.col("top")) | (F.col("a") < F.col("c"))) & fits)
+        .where((F.col("la") != F.col("label")) & ((F.col("label") == F.col("top")) | (F.col("a") < F.col("c"))) & fits & ~F.arrays_overlap("before_a", "before"))
         .select("a", F.col("c").alias("b"), "na", F.col("n").alias("nb"))
-        .distinct()
     )
 
 
@@ -253,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     done = tested.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     open_ = written(_open(_labelled(index, links)).select("c", "n", "label").distinct())
     sets = full_sets(texts, classes, open_)
-    left = _across(_open(written(_prefixes(open_, sets, percent))), percent).join(done, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
+    left = _across(_open(written(_prefixes(open_, sets, percent))), percent).distinct().join(done, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
     close = written(_close(left, classes, distance))
     labels = components(links.union(confirmed(close, sets, percent)))
     settle(spark)

@@ -89,6 +89,17 @@ def test_all_within_the_distance_share_a_key(positions, distance, errors):
         assert sum(bool(keys[i] & keys[j]) for i in range(30) for j in range(i)) == 0
 
 
+def test_a_pair_is_made_once(spark):
+    """30 sets that share 200 shingles, and pairs of which share 30 more, meet once each and not at every shingle."""
+    tokens = lambda i: [*range(200), *range(1000 * (i // 2), 1000 * (i // 2) + 30)] if i > 1 else [*range(200), *range(5000 * (i + 20), 5000 * (i + 20) + 30)]
+    sets = spark.createDataFrame([(i, tokens(i), [-1] * minhash.MAP) for i in range(30)], "c long, tokens array<long>, bits array<long>")
+    open_ = spark.createDataFrame([(i, 230, i) for i in range(30)], "c long, n long, label long")
+    met = minhash._across(minhash._open(minhash._prefixes(open_, sets, 75)), 75)
+    pairs = [tuple(sorted((r["a"], r["b"]))) for r in met.collect()]
+    assert len(set(pairs)) == 30 * 29 // 2
+    assert len(pairs) == len(set(pairs))
+
+
 def test_signatures_tell_likeness():
     r = np.random.default_rng(2)
     shared, own = r.integers(0, 1 << 63, 700, dtype=np.uint64), r.integers(0, 1 << 63, 300, dtype=np.uint64)
