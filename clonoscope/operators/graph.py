@@ -302,18 +302,39 @@ def sequence_nodes(rep: DataFrame, embed: Callable[[Column], Column] = S.hashed_
 
 def built(rep: DataFrame, k: int = 30, embed: Callable[[Column], Column] = S.hashed_embedding, folders: list[str] | None = None, name: str = "hashed") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of each repertoire's similarity graph; repertoires without sequences have none. With `folders`,
-    graphs of the same content, k and embedder (by its name) are found there, and others added to the first."""
+    graphs of the same content, k and embedder (by its name) are found there, and others added to the first. Nodes and
+    neighbours are stored, as what follows reads them many times."""
 
     def build(some: DataFrame) -> tuple[DataFrame, DataFrame]:
-        nodes = sequence_nodes(some, embed)
-        return nodes, edges(knn(nodes.select("repertoire_id", "node_id", "x"), k))
+        nodes = stored(sequence_nodes(some, embed))
+        return nodes, edges(stored(knn(nodes.select("repertoire_id", "node_id", "x"), k)))
 
     return graph_cache.graphs(rep, folders, build, f"k={k}", name) if folders else build(rep)
 
 
 def pooled(nodes: DataFrame, links: DataFrame, layers: int = 2, how: str = "gcn") -> DataFrame:
     """Per repertoire and dimension, the mean over nodes after so many steps of message passing: what a linear graph
-    convolution hands to its classifier."""
+    convolution hands to its classifier.
+
+    All steps but `max` are linear, so that the mean weighs each node's own vector by one number. Those numbers go
+    back along the edges, step by step, and vectors never do."""
+    if how == "max":
+        for _ in range(layers):
+            nodes = as_nodes(convolved(nodes, links, how))
+        return mean_pool(nodes)
+    if how not in ("gcn", "sum", "mean"):
+        raise ValueError(f"unknown step: {how}")
+    loops = nodes.select("repertoire_id", F.col("node_id").alias("src"), F.col("node_id").alias("dst"))
+    whole = links.select("repertoire_id", "src", "dst").unionByName(loops)
+    whole = stored(whole) if layers else whole
+    d = F.col("d").cast("double")
+    give, take = {"gcn": (1 / F.sqrt(d), 1 / F.sqrt(d)), "sum": (F.lit(1.0), F.lit(1.0)), "mean": (1 / d, F.lit(1.0))}[how]
+    shares = whole.groupBy("repertoire_id", F.col("src").alias("node_id")).agg(F.count("*").alias("d")).select("repertoire_id", "node_id", give.alias("give"), take.alias("take"))
+    weights = shares.withColumn("w", F.lit(1.0))
     for _ in range(layers):
-        nodes = as_nodes(convolved(nodes, links, how))
-    return mean_pool(nodes)
+        given = weights.select("repertoire_id", F.col("node_id").alias("src"), (F.col("w") * F.col("give")).alias("g"))
+        got = whole.join(given, ["repertoire_id", "src"]).groupBy("repertoire_id", F.col("dst").alias("node_id")).agg(F.sum("g").alias("g"))
+        weights = shares.join(got, ["repertoire_id", "node_id"]).select("repertoire_id", "node_id", "give", "take", (F.col("g") * F.col("take")).alias("w"))
+    weighed = nodes.select("repertoire_id", "node_id", "x").join(weights.select("repertoire_id", "node_id", "w"), ["repertoire_id", "node_id"])
+    long = weighed.select("repertoire_id", "w", F.posexplode("x").alias("dim", "v"))
+    return long.groupBy("repertoire_id", "dim").agg((F.sum(F.col("w") * F.col("v")) / F.count("*")).alias("mean"))

@@ -54,6 +54,23 @@ def test_attention_in_parts(spark, hub):
         assert got[i] == pytest.approx((w / w.sum()) @ x[near], abs=1e-9)
 
 
+@pytest.mark.parametrize(("how", "layers"), [("gcn", 2), ("gcn", 0), ("mean", 3), ("sum", 1), ("max", 1)])
+def test_pooling_moves_numbers_and_not_vectors(spark, monkeypatch, how, layers):
+    """The mean of the steps' own vectors, for graphs with parallel edges and lone nodes, and none of those vectors made."""
+    r = np.random.default_rng(4)
+    edges = [(k, a, b) for k in (1, 2) for a, b in [tuple(r.choice(9, 2, replace=False).tolist()) for _ in range(12)] + [(0, 1), (0, 1)]]
+    nodes, links = frames(spark, [(k, i, r.normal(0, 3, 3).tolist()) for k in (1, 2, 3) for i in range(10)], [(k, *p) for k, a, b in edges for p in ((a, b), (b, a))])
+    plain = nodes
+    for _ in range(layers):
+        plain = G.as_nodes(G.convolved(plain, links, how))
+    want = {(n["repertoire_id"], n["dim"]): n["mean"] for n in G.mean_pool(plain).collect()}
+    if how != "max":
+        monkeypatch.setattr(G, "convolved", None)
+    got = {(n["repertoire_id"], n["dim"]): n["mean"] for n in G.pooled(nodes, links, layers, how).collect()}
+    assert len(got) == 9
+    assert got == pytest.approx(want, abs=1e-12)
+
+
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
 def test_pruned_neighbours(spark, metric):
     """Clusters, copies and single nodes: the rows of the plain search from far fewer distances."""
