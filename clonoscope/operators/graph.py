@@ -18,6 +18,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
+def unit_vectors(x: Column) -> Column:
+    """Vectors of length 1; the length is taken once a vector."""
+    return F.get(F.transform(F.array(F.sqrt(dot(x, x))), lambda norm: F.transform(x, lambda v: v / norm)), F.lit(0))
+
+
 #: Nodes of a block; two blocks' distances are one matrix product.
 BLOCK = 1024
 
@@ -37,9 +42,14 @@ def _nearest(k: int, metric: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
         d = np.round(d, 6)
         i, j = src["node_id"].to_numpy(), dst["node_id"].to_numpy()
         d[i[:, None] == j[None, :]] = np.inf
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"repertoire_id": rows["repertoire_id"].iloc[0], "src": np.repeat(i, near.shape[1]), "dst": j[near].ravel(), "distance": np.take_along_axis(d, near, axis=1).ravel()})
-        return out[np.isfinite(out["distance"])]
+        # all up to the k-th distance, ties included, and of those the first k by distance and node
+        least = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.inf
+        at, to = np.nonzero((d <= least) & np.isfinite(d))
+        order = np.lexsort((to, d[at, to], at))
+        at, to = at[order], to[order]
+        kept = np.arange(len(at)) - np.searchsorted(at, at) < k
+        at, to = at[kept], to[kept]
+        return pd.DataFrame({"repertoire_id": rows["repertoire_id"].iloc[0], "src": i[at], "dst": j[to], "distance": d[at, to]})
 
     return run
 
@@ -53,8 +63,7 @@ def knn(nodes: DataFrame, k: int, metric: str = "cosine", block: int = BLOCK) ->
     repertoire."""
     if metric not in ("cosine", "l2"):
         raise ValueError(f"unknown metric: {metric}")
-    norm = F.sqrt(dot(F.col("x"), F.col("x")))
-    unit = nodes.select("repertoire_id", "node_id", (F.transform("x", lambda v: v / norm) if metric == "cosine" else F.col("x")).alias("x"))
+    unit = nodes.select("repertoire_id", "node_id", (unit_vectors(F.col("x")) if metric == "cosine" else F.col("x")).alias("x"))
     sizes = nodes.groupBy("repertoire_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node_id"), F.col("blocks")).cast("int")
     dealt = unit.join(sizes, "repertoire_id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -68,6 +77,8 @@ def knn(nodes: DataFrame, k: int, metric: str = "cosine", block: int = BLOCK) ->
 
 #: Nodes of a cell of the pruned search, about.
 CELL = 256
+#: Blocks of a repertoire, about, from which on the pruned search takes larger ones.
+BLOCKS = 8
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -113,22 +124,23 @@ def pruned(nodes: DataFrame, k: int, metric: str = "cosine", cell: int = CELL, b
     """What the pruned search compares: nodes that ask (asks) and nodes of the parts they ask, by both parts.
 
     Some nodes are pivots and a node belongs to the cell of its nearest one; cells are cut into parts of about
-    `block`. A node's own part bounds how far its k nearest can be, and a part whose pivot is farther than that and
+    `block`. Both sizes grow with a repertoire of more than BLOCKS blocks, up to blocks of BLOCK nodes, as a node's vector
+    goes to every part that it asks. A node's own part bounds how far its k nearest can be, and a part whose pivot is farther than that and
     the part's radius holds none of them. Blocks of nodes are compared with pivots, never a repertoire with itself."""
     kinds = dict(nodes.dtypes)
-    norm = F.sqrt(dot(F.col("x"), F.col("x")))
-    unit = nodes.select("repertoire_id", "node_id", (F.transform("x", lambda v: v / norm) if metric == "cosine" else F.col("x")).cast("array<double>").alias("x"))
-    sizes = unit.groupBy("repertoire_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("node_id")).alias("least"))
+    unit = nodes.select("repertoire_id", "node_id", (unit_vectors(F.col("x")) if metric == "cosine" else F.col("x")).cast("array<double>").alias("x"))
+    scale = F.least(F.greatest(F.floor(F.count("*") / (BLOCKS * block)), F.lit(1)), F.lit(max(BLOCK // block, 1))).cast("int")
+    sizes = stored(nodes.groupBy("repertoire_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("node_id")).alias("least"), scale.alias("scale")))
     hashed = F.xxhash64("node_id")
-    sized = stored(unit.join(sizes, "repertoire_id").withColumn("block", F.pmod(F.xxhash64("node_id", F.lit(1)), F.ceil(F.col("n") / block)).cast("int")))
+    sized = stored(unit.join(sizes, "repertoire_id").withColumn("block", F.pmod(F.xxhash64("node_id", F.lit(1)), F.ceil(F.col("n") / (block * F.col("scale")))).cast("int")))
     # the other side of a cogroup has names of its own
-    pivots = sized.where((F.pmod(hashed, F.lit(cell)) == 0) | (hashed == F.col("least"))).select(F.col("repertoire_id").alias("r"), F.col("node_id").alias("pivot"), F.col("x").alias("px"))
+    pivots = sized.where((F.pmod(hashed, cell * F.col("scale")) == 0) | (hashed == F.col("least"))).select(F.col("repertoire_id").alias("r"), F.col("node_id").alias("pivot"), F.col("x").alias("px"))
     blocks = sized.select(F.col("repertoire_id").alias("r"), F.col("block").alias("b")).distinct()
     rows = sized.select("repertoire_id", "node_id", "x", "block")
     schema = f"repertoire_id {kinds['repertoire_id']}, node_id {kinds['node_id']}, x array<double>, block int"
     near = rows.groupBy("repertoire_id", "block").cogroup(pivots.join(blocks, "r").groupBy("r", "b")).applyInPandas(_to_pivots, f"{schema}, cell {kinds['node_id']}, away double")
     near = stored(near)
-    held = near.groupBy("repertoire_id", "cell").agg(F.ceil(F.count("*") / block).alias("parts"))
+    held = near.groupBy("repertoire_id", "cell").agg(F.count("*").alias("held")).join(sizes, "repertoire_id").select("repertoire_id", "cell", F.ceil(F.col("held") / (block * F.col("scale"))).alias("parts"))
     dealt = near.join(held, ["repertoire_id", "cell"]).withColumn("part", F.pmod(F.xxhash64("node_id", F.lit(2)), F.col("parts")).cast("int")).drop("parts")
     schema = f"{schema}, cell {kinds['node_id']}, away double, part int"
     bounded = stored(dealt.select(*[c.split()[0] for c in schema.split(", ")]).groupBy("repertoire_id", "cell", "part").applyInPandas(_bound(k, metric), f"{schema}, reach double"))

@@ -85,6 +85,22 @@ def test_pruned_neighbours(spark, metric):
     assert compared < 0.3 * 2 * (len(x) // 2) ** 2
 
 
+def test_cells_of_the_pruned_search_grow_with_the_repertoire(spark):
+    """Vectors in all directions, of which nothing can be left out: the same rows, and a node goes to few parts."""
+    x = np.random.default_rng(5).normal(0, 1, (600, 16))
+    nodes = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(x)], "repertoire_id long, node_id long, x array<double>")
+    assert G.pruned(nodes, 3, "cosine", 4, 8).count() < 70 * 600
+    plain = {tuple(n) for n in G.knn(nodes, 3).select("src", "dst", "distance", "rank").collect()}
+    assert {tuple(n) for n in G.knn_pruned(nodes, 3, cell=4, block=8).select("src", "dst", "distance", "rank").collect()} == plain
+
+
+def test_equal_distances_are_taken_by_node(spark):
+    nodes = spark.createDataFrame([(1, i, [1.0, float(i % 2)]) for i in range(40)], "repertoire_id long, node_id long, x array<double>")
+    got = {(n["src"], n["rank"]): (n["dst"], n["distance"]) for n in G.knn(nodes, 3, block=16).collect()}
+    for i in range(40):
+        assert [got[i, r] for r in (1, 2, 3)] == [(j, 0.0) for j in range(40) if j % 2 == i % 2 and j != i][:3]
+
+
 def test_draws_divided_among_ranges_are_one_multinomial(spark, monkeypatch):
     weights = {i: 1 + 7 * (i % 13) for i in range(150)}
     rows = spark.createDataFrame([(r, f"s{i:03d}", w * 1000) for r in (1, 2) for i, w in weights.items()], "repertoire_id long, junction_aa string, templates long")
