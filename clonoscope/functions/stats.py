@@ -16,14 +16,16 @@ def log_factorial(n: Column) -> Column:
 
 
 def fisher_greater(a: Column, b: Column, pos: Column, neg: Column) -> Column:
-    """One-sided Fisher's exact test of [[a, pos - a], [b, neg - b]] for more in the first row."""
+    """One-sided Fisher's exact test of [[a, pos - a], [b, neg - b]] for more in the first row. What is the same in all
+    of a test's terms is taken once."""
     k = a + b
+    same = F.struct(log_factorial(pos).alias("pos"), log_factorial(neg).alias("neg"), (log_factorial(pos + neg) - log_factorial(k) - log_factorial(pos + neg - k)).alias("all"))
 
-    def term(x: Column) -> Column:
-        inside = log_factorial(pos) - log_factorial(x) - log_factorial(pos - x) + log_factorial(neg) - log_factorial(k - x) - log_factorial(neg - k + x)
-        return F.when((k - x >= 0) & (k - x <= neg), F.exp(inside - (log_factorial(pos + neg) - log_factorial(k) - log_factorial(pos + neg - k)))).otherwise(0.0)
+    def term(x: Column, c: Column) -> Column:
+        inside = c["pos"] - log_factorial(x) - log_factorial(pos - x) + c["neg"] - log_factorial(k - x) - log_factorial(neg - k + x)
+        return F.when((k - x >= 0) & (k - x <= neg), F.exp(inside - c["all"])).otherwise(0.0)
 
-    return F.aggregate(F.sequence(a, F.least(pos, k)), F.lit(0.0), lambda s, x: s + term(x))
+    return F.get(F.transform(F.array(same), lambda c: F.aggregate(F.sequence(a, F.least(pos, k)), F.lit(0.0), lambda s, x: s + term(x, c))), F.lit(0))
 
 
 def fold_change(a: Column, b: Column, pos: Column, neg: Column) -> Column:

@@ -20,6 +20,15 @@ def small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= FEW else table
 
 
+#: Windows of sequences that one task counts, and terms of Fisher's test that one task adds up, about.
+WINDOWS = 2_000_000
+TERMS = 200_000
+
+
+def tasks_for(amount: int | None, each: int) -> int:
+    return max(1, -(-int(amount or 0) // each))
+
+
 def class_sizes(meta: DataFrame) -> DataFrame:
     """One row: positive and negative repertoires."""
     return meta.agg(F.count_if("label_positive").alias("n_pos"), F.count_if(~F.col("label_positive")).alias("n_neg"))
@@ -28,10 +37,14 @@ def class_sizes(meta: DataFrame) -> DataFrame:
 def pattern_counts(rows: DataFrame, ks: tuple[int, ...], gaps: bool = False) -> DataFrame:
     """Rows of each (repertoire, k, kmer) with how often it occurs. Equal sequences of a repertoire are counted once
     and weighed, so that windows are cut for distinct sequences only; each place of a sequence gives its windows of
-    all k at once. A gap takes one more letter, so a pattern's length without its dot is its k."""
-    seqs = rows.groupBy("repertoire_id", "label_positive", "junction_aa").agg(F.count("*").alias("w"))
+    all k at once. A gap takes one more letter, so a pattern's length without its dot is its k.
+
+    Distinct sequences are stored, and dealt to as many tasks as their windows need, so that no task's counts grow with
+    the table."""
+    seqs = stored(rows.groupBy("repertoire_id", "label_positive", "junction_aa").agg(F.count("*").alias("w")))
+    n = seqs.agg(F.sum(sum(F.greatest(F.length("junction_aa") - k + 1, F.lit(0)) for k in ks for _ in range(2 if gaps and k >= 4 else 1)))).first()[0]
     long = seqs.select("repertoire_id", "label_positive", "w", F.explode(windows(F.col("junction_aa"), ks, gaps)).alias("kmer"))
-    counts = long.groupBy("repertoire_id", "label_positive", "kmer").agg(F.sum("w").alias("cnt"))
+    counts = long.repartition(tasks_for(n, WINDOWS), "repertoire_id", "kmer").groupBy("repertoire_id", "label_positive", "kmer").agg(F.sum("w").alias("cnt"))
     return counts.select("repertoire_id", "label_positive", (F.length("kmer") - F.contains("kmer", F.lit(".")).cast("int")).alias("k"), "kmer", "cnt")
 
 
@@ -49,9 +62,11 @@ def pattern_presence(counts: DataFrame) -> DataFrame:
 def with_fisher(cand: DataFrame) -> DataFrame:
     """p_value for rows with a, b, n_pos, n_neg. The candidates are stored, so that they are counted once; the test
     runs once for each distinct (a, b) and joins back by key. Most candidates share a few small (a, b), so that the
-    results are broadcast where they are few."""
+    results are broadcast where they are few. Tests are dealt to as many tasks as their terms need."""
     cand = stored(cand)
-    tests = cand.select("a", "b", "n_pos", "n_neg").distinct().withColumn("p_value", stats.fisher_greater(F.col("a"), F.col("b"), F.col("n_pos"), F.col("n_neg")))
+    each = stored(cand.select("a", "b", "n_pos", "n_neg").distinct())
+    terms = each.agg(F.sum(F.least("n_pos", F.col("a") + F.col("b")) - F.col("a") + 1)).first()[0]
+    tests = each.repartition(tasks_for(terms, TERMS)).withColumn("p_value", stats.fisher_greater(F.col("a"), F.col("b"), F.col("n_pos"), F.col("n_neg")))
     return cand.join(small(tests), ["a", "b", "n_pos", "n_neg"])
 
 
