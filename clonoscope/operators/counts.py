@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clonoscope.functions import sequence as S
 from clonoscope.operators.order import numbered
 from clonoscope.sources.store import stored
 
@@ -42,6 +43,18 @@ def presence_and_abundance(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+#: Letters of sequences that one task cuts into k-mers, about.
+LETTERS = 8_000_000
+
+
+def kmer_counts(rep: DataFrame, k: int, letters: int | None) -> DataFrame:
+    """Rows of each (repertoire, k-mer) with how often it occurs. `letters` is about how many the sequences have; rows are
+    dealt by repertoire to that many tasks, and equal sequences of a repertoire are cut once and weighed."""
+    tasks = max(1, -(-int(letters or 0) // LETTERS))
+    seqs = rep.select("repertoire_id", "junction_aa").repartition(tasks, "repertoire_id").groupBy("repertoire_id", "junction_aa").agg(F.count("*").alias("w"))
+    return seqs.select("repertoire_id", "w", F.explode(S.kmers(F.col("junction_aa"), k)).alias("kmer")).groupBy("repertoire_id", "kmer").agg(F.sum("w").alias("cnt"))
+
+
 def gene_min(rows: DataFrame, *keys: str) -> DataFrame:
     """The smallest genes of a sequence, empty without any."""
     return rows.groupBy(*keys).agg(F.coalesce(F.min("v_call"), F.lit("")).alias("v_call"), F.coalesce(F.min("j_call"), F.lit("")).alias("j_call"))

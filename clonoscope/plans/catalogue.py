@@ -143,7 +143,14 @@ def vocabulary_counts(s: SparkSession, d: str, k: int) -> DataFrame:
 
 query("kmer_vocab_2", _vocab(2, "SELECT a || b AS kmer FROM (SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWY', '')) AS a), (SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWY', '')) AS b)"))(lambda s, d: vocabulary_counts(s, d, 2))
 _k2 = "k2 AS (SELECT repertoire_id, kmer, count(*) AS cnt FROM (SELECT repertoire_id, unnest(list_transform(range(1, length(junction_aa)), lambda i: substr(junction_aa, i, 2))) AS kmer FROM rep) GROUP BY ALL)"
-_k2_rows = lambda s, d: A.word_repertoire(s, d).select("repertoire_id", F.explode(S.kmers(F.col("junction_aa"), 2)).alias("kmer")).groupBy("repertoire_id", "kmer").agg(F.count("*").alias("cnt"))
+
+
+def _k2_rows(s: SparkSession, d: str) -> DataFrame:
+    """Counts of two-letter k-mers of each repertoire. Words are dealt by repertoire to as many tasks as the texts need,
+    and what follows by repertoire stays there."""
+    return C.kmer_counts(A.word_repertoire(s, d), 2, A.table(s, d, "documents").agg(F.sum(F.length("text"))).first()[0])
+
+
 query("kmer_freq", f"+{_k2} SELECT repertoire_id, kmer, round(cnt / sum(cnt) OVER (PARTITION BY repertoire_id), 6) AS p FROM k2", W)(lambda s, d: D.shares(_k2_rows(s, d)).drop("cnt"))
 query("kmer_top100", f"+{_k2} SELECT repertoire_id, kmer, cnt FROM (SELECT *, row_number() OVER (PARTITION BY repertoire_id ORDER BY cnt DESC, kmer) AS k FROM k2) WHERE k <= 100", W)(lambda s, d: _k2_rows(s, d).withColumn("k", F.row_number().over(Window.partitionBy("repertoire_id").orderBy(F.desc("cnt"), "kmer"))).where("k <= 100").drop("k"))
 query("token_min_df", f"SELECT junction_aa, count(DISTINCT repertoire_id) AS df FROM rep GROUP BY 1 HAVING count(DISTINCT repertoire_id) >= 2", W)(lambda s, d: A.word_repertoire(s, d).select("junction_aa", "repertoire_id").distinct().groupBy("junction_aa").agg(F.count("*").alias("df")).where("df >= 2"))
