@@ -76,20 +76,28 @@ def downsampled(rep: DataFrame, order: list[str], target: int = 10_000, seed: in
     The rows of a repertoire are put in order and cut into ranges of `fan`, those into ranges of `fan` ranges, and so
     on. From the whole downwards, a range's draws are divided among its parts by their weights (a multinomial draw
     given its sum), so that the result is one multinomial draw and no task holds more than `fan` parts, however large
-    a repertoire is. A repertoire of at most FAN rows is a single NumPy draw. Null templates count as 0."""
+    a repertoire is. Only repertoires of several ranges are numbered over the table. A repertoire of at most FAN rows
+    is a single NumPy draw. Null templates count as 0."""
     if draws not in ("multinomial", "choice"):
         raise ValueError(f"unknown draws: {draws}")
     typed = rep.withColumn("templates", F.col("templates").cast("long"))
     plain = [F.col(f"`{f.name}`") for f in typed.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    placed = numbered(typed, [F.asc("repertoire_id"), *[F.asc(c) for c in order], F.xxhash64(*plain).asc()], "number_")
+    ordered = [*[F.asc(c) for c in order], F.xxhash64(*plain).asc()]
     w = F.coalesce("templates", F.lit(0))
-    sums = stored(placed.groupBy(F.col("repertoire_id").alias("r_")).agg(F.sum(w).alias("total_"), F.min("number_").alias("first_"), F.count("*").alias("size_")))
-    known = placed.join(sums, F.col("repertoire_id").eqNullSafe(F.col("r_")))
-    stay = known.where(F.col("total_") <= target).select(*typed.columns)
-    rows = stored(known.where(F.col("total_") > target).select(*typed.columns, (F.col("number_") - F.col("first_")).alias("place_"), "size_", w.alias("w_"), F.lit(1).cast("long").alias("m_")))
-    largest = rows.agg(F.max("size_")).first()[0]
+    sums = stored(typed.groupBy(F.col("repertoire_id").alias("r_")).agg(F.sum(w).alias("total_"), F.count("*").alias("size_")))
+    known = typed.join(sums, F.col("repertoire_id").eqNullSafe(F.col("r_")))
+    over = known.where(F.col("total_") > target).select(*typed.columns, "size_", w.alias("w_"), F.lit(1).cast("long").alias("m_"))
+    # a repertoire of one range is put in order by itself
+    place = (F.row_number().over(Window.partitionBy("repertoire_id").orderBy(*ordered)) - 1).cast("long")
+    one = over.where(F.col("size_") <= fan).select("*", place.alias("place_"), F.lit(0).cast("long").alias("range_"), F.lit(target).cast("long").alias("n_"))
+    alone = one.groupBy("repertoire_id").applyInPandas(_draw(seed, 0, draws), one.schema).withColumn("templates", F.col("n_")).select(*typed.columns)
+    stay = known.where(F.col("total_") <= target).select(*typed.columns).unionByName(alone)
+    largest = sums.where((F.col("total_") > target) & (F.col("size_") > fan)).agg(F.max("size_")).first()[0]
     if largest is None:
         return stay
+    placed = numbered(over.where(F.col("size_") > fan), [F.asc("repertoire_id"), *ordered], "number_")
+    first = placed.groupBy(F.col("repertoire_id").alias("r_")).agg(F.min("number_").alias("first_"))
+    rows = stored(placed.join(first, F.col("repertoire_id").eqNullSafe(F.col("r_"))).select(*typed.columns, (F.col("number_") - F.col("first_")).alias("place_"), "size_", "w_", "m_"))
     levels = [rows.select("repertoire_id", "place_", "size_", "w_", "m_")]
     while largest > 1:
         up = levels[-1].groupBy("repertoire_id", F.floor(F.col("place_") / fan).alias("place_")).agg(F.first("size_").alias("size_"), F.sum("w_").alias("w_"), F.sum("m_").alias("m_"))
