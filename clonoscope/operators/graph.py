@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,85 @@ def unit_vectors(x: Column) -> Column:
 BLOCK = 1024
 
 
+#: Nodes of repertoires of one block that one call holds, about.
+PACK = 4096
+
+
+def packed(nodes: DataFrame, *tables: DataFrame, block: int = BLOCK, pack: int = PACK) -> tuple[list[DataFrame], list[DataFrame] | None]:
+    """The tables' rows of repertoires of one block, with the `pack` that holds some of these whole, and their rows of
+    larger repertoires, or None where there are none."""
+    sizes = stored(nodes.where("repertoire_id is not null").groupBy("repertoire_id").agg(F.count("*").alias("n_")))
+    few = F.col("n_") <= block
+    held, larger = sizes.agg(F.coalesce(F.sum(F.when(few, F.col("n_"))), F.lit(0)), F.count_if(~few)).first()
+    key = F.pmod(F.xxhash64("repertoire_id"), F.lit(max(1, -(-held // pack)))).cast("int").alias("pack")
+    if not larger:
+        return [t.where("repertoire_id is not null").select(*t.columns, key) for t in tables], None
+    sized = [t.join(sizes, "repertoire_id") for t in tables]
+    return [t.where(few).select(*own.columns, key) for t, own in zip(sized, tables, strict=True)], [t.where(~few).select(*own.columns) for t, own in zip(sized, tables, strict=True)]
+
+
+def _whole(rows: pa.Table, name: str) -> pa.Array:
+    column = rows.column(name)
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def coded(nodes: pa.Table, links: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes of a pack, repertoire by repertoire; where each repertoire begins, and the end; and the links' ends as
+    places among the nodes."""
+    codes = lambda *parts: pa.concat_arrays(parts).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    n, m = nodes.num_rows, links.num_rows
+    reps = codes(_whole(nodes, "repertoire_id"), _whole(links, "repertoire_id"))
+    ids = codes(_whole(nodes, "node_id"), _whole(links, "src"), _whole(links, "dst"))
+    width = int(ids.max(initial=0)) + 1
+    keys = reps[:n] * width + ids[:n]
+    order = np.argsort(keys, kind="stable")
+    keys, reps_of = keys[order], reps[:n][order]
+    begins = np.append(np.flatnonzero(np.diff(reps_of, prepend=-1)), n)
+    ends = [reps[n:] * width + ids[n : n + m], reps[n:] * width + ids[n + m :]]
+    places = [np.minimum(np.searchsorted(keys, e), max(n - 1, 0)) for e in ends]
+    known = (keys[places[0]] == ends[0]) & (keys[places[1]] == ends[1]) if n else np.zeros(m, dtype=bool)
+    return nodes.take(pa.array(order)), begins, places[0][known], places[1][known]
+
+
+def vectors(rows: pa.Table, name: str = "x") -> np.ndarray:
+    """A column of vectors of one length as a matrix."""
+    return _whole(rows, name).flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1) if rows.num_rows else np.empty((0, 0))
+
+
+def _first(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row its first k columns by distance and place: all up to the k-th distance, ties included, and of those
+    the first k."""
+    least = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.inf
+    at, to = np.nonzero((d <= least) & np.isfinite(d))
+    order = np.lexsort((to, d[at, to], at))
+    at, to = at[order], to[order]
+    kept = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[kept], to[kept]
+
+
+def _nearest_whole(k: int, metric: str) -> Callable[[pa.Table], pa.Table]:
+    """The k nearest of each node of a pack of repertoires, each compared with itself, with their ranks."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("repertoire_id", "ascending"), ("node_id", "ascending")])
+        reps, ids, x = (_whole(rows, c) for c in ("repertoire_id", "node_id", "x"))
+        begins = np.append(np.flatnonzero(np.diff(reps.dictionary_encode().indices.to_numpy(zero_copy_only=False), prepend=-1)), rows.num_rows)
+        names = ids.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        values, cuts = x.values.to_numpy(zero_copy_only=False), x.offsets.to_numpy()
+        found = []
+        for b, e in zip(begins, begins[1:], strict=False):
+            a = values[cuts[b] : cuts[e]].reshape(e - b, -1)
+            d = 1 - a @ a.copy().T if metric == "cosine" else np.sqrt(np.stack([((a - v) ** 2).sum(axis=1) for v in a]))
+            d = np.round(d, 6)
+            d[names[b:e, None] == names[None, b:e]] = np.inf
+            at, to = _first(d, k)
+            found.append((at + b, to + b, d[at, to], np.arange(len(at)) - np.searchsorted(at, at) + 1))
+        at, to, distance, rank = (np.concatenate([f[i] for f in found]) for i in range(4))
+        return pa.table({"repertoire_id": reps.take(pa.array(at)), "src": ids.take(pa.array(at)), "dst": ids.take(pa.array(to)), "distance": distance, "rank": pa.array(rank, pa.int32())})
+
+    return run
+
+
 def _nearest(k: int, metric: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """The k nearest of one block for each node of another."""
 
@@ -42,13 +122,7 @@ def _nearest(k: int, metric: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
         d = np.round(d, 6)
         i, j = src["node_id"].to_numpy(), dst["node_id"].to_numpy()
         d[i[:, None] == j[None, :]] = np.inf
-        # all up to the k-th distance, ties included, and of those the first k by distance and node
-        least = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.inf
-        at, to = np.nonzero((d <= least) & np.isfinite(d))
-        order = np.lexsort((to, d[at, to], at))
-        at, to = at[order], to[order]
-        kept = np.arange(len(at)) - np.searchsorted(at, at) < k
-        at, to = at[kept], to[kept]
+        at, to = _first(d, k)
         return pd.DataFrame({"repertoire_id": rows["repertoire_id"].iloc[0], "src": i[at], "dst": j[to], "distance": d[at, to]})
 
     return run
@@ -58,21 +132,26 @@ def knn(nodes: DataFrame, k: int, metric: str = "cosine", block: int = BLOCK) ->
     """The k nearest other nodes of each node inside its repertoire, exact, with rank and distance (cosine or l2, to
     six places; ties by node).
 
-    A repertoire's nodes are dealt into blocks of about `block`, and each pair of blocks is one task's matrix product,
-    of which the k nearest are kept; so a node brings k rows for each block, and a task never holds a whole large
-    repertoire."""
+    Repertoires of one block are compared by packs. A larger one's nodes are dealt into blocks of about `block`, and each
+    pair of blocks is one task's matrix product, of which the k nearest are kept; so a node brings k rows for each block,
+    and a task never holds a whole large repertoire."""
     if metric not in ("cosine", "l2"):
         raise ValueError(f"unknown metric: {metric}")
-    unit = nodes.select("repertoire_id", "node_id", (unit_vectors(F.col("x")) if metric == "cosine" else F.col("x")).alias("x"))
-    sizes = nodes.groupBy("repertoire_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    unit = nodes.select("repertoire_id", "node_id", (unit_vectors(F.col("x")) if metric == "cosine" else F.col("x")).cast("array<double>").alias("x"))
+    kinds = dict(nodes.dtypes)
+    schema = f"repertoire_id {kinds['repertoire_id']}, src {kinds['node_id']}, dst {kinds['node_id']}, distance double"
+    (whole,), larger = packed(nodes, unit, block=block)
+    near = whole.groupBy("pack").applyInArrow(_nearest_whole(k, metric), f"{schema}, rank int")
+    if not larger:
+        return near
+    unit = larger[0]
+    sizes = unit.groupBy("repertoire_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node_id"), F.col("blocks")).cast("int")
     dealt = unit.join(sizes, "repertoire_id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sides = F.explode(F.array(F.struct(F.lit(True).alias("asks"), F.col("own").alias("i"), F.col("other").alias("j")), F.struct(F.lit(False).alias("asks"), F.col("other").alias("i"), F.col("own").alias("j"))))
     both = dealt.select("repertoire_id", "node_id", "x", sides.alias("s")).select("repertoire_id", "node_id", "x", "s.asks", "s.i", "s.j")
-    kinds = dict(nodes.dtypes)
-    schema = f"repertoire_id {kinds['repertoire_id']}, src {kinds['node_id']}, dst {kinds['node_id']}, distance double"
-    near = both.groupBy("repertoire_id", "i", "j").applyInPandas(_nearest(k, metric), schema)
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("repertoire_id", "src").orderBy("distance", "dst"))).where(F.col("rank") <= k)
+    far = both.groupBy("repertoire_id", "i", "j").applyInPandas(_nearest(k, metric), schema)
+    return near.unionByName(far.withColumn("rank", F.row_number().over(Window.partitionBy("repertoire_id", "src").orderBy("distance", "dst"))).where(F.col("rank") <= k))
 
 
 #: Nodes of a cell of the pruned search, about.
@@ -286,30 +365,73 @@ def as_nodes(long: DataFrame, value: str = "value") -> DataFrame:
     return long.groupBy("repertoire_id", "node_id").agg(F.transform(ordered, lambda d: d[value]).alias("x"))
 
 
-def node_features(nodes: DataFrame, links: DataFrame, clustering_below: int = 10, k: int = 30) -> DataFrame:
+def node_features(nodes: DataFrame, links: DataFrame, clustering_below: int = 10, k: int = 30, block: int = BLOCK) -> DataFrame:
     """Per node one vector: share of its repertoire's rows, length, shares of the 20 amino acids, centralities (degree,
     two constants 0 that stand for eigenvector and page rank, clustering, which is 0 from `clustering_below` neighbours
     on), neighbour density and its embedding. `nodes` has junction_aa, cnt and x."""
+    tight = k < clustering_below
+    wanted = nodes.select("repertoire_id", "node_id", "junction_aa", "cnt", F.col("x").cast("array<double>").alias("x"))
+    (own, ends), larger = packed(nodes, wanted, links.select("repertoire_id", "src", "dst"), block=block)
+    schema = ", ".join(f"{c} {kind}" for c, kind in wanted.dtypes) + ", total long, degree_centrality double, density double, clustering double"
+    whole = own.groupBy("pack").cogroup(ends.groupBy("pack")).applyInArrow(_central(tight), schema)
+    if larger:
+        nodes, links = larger
+        deg = degrees(nodes, links).select("repertoire_id", "node_id", "degree_centrality")
+        far = nodes.withColumn("total", F.sum("cnt").over(Window.partitionBy("repertoire_id"))).join(deg, ["repertoire_id", "node_id"]).join(neighbour_density(nodes, links), ["repertoire_id", "node_id"])
+        far = far.join(clustering(nodes, links), ["repertoire_id", "node_id"]) if tight else far.withColumn("clustering", F.lit(0.0))
+        whole = whole.unionByName(far.select(*whole.columns))
     s = F.col("junction_aa")
-    share = F.col("cnt") / F.sum("cnt").over(Window.partitionBy("repertoire_id"))
+    base = F.array((F.col("cnt") / F.col("total")).cast("double"), F.length(s).cast("double"))
     letters = F.transform(S.letter_counts(s), lambda c: c / F.greatest(F.length(s), F.lit(1)))
-    base = nodes.select("repertoire_id", "node_id", F.array(share.cast("double"), F.length(s).cast("double")).alias("own"), letters.alias("letters"), "x")
-    deg = degrees(nodes, links).select("repertoire_id", "node_id", "degree_centrality")
-    dense = neighbour_density(nodes, links)
-    whole = base.join(deg, ["repertoire_id", "node_id"]).join(dense, ["repertoire_id", "node_id"])
-    if k < clustering_below:
-        whole = whole.join(clustering(nodes, links), ["repertoire_id", "node_id"])
-    else:
-        whole = whole.withColumn("clustering", F.lit(0.0))
     centrality = F.array("degree_centrality", F.lit(0.0), F.lit(0.0), "clustering")
-    return whole.select("repertoire_id", "node_id", F.concat("own", "letters", centrality, F.array("density"), "x").alias("x"))
+    return whole.select("repertoire_id", "node_id", F.concat(base, letters, centrality, F.array("density"), "x").alias("x"))
+
+
+def _central(tight: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """What degrees(), neighbour_density() and, if asked, clustering() find, for the nodes of a pack, and the rows of
+    each node's repertoire."""
+
+    def run(nodes: pa.Table, links: pa.Table) -> pa.Table:
+        nodes, begins, s, d = coded(nodes, links)
+        n, sizes = nodes.num_rows, np.diff(begins)
+        others = np.repeat(np.maximum(sizes - 1, 1), sizes)
+        deg = np.bincount(s, minlength=n).astype(float)
+        mean = np.bincount(s, weights=deg[d], minlength=n) / np.maximum(deg, 1)
+        closed = np.zeros(n)
+        if tight:
+            at = np.searchsorted(begins, s, side="right") - 1
+            order = np.argsort(at, kind="stable")
+            cuts = np.searchsorted(at[order], np.arange(len(begins)))
+            for i, (b, size) in enumerate(zip(begins, sizes, strict=False)):
+                own = order[cuts[i] : cuts[i + 1]]
+                a = np.bincount((s[own] - b) * size + d[own] - b, minlength=size * size).reshape(size, size).astype(float)
+                np.fill_diagonal(a, 0)
+                closed[b : b + size] = ((a @ a) * a).sum(axis=1) / 2
+            closed = np.where(deg > 1, closed / np.maximum(deg * (deg - 1) / 2, 1), 0)
+        cnt = nodes.column("cnt").to_numpy()
+        total = np.repeat(np.add.reduceat(cnt, begins[:-1]), sizes) if n else cnt
+        rows = nodes.select([c for c in nodes.column_names if c != "pack"])
+        for name, values in (("total", total), ("degree_centrality", deg / others), ("density", mean / others), ("clustering", closed)):
+            rows = rows.append_column(name, pa.array(values))
+        return rows
+
+    return run
+
+
+#: Distinct sequences, at most, whose embeddings are made once and broadcast.
+EMBEDDED = 10_000
 
 
 def sequence_nodes(rep: DataFrame, embed: Callable[[Column], Column] = S.hashed_embedding) -> DataFrame:
     """Nodes of repertoires: each distinct sequence once, with its rows and its embedding. `embed` is any function of
     a sequence column, such as a pandas UDF around a trained model."""
-    seqs = rep.where(F.length("junction_aa") > 0).groupBy("repertoire_id", "junction_aa").agg(F.count("*").alias("cnt"))
-    return seqs.select("repertoire_id", F.col("junction_aa").alias("node_id"), "junction_aa", "cnt", embed(F.col("junction_aa")).alias("x"))
+    seqs = stored(rep.where(F.length("junction_aa") > 0).groupBy("repertoire_id", "junction_aa").agg(F.count("*").alias("cnt")))
+    each = stored(seqs.select("junction_aa").distinct())
+    if each.count() <= EMBEDDED:
+        seqs, x = seqs.join(F.broadcast(stored(each.select("junction_aa", embed(F.col("junction_aa")).alias("x")))), "junction_aa"), F.col("x")
+    else:
+        x = embed(F.col("junction_aa")).alias("x")
+    return seqs.select("repertoire_id", F.col("junction_aa").alias("node_id"), "junction_aa", "cnt", x)
 
 
 def built(rep: DataFrame, k: int = 30, embed: Callable[[Column], Column] = S.hashed_embedding, folders: list[str] | None = None, name: str = "hashed") -> tuple[DataFrame, DataFrame]:
@@ -324,20 +446,27 @@ def built(rep: DataFrame, k: int = 30, embed: Callable[[Column], Column] = S.has
     return graph_cache.graphs(rep, folders, build, f"k={k}", name) if folders else build(rep)
 
 
-def pooled(nodes: DataFrame, links: DataFrame, layers: int = 2, how: str = "gcn") -> DataFrame:
+def pooled(nodes: DataFrame, links: DataFrame, layers: int = 2, how: str = "gcn", block: int = BLOCK) -> DataFrame:
     """Per repertoire and dimension, the mean over nodes after so many steps of message passing: what a linear graph
     convolution hands to its classifier.
 
     All steps but `max` are linear, so that the mean weighs each node's own vector by one number. Those numbers go
-    back along the edges, step by step, and vectors never do."""
+    back along the edges, step by step, and vectors never do. Repertoires of one block are pooled by packs."""
     if how == "max":
         for _ in range(layers):
             nodes = as_nodes(convolved(nodes, links, how))
         return mean_pool(nodes)
     if how not in ("gcn", "sum", "mean"):
         raise ValueError(f"unknown step: {how}")
+    kinds = dict(nodes.dtypes)
+    wanted = nodes.select("repertoire_id", "node_id", F.col("x").cast("array<double>").alias("x"))
+    (own, ends), larger = packed(nodes, wanted, links.select("repertoire_id", "src", "dst"), block=block)
+    means = own.groupBy("pack").cogroup(ends.groupBy("pack")).applyInArrow(_pooled_whole(layers, how), f"repertoire_id {kinds['repertoire_id']}, dim int, mean double")
+    if not larger:
+        return means
+    nodes, links = larger
     loops = nodes.select("repertoire_id", F.col("node_id").alias("src"), F.col("node_id").alias("dst"))
-    whole = links.select("repertoire_id", "src", "dst").unionByName(loops)
+    whole = links.unionByName(loops)
     whole = stored(whole) if layers else whole
     d = F.col("d").cast("double")
     give, take = {"gcn": (1 / F.sqrt(d), 1 / F.sqrt(d)), "sum": (F.lit(1.0), F.lit(1.0)), "mean": (1 / d, F.lit(1.0))}[how]
@@ -349,4 +478,25 @@ def pooled(nodes: DataFrame, links: DataFrame, layers: int = 2, how: str = "gcn"
         weights = shares.join(got, ["repertoire_id", "node_id"]).select("repertoire_id", "node_id", "give", "take", (F.col("g") * F.col("take")).alias("w"))
     weighed = nodes.select("repertoire_id", "node_id", "x").join(weights.select("repertoire_id", "node_id", "w"), ["repertoire_id", "node_id"])
     long = weighed.select("repertoire_id", "w", F.posexplode("x").alias("dim", "v"))
-    return long.groupBy("repertoire_id", "dim").agg((F.sum(F.col("w") * F.col("v")) / F.count("*")).alias("mean"))
+    return means.unionByName(long.groupBy("repertoire_id", "dim").agg((F.sum(F.col("w") * F.col("v")) / F.count("*")).alias("mean")))
+
+
+def _pooled_whole(layers: int, how: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """pooled() of the repertoires of a pack."""
+
+    def run(nodes: pa.Table, links: pa.Table) -> pa.Table:
+        nodes, begins, s, d = coded(nodes, links)
+        n, sizes = nodes.num_rows, np.diff(begins)
+        if not n:
+            return pa.table({"repertoire_id": _whole(nodes, "repertoire_id"), "dim": pa.array([], pa.int32()), "mean": pa.array([], pa.float64())})
+        s, d = np.append(s, np.arange(n)), np.append(d, np.arange(n))
+        deg = np.bincount(s, minlength=n).astype(float)
+        give, take = {"gcn": (1 / np.sqrt(deg), 1 / np.sqrt(deg)), "sum": (np.ones(n), np.ones(n)), "mean": (1 / deg, np.ones(n))}[how]
+        w = np.ones(n)
+        for _ in range(layers):
+            w = np.bincount(d, weights=(w * give)[s], minlength=n) * take
+        means = np.add.reduceat(vectors(nodes) * w[:, None], begins[:-1], axis=0) / sizes[:, None]
+        reps = _whole(nodes, "repertoire_id").take(pa.array(np.repeat(begins[:-1], means.shape[1])))
+        return pa.table({"repertoire_id": reps, "dim": pa.array(np.tile(np.arange(means.shape[1]), len(means)), pa.int32()), "mean": means.ravel()})
+
+    return run
