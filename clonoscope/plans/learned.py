@@ -5,7 +5,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
@@ -32,10 +34,15 @@ def repertoire_features(rep: DataFrame) -> DataFrame:
     return D.clone_diversity(rep).join(more, "repertoire_id").select("repertoire_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURES])
 
 
+#: Rows of features that one task holds, about: every step of a fit is a job over all of them.
+ROWS = 20_000
+
+
 def table_of_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a supplier: features as they are, label and fold, stored for the models that share them."""
+    tasks = E.tasks_for(A.clone_metadata(spark, sf_dir).count(), ROWS)
     meta = P.folds(A.clone_metadata(spark, sf_dir)).select("repertoire_id", "fold", F.col("label_positive").cast("double").alias("label"))
-    return stored(repertoire_features(A.clone_repertoire(spark, sf_dir)).join(meta, "repertoire_id"))
+    return stored(repertoire_features(A.clone_repertoire(spark, sf_dir)).join(meta, "repertoire_id").repartition(tasks, "repertoire_id"))
 
 
 def prepared(train: DataFrame, names: tuple[str, ...], *others: DataFrame) -> list[DataFrame]:
@@ -70,17 +77,29 @@ GRID: dict[str, Model] = {
 }
 
 
+#: Models' settings that are tried at a time; the folds of each are fitted at a time too.
+TRIED = 4
+
+
+def at_once(spark: SparkSession, makes: list[Callable[[], object]], most: int) -> list:
+    """What each function returns, up to so many running at a time. A fit is many small jobs, one after another, between
+    which the executors wait for the driver."""
+    with ThreadPool(max(1, min(most, len(makes)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda make: make()), makes, chunksize=1)
+
+
 def out_of_fold(rows: DataFrame, model: Model, names: tuple[str, ...] = FEATURES, folds: int = 5) -> DataFrame:
     """Each repertoire's probability from a model, and a scaling, that were fitted without its fold."""
-    parts = []
-    for k in range(folds):
+
+    def part(k: int) -> DataFrame:
         train, test = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
         n, classes = train.agg(F.count("*"), F.count_distinct("label")).first()
         if classes < 2:
-            parts.append(test.select("repertoire_id", "label", "fold", F.lit(0.5).alias("probability")))
-        else:
-            fitted, asked = prepared(train, names, test)
-            parts.append(model(n).fit(fitted).transform(asked).select("repertoire_id", "label", "fold", F.get(vector_to_array("probability"), F.lit(1)).alias("probability")))
+            return test.select("repertoire_id", "label", "fold", F.lit(0.5).alias("probability"))
+        fitted, asked = prepared(train, names, test)
+        return model(n).fit(fitted).transform(asked).select("repertoire_id", "label", "fold", F.get(vector_to_array("probability"), F.lit(1)).alias("probability"))
+
+    parts = at_once(rows.sparkSession, [lambda k=k: part(k) for k in range(folds)], folds)
     return stored(reduce(DataFrame.unionByName, parts))
 
 
@@ -120,7 +139,8 @@ def stacked_by(meta: Model) -> Callable[[SparkSession, str], DataFrame]:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = table_of_features(spark, sf_dir)
-        a, b = (out_of_fold(rows, MODELS[m]).select("repertoire_id", F.col("probability").alias(n)) for m, n in (("lr_predict", "a"), ("gbt_predict", "b")))
+        of = lambda m, n: out_of_fold(rows, MODELS[m]).select("repertoire_id", F.col("probability").alias(n))
+        a, b = at_once(spark, [lambda: of("lr_predict", "a"), lambda: of("gbt_predict", "b")], TRIED)
         both = stored(a.join(b, "repertoire_id").join(rows.select("repertoire_id", "label", "fold"), "repertoire_id"))
         return out_of_fold(both, meta, ("a", "b")).select("repertoire_id", "probability")
 
@@ -140,11 +160,13 @@ def calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings of three families by their mean area over folds."""
     rows = table_of_features(spark, sf_dir)
-    found = []
-    for name, model in GRID.items():
+
+    def tried(name: str, model: Model) -> tuple[str, str, float, float]:
         scored = out_of_fold(rows, model, folds=5)
         areas = [area(scored.where(F.col("fold") == k)) for k in range(5)]
-        found.append((name.split(" ")[0], name, sum(areas) / 5, area(scored)))
+        return name.split(" ")[0], name, sum(areas) / 5, area(scored)
+
+    found = at_once(spark, [lambda n=n, m=m: tried(n, m) for n, m in GRID.items()], TRIED)
     return spark.createDataFrame(found, "family string, setting string, mean_auc double, auc double").orderBy(F.desc("mean_auc"), "setting")
 
 
@@ -176,16 +198,12 @@ def importances(spark: SparkSession, sf_dir: str, top: int = 1_000) -> DataFrame
 
 def forward_selection(rows: DataFrame, names: tuple[str, ...], most: int = 3, holdout: bool = False) -> list[tuple[int, str, float]]:
     """Adds the feature that raises the area most, while one does: (step, feature, area). Areas are out of fold, or with
-    `holdout` of fold 0 only, from models of the others."""
+    `holdout` of fold 0 only, from models of the others, and compared to nine places: sums in another order differ beyond."""
     chosen: list[str] = []
     history: list[tuple[int, str, float]] = []
     while len(chosen) < most:
-        tried = []
-        for n in names:
-            if n not in chosen:
-                scored = out_of_fold(rows, logistic(), (*chosen, n), 1 if holdout else 5)
-                tried.append((area(scored), n))
-        best = max(tried)
+        of = lambda n: (round(area(out_of_fold(rows, logistic(), (*chosen, n), 1 if holdout else 5)), 9), n)
+        best = max(at_once(rows.sparkSession, [lambda n=n: of(n) for n in names if n not in chosen], TRIED))
         if history and best[0] <= history[-1][2]:
             break
         chosen.append(best[1])

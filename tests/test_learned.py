@@ -124,3 +124,21 @@ def test_a_vocabulary_of_any_size_is_joined(spark):
     assert fitted.chosen.count() == 30_001
     assert all((r["probability"] > 0.5) == bool(int(r["repertoire_id"][1:]) % 2) for r in fitted.score(rep).collect())
     assert {r["term"] for r in fitted.term_importance().collect()} == {"CASSLGQ"}
+
+
+def test_folds_are_fitted_at_a_time(spark):
+    """Folds were fitted one after another, so that the driver's part of each added up."""
+    import threading
+
+    from pyspark.ml.classification import LogisticRegression
+
+    together = threading.Barrier(5, timeout=60)
+
+    class Waiting(LogisticRegression):
+        def _fit(self, data):
+            together.wait()
+            return super()._fit(data)
+
+    rows = spark.createDataFrame([(i, float(i % 2), i % 5, float(i)) for i in range(40)], "repertoire_id long, label double, fold int, x double")
+    got = learned.out_of_fold(rows, lambda n: Waiting(maxIter=2, weightCol="weight"), ("x",))
+    assert sorted(r["repertoire_id"] for r in got.collect()) == list(range(40))
