@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,17 @@ def edge_weights(nodes: DataFrame, links: DataFrame, how: str = "gcn") -> DataFr
     return both.select("repertoire_id", "src", "dst", weight.alias("w"))
 
 
+def standards(nodes: DataFrame) -> list[tuple[float, float]]:
+    """The mean and deviation of each feature."""
+    dims = nodes.select(F.max(F.size("x"))).first()[0] or 0
+    stats = nodes.agg(*[f(F.get("x", F.lit(i))).alias(f"{n}{i}") for i in range(dims) for n, f in (("m", F.avg), ("s", F.stddev_pop))] or [F.lit(0)]).first()
+    return [(stats[f"m{i}"], stats[f"s{i}"]) for i in range(dims)]
+
+
+def _varies(mean: float, deviation: float) -> bool:
+    return bool(deviation and deviation > 1e-9 * max(1.0, abs(mean)))
+
+
 @dataclass
 class Graphs:
     """Graphs made ready for training: `edges` (v, from, to, rep, w) between numbered nodes, dealt by where a state
@@ -70,11 +82,8 @@ class Graphs:
     def of(nodes: DataFrame, links: DataFrame, how: str = "gcn", scale: list[tuple[float, float]] | None = None) -> tuple[Graphs, list[tuple[float, float]]]:
         """Features are standardised by `scale`, or by these nodes; a feature that is constant but for rounding is 0."""
         numbers = stored(nodes.select("repertoire_id", "node_id", "x", F.monotonically_increasing_id().alias("v")))
-        dims = numbers.select(F.max(F.size("x"))).first()[0] or 0
-        if scale is None:
-            stats = numbers.agg(*[f(F.get("x", F.lit(i))).alias(f"{n}{i}") for i in range(dims) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-            scale = [(stats[f"m{i}"], stats[f"s{i}"]) for i in range(dims)]
-        scaled = [(F.round((F.get("x", F.lit(i)) - m) / s, 9) if s and s > 1e-9 * max(1.0, abs(m)) else F.lit(0.0)).alias(f"x{i}") for i, (m, s) in enumerate(scale)]
+        scale = standards(numbers) if scale is None else scale
+        scaled = [(F.round((F.get("x", F.lit(i)) - m) / s, 9) if _varies(m, s) else F.lit(0.0)).alias(f"x{i}") for i, (m, s) in enumerate(scale)]
         states = numbers.select("v", F.col("repertoire_id").alias("rep"), *scaled)
         ends = lambda c: numbers.select("repertoire_id", F.col("node_id").alias(c), F.col("v").alias(f"v_{c}"))
         weights = edge_weights(nodes, links, how).join(ends("src"), ["repertoire_id", "src"]).join(ends("dst"), ["repertoire_id", "dst"])
@@ -82,6 +91,101 @@ class Graphs:
         return Graphs(edges, stored(passed(states, edges, "source", "target", "x", len(scale))), len(scale)), scale
 
 
+def packs(nodes: DataFrame, links: DataFrame, labels: DataFrame | None, how: str, scale: list[tuple[float, float]], block: int = G.BLOCK) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
+    """Graphs of one block, some to a row: `reps`, where the nodes of each begin, their labels (null: unknown) and
+    whether they are learnt from, edges between places of nodes, by target, and `first` as Graphs has it; and (nodes,
+    links) of larger ones, if any."""
+    kind = dict(nodes.dtypes)["repertoire_id"]
+    ends = links.select("repertoire_id", "src", "dst", F.lit(None).cast("double").alias("label"), F.lit(None).cast("double").alias("learnt"))
+    if labels is not None:
+        none = F.lit(None).cast(dict(links.dtypes)["src"])
+        ends = ends.unionByName(labels.select(F.col("rep").alias("repertoire_id"), none.alias("src"), none.alias("dst"), "label", "learnt"))
+    wanted = nodes.select("repertoire_id", "node_id", F.col("x").cast("array<double>").alias("x"))
+    (own, ends), larger = G.packed(nodes, wanted, ends, block=block)
+    schema = f"reps array<{kind}>, begins array<long>, label array<double>, learnt array<double>, source array<long>, target array<long>, w array<double>, first binary"
+    rows = own.groupBy("pack").cogroup(ends.groupBy("pack")).applyInArrow(_packed(how, scale), schema)
+    return rows, (larger[0], larger[1].where("src is not null").select("repertoire_id", "src", "dst")) if larger else None
+
+
+def _flow(w: np.ndarray, source: np.ndarray, target: np.ndarray, states: np.ndarray) -> np.ndarray:
+    """Each node's weighted sum of the states that flow to it; edges are by target, and each node is one."""
+    return np.add.reduceat(w[:, None] * states[source], np.flatnonzero(np.diff(target, prepend=-1)), axis=0)
+
+
+def _row_kinds(rep: pa.DataType) -> dict[str, pa.DataType]:
+    whole, real = pa.list_(pa.int64()), pa.list_(pa.float64())
+    return {"reps": pa.list_(rep), "begins": whole, "label": real, "learnt": real, "source": whole, "target": whole, "w": real, "first": pa.binary()}
+
+
+def _packed(how: str, scale: list[tuple[float, float]]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(nodes: pa.Table, ends: pa.Table) -> pa.Table:
+        told = ends.filter(pa.compute.is_null(ends.column("src")))
+        known = {r: (a, b) for r, a, b in zip(*(told.column(c).to_pylist() for c in ("repertoire_id", "label", "learnt")), strict=True)}
+        nodes, begins, s, d = G.coded(nodes, ends.filter(pa.compute.is_valid(ends.column("src"))))
+        n = nodes.num_rows
+        if not n:
+            return pa.table({c: pa.array([], t) for c, t in _row_kinds(nodes.schema.field("repertoire_id").type).items()})
+        codes, m = np.unique(np.append(s, np.arange(n)) * n + np.append(d, np.arange(n)), return_counts=True)
+        s, d = codes // n, codes % n
+        deg = np.bincount(s, weights=m, minlength=n)
+        w = {"gcn": m / np.sqrt(deg[s] * deg[d]), "mean": m / deg[s], "sum": m.astype(float)}[how]
+        x = G.vectors(nodes)
+        x = np.column_stack([np.round((x[:, i] - a) / b, 9) if _varies(a, b) else np.zeros(n) for i, (a, b) in enumerate(scale)]) if scale else np.zeros((n, 0))
+        reps = nodes.column("repertoire_id").take(pa.array(begins[:-1])).to_pylist()
+        row = {"reps": [reps], "begins": [begins], "label": [[known.get(r, (None, 0.0))[0] for r in reps]], "learnt": [[known.get(r, (None, 0.0))[1] for r in reps]], "source": [d], "target": [s], "w": [w], "first": [_flow(w, d, s, x).tobytes()]}
+        return pa.table({c: pa.array(row[c], t) for c, t in _row_kinds(nodes.schema.field("repertoire_id").type).items()})
+
+    return run
+
+
+def _learnt(parameters: Parameters, n: int, checked: bool | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Forward and back through the graphs of packs: each task's shares of the loss and of the gradient, by part, and how
+    many validation graphs (without such, `checked`: known ones) of each class there are at each step of probability.
+    With `checked` None, the graphs' probabilities instead."""
+    layers = sum(k.startswith("layer") for k in parameters) // 2
+    w0, b0, w1, b1 = (parameters[k] for k in ("head0.w", "head0.b", "head1.w", "head1.b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: Parameters = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                begins, label, learnt, source, target, w = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("begins", "label", "learnt", "source", "target", "w"))
+                a = [np.frombuffer(batch.column("first")[i].as_buffer(), dtype=float).reshape(begins[-1], -1)]
+                z = []
+                for k in range(layers):
+                    z.append(a[k] @ parameters[f"layer{k}.w"] + parameters[f"layer{k}.b"])
+                    if k < layers - 1:
+                        a.append(_flow(w, source, target, np.maximum(z[k], 0)))
+                sizes = np.diff(begins)
+                pooled = np.add.reduceat(np.maximum(z[-1], 0), begins[:-1], axis=0) / sizes[:, None]
+                inner = np.maximum(pooled @ w0 + b0, 0)
+                logit = (inner @ w1 + b1)[:, 0]
+                p = 0.5 * (1 + np.tanh(logit / 2))
+                if checked is None:
+                    yield pa.RecordBatch.from_arrays([batch.column("reps")[i].values, pa.array(p)], names=["rep", "p"])
+                    continue
+                known, y = ~np.isnan(label), np.nan_to_num(label)
+                d_logit = np.where(learnt > 0, p - y, 0)[:, None] / max(n, 1)
+                d_inner = d_logit @ w1.T * (inner > 0)
+                loss = np.where(learnt > 0, np.logaddexp(0, logit) - y * logit, 0).sum() / max(n, 1)
+                found = {"head": np.concatenate([[loss], (pooled.T @ d_inner).ravel(), d_inner.sum(axis=0), (inner.T @ d_logit).ravel(), d_logit.sum(axis=0)])}
+                change = np.repeat(d_inner @ w0.T / sizes[:, None], sizes, axis=0)
+                back = np.argsort(source, kind="stable")
+                for k in reversed(range(layers)):
+                    change = change * (z[k] > 0)
+                    found[f"layer{k}"] = np.concatenate([(a[k].T @ change).ravel(), change.sum(axis=0)])
+                    if k:
+                        change = _flow(w[back], target[back], source[back], change @ parameters[f"layer{k}.w"].T)
+                at, seen = np.floor(p * STEPS + 0.5).astype(int), known & ((learnt == 0) | (not checked))
+                found["seen"] = np.concatenate([np.bincount(at[seen], weights=v[seen], minlength=STEPS + 1) for v in (y, 1 - y)])
+                for part, values in found.items():
+                    sums[part] = sums[part] + values if part in sums else values
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["part", "values"])
+
+    return run
+
+
 def passed(states: DataFrame, edges: DataFrame, source: str, target: str, prefix: str, n: int) -> DataFrame:
     """Each node's weighted sum of the states that flow to it, as v, rep and columns a0, a1, ...; with source and target
     exchanged, the way back. Sums are combined before they are shuffled, so that a hub brings a row a task."""
@@ -207,6 +311,17 @@ def scored(graphs: Graphs, parameters: Parameters, labels: DataFrame) -> tuple[D
     return pooled, seen, hidden
 
 
+def _slopes(found: dict[str, np.ndarray], parameters: Parameters) -> Parameters:
+    out: Parameters = {}
+    for part, values in found.items():
+        at = int(part == "head")
+        for name in [k for k in parameters if k.startswith(part)]:
+            size = parameters[name].size
+            out[name] = values[at : at + size].reshape(parameters[name].shape)
+            at += size
+    return out
+
+
 def gradients(graphs: Graphs, parameters: Parameters, labels: DataFrame, n: int) -> tuple[float, Parameters, DataFrame]:
     """The mean loss of the learnt graphs, its gradient, and (rep, label, learnt, p)."""
     pooled, seen, hidden = scored(graphs, parameters, labels)
@@ -223,27 +338,32 @@ def gradients(graphs: Graphs, parameters: Parameters, labels: DataFrame, n: int)
             back = passed(inputs, graphs.edges, "target", "source", "d", w.shape[0])
             flow, on, prefix = back.select("v", *[F.col(f"a{i}").alias(f"u{i}") for i in range(w.shape[0])]), "v", "u"
     found = _added(reduce(DataFrame.unionByName, parts))
-    out: Parameters = {}
-    for part, values in found.items():
-        at = int(part == "head")
-        for name in [k for k in parameters if k.startswith(part)]:
-            size = parameters[name].size
-            out[name] = values[at : at + size].reshape(parameters[name].shape)
-            at += size
+    out = _slopes(found, parameters)
     result = stored(after.select("rep", "label", "learnt", F.col(f"g{hidden}").alias("p")))
     for held in (pooled, after, *seen[1:]):
         held.unpersist()
     return float(found["head"][0]), out, result
 
 
-def area(rows: DataFrame) -> float:
-    """The ROC area of (label, p), ties counting half; 0.5 where a class is missing. At most STEPS + 1 rows are read."""
-    counts = rows.groupBy(F.round(F.col("p") * STEPS).alias("s")).agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")).orderBy("s").collect()
-    pos, neg = (np.array([r[c] for r in counts], dtype=float) for c in ("pos", "neg"))
+def steps(rows: DataFrame) -> np.ndarray:
+    """How many of (label, p) of each class are at each step of probability, positives first."""
+    out = np.zeros((2, STEPS + 1))
+    for r in rows.groupBy(F.round(F.col("p") * STEPS).cast("int").alias("s")).agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")).collect():
+        out[:, r["s"]] = r["pos"], r["neg"]
+    return out
+
+
+def area_of(counts: np.ndarray) -> float:
+    pos, neg = counts
     whole = pos.sum() * neg.sum()
     return float((pos * (np.cumsum(neg) - neg / 2)).sum() / whole) if whole else 0.5
 
 
+def area(rows: DataFrame) -> float:
+    """The ROC area of (label, p), ties counting half; 0.5 where a class is missing. At most STEPS + 1 rows are read."""
+    return area_of(steps(rows))
+
+
 @dataclass
 class Network:
     """A trained network with what its features were standardised by, and the course of its training."""
@@ -252,37 +372,51 @@ class Network:
     scale: list[tuple[float, float]]
     how: str = "gcn"
     history: list[dict] = field(default_factory=list)
+    block: int = G.BLOCK
 
     def score(self, nodes: DataFrame, links: DataFrame) -> DataFrame:
         """(repertoire_id, probability) of graphs; one without nodes has no row."""
+        kind = dict(nodes.dtypes)["repertoire_id"]
+        rows, larger = packs(nodes, links, None, self.how, self.scale, self.block)
+        whole = rows.mapInArrow(_learnt(self.parameters, 1, None), f"rep {kind}, p double").select(F.col("rep").alias("repertoire_id"), F.col("p").alias("probability"))
+        if not larger:
+            return whole
+        nodes, links = larger
         graphs, _ = Graphs.of(nodes, links, self.how, self.scale)
         labels = nodes.select(F.col("repertoire_id").alias("rep"), F.lit(0.0).alias("label"), F.lit(0.0).alias("learnt")).distinct()
         pooled, _, hidden = scored(graphs, self.parameters, labels)
-        rows = pooled.mapInArrow(_head(self.parameters, hidden, 1, False), _schema(pooled, ["rep", "label", "learnt"], "g", hidden + 1))
-        return rows.select(F.col("rep").alias("repertoire_id"), F.col(f"g{hidden}").alias("probability"))
+        far = pooled.mapInArrow(_head(self.parameters, hidden, 1, False), _schema(pooled, ["rep", "label", "learnt"], "g", hidden + 1))
+        return whole.unionByName(far.select(F.col("rep").alias("repertoire_id"), F.col(f"g{hidden}").alias("probability")))
 
 
-def train(nodes: DataFrame, links: DataFrame, meta: DataFrame, hidden: int = 16, layers: int = 2, epochs: int = 100, patience: int = 30, rate: float = 0.01, decay: float = 1e-4, how: str = "gcn", seed: int = 42) -> Network:
+def train(nodes: DataFrame, links: DataFrame, meta: DataFrame, hidden: int = 16, layers: int = 2, epochs: int = 100, patience: int = 30, rate: float = 0.01, decay: float = 1e-4, how: str = "gcn", seed: int = 42, block: int = G.BLOCK) -> Network:
     """A graph convolution with mean pooling and a head of two layers, by Adam on the mean cross entropy of all learnt
     graphs at once. `meta` has repertoire_id, label_positive and is_validation; the validation graphs' ROC area
     halves the rate after 20 epochs without a better one, ends training after `patience`, and chooses the parameters.
 
-    Every epoch is two jobs: forward, states move along the edge table and are summed by node and by graph; back, what
+    Graphs of one block are held by packs, and an epoch goes forward and back through each where it is, without a shuffle
+    but of the sums. Over larger ones every epoch is two jobs: forward, states move along the edge table and are summed by node and by graph; back, what
     the loss asks of them moves along the same edges the other way, and each task adds up its share of the gradient.
-    Edges never move, no graph is held by one task, and the driver holds parameters only. Batch normalisation and
+    Edges never move, no larger graph is held by one task, and the driver holds parameters only. Batch normalisation and
     dropout are left out: features are standardised, and weights decay."""
-    graphs, scale = Graphs.of(nodes, links, how)
+    scale = standards(nodes)
     known = meta.where("label_positive is not null")
     labels = stored(known.select(F.col("repertoire_id").alias("rep"), F.col("label_positive").cast("double").alias("label"), (~F.col("is_validation")).cast("double").alias("learnt")))
     n = labels.join(nodes.select(F.col("repertoire_id").alias("rep")).distinct(), "rep", "left_semi").where("learnt > 0").count()
-    parameters = initial(graphs.dims, hidden, layers, seed)
+    rows, larger = packs(nodes, links, labels, how, scale, block)
+    rows, graphs = stored(rows), Graphs.of(*larger, how, scale)[0] if larger else None
+    parameters = initial(len(scale), hidden, layers, seed)
     one, two = ({k: np.zeros_like(v) for k, v in parameters.items()} for _ in range(2))
     best, chosen, since, waited, history = -1.0, parameters, 0, 0, []
     checked = labels.where("learnt = 0").limit(1).count() > 0
     for epoch in range(1, epochs + 1):
-        loss, slopes, result = gradients(graphs, parameters, labels, n)
-        held = result.join(labels.select("rep"), "rep", "left_semi")
-        value = area(held.where("learnt = 0") if checked else held)
+        found = _added(rows.mapInArrow(_learnt(parameters, n, checked), "part string, values array<double>"))
+        loss, seen, slopes = float(found["head"][0]) if found else 0.0, found.pop("seen", np.zeros(2 * (STEPS + 1))).reshape(2, -1), {k: np.zeros_like(v) for k, v in parameters.items()} | _slopes(found, parameters)
+        if graphs:
+            far, more, result = gradients(graphs, parameters, labels, n)
+            held = result.join(labels.select("rep"), "rep", "left_semi")
+            loss, seen, slopes = loss + far, seen + steps(held.where("learnt = 0") if checked else held), {k: v + more.get(k, 0) for k, v in slopes.items()}
+        value = area_of(seen)
         history.append({"epoch": epoch, "loss": loss, "roc_auc": value, "rate": rate})
         if value > best:
             best, chosen, since, waited = value, {k: v.copy() for k, v in parameters.items()}, 0, 0
@@ -297,7 +431,7 @@ def train(nodes: DataFrame, links: DataFrame, meta: DataFrame, hidden: int = 16,
             one[k] = 0.9 * one[k] + 0.1 * slope
             two[k] = 0.999 * two[k] + 0.001 * slope**2
             parameters[k] = v - rate * (one[k] / (1 - 0.9**epoch)) / (np.sqrt(two[k] / (1 - 0.999**epoch)) + 1e-8)
-    return Network(chosen, scale, how, history)
+    return Network(chosen, scale, how, history, block)
 
 
 def gcn_predict(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clonoscope.operators import graph as G
+from clonoscope.plans import networks as N
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +64,15 @@ def test_equal_sequences_are_embedded_once(spark):
     nodes = G.sequence_nodes(rep, lambda c: embed(c))
     assert nodes.count() == 100 and nodes.where("x[0] <> length(junction_aa)").isEmpty()
     assert made.value <= 4
+
+
+@pytest.mark.parametrize("how", ["gcn", "mean", "sum"])
+def test_network(spark, graphs, how):
+    """Training goes through packs, or along the edge table, with the same course; each epoch shuffled all states."""
+    nodes, links = graphs
+    meta = spark.createDataFrame([(0, True, False), (1, False, False), (2, True, True), (3, False, True), (4, True, False)], "repertoire_id long, label_positive boolean, is_validation boolean")
+    trained = {block: N.train(nodes, links, meta, hidden=4, epochs=3, how=how, block=block) for block in (0, 1024, 5)}
+    for block in (1024, 5):
+        assert [list(map(lambda v: round(v, 7), h.values())) for h in trained[block].history] == [list(map(lambda v: round(v, 7), h.values())) for h in trained[0].history]
+        want, got = ({r["repertoire_id"]: r["probability"] for r in trained[b].score(nodes, links).collect()} for b in (0, block))
+        assert got == pytest.approx(want, abs=1e-7) and len(got) == 6
