@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clonoscope.functions import sequence as S
 from clonoscope.functions import stats
+from clonoscope.operators import enrich as E
 
 #: The result's columns and its mark for not applicable.
 COLUMNS = ("ID", "dataset", "label_positive_probability", "junction_aa", "v_call", "j_call")
@@ -61,9 +62,10 @@ def enrichment_report(ranked: DataFrame, k: int, score: str = "importance_score"
 
 
 def token_importance(seqs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Mean importance of a sequence's distinct gapped tokens among the selected ones, 0 without any."""
+    """Mean importance of a sequence's distinct gapped tokens among the selected ones, 0 without any. Few selected
+    tokens are broadcast, so that only means are shuffled, not every token of every sequence."""
     each = seqs.select("junction_aa", F.explode(F.array_distinct(S.gapped_tokens(F.col("junction_aa")))).alias("token"))
-    mean = each.join(tokens, "token").groupBy("junction_aa").agg(F.avg("importance").alias("m"))
+    mean = each.join(E.small(tokens), "token").groupBy("junction_aa").agg(F.avg("importance").alias("m"))
     return seqs.join(mean, "junction_aa", "left").withColumn("importance", F.coalesce("m", F.lit(0.0))).drop("m")
 
 

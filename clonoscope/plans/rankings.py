@@ -14,12 +14,15 @@ from clonoscope.operators import enrich as E
 from clonoscope.operators import ranking as R
 from clonoscope.plans import catalogue as K
 from clonoscope.sources import adapters as A
+from clonoscope.sources.store import stored
 
 
 def counted(rows: DataFrame, least: int = 3) -> DataFrame:
-    """Each sequence of at least so many letters with its rows by label and its smallest genes."""
-    long = rows.where(F.length("junction_aa") >= least)
-    return C.row_counts(long, "junction_aa").join(C.gene_min(long, "junction_aa"), "junction_aa")
+    """Each sequence of at least so many letters with its rows by label and its smallest genes, from one pass: rows are
+    first counted by sequence and genes, as the smallest of texts are found by sorting."""
+    each = C.row_counts(rows.where(F.length("junction_aa") >= least), "junction_aa", "v_call", "j_call")
+    smallest = lambda c: F.coalesce(F.min(c), F.lit("")).alias(c)
+    return each.groupBy("junction_aa").agg(F.sum("pos_count").alias("pos_count"), F.sum("neg_count").alias("neg_count"), smallest("v_call"), smallest("j_call"))
 
 
 def positive_share() -> Column:
@@ -33,7 +36,9 @@ def _best(scored: DataFrame, score: Column, n: int) -> DataFrame:
 
 def _with_witness(seqs: DataFrame, model: str, n: int) -> DataFrame:
     """Scaled log fold change of rows, 0.6, and scaled model score, 0.4."""
-    both = R.normalised(seqs.withColumn("witness", stats.witness(F.col("pos_count"), F.col("neg_count")).cast("double")), "witness", model)
+    # stored, as the extremes are found before rows are scaled
+    found = stored(seqs.withColumn("witness", stats.witness(F.col("pos_count"), F.col("neg_count")).cast("double")))
+    both = R.normalised(found, "witness", model)
     return _best(both, 0.6 * F.col("witness_norm") + 0.4 * F.col(f"{model}_norm"), n)
 
 
