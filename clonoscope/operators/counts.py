@@ -27,10 +27,14 @@ def presence_counts(rows: DataFrame, *keys: str) -> DataFrame:
     return row_counts(rows.select("repertoire_id", "label_positive", *keys).distinct(), *keys)
 
 
+def templates_by_label() -> list[Column]:
+    of = lambda when: F.sum(F.when(when, F.col("templates")).otherwise(0)).alias
+    return [of(F.col("label_positive"))("pos_templates"), of(~F.col("label_positive"))("neg_templates")]
+
+
 def template_sums(rows: DataFrame, *keys: str) -> DataFrame:
     """Templates by label."""
-    of = lambda when: F.sum(F.when(when, F.col("templates")).otherwise(0)).alias
-    return rows.groupBy(*keys).agg(of(F.col("label_positive"))("pos_templates"), of(~F.col("label_positive"))("neg_templates"))
+    return rows.groupBy(*keys).agg(*templates_by_label())
 
 
 def presence_and_abundance(rows: DataFrame, *keys: str) -> DataFrame:
@@ -60,9 +64,13 @@ def gene_min(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.coalesce(F.min("v_call"), F.lit("")).alias("v_call"), F.coalesce(F.min("j_call"), F.lit("")).alias("j_call"))
 
 
+def gene_modes() -> list[Column]:
+    return [F.mode(c, True).alias(c) for c in ("v_call", "j_call")]
+
+
 def gene_mode(rows: DataFrame, *keys: str) -> DataFrame:
     """The most frequent genes, the smallest of equals."""
-    return rows.groupBy(*keys).agg(F.mode("v_call", True).alias("v_call"), F.mode("j_call", True).alias("j_call"))
+    return rows.groupBy(*keys).agg(*gene_modes())
 
 
 def gene_first_seen(rows: DataFrame, *keys: str) -> DataFrame:

@@ -90,8 +90,9 @@ def by_templates(rows: DataFrame, n: int = R.TOP) -> DataFrame:
     """The log fold change of templates times the log of their total; the most frequent genes. A row without templates
     counts one."""
     filled = rows.where("junction_aa is not null").withColumn("templates", F.coalesce(F.col("templates").cast("long"), F.lit(1)))
-    seqs = E.log_fold_total(C.template_sums(filled, "junction_aa")).join(C.gene_mode(filled, "junction_aa"), "junction_aa")
-    return _best(seqs, F.col("score"), n)
+    # sums and genes from one pass, as the rows may be a draw
+    seqs = filled.groupBy("junction_aa").agg(*C.templates_by_label(), *C.gene_modes())
+    return _best(E.log_fold_total(seqs), F.col("score"), n)
 
 
 QUERIES: dict[str, K.Query] = {}
