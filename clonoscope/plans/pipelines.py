@@ -4,17 +4,20 @@ for (sequences, tokens or patterns), makes features of any repertoires from that
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler, VectorSizeHint
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clonoscope.functions import sequence as S
@@ -60,32 +63,84 @@ def _top(scored: DataFrame, score: str, key: str, n: int = TERMS) -> DataFrame:
     return scored.orderBy(F.desc(F.round(score, 9)), key).limit(n).select(F.col(key).alias("term"))
 
 
-def _tokens(rep: DataFrame) -> DataFrame:
-    """(repertoire_id, term) of gapped tokens, each once; masks are laid over distinct sequences only."""
-    held = rep.select("repertoire_id", "junction_aa").where("junction_aa is not null").distinct()
-    tokens = held.select("junction_aa").distinct().select("junction_aa", F.explode(F.array_distinct(S.gapped_tokens(F.col("junction_aa")))).alias("term"))
-    return held.join(tokens, "junction_aa").select("repertoire_id", "term").distinct()
+def _tokens(rep: DataFrame, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The gapped tokens of repertoires, or those of `wanted` (term): (repertoire_id, same), with repeats, and (term,
+    same). Tokens that the same sequences have are in the same repertoires, so that one of them, `same`, stands for all;
+    their sets of sequences are told apart by their sizes and 128 bits. Masks are laid over distinct sequences only.
+
+    Sequences are dealt by range of repertoire and sequence, so that a task drops repeats and none holds a large one."""
+    held = store.stored(rep.select("repertoire_id", "junction_aa").where("junction_aa is not null").distinct().repartitionByRange("repertoire_id", "junction_aa"))
+    seqs = store.stored(held.select("junction_aa").distinct())
+    each = seqs.select("junction_aa", F.explode(F.array_distinct(S.gapped_tokens(F.col("junction_aa")))).alias("term"))
+    if wanted is not None:
+        each = each.join(E.small(wanted.select("term")), "term", "left_semi")
+    sets = each.groupBy("term").agg(F.bit_xor(F.xxhash64("junction_aa")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "junction_aa")).alias("y"), F.count("*").alias("n"))
+    # a set has no more tokens than one of its sequences
+    named = store.stored(sets.select("term", F.min("term").over(Window.partitionBy("x", "y", "n")).alias("same")))
+    members = each.join(named.where(F.col("term") == F.col("same")).select("term"), "term", "left_semi")
+    return held.join(E.small(members.select("junction_aa", F.col("term").alias("same"))), "junction_aa").select("repertoire_id", "same"), named
 
 
 def _chosen_tokens(rows: DataFrame, meta: DataFrame, reference: DataFrame | None) -> DataFrame:
-    held = _tokens(rows).join(meta, "repertoire_id")
-    presence = C.row_counts(held, "term").where(F.col("pos_count") + F.col("neg_count") >= 2)
-    return _top(E.chi2_scores(presence, E.class_sizes(meta), "term"), "chi2", "term")
+    held, named = _tokens(rows)
+    counts = C.row_counts(held.distinct().join(meta, "repertoire_id"), "same").where(F.col("pos_count") + F.col("neg_count") >= 2)
+    return _top(E.chi2_scores(counts.join(named, "same"), E.class_sizes(meta), "term"), "chi2", "term")
+
+
+def _token_terms(rep: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Which of the chosen tokens each repertoire has, as a vector by their places."""
+    held, named = _tokens(rep, chosen)
+    places = E.small(named.join(chosen, "term").groupBy("same").agg(F.collect_list("place").alias("some")))
+    each = held.groupBy("repertoire_id").agg(F.collect_set("same").alias("same")).select("repertoire_id", F.explode("same").alias("same"))
+    got = each.join(places, "same").groupBy("repertoire_id").agg(F.flatten(F.collect_list("some")).alias("places"))
+    return _vectors(rep, got.withColumn("counts", F.transform("places", lambda _: F.lit(1.0))), chosen)
+
+
+#: Places of a vocabulary, at most, for which vectors are first made with all their zeros; rows of such at a time; and
+#: numbers of vectors that one task makes, about, and a model's task then reads.
+DENSE, ROWS, NUMBERS = 10_000, 256, 4_000_000
+
+
+def _filled(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS)):
+                places, counts = part.column("places"), part.column("counts")
+                lengths = pa.compute.fill_null(pa.compute.list_value_length(places), 0).to_numpy(zero_copy_only=False)
+                values = np.zeros((part.num_rows, size))
+                values[np.repeat(np.arange(part.num_rows), lengths), places.flatten().to_numpy()] = counts.flatten().to_numpy()
+                whole = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * size, pa.int32()), pa.array(values.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("repertoire_id"), whole], names=["repertoire_id", "counts"])
+
+    return run
 
 
 @F.udf(VectorUDT())
-def _sparse(size, found):
-    return SparseVector(size, [(r["place"], float(r["n"])) for r in found or []])
+def _sparse(size, places, counts):
+    return SparseVector(size, dict(zip(places or [], counts or [], strict=True)))
 
 
-def _terms(rep: DataFrame, held: DataFrame, chosen: DataFrame) -> DataFrame:
-    """How often each repertoire has each chosen term, as a sparse vector by the terms' places; none for one without
-    any. Terms are joined: a vocabulary may be as large as a reference set."""
+def _vectors(rep: DataFrame, got: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The (places, counts) of each repertoire as a vector, sparse where that is shorter; none for one without any."""
     size = max(chosen.count(), 1)
-    counts = held.join(chosen, "term").groupBy("repertoire_id", "place").agg(F.count("*").alias("n"))
-    got = counts.groupBy("repertoire_id").agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("found"))
-    whole = rep.select("repertoire_id").distinct().join(got, "repertoire_id", "left")
-    return whole.select("repertoire_id", _sparse(F.lit(size), "found").alias("term_counts"))
+    ids = store.stored(rep.select("repertoire_id").distinct())
+    dealt = ids.repartition(E.tasks_for(ids.count() * size, NUMBERS), "repertoire_id") if size <= DENSE else ids
+    whole = dealt.join(got.select("repertoire_id", F.col("places").cast("array<int>").alias("places"), F.col("counts").cast("array<double>").alias("counts")), "repertoire_id", "left")
+    if size > DENSE:
+        return whole.select("repertoire_id", _sparse(F.lit(size), "places", "counts").alias("term_counts"))
+    filled = whole.mapInArrow(_filled(size), f"repertoire_id {dict(rep.dtypes)['repertoire_id']}, counts array<double>").select("repertoire_id", array_to_vector("counts").alias("counts"))
+    sized = VectorSizeHint(inputCol="counts", size=size, handleInvalid="optimistic").transform(filled)
+    short = VectorAssembler(inputCols=["counts"], outputCol="term_counts").transform(sized)
+    return short.select("repertoire_id", F.col("term_counts").alias("term_counts", metadata={}))
+
+
+def _terms(rep: DataFrame, held: DataFrame, chosen: DataFrame) -> DataFrame:
+    """How often each repertoire has each chosen term, as a vector by the terms' places; `held` has a row for each time,
+    or for `n` times. Terms are joined: a vocabulary may be as large as a reference set."""
+    n = F.sum("n") if "n" in held.columns else F.count("*")
+    counts = held.join(chosen, "term").groupBy("repertoire_id", "place").agg(n.alias("n"))
+    got = counts.groupBy("repertoire_id").agg(F.collect_list(F.struct("place", "n")).alias("found"))
+    return _vectors(rep, got.select("repertoire_id", F.col("found.place").alias("places"), F.col("found.n").alias("counts")), chosen)
 
 
 def _sequences(rep: DataFrame) -> DataFrame:
@@ -160,7 +215,7 @@ def _rank_density(rows: DataFrame, fitted: Fitted, reference: DataFrame | None)
 RECIPES: dict[str, Recipe] = {
     "reference": Recipe(_reference, _diversity, _lr, lambda rows, f, reference: rankings.by_sets(rows, [(_needed(reference, f), 1.0)]), degree=2, calibrated=True),
     "composition": Recipe(_all_words, _composition, _gbt, lambda rows, f, reference: rankings.by_sets(rows, [(rows.select("junction_aa").limit(0), 1.0)])),
-    "tokens": Recipe(_chosen_tokens, lambda rep, chosen: _terms(rep, _tokens(rep), chosen), _gbt, lambda rows, f, reference: rankings.by_tokens(rows, f.term_importance().withColumnRenamed("term", "token"))),
+    "tokens": Recipe(_chosen_tokens, _token_terms, _gbt, lambda rows, f, reference: rankings.by_tokens(rows, f.term_importance().withColumnRenamed("term", "token"))),
     "vocabulary": Recipe(_reference, lambda rep, chosen: _terms(rep, _sequences(rep), chosen), _lr, lambda rows, f, reference: rankings.by_vocabulary(rows, f.term_importance(), _needed(reference, f))),
     "patterns": Recipe(_patterns((3, 4, 5, 6), True, True), _pattern_features((3, 4, 5, 6), True), _gbt, lambda rows, f, reference: rankings.by_longest(rows, f.chosen)),
     "patterns_fdr": Recipe(_patterns((3, 4, 5), False, False), _pattern_features((3, 4, 5), False), _lr, _rank_density),
