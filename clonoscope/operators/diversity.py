@@ -53,14 +53,15 @@ def moments(rows: DataFrame, value: Column) -> DataFrame:
     )
 
 
-def length_histogram(rep: DataFrame, edges: list[int], last: int | None = None) -> DataFrame:
+def length_histogram(rep: DataFrame, edges: list[int], last: int | None = None, weight: Column | None = None) -> DataFrame:
     """Shares of sequences by length: [a, b) for neighbours in `edges`, and if asked [edges[-1], last]; other lengths
-    count in the denominator."""
+    count in the denominator. A row counts once, or `weight` times."""
+    w = F.lit(1) if weight is None else weight
     n = F.length("junction_aa")
     bins = [(a, b, (n >= a) & (n < b)) for a, b in zip(edges, edges[1:], strict=False)]
     if last:
         bins.append((edges[-1], last, n.between(edges[-1], last)))
-    return rep.where("junction_aa is not null").groupBy("repertoire_id").agg(*[(F.count_if(inside) / F.count("*")).alias(f"len_{a}_{b}") for a, b, inside in bins])
+    return rep.where("junction_aa is not null").groupBy("repertoire_id").agg(*[(F.sum(F.when(inside, w).otherwise(0)) / F.sum(w)).alias(f"len_{a}_{b}") for a, b, inside in bins])
 
 
 def length_bins_right(rep: DataFrame, edges: list[int]) -> DataFrame:
@@ -69,10 +70,11 @@ def length_bins_right(rep: DataFrame, edges: list[int]) -> DataFrame:
     return rep.groupBy("repertoire_id").agg(*[(F.count_if((n > a) & (n <= b)) / F.count("*")).alias(f"len_{a}_{b}_pct") for a, b in zip(edges, edges[1:], strict=False)])
 
 
-def composition(rep: DataFrame) -> DataFrame:
-    """Share of each amino acid among all letters of a repertoire."""
-    total = F.sum(F.length("junction_aa"))
-    return rep.groupBy("repertoire_id").agg(*[(F.sum(F.length("junction_aa") - F.length(F.replace("junction_aa", F.lit(a), F.lit("")))) / total).alias(f"aa_{a}") for a in S.ALPHABET])
+def composition(rep: DataFrame, weight: Column | None = None) -> DataFrame:
+    """Share of each amino acid among all letters of a repertoire. A row counts once, or `weight` times."""
+    w = F.lit(1) if weight is None else weight
+    total = F.sum(F.length("junction_aa") * w)
+    return rep.groupBy("repertoire_id").agg(*[(F.sum((F.length("junction_aa") - F.length(F.replace("junction_aa", F.lit(a), F.lit("")))) * w) / total).alias(f"aa_{a}") for a in S.ALPHABET])
 
 
 def sequence_composition(seqs: DataFrame) -> DataFrame:

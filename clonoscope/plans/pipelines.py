@@ -178,9 +178,11 @@ def _with_diversity(rep: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def _composition(rep: DataFrame, chosen: DataFrame) -> DataFrame:
-    words = rep.select("repertoire_id", F.explode(S.kmers(F.col("junction_aa"), 3)).alias("term"))
-    lengths = D.length_histogram(rep, list(range(5, 26)), 100)
-    return _terms(rep, words, chosen).join(lengths, "repertoire_id", "left").join(learned.repertoire_features(rep), "repertoire_id", "left").join(D.composition(rep), "repertoire_id", "left").na.fill(0.0)
+    # equal sequences of a repertoire are cut once and weighed
+    counted = store.stored(rep.groupBy("repertoire_id", "junction_aa").agg(F.count("*").alias("n")))
+    words = counted.select("repertoire_id", "n", F.explode(S.kmers(F.col("junction_aa"), 3)).alias("term"))
+    lengths, letters = D.length_histogram(counted, list(range(5, 26)), 100, F.col("n")), D.composition(counted, F.col("n"))
+    return _terms(counted, words, chosen).join(lengths, "repertoire_id", "left").join(learned.repertoire_features(rep), "repertoire_id", "left").join(letters, "repertoire_id", "left").na.fill(0.0)
 
 
 def _graph(rep: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -195,7 +197,8 @@ def _nothing(rows: DataFrame, meta: DataFrame, reference: DataFrame | None) -> D
 
 
 def _all_words(rows: DataFrame, meta: DataFrame, reference: DataFrame | None) -> DataFrame:
-    words = rows.select(F.explode(S.kmers(F.col("junction_aa"), 3)).alias("term")).where(F.col("term").rlike(f"^[{S.ALPHABET}]+$")).groupBy("term").agg(F.count("*").cast("double").alias("n"))
+    counted = rows.groupBy("junction_aa").agg(F.count("*").alias("n"))
+    words = counted.select("n", F.explode(S.kmers(F.col("junction_aa"), 3)).alias("term")).where(F.col("term").rlike(f"^[{S.ALPHABET}]+$")).groupBy("term").agg(F.sum("n").cast("double").alias("n"))
     return _top(words, "n", "term", 8_000)
 
 

@@ -5,6 +5,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from clonoscope.functions import sequence as S
+from clonoscope.operators import diversity as D
 from clonoscope.plans import pipelines
 
 
@@ -35,3 +36,15 @@ def test_vectors_are_filled_by_batches(spark, monkeypatch, dense):
     made = pipelines._terms(rep, held, chosen)
     assert {r["repertoire_id"]: r["v"] for r in made.select("repertoire_id", vector_to_array("term_counts").alias("v")).collect()} == {i: [float(i % 3) if j == i % 7 else 0.0 for j in range(7)] for i in range(600)}
     assert ("BatchEvalPython" in made._jdf.queryExecution().executedPlan().toString()) == (dense == 0)
+
+
+def test_equal_sequences_are_cut_once_and_weighed(spark):
+    """Words, lengths and letters were taken from every row."""
+    rep = spark.createDataFrame([(r, s) for r in (1, 2) for s, n in (("CASSL", 2 + r), ("CAWMLKT", 1), ("CA", 2)) for _ in range(n)] + [(2, None)], "repertoire_id long, junction_aa string")
+    counted = rep.groupBy("repertoire_id", "junction_aa").agg(F.count("*").alias("n"))
+    for of in (lambda rows, *w: D.length_histogram(rows, [2, 5, 6], 9, *w), D.composition):
+        assert sorted(map(tuple, of(counted, F.col("n")).collect())) == sorted(map(tuple, of(rep).collect()))
+    chosen = pipelines._all_words(rep, None, None)
+    assert [r["term"] for r in chosen.collect()][:3] == ["ASS", "CAS", "SSL"]
+    plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [junction_aa" in plan.split("Generate", 1)[1]
