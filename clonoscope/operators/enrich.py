@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clonoscope.functions import sequence as S
 from clonoscope.functions import stats
+from clonoscope.operators import packs as PK
 from clonoscope.sources.store import stored
 
 
@@ -36,16 +37,24 @@ def class_sizes(meta: DataFrame) -> DataFrame:
 
 def pattern_counts(rows: DataFrame, ks: tuple[int, ...], gaps: bool = False) -> DataFrame:
     """Rows of each (repertoire, k, kmer) with how often it occurs. Equal sequences of a repertoire are counted once
-    and weighed, so that windows are cut for distinct sequences only; each place of a sequence gives its windows of
-    all k at once. A gap takes one more letter, so a pattern's length without its dot is its k.
-
-    Distinct sequences are stored, and dealt to as many tasks as their windows need, so that no task's counts grow with
-    the table."""
-    seqs = stored(rows.groupBy("repertoire_id", "label_positive", "junction_aa").agg(F.count("*").alias("w")))
-    n = seqs.agg(F.sum(sum(F.greatest(F.length("junction_aa") - k + 1, F.lit(0)) for k in ks for _ in range(2 if gaps and k >= 4 else 1)))).first()[0]
-    long = seqs.select("repertoire_id", "label_positive", "w", F.explode(windows(F.col("junction_aa"), ks, gaps)).alias("kmer"))
-    counts = long.repartition(tasks_for(n, WINDOWS), "repertoire_id", "kmer").groupBy("repertoire_id", "label_positive", "kmer").agg(F.sum("w").alias("cnt"))
-    return counts.select("repertoire_id", "label_positive", (F.length("kmer") - F.contains("kmer", F.lit(".")).cast("int")).alias("k"), "kmer", "cnt")
+    and weighed, so that windows are cut for distinct sequences only. A gap takes one more letter than k.
+
+    Sequences are stored packed; windows of a repertoire that has up to WINDOWS of them are counted in one task and are
+    not shuffled. Those of larger ones are dealt to as many tasks as they need. So no task's counts grow with the table."""
+    rows = rows.where(F.length("junction_aa") >= min(ks))
+    packs = stored(PK.packed(rows, ks, gaps))
+    of = Window.partitionBy("repertoire_id", "label_positive")
+    n, most = packs.groupBy("repertoire_id", "label_positive").agg(F.sum("n").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    if (most or 0) <= WINDOWS:
+        return PK.counted(packs, ks, gaps, tasks_for(n, WINDOWS))
+    packs = stored(packs.withColumn("whole", F.sum("n").over(of)))
+    few, many = packs.where(F.col("whole") <= WINDOWS), packs.where(F.col("whole") > WINDOWS)
+    n, beyond = packs.agg(F.sum(F.when(F.col("whole") <= WINDOWS, F.col("n"))), F.sum(F.when(F.col("whole") > WINDOWS, F.col("n")))).first()
+    seqs = PK.unpacked(many).groupBy("repertoire_id", "label_positive", "junction_aa").agg(F.sum("w").alias("w"))
+    of_k = lambda k: F.transform(windows(F.col("junction_aa"), (k,), gaps), lambda x: F.struct(F.lit(k).alias("k"), x.alias("kmer")))
+    long = seqs.select("repertoire_id", "label_positive", "w", F.inline(F.concat(*map(of_k, ks))))
+    dealt = long.repartition(tasks_for(beyond, WINDOWS), "repertoire_id", "kmer").groupBy("repertoire_id", "label_positive", "k", "kmer").agg(F.sum("w").alias("cnt"))
+    return dealt if n is None else PK.counted(few, ks, gaps, tasks_for(n, WINDOWS)).unionByName(dealt)
 
 
 def windows(s: Column, ks: tuple[int, ...], gaps: bool = False) -> Column:
@@ -127,16 +136,19 @@ def log_fold_total(sums: DataFrame) -> DataFrame:
 
 def pattern_features(counts: DataFrame, patterns: DataFrame, ids: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     """Per repertoire and k: matched patterns, their abundance, entropy, maximum and mean, and both as shares of all
-    windows; repertoires without a match have zeros."""
-    k_total = counts.groupBy("repertoire_id", "k").agg(F.count("*").alias("n_kmers"), F.sum("cnt").alias("total"))
-    hits = counts.join(patterns.select("k", "kmer"), ["k", "kmer"])
-    p = F.col("cnt") / F.sum("cnt").over(Window.partitionBy("repertoire_id", "k"))
-    per = hits.withColumn("p", p).groupBy("repertoire_id", "k").agg(
-        F.count("*").alias("count"), F.sum("cnt").alias("abundance"), (0 - F.sum(F.col("p") * F.ln(F.col("p") + 1e-10))).alias("diversity"), F.max("cnt").alias("max"), F.avg("cnt").alias("mean")
-    )
+    windows; repertoires without a match have zeros. Counts are read once: patterns that are not looked for are one row
+    of each repertoire and k before the shuffle."""
+    known = small(patterns.select("k", "kmer").withColumn("hit", F.col("kmer")))
+    each = counts.join(known, ["k", "kmer"], "left").groupBy("repertoire_id", "k", "hit").agg(F.count("*").alias("n"), F.sum("cnt").alias("cnt"))
+    found = F.when(F.col("hit").isNotNull(), F.col("cnt"))
+    p = found / F.sum(found).over(Window.partitionBy("repertoire_id", "k"))
+    per = each.withColumn("found", found).withColumn("p", p).groupBy("repertoire_id", "k").agg(
+        F.sum("n").alias("n_kmers"), F.sum("cnt").alias("total"), F.count("found").alias("count"), F.sum("found").alias("abundance"),
+        (0 - F.sum(F.col("p") * F.ln(F.col("p") + 1e-10))).alias("diversity"), F.max("found").alias("max"), F.avg("found").alias("mean"),
+    )
     full = ids.select("repertoire_id", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
     names = ("count", "abundance", "diversity", "max", "mean", "n_kmers", "total")
-    zero = full.join(k_total, ["repertoire_id", "k"], "left").join(per, ["repertoire_id", "k"], "left").na.fill(0, list(names))
+    zero = full.join(per, ["repertoire_id", "k"], "left").na.fill(0, list(names))
     return zero.withColumn("ratio", F.col("count") / (F.col("total") + 1e-10)).withColumn("abundance_ratio", F.col("abundance") / (F.col("total") + 1e-10))
 
 

@@ -42,6 +42,7 @@ def query(name: str, sql: str | None = None, views: str = "") -> Callable[[Query
 
 W, K, N = A.WORDS_SQL, A.CLONES_SQL, A.NODES_SQL
 rows_w = lambda s, d: C.labelled(A.word_repertoire(s, d), A.word_metadata(s, d))
+words_w = lambda s, d: A.labelled_words(s, d, E.small(A.word_metadata(s, d)))  # noqa: E731  the same, where only windows are asked
 rows_k = lambda s, d: C.labelled(A.clone_repertoire(s, d), A.clone_metadata(s, d))
 counts_w = lambda s, d: C.row_counts(rows_w(s, d), "junction_aa")
 sequences = lambda s, d: A.word_repertoire(s, d).select("junction_aa").distinct()

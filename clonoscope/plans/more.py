@@ -36,7 +36,7 @@ def query(name: str, sql: str | None = None):
 @query("pattern_features_30", f"WITH {A.WORDS_SQL}, {K.wide_sql((3, 4, 5))}")
 def pattern_features_30(spark: SparkSession, d: str) -> DataFrame:
     """The 30 columns of patterns of three, four and five letters."""
-    counts = E.pattern_counts(K.rows_w(spark, d), (3, 4, 5))
+    counts = E.pattern_counts(K.words_w(spark, d), (3, 4, 5))
     meta = A.word_metadata(spark, d)
     patterns = E.select_strict(counts, E.class_sizes(meta), fold=1.2, p=0.05)
     return E.widened(E.pattern_features(counts, patterns, meta.select("repertoire_id").distinct(), (3, 4, 5)), (3, 4, 5))

@@ -12,9 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def word_repertoire(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as repertoires: a row per word of 3 to 30 letters."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("pos", "word"))
+    return _words(table(spark, sf_dir, "documents"))
+
+
+def labelled_words(spark: SparkSession, sf_dir: str, meta: DataFrame) -> DataFrame:
+    """Those of labelled documents, with label_positive: texts are joined, before they are rows of words."""
+    return _words(table(spark, sf_dir, "documents").join(meta.withColumnRenamed("repertoire_id", "doc_id"), "doc_id"), "label_positive")
+
+
+def _words(documents: DataFrame, *kept: str) -> DataFrame:
+    docs = documents.select("doc_id", "lang", "source", *kept, F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("pos", "word"))
     return docs.where(F.length("word").between(3, 30)).select(
-        F.col("doc_id").alias("repertoire_id"), (F.col("pos") + 1).cast("long").alias("row_idx"), F.upper("word").alias("junction_aa"), F.col("lang").alias("v_call"), F.col("source").alias("j_call")
+        F.col("doc_id").alias("repertoire_id"), (F.col("pos") + 1).cast("long").alias("row_idx"), F.upper("word").alias("junction_aa"), F.col("lang").alias("v_call"), F.col("source").alias("j_call"), *kept
     )
 
 
