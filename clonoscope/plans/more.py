@@ -45,7 +45,7 @@ def pattern_features_30(spark: SparkSession, d: str) -> DataFrame:
 @query("pattern_gapped_strict", None)
 def pattern_gapped_strict(spark: SparkSession, d: str) -> DataFrame:
     """The strict selection among patterns of three to six letters with gaps."""
-    counts = E.pattern_counts(K.rows_w(spark, d), (3, 4, 5, 6), gaps=True)
+    counts = E.pattern_counts(K.words_w(spark, d), (3, 4, 5, 6), gaps=True)
     return E.select_strict(counts, E.class_sizes(A.word_metadata(spark, d)), fold=1.2, p=0.05)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clonoscope.operators import enrich as E
 from clonoscope.operators import packs as PK
+from clonoscope.plans import more
 from clonoscope.sources import adapters as A
 
 WORDS = ["CASSL", "CASSL", "ÀÉ✓𝄞XYZ", "AB", "", None, "A.BC.DE", "A\x00BCDE", "KKKKKKKK"]
@@ -74,3 +75,11 @@ def test_labelled_texts_are_joined_before_their_words(spark, tmp_path):
     assert sorted((r["repertoire_id"], r["row_idx"], r["junction_aa"], r["v_call"], r["label_positive"]) for r in words.collect()) == [(1, 1, "ABC", "en", True), (1, 3, "FGH", "en", True), (1, 4, "ABC", "en", True)]
     plan = words._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Join")
+
+
+def test_gapped_windows_are_not_shuffled(spark, monkeypatch):
+    """What the selection sums by pattern comes from packed rows."""
+    plans, plain = [], E.pattern_presence
+    monkeypatch.setattr(E, "pattern_presence", lambda counts: (plans.append(counts._jdf.queryExecution().optimizedPlan().toString()), plain(counts))[1])
+    more.QUERIES["pattern_gapped_strict"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 1 and "MapInArrow" in plans[0] and "Generate" not in plans[0]
