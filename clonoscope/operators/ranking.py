@@ -81,10 +81,11 @@ def pattern_density(seqs: DataFrame, patterns: DataFrame, weights: dict[int, flo
 
 
 def longest_pattern(seqs: DataFrame, patterns: DataFrame, ks: tuple[int, ...] = (6, 5, 4, 3)) -> DataFrame:
-    """The longest selected pattern that a sequence contains; others are dropped."""
+    """The longest selected pattern that a sequence contains; others are dropped. Few patterns are broadcast, so that
+    windows are not shuffled."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), S.kmers_with_gap(F.col("junction_aa"), k).alias("kmers")) for k in ks]))
     windows = seqs.select("junction_aa", each.alias("x")).select("junction_aa", "x.k", F.explode("x.kmers").alias("kmer"))
-    return windows.join(patterns.select("k", "kmer"), ["k", "kmer"], "left_semi").groupBy("junction_aa").agg(F.max("k").alias("pattern_score"))
+    return windows.join(E.small(patterns.select("k", "kmer")), ["k", "kmer"], "left_semi").groupBy("junction_aa").agg(F.max("k").alias("pattern_score"))
 
 
 def test_rows(probabilities: DataFrame, dataset: str) -> DataFrame:

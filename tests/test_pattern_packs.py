@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clonoscope.operators import enrich as E
 from clonoscope.operators import packs as PK
+from clonoscope.operators import ranking as R
 from clonoscope.plans import more
 from clonoscope.sources import adapters as A
 
@@ -83,3 +84,12 @@ def test_gapped_windows_are_not_shuffled(spark, monkeypatch):
     monkeypatch.setattr(E, "pattern_presence", lambda counts: (plans.append(counts._jdf.queryExecution().optimizedPlan().toString()), plain(counts))[1])
     more.QUERIES["pattern_gapped_strict"](spark, "/root/testdata/sf0.001")
     assert len(plans) == 1 and "MapInArrow" in plans[0] and "Generate" not in plans[0]
+
+
+def test_longest_pattern_shuffles_no_windows(spark):
+    seqs = spark.createDataFrame([("CASSL",), ("CAXXL",), ("QQQQ",)], "junction_aa string")
+    patterns = spark.createDataFrame([(3, "CAS"), (4, "CAS.L"), (4, "ASSL")], "k int, kmer string").repartition("kmer")
+    found = R.longest_pattern(seqs, patterns)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert [tuple(r) for r in found.collect()] == [("CASSL", 4)]
