@@ -237,15 +237,21 @@ fdr AS (SELECT k, kmer, a, b, p_value, p_adjusted, pos_abundance FROM fd WHERE p
 
 
 def _kmer_counts(s: SparkSession, d: str, gaps: bool = False) -> DataFrame:
-    return E.pattern_counts(rows_w(s, d), (3, 4), gaps)
+    return E.pattern_counts(words_w(s, d), (3, 4), gaps)
 
 
 def _sizes(s: SparkSession, d: str) -> DataFrame:
     return E.class_sizes(A.word_metadata(s, d))
 
 
-def _strict(s: SparkSession, d: str) -> DataFrame:
-    return E.select_strict(_kmer_counts(s, d), _sizes(s, d), fold=1.2, p=0.05)
+def _strict(s: SparkSession, d: str, counts: DataFrame | None = None) -> DataFrame:
+    return E.select_strict(_kmer_counts(s, d) if counts is None else counts, _sizes(s, d), fold=1.2, p=0.05)
+
+
+def _features(s: SparkSession, d: str) -> DataFrame:
+    """Patterns are selected and looked for in the same packed sequences."""
+    counts = _kmer_counts(s, d)
+    return E.pattern_features(counts, _strict(s, d, counts), A.word_metadata(s, d).select("repertoire_id").distinct(), (3, 4))
 
 
 query("fisher_patterns", _KM + f" SELECT a, b, round({_fisher}, 6) AS p_value FROM (SELECT DISTINCT a, b, n_pos, n_neg FROM pp, sz WHERE a + b >= 5)")(lambda s, d: E.with_fisher(E.pattern_presence(_kmer_counts(s, d)).crossJoin(F.broadcast(_sizes(s, d))).where("a + b >= 5").select("a", "b", "n_pos", "n_neg").distinct()).select("a", "b", "p_value"))
@@ -260,7 +266,6 @@ query("select_k_best", f"+{PRES} SELECT junction_aa, chi2 FROM (SELECT junction_
 query("differential_topn", f"+{PRES} SELECT junction_aa, round(pos_count / n_pos - neg_count / n_neg, 6) AS differential_score FROM pres, sz ORDER BY 2 DESC, 1 LIMIT 600", W)(lambda s, d: E.differential(C.presence_counts(rows_w(s, d), "junction_aa"), _sizes(s, d)))
 query("logfc_total", f"""+{LAB}, t AS (SELECT junction_aa, sum(CASE WHEN label_positive THEN templates ELSE 0 END)::BIGINT AS pos_templates, sum(CASE WHEN label_positive THEN 0 ELSE templates END)::BIGINT AS neg_templates FROM lab GROUP BY 1)
 SELECT *, round(log2((pos_templates + 1) / (neg_templates + 1)) * ln((pos_templates + neg_templates + 2)::DOUBLE), 6) AS score FROM t""", K)(lambda s, d: E.log_fold_total(C.template_sums(rows_k(s, d), "junction_aa")))
-_features = lambda s, d: E.pattern_features(_kmer_counts(s, d), _strict(s, d), A.word_metadata(s, d).select("repertoire_id").distinct(), (3, 4))
 query("pattern_features_strict", f"+{_FEAT} SELECT repertoire_id, k::BIGINT AS k, count, abundance, round(diversity, 6) AS diversity, max, round(mean, 6) AS mean, n_kmers, total, round(ratio, 6) AS ratio, round(abundance_ratio, 6) AS abundance_ratio FROM fr", W)(lambda s, d: _features(s, d))
 query("pattern_features_wide", "+" + wide_sql((3, 4)), W)(lambda s, d: E.widened(_features(s, d), (3, 4)))
 

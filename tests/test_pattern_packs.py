@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clonoscope.operators import enrich as E
 from clonoscope.operators import packs as PK
 from clonoscope.operators import ranking as R
-from clonoscope.plans import more
+from clonoscope.plans import catalogue, more
 from clonoscope.sources import adapters as A
 
 WORDS = ["CASSL", "CASSL", "ÀÉ✓𝄞XYZ", "AB", "", None, "A.BC.DE", "A\x00BCDE", "KKKKKKKK"]
@@ -93,3 +93,12 @@ def test_longest_pattern_shuffles_no_windows(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert [tuple(r) for r in found.collect()] == [("CASSL", 4)]
+
+
+@pytest.mark.parametrize("name", ["pattern_features_wide"])
+def test_words_are_packed_once(spark, monkeypatch, name):
+    """Patterns are selected and looked for in the same packed sequences."""
+    calls, plain = [], E.pattern_counts
+    monkeypatch.setattr(E, "pattern_counts", lambda *a: (calls.append(a), plain(*a))[1])
+    catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
