@@ -95,7 +95,7 @@ def test_longest_pattern_shuffles_no_windows(spark):
     assert [tuple(r) for r in found.collect()] == [("CASSL", 4)]
 
 
-@pytest.mark.parametrize("name", ["pattern_features_wide"])
+@pytest.mark.parametrize("name", ["pattern_features_wide", "pattern_features_strict"])
 def test_words_are_packed_once(spark, monkeypatch, name):
     """Patterns are selected and looked for in the same packed sequences."""
     calls, plain = [], E.pattern_counts
