@@ -441,7 +441,7 @@ def gcn_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, links = stored(nodes), stored(links)
     train_meta = P.stratified_split(split.where(~F.col("is_test")).select("repertoire_id", "label_positive"), seed=43).withColumnRenamed("is_test", "is_validation")
     learnt = lambda df: df.join(train_meta.select("repertoire_id"), "repertoire_id", "left_semi")
-    network = train(learnt(nodes), learnt(links), train_meta, epochs=8, rate=0.02)
+    network = train(learnt(nodes), learnt(links), train_meta, rate=0.02)
     asked = split.where("is_test").select("repertoire_id")
     return network.score(nodes.join(asked, "repertoire_id", "left_semi"), links.join(asked, "repertoire_id", "left_semi"))
 

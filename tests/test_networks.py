@@ -1,6 +1,7 @@
 """Graph networks against dense ones, their gradients against differences, and a class that only edges tell."""
 
 import random
+from inspect import signature
 
 import numpy as np
 import pytest
@@ -87,3 +88,21 @@ def test_learns_what_only_edges_tell(spark):
 def test_area(spark):
     rows = spark.createDataFrame([(1.0, 0.5), (0.0, 0.5), (1.0, 0.9), (0.0, 0.1)], "label double, p double")
     assert N.area(rows) == 0.875 and N.area(rows.where("label = 1")) == 0.5 and N.area(rows.where(F.lit(False))) == 0.5
+
+
+def test_query_trains_in_full(spark, monkeypatch):
+    """As many epochs as a network has unless told otherwise, and fewer only where they bring nothing more."""
+    seen, plain = [], N.train
+
+    def spied(*args, **named):
+        told = signature(plain).bind(*args, **named)
+        told.apply_defaults()
+        seen.extend([told, plain(*args, **named)])
+        return seen[1]
+
+    monkeypatch.setattr(N, "train", spied)
+    assert N.gcn_predict(spark, "/root/testdata/sf0.001").count() > 0
+    told, history = seen[0].arguments, seen[1].history
+    assert told["epochs"] == 100 and told["patience"] == 30
+    best = max(range(len(history)), key=lambda i: history[i]["roc_auc"])
+    assert len(history) == 100 or len(history) == best + 1 + 30
